@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, minhash, mixing, pii, quality, secrets
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +24,68 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, digested."""
+    rows = secrets.scan(_documents(spark, sf_dir), RANKS, PATTERN)
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return rows.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
+    )
+
+
+def _with_ids_digest(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = list(bpe.id_lists(batch.column(1)))
+            digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(digests), batch.column(2)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, digested."""
+    rows = bpe.decode(bpe.encode(_documents(spark, sf_dir), RANKS, PATTERN), RANKS)
+    return _with_ids_digest(rows.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of weighed rules on every text."""
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of one and a half times all words takes of each document."""
+    return mixing.mix(_documents(spark, sf_dir)).drop("copies")
+
+
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with personal data replaced, and how many of each kind were."""
+    rows = pii.pseudonymise(_documents(spark, sf_dir), key="op7")
+    count = lambda kind: F.size(F.filter("pii", lambda p: p["kind"] == kind)).cast("long")
+    return rows.select("doc_id", "text", *(count(k).alias(f"n_{k}") for k in pii.PATTERNS))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    own = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the results that SQL can express."""
     from .oracles import SQL
 
     return dict(SQL)
