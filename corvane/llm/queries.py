@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pii, quality, secrets
+from . import bpe, licenses, lm_mixing, minhash, mixing, pii, quality, secrets, subspace
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -72,6 +72,21 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", *(count(k).alias(f"n_{k}") for k in pii.PATTERNS))
 
 
+def op8_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a unigram model and by logistic context mixing, learned from six sevenths of the texts."""
+    return lm_mixing.score(_documents(spark, sf_dir))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and passages in every text."""
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+def op10_subspace_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.9."""
+    return subspace.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py one after the other."""
     import corpus_pipeline
