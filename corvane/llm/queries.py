@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lm_mixing, minhash, mixing, pii, quality, secrets, subspace
+from . import bpe, licenses, lm_mixing, minhash, mixing, pii, quality, secrets, subspace, substring
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -60,6 +60,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that texts share, at a similarity of 0.8."""
+    return substring.repeated_passages(_documents(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of one and a half times all words takes of each document."""
     return mixing.mix(_documents(spark, sf_dir)).drop("copies")
