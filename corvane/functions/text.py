@@ -62,7 +62,7 @@ def slug(text: Column) -> Column:
 def headline(text: Column) -> Column:
     """The first sentence, cut at a word to 110 characters and an ellipsis."""
     first = F.get(F.split(text, r"(?<=[.!?])\s", 2), F.lit(0))
-    short = F.concat(F.regexp_replace(F.substring(first, 1, 110), r"\s+\S*$", ""), F.lit("…"))
+    short = F.concat(F.regexp_replace(F.substring(first, 1, 110), r"\s+\S*\z", ""), F.lit("…"))
     return F.when(F.length(first) <= 110, first).otherwise(short)
 
 

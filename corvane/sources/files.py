@@ -53,7 +53,7 @@ def crawl(spark: SparkSession, roots: list[Root]) -> DataFrame:
         part = files.where(keep).select(
             path.alias("path"), relative.alias("relative"), F.lit(root.source).alias("source"), F.lit(root.repo).cast("string").alias("repo"),
             F.lit(root.recursive).alias("recursive"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"),
-            F.decode("content", F.lit("utf-8")).alias("content"), F.lit(i).alias("_root"),
+            F.decode("content", "utf-8").alias("content"), F.lit(i).alias("_root"),
         )
         out = part if out is None else out.unionByName(part)
     first = F.row_number().over(Window.partitionBy("path").orderBy("_root"))
