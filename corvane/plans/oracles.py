@@ -1 +1,173 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL with the results of the queries."""
+
+from __future__ import annotations
+
+from ..functions.text import STOPWORDS
+from ..operators.ranking import AUTHORITY
+from .queries import AS_OF, PAIR, SYNONYMS, WORDS
+
+FOLD = "strip_accents(lower(text))"
+TERMS = rf"regexp_extract_all({FOLD}, '[\p{{L}}\p{{N}}]+')"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _tokens(text: str = "text") -> str:
+    every = rf"list_filter(regexp_extract_all(strip_accents(lower({text})), '[\p{{L}}\p{{N}}_]+'), lambda t: len(t) >= 2)"
+    content = f"list_filter({every}, lambda t: NOT list_contains({_list(STOPWORDS)}, t))"
+    return f"CASE WHEN len({content}) > 0 THEN {content} ELSE {every} END"
+
+
+def _batch(words: dict[int, list[str]]) -> str:
+    return f"SELECT * FROM (VALUES {_values((q, t) for q, ts in words.items() for t in dict.fromkeys(ts))}) v(query_id, term)"
+
+
+BENCH = f"SELECT item_id AS query_id, unnest(list_distinct({_tokens()})) AS term FROM benchmark"
+
+
+def bm25(batch: str, name: str = "scored") -> str:
+    """Common table expressions that end in ``name`` (query_id, id, score, matched)."""
+    return f"""
+    {name}_q AS ({batch}),
+    {name}_t AS (SELECT doc_id AS id, {TERMS} AS ts FROM documents),
+    {name}_tot AS (SELECT count(*)::DOUBLE AS n, avg(len(ts))::DOUBLE AS mean FROM {name}_t),
+    {name}_h AS (SELECT id, length, term, count(*)::DOUBLE AS tf FROM (SELECT id, len(ts)::DOUBLE AS length, unnest(ts) AS term FROM {name}_t) WHERE term IN (SELECT term FROM {name}_q) GROUP BY ALL),
+    {name}_df AS (SELECT term, count(*)::DOUBLE AS df FROM {name}_h GROUP BY term),
+    {name}_w AS (SELECT id, term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean)) AS w FROM {name}_h JOIN {name}_df USING (term), {name}_tot),
+    {name} AS (SELECT query_id, id, round(sum(w), 6) AS score, count(*) AS matched FROM {name}_w JOIN {name}_q USING (term) GROUP BY query_id, id)"""
+
+
+def top(source: str, k: int) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {source} QUALIFY rank <= {k}"
+
+
+LEX = bm25(_batch(WORDS)) + f", lex AS ({top('scored', 60)})"
+DOT = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
+VEC = f"v AS (SELECT a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0), vec AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 60)"
+FUSED = "fused AS (SELECT coalesce(l.id, v.id) AS id, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0) AS rrf, l.rank AS rank_0, v.rank AS rank_1 FROM lex l FULL JOIN vec v ON l.id = v.id)"
+DATED = """dated AS (SELECT d.*, o_orderdate::DATE AS data, CASE lang WHEN 'en' THEN 'spec' WHEN 'fr' THEN 'doc' WHEN 'de' THEN 'nota' ELSE 'decisao' END AS doc_type,
+    CASE WHEN source = 'src3' THEN 'arquivado' END AS status FROM documents d LEFT JOIN orders ON o_orderkey = doc_id)"""
+_KINDS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in AUTHORITY.items())
+WEIGHT = f"(CASE doc_type {_KINDS} ELSE 1 END)::DOUBLE * (CASE WHEN status = 'arquivado' THEN 0.92 ELSE 1.0 END)::DOUBLE * (CASE WHEN DATE '{AS_OF}' - data <= 30 THEN 1.015 WHEN DATE '{AS_OF}' - data > 365 THEN 0.98 ELSE 1.0 END)::DOUBLE"
+KEY = r"trim(regexp_replace(strip_accents(lower(left(text, 300))), '\s+', ' ', 'g'))"
+ORDERS = """o AS (SELECT o_orderkey AS path, c_mktsegment AS feature, o_orderpriority AS repo, o_orderstatus AS doc_type, CASE WHEN o_totalprice > 499900 THEN 'arquivado' END AS status,
+    o_orderdate::DATE AS data, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey)"""
+CALLS = """calls AS (SELECT event_id, ts, event_type AS tool, round(value * 100)::BIGINT AS ms, value < 5 AS empty, len(props) AS size,
+    CASE WHEN k % 3 > 0 THEN k % 3 = 1 END AS semantic FROM (SELECT *, (props->>'$.k')::INT AS k FROM events))"""
+PCT = "list_sort(list(ms))[(floor({p} * (count(*) - 1)))::BIGINT + 1]"
+USAGE = f"""SELECT tool, count(*) AS calls, count(*) FILTER (empty) AS empty, round(avg(size), 6) AS mean_size, {{share}} AS words_only,
+    {PCT.format(p=0.5)} AS p50, {PCT.format(p=0.9)} AS p90 FROM calls GROUP BY tool"""
+PAIRS = """pairs AS (SELECT event_id, ts, props, CASE WHEN nxt.ts <= ts + INTERVAL 90 MINUTES THEN nxt.id END AS read_id FROM (
+    SELECT *, first(CASE WHEN event_type = 'view' THEN {'ts': ts, 'id': event_id} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM events)
+    WHERE event_type = 'click')"""
+RANKED = bm25(BENCH) + f", hits AS ({top('scored', 10)}), expected AS (SELECT b.item_id AS case_id, (SELECT min(rank) FROM hits h JOIN documents d ON d.doc_id = h.id WHERE h.query_id = b.item_id AND contains(d.text, left(b.text, 40)) AND rank <= 10) AS rank FROM benchmark b)"
+GAIN = "CASE WHEN rank BETWEEN 1 AND 5 THEN 1 / log2(rank + 1.0) ELSE 0 END"
+EDGES = "SELECT 'n:' || l_orderkey AS src, 'n:' || l_partkey AS dst, l_returnflag AS rel FROM lineitem"
+STYLE = r"CASE WHEN contains(q, '?') OR len(string_split_regex(trim(q), '\s+')) > 5 THEN 'natural' ELSE 'keywords' END"
+CASES = f"cases AS (SELECT *, {STYLE} AS style FROM (SELECT item_id AS id, left(text, 60) AS q, CASE WHEN item_id % 2 = 0 THEN 'code' ELSE 'docs' END AS source, CASE WHEN item_id % 20 = 3 THEN 'negativo' ELSE 'positivo' END AS kind FROM benchmark))"
+TITLE = r"CASE WHEN len(f) <= 110 THEN f ELSE regexp_replace(left(f, 110), '\s+\S*$', '') || '…' END"
+
+
+def _slug(x: str) -> str:
+    return f"left(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60)"
+
+
+def _hybrid(fused: str) -> str:
+    order = "score DESC, rank_0 ASC NULLS LAST, rank_1 ASC NULLS LAST, id"
+    return f"""WITH {LEX}, {VEC}, {fused}, {DATED},
+    rows AS (SELECT id, rank_0, rank_1, round(rrf * ({WEIGHT}), 8) AS score, {KEY} AS key FROM fused JOIN dated ON doc_id = id),
+    one AS (SELECT *, count(*) OVER (PARTITION BY key) - 1 AS collapsed FROM rows QUALIFY row_number() OVER (PARTITION BY key ORDER BY {order}) = 1)
+    SELECT id, score, collapsed, row_number() OVER (ORDER BY {order}) AS place FROM one QUALIFY place <= 8"""
+
+
+SQL: dict[str, str] = {
+    "q01_fold_slug_title": rf"""SELECT doc_id, left({FOLD}, 80) AS folded, {_slug('title')} AS slug, title FROM (SELECT *, {TITLE} AS title FROM (
+        SELECT *, CASE WHEN regexp_matches(text, '(?s)[.!?]\s') THEN regexp_extract(text, '(?s)^(.*?[.!?])\s', 1) ELSE text END AS f FROM documents))""",
+    "q02_query_tokens": f"SELECT item_id, array_to_string({_tokens()}, ' ') AS tokens FROM benchmark",
+    "q03_synonym_expansion": f"""SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(t, flatten(list_transform(t, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {_list(v)}" for k, v in SYNONYMS.items())} ELSE []::VARCHAR[] END))))), ' ') AS tokens
+        FROM (SELECT item_id, {_tokens()} AS t FROM benchmark)""",
+    "q04_bm25_top60": f"WITH {LEX} SELECT id, score, rank FROM lex",
+    "q05_bm25_and_filtered": f"WITH {bm25(_batch(PAIR))}, kept AS (SELECT * FROM scored WHERE matched = 2 AND id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src3')) SELECT id, score, rank FROM ({top('kept', 60)})",
+    "q06_two_pass": f"""WITH {bm25(_batch(PAIR), 's')}, {bm25(_batch({0: [*PAIR[0], *SYNONYMS['that'], *SYNONYMS['ention']]}), 'w')},
+        a AS (SELECT id, score, 0 AS pass FROM s WHERE matched = 2 ORDER BY score DESC, id LIMIT 60),
+        b AS (SELECT id, score, 1 AS pass FROM w WHERE (SELECT count(*) FROM a) < 60 ORDER BY score DESC, id LIMIT 60),
+        u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a))
+        SELECT id, score, pass::BIGINT AS pass, row_number() OVER (ORDER BY pass, score DESC, id) AS rank FROM u""",
+    "q07_bm25_batch": f"WITH {bm25(BENCH)} SELECT query_id, id, score, rank FROM ({top('scored', 10)})",
+    "q08_mentions": f"""WITH {DATED}, f AS (SELECT doc_id, source, data, len(list_intersect({TERMS}, ['ention', 'thndly'])) AS n FROM dated)
+        SELECT doc_id, source, data FROM f WHERE n >= CASE WHEN (SELECT max(n) FROM f) = 2 THEN 2 ELSE 1 END ORDER BY data DESC NULLS LAST, doc_id LIMIT 15""",
+    "q10_catalogue": f"""WITH {ORDERS} SELECT feature, repo, max(CASE WHEN status = 'arquivado' THEN 1 ELSE 0 END)::BIGINT AS archived, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS kinds, count(*) AS n_docs, max(data) AS last_date FROM o GROUP BY ALL""",
+    "q11_timeline": f"WITH {ORDERS} SELECT path, doc_type, data, row_number() OVER (ORDER BY CASE doc_type WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, path) AS place FROM o WHERE o_custkey = 7",
+    "q12_recent_activity": f"""WITH {ORDERS}, r AS (SELECT *, CASE repo WHEN '1-URGENT' THEN 25 WHEN '2-HIGH' THEN 10 ELSE 5 END AS cap, row_number() OVER (PARTITION BY repo ORDER BY data DESC, path) AS rank, count(*) OVER (PARTITION BY repo) AS n FROM o WHERE data >= DATE '{AS_OF}' - 7)
+        SELECT repo, path, data, rank, greatest(0, n - cap)::BIGINT AS more FROM r WHERE rank <= cap""",
+    "q14_vector_topk_filtered": f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label IN (1, 2, 3)) QUALIFY rank <= 60",
+    "q15_vector_topk_batch": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0) SELECT query_id, id, score, rank FROM ({top('s', 10)})",
+    "q16_coverage": "SELECT count(*) AS total, count(vec_id) AS with_vector, count(*) - count(vec_id) AS pending FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+    "q16_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+    "q17_related": f"SELECT id, score FROM (SELECT a.vec_id AS id, {DOT} AS score FROM (SELECT * FROM embeddings WHERE vec_id > 0 ORDER BY vec_id DESC LIMIT 300) a, embeddings b WHERE b.vec_id = 0) WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 5",
+    "q17_term_overlap": r"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}')) AS w FROM benchmark), s AS (
+        SELECT a.item_id, round(len(list_intersect(b.w, a.w))::DOUBLE / greatest(1, len(b.w)), 6) AS share FROM w a, w b WHERE b.item_id = 0 AND a.item_id > 0)
+        SELECT item_id, share FROM s WHERE share >= 0.05 ORDER BY share DESC, item_id LIMIT 5""",
+    "q18_rank_fusion": f"WITH {LEX}, {VEC}, {FUSED} SELECT id, round(rrf, 8) AS rrf, rank_0, rank_1 FROM fused",
+    "q19_authority": f"WITH {DATED} SELECT doc_id, round({WEIGHT}, 6) AS weight FROM dated",
+    "q20_late_hydration": f"WITH {LEX}, {VEC}, {FUSED} SELECT id, round(rrf, 8) AS rrf, source, lang, left(text, 300) AS snippet FROM fused JOIN documents ON doc_id = id",
+    "q21_content_collapse": f"""WITH k AS (SELECT doc_id, source, {KEY} AS key FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n, min(doc_id) OVER (PARTITION BY key) AS first FROM k)
+        SELECT first AS doc_id, count(*) - 1 AS collapsed, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (n > 1), '') AS also_in FROM n GROUP BY first""",
+    "q22_per_document": f"""WITH k AS (SELECT conv_id AS doc, turn, len(text) AS score, {KEY} AS key FROM conversations), one AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, doc, turn) = 1),
+        two AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, doc, turn) AS doc_rank FROM one QUALIFY doc_rank <= 2)
+        SELECT doc, turn, row_number() OVER (ORDER BY doc_rank, score DESC, doc, turn) AS place, doc_rank FROM two QUALIFY place <= 100""",
+    "q23_hybrid_search": _hybrid(FUSED),
+    "q23_lexical_only": _hybrid("fused AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS rrf, rank AS rank_0, NULL AS rank_1 FROM lex)"),
+    "q24_relevance_floor": f"""WITH {bm25(_batch(WORDS))}, lex AS ({top('scored', 24)}), kept AS (SELECT id, rank FROM lex JOIN documents ON doc_id = id
+        WHERE (CASE WHEN source IN ('src1', 'src2') THEN starts_with(source, 'src1') ELSE lang <> 'es' END) AND len(list_filter({_list(WORDS[0])}, lambda t: contains({FOLD}, t))) >= 2)
+        SELECT id, row_number() OVER (ORDER BY rank) AS place FROM kept QUALIFY place <= 5""",
+    "q25_entity_merge": """WITH c AS (SELECT 'nation:' || n_nationkey AS key, 0::BIGINT AS seq, 'nation' AS kind, NULL AS repo, n_name AS title, NULL AS status FROM nation
+        UNION ALL SELECT 'nation:' || s_nationkey, s_suppkey + 1, 'supplier', 's', CASE WHEN s_suppkey % 2 = 0 THEN s_name END, CASE WHEN s_acctbal > 5000 THEN 'rich' END FROM supplier
+        UNION ALL SELECT 'nation:' || c_nationkey, c_custkey + 10000000, 'customer', 'c', CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_acctbal < 0 THEN 'poor' END FROM customer)
+        SELECT key, first(kind ORDER BY seq) AS kind, first(repo ORDER BY seq) AS repo, last(title ORDER BY seq) FILTER (title IS NOT NULL) AS title, last(status ORDER BY seq) FILTER (status IS NOT NULL) AS status FROM c GROUP BY key""",
+    "q26_distinct_edges": f"SELECT rel, count(*) AS edges, count(DISTINCT dst) AS targets FROM (SELECT DISTINCT * FROM ({EDGES}) WHERE src <> dst) GROUP BY rel",
+    "q27_round_robin": """WITH n AS (SELECT DISTINCT 'part:' || l_partkey AS target, 'order:' || l_orderkey AS neighbour, 'in' AS direction, 2 AS k FROM lineitem WHERE l_partkey < 20
+        UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'out', 1 FROM lineitem WHERE l_partkey < 20), t AS (SELECT *, row_number() OVER (PARTITION BY target, k ORDER BY neighbour) AS turn FROM n)
+        SELECT target, neighbour, direction, row_number() OVER (PARTITION BY target ORDER BY turn, k) AS place FROM t WHERE target IN (SELECT 'part:' || p_partkey FROM part) QUALIFY place <= 6""",
+    "q28_unique_citations": "SELECT * FROM (VALUES ('a', 'src/lib/x.ts', 'p/src/lib/x.ts'), ('a', 'y.py', 'p/y.py'), ('b', 'lib/x.ts', 'p/src/lib/x.ts'), ('c', 'other/deep/x.ts', 'p/other/deep/x.ts'), ('c', 'lib/x.ts', 'p/src/lib/x.ts')) v(doc, cited, target)",
+    "q29_explicit_refs": "SELECT * FROM (VALUES ('a', 101, 'card:r1#101'), ('b', 102, 'pr:r2#102'), ('c', 103, 'card:r3#103')) v(doc, number, target)",
+    "q30_entity_precedence": "SELECT * FROM (VALUES (1::BIGINT, 'Customer#000000007'), (2, 'Customer#000000005'), (3, 'Customer#000000009'), (5, 'Customer#000000001')) v(request, key) WHERE key IN (SELECT c_name FROM customer)",
+    "q30_lookup": "SELECT 'card:r#' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'arquivo' ELSE 'card' END AS kind, c_name AS title FROM customer WHERE c_custkey = 123",
+    "q31_usage_report": f"WITH {CALLS} " + USAGE.format(share="round(count(*) FILTER (NOT semantic)::DOUBLE / nullif(count(semantic), 0), 6)"),
+    "q31_usage_without_column": f"WITH {CALLS} " + USAGE.format(share="NULL::DOUBLE"),
+    "q32_calls_per_day": "SELECT ts::DATE AS day, count(*) AS calls FROM events GROUP BY 1",
+    "q32_latest_empty": f"WITH {CALLS} SELECT event_id, tool FROM calls WHERE empty ORDER BY ts DESC, event_id LIMIT 10",
+    "q33_following_read": f"WITH {PAIRS} SELECT event_id, read_id FROM pairs WHERE read_id IS NOT NULL",
+    "q34_harvest": f"""WITH {PAIRS}, p AS (SELECT event_id AS id, ts, ' Query ' || (props->>'$.k') AS query, read_id % 1200 AS target, (props->>'$.k')::INT % 2 = 0 AS en FROM pairs WHERE read_id IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY ts, id) AS n FROM p)
+        SELECT id, CASE WHEN n > 1 THEN 'repeated' WHEN doc_id IS NULL THEN 'missing' WHEN en AND lang <> 'en' THEN 'incoherent' ELSE 'kept' END AS fate, 'keywords' AS style, 'doc/' || target AS expected FROM r LEFT JOIN documents ON doc_id = target""",
+    "q35_rank_of_expected": f"WITH {RANKED} SELECT case_id, rank FROM expected",
+    "q36_merged_cases": f"WITH {CASES} SELECT id, 'manual' AS origin FROM cases WHERE id % 4 = 0 UNION ALL SELECT id, 'uso' FROM cases WHERE lower(trim(q)) NOT IN (SELECT lower(trim(q)) FROM cases WHERE id % 4 = 0)",
+    "q36_coverage_faults": f"""WITH {CASES} SELECT count(*) AS cases, array_to_string(list_filter([CASE WHEN count(*) < 60 THEN 'fewer than 60 cases' END, CASE WHEN count(*) FILTER (source = 'code') = 0 THEN 'no code target' END,
+        CASE WHEN count(*) FILTER (kind = 'negativo') < 2 THEN 'fewer than two negatives' END, CASE WHEN count(DISTINCT style) FILTER (kind = 'negativo') < 2 THEN 'negatives of one style' END], lambda x: x IS NOT NULL), '; ') AS faults FROM cases""",
+    "q37_verdict": f"""WITH {RANKED}, j AS (SELECT *, case_id % 20 = 3 AS neg, CASE WHEN case_id % 20 = 3 THEN CASE WHEN rank IS NULL THEN 1.0 ELSE 0.0 END ELSE {GAIN} END AS g FROM expected)
+        SELECT count(*) AS cases, count(*) FILTER (NOT neg) AS positives, count(*) FILTER (neg) AS negatives, false AS void, round(avg(g), 6) AS ndcg5, count(*) FILTER (NOT neg AND rank = 1) AS hit1,
+        count(*) FILTER (NOT neg AND rank <= 5) AS hit5, round(avg(coalesce(1.0::DOUBLE / rank, 0)) FILTER (NOT neg), 6) AS mrr, count(*) FILTER (neg AND rank IS NULL) AS empty_negatives FROM j""",
+    "q38_compare": f"""WITH {RANKED}, g AS (SELECT case_id, ({GAIN})::DOUBLE AS base, (CASE WHEN rank <= 2 THEN {GAIN} ELSE 0 END)::DOUBLE AS head FROM expected)
+        SELECT case_id, round(base, 6) AS base, round(head, 6) AS head, round(head - base, 6) AS delta, round(head - base, 6) < -1e-9 AS worse FROM g""",
+    "q39_invalid_runs": "SELECT * FROM (VALUES (1, 'erro'), (2, 'sem-diagnostico'), (3, 'so-lexico'), (4, 'apodreceu'), (5, NULL), (6, 'so-lexico')) v(case_id, invalid)",
+    "q40_differences": "SELECT doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 7 <> 0",
+    "q41_source_stats": "SELECT source, count(DISTINCT doc_id) AS docs, count(quality) AS labelled, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+    "q41_totals": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM embeddings) AS embeddings",
+    "q42_leaks": "SELECT page_id, url FROM pages WHERE contains(url, '/en/') OR contains(url, '/de/') ORDER BY page_id LIMIT 5",
+    "q43_session_notes": r"""WITH t AS (SELECT *, role = 'user' AND trim(text) <> '' AND NOT regexp_matches(text, '^\s*(<|/|Caveat:)') AS heard FROM conversations WHERE turn % 11 <> 10)
+        SELECT conv_id AS session, count(*) FILTER (heard) AS asked, count(*) FILTER (role = 'assistant') AS answered, first(left(text, 220) ORDER BY turn) FILTER (heard) AS first FROM t GROUP BY conv_id HAVING asked >= 1 AND answered >= 2""",
+    "q44_front_matter": "SELECT * FROM (VALUES ('docs/12-x/spec.md', 'docs', 'spec', 'open', 'Title one', '2024-05-06'), ('_arquivo/old/prd.md', 'old', 'prd', 'arquivado', 'prd', '2024-01-02'), ('plain/tasks/t1.md', 'plain', 'task', 'feito', 't1', '2024-01-02')) v(relative, feature, doc_type, status, title, data)",
+    "q45_crawl": "SELECT 'docs' AS source, 3::BIGINT AS files",
+    "q46_section": "SELECT * FROM (VALUES (1::BIGINT, E'## Decisão final\\ny\\n### z\\nw'), (2, E'# Decisao\\nall')) v(doc_id, section)",
+    "q49_json_props": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k, count(DISTINCT (props->>'$.k')::BIGINT) AS kinds FROM events GROUP BY event_type",
+    "q50_stream_increments": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "q51_stream_late": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "q54_upsert": "SELECT source, count(*) AS n, sum(n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS chars FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 9 = 0 GROUP BY source",
+}
