@@ -1,3 +1,20 @@
-"""DuckDB SQL for the results that SQL can express."""
+"""DuckDB SQL for the results that SQL can express; the other operators are tested against brute force in tests/llm."""
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """r(node, found) AS (SELECT id, id FROM nodes UNION SELECT r.node, e.y FROM r JOIN edges e ON r.found = e.x),
+    c AS (SELECT node, min(found) AS component_id FROM r GROUP BY node)"""
+
+SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+    u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    edges AS (SELECT x, y FROM i JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 80 * (len(a.sh) + len(b.sh) - n)),
+    nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+    SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.node = doc_id""",
+    "op10_subspace_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+    edges AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    nodes AS (SELECT id FROM v), {_REACH}
+    SELECT id AS vec_id, (SELECT count(*) FROM edges WHERE x = id) AS n_links, component_id, id = component_id AS kept FROM v JOIN c ON c.node = id""",
+}
