@@ -103,7 +103,7 @@ def commit_edges(commits: DataFrame, refs: DataFrame, files: DataFrame) -> DataF
 
 def neighbours(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, neighbour, rel, direction): every edge at a target, both ways, as a bag; ``targets`` is a batch (target)."""
-    wanted = F.broadcast(targets)
+    wanted = targets
     out = edges.join(wanted, edges["src"] == wanted["target"]).select("target", F.col("dst").alias("neighbour"), "rel", F.lit("out").alias("direction"))
     back = edges.join(wanted, edges["dst"] == wanted["target"]).select("target", F.col("src").alias("neighbour"), "rel", F.lit("in").alias("direction"))
     return out.unionByName(back)

@@ -26,10 +26,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col
     """(query_id, id, score, matched): BM25 of every chunk that has a term of the query; matched counts its terms.
 
     Statistics are over the whole table, before any filter. Texts are turned into terms once, and only terms that some
-    query has leave the scan: what is shuffled follows the hits, not the corpus. ``queries`` is a batch that the
-    caller holds; it is hinted for broadcast.
+    query has leave the scan: what is shuffled follows the hits, not the corpus. No side is hinted for
+    broadcast: a small batch of queries is, by its size.
     """
-    wanted = F.broadcast(queries.select("term").distinct())
+    wanted = queries.select("term").distinct()
     rows = statistics(chunks, fields, id_col)
     totals = rows.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
     hits = None
@@ -38,11 +38,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col
         hits = part if hits is None else hits.unionByName(part)
     hits = hits.groupBy("id", "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    # as many rows as the batch has terms
-    facts = F.broadcast(df.crossJoin(F.broadcast(totals)))
+    facts = df.crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(facts, "term").select("id", "term", weight.alias("w")).join(F.broadcast(queries), "term")
+    scored = hits.join(facts, "term").select("id", "term", weight.alias("w")).join(queries, "term")
     return scored.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("matched"))
 
 
@@ -60,12 +59,12 @@ def two_pass(chunks: DataFrame, strict: DataFrame, wide: DataFrame, fields: dict
     ``allowed`` holds the ids that the filters let through.
     """
     keep = lambda df: df if allowed is None else df.join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
-    sizes = F.broadcast(strict.groupBy("query_id").agg(F.count("*").alias("n")))
+    sizes = strict.groupBy("query_id").agg(F.count("*").alias("n"))
     first = keep(bm25(chunks, strict, fields, id_col)).join(sizes, "query_id").where("matched = n")
     first = top(first, pool).select("query_id", "id", "score", F.lit(0).alias("pass"))
     short = sizes.join(first.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left")
     short = short.where((F.coalesce("c", F.lit(0)) < pool) & (F.col("n") > 1)).select("query_id")
-    second = top(keep(bm25(chunks, wide.join(F.broadcast(short), "query_id", "left_semi"), fields, id_col)), pool)
+    second = top(keep(bm25(chunks, wide.join(short, "query_id", "left_semi"), fields, id_col)), pool)
     second = second.join(first, ["query_id", "id"], "left_anti").select("query_id", "id", "score", F.lit(1).alias("pass"))
     w = Window.partitionBy("query_id").orderBy("pass", F.col("score").desc(), "id")
     return first.unionByName(second).withColumn("rank", F.row_number().over(w))

@@ -92,7 +92,7 @@ def hybrid(lexical: DataFrame, semantic: DataFrame | None, docs: DataFrame, as_o
     their documents, after the cut of each branch. ``docs`` has id, doc_type, status, data, source and text.
     """
     fused = fuse(lexical, semantic) if semantic is not None else fuse(lexical).withColumn("rank_1", F.lit(None).cast("int"))
-    rows = docs.withColumnRenamed(id_col, "id").join(F.broadcast(fused), "id")
+    rows = docs.withColumnRenamed(id_col, "id").join(fused, "id")
     rows = rows.withColumn("score", F.round(F.col("rrf") * authority(F.col("doc_type"), F.col("status"), F.col("data"), as_of), 8))
     order = [F.col("score").desc(), F.col("rank_0").asc_nulls_last(), F.col("rank_1").asc_nulls_last(), F.col("id")]
     kept = collapsed(rows, ["query_id"], order, "doc_type")

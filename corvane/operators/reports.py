@@ -29,7 +29,7 @@ def sections(rows: DataFrame, section: str, order: list[Column], caps: Column) -
     """The first rows of each section up to its cap, with their rank, and how many more there are."""
     w = Window.partitionBy(section).orderBy(*order)
     sizes = rows.groupBy(section).agg(F.count("*").alias("in_section"))
-    ranked = rows.withColumns({"rank": F.row_number().over(w), "cap": caps}).where("rank <= cap").join(F.broadcast(sizes), section)
+    ranked = rows.withColumns({"rank": F.row_number().over(w), "cap": caps}).where("rank <= cap").join(sizes, section)
     return ranked.withColumn("more", F.greatest(F.lit(0), F.col("in_section") - F.col("cap")))
 
 

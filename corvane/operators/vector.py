@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.text import terms
 
 
+#: Queries of a batch that are broadcast at once.
+HELD = 10_000
+
+
 def dot(a: Column, b: Column) -> Column:
     """The dot product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -51,9 +56,19 @@ def hashing_encoder(text: Column, dims: int = 384) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 60, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score, rank): for each query its ``k`` nearest vectors by dot product, ties to the smaller id.
 
-    ``queries`` (query_id, query) is a batch that the caller holds and is hinted for broadcast: the stated set against
-    all rows, once. Every task keeps ``k`` rows for each query before anything is shuffled.
+    ``queries`` (query_id, query) is a stated set against all rows. It is counted first: up to ``HELD`` queries are
+    broadcast, more go in parts of about that size. Every task keeps ``k`` rows of a query before anything is shuffled.
     """
+    n = queries.count()
+    if n > HELD:
+        parts = -(-n // HELD)
+        slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        each = (_top_k(vectors, queries.where(slot == i), k, vector_col, id_col) for i in range(parts))
+        return reduce(DataFrame.unionByName, each)
+    return _top_k(vectors, queries, k, vector_col, id_col)
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str, id_col: str) -> DataFrame:
     pairs = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries), how="cross")
     scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("query")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -202,7 +202,7 @@ def q19_authority(spark, sf_dir):
 def q20_late_hydration(spark, sf_dir):
     fused = ranking.fuse(lexical_hits(spark, sf_dir), vector_hits(spark, sf_dir)).select("id", F.round("rrf", 8).alias("rrf"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 300).alias("snippet"))
-    return docs.join(F.broadcast(fused), "id")
+    return docs.join(fused, "id")
 
 
 @query
@@ -244,7 +244,7 @@ def q23_lexical_only(spark, sf_dir):
 @query
 def q24_relevance_floor(spark, sf_dir):
     hits = lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), lexical.queries_of(spark, WORDS), TEXT), 24)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text").join(F.broadcast(hits), "id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text").join(hits, "id")
     here = predicates.in_workspace(F.col("source"), F.col("source"), F.col("lang"), "src1", ["es"], False, ["src1", "src2"])
     keep = predicates.relevant(F.array(*map(F.lit, WORDS[0])), lexical.folded_text(F.col("text")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
@@ -381,7 +381,7 @@ def expected_ranks(spark, sf_dir, depth):
     hits = lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), bench(spark, sf_dir), TEXT), depth)
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.substring("text", 1, 40).alias("fragment"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = docs.join(F.broadcast(hits), "id").join(F.broadcast(cases), "query_id").where(F.contains("text", F.col("fragment")))
+    found = docs.join(hits, "id").join(cases, "query_id").where(F.contains("text", F.col("fragment")))
     found = found.groupBy("query_id").agg(F.min("rank").alias("rank"))
     return cases.join(found, "query_id", "left").select(F.col("query_id").alias("case_id"), "rank")
 
