@@ -88,15 +88,9 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 SKETCH, OUTSIDERS, MEMBERS = 256, 512, 2048
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
+def sketches(sets: DataFrame) -> DataFrame:
     """doc_id and the leading 32 bits of the ``SKETCH`` smallest hashes of its shingle set: all of it if it is small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [(shingle_set(x, k)[:SKETCH] >> np.uint64(32)).astype(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, sketch array<long>")
+    return sets.select("doc_id", F.transform(F.slice("shingles", 1, SKETCH), lambda x: F.shiftrightunsigned(x, 32)).alias("sketch"))
 
 
 def hopeful(key: int, rows: list[dict], percent: int) -> Iterator[tuple[int, int]]:
@@ -134,7 +128,7 @@ def hopeful(key: int, rows: list[dict], percent: int) -> Iterator[tuple[int, int
             yield r["rep"], int(rep[i])
 
 
-def across_parts(split: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def across_parts(split: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate edges (a, b) between classes of one bucket that are in different parts; ``split``: key, rep, n, part.
 
     Outside its largest part, a bucket has few classes: those meet all its classes, in tiles of bounded size.
@@ -148,7 +142,7 @@ def across_parts(split: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     outer = rows.where("stray").withColumns({"outsider": F.lit(True), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)), "i": slot(F.col("across"))})
     tiles = staged(inner.unionByName(outer).select("key", "i", "j", "outsider", "stray", "rep", "part", "n"))
     wanted = tiles.select(F.col("rep").alias("doc_id")).distinct()
-    low = sketches(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k).withColumnRenamed("doc_id", "rep")
+    low = sketches(sets.join(wanted, "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
     whole = tiles.join(low.join(classes.select("rep", "bands"), "rep"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +208,18 @@ def near_duplicates(
     sizes = classes.select(F.col("rep").alias("centre"), F.col("n").alias("centre_n"))
     stars = members.where("rep != centre").select("centre", "rep", "n").distinct().join(sizes, "centre").where(fits(F.col("n"), F.col("centre_n")))
     stars = staged(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-    named = lambda e: e.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = lambda e: shingle_sets(base.join(named(e), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k)
-    links = staged(confirmed(stars, staged(texts(stars)), percent))
+    # texts are read again rather than all their sets kept; the ids grow with the corpus, so they are not broadcast
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = staged(shingle_sets(base.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
+    links = staged(confirmed(stars, sets, percent))
     parts = connected_components(links, "a", "b")
 
     split = staged(
         members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
     )
-    across = staged(across_parts(split, classes, base, k, percent))
+    across = staged(across_parts(split, classes, sets, percent))
     if not across.isEmpty():
-        links = staged(links.unionByName(confirmed(across, staged(texts(across)), percent)))
+        links = staged(links.unionByName(confirmed(across, sets, percent)))
         parts = connected_components(links, "a", "b")
 
     labels = classes.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
