@@ -65,3 +65,9 @@ def per_day(calls: DataFrame, ts: str = "ts") -> DataFrame:
 
 def latest(calls: DataFrame, n: int, ts: str, id_col: str) -> DataFrame:
     return calls.orderBy(F.col(ts).desc(), id_col).limit(n)
+
+
+def with_successors(decisions: DataFrame) -> DataFrame:
+    """Decisions (id, supersedes, ...) with ``superseded_by``, the latest that replaces each; null while one stands."""
+    by = decisions.where("supersedes IS NOT NULL").groupBy(F.col("supersedes").alias("id")).agg(F.max("id").alias("superseded_by"))
+    return decisions.join(by, "id", "left")

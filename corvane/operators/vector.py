@@ -98,3 +98,9 @@ def pending(items: DataFrame, vectors: DataFrame, id_col: str, vector_id: str) -
     """The items without a vector: what a backfill still has to do, whatever was done before."""
     have = vectors.where(F.col("embedding").isNotNull()).select(F.col(vector_id).alias(id_col))
     return items.join(have, id_col, "left_anti")
+
+
+def backfill(items: DataFrame, vectors: DataFrame, limit: int, id_col: str = "doc_id", vector_id: str = "vec_id", text_col: str = "text", dims: int = 384) -> DataFrame:
+    """(vector_id, embedding) for the first ``limit`` items without a vector: a delta to append; a rerun does what is left."""
+    todo = pending(items, vectors, id_col, vector_id).orderBy(id_col).limit(limit)
+    return todo.select(F.col(id_col).alias(vector_id), hashing_encoder(F.col(text_col), dims).alias("embedding"))

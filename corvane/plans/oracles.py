@@ -169,5 +169,8 @@ SQL: dict[str, str] = {
     "q49_json_props": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k, count(DISTINCT (props->>'$.k')::BIGINT) AS kinds FROM events GROUP BY event_type",
     "q50_stream_increments": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "q51_stream_late": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "q55_superseded_decisions": "SELECT * FROM (VALUES (1, 3), (2, NULL), (3, 4), (4, NULL)) v(id, superseded_by)",
+    "q56_backfill": "SELECT doc_id AS vec_id, 384::BIGINT AS dims FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) ORDER BY doc_id LIMIT 50",
+    "q57_paths_under_roots": r"SELECT * FROM (VALUES ('C:\Docs\a.md'), ('/srv/docs/x/b.md')) v(path)",
     "q54_upsert": "SELECT source, count(*) AS n, sum(n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS chars FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 9 = 0 GROUP BY source",
 }

@@ -553,3 +553,22 @@ def q54_upsert(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     new = docs.where("doc_id % 9 = 0").withColumn("n_chars", F.col("n_chars") + 1)
     return replaced(docs, new, "doc_id", docs.where("doc_id % 11 = 0")).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query
+def q55_superseded_decisions(spark, sf_dir):
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3)], "id int, supersedes int")
+    return reports.with_successors(rows).select("id", "superseded_by")
+
+
+@query
+def q56_backfill(spark, sf_dir):
+    have = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0")
+    rows = vector.backfill(table(spark, sf_dir, "documents"), have, 50)
+    return rows.select("vec_id", F.size("embedding").cast("long").alias("dims"))
+
+
+@query
+def q57_paths_under_roots(spark, sf_dir):
+    paths = spark.createDataFrame([("C:\\Docs\\a.md",), ("/srv/docs/x/b.md",), ("/srv/docs2/c.md",), ("/tmp/d.md",)], "path string")
+    return files.under_roots(paths, spark.createDataFrame([("c:/docs/",), ("/SRV/docs",)], "root string"))

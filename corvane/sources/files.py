@@ -170,3 +170,19 @@ def session_notes(turns: DataFrame, noise: str = r"^\s*(<|/|Caveat:)", width: in
         F.array_sort(F.collect_list(F.when(heard, F.struct("ts", F.substring("text", 1, width).alias("text"))))).alias("said"),
     )
     return rows.where("asked >= 1 AND answered >= 2").withColumn("said", F.transform("said", lambda x: x["text"]))
+
+
+def under_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``paths`` (path) that lie under a root (root), case aside: by the prefixes that a path has, not pair by pair."""
+    flat = F.split(F.lower(F.replace("path", F.lit("\\"), F.lit("/"))), "/")
+    prefixes = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(flat)), lambda n: F.array_join(F.slice(flat, F.lit(1), n), "/"))).alias("_root"))
+    known = roots.select(F.regexp_replace(F.lower(F.replace("root", F.lit("\\"), F.lit("/"))), "/+$", "").alias("_root")).distinct()
+    return paths.join(prefixes.join(known, "_root", "left_semi").select("path").distinct(), "path", "left_semi")
+
+
+def rewritten(text: Column, block: Column, begin: str = "<!-- auto:begin -->", end: str = "<!-- auto:end -->") -> Column:
+    """``text`` with what stands between the two marks replaced by ``block``; without marks, the block follows at the end."""
+    has = F.contains(text, F.lit(begin)) & F.contains(text, F.lit(end))
+    before, after = F.substring_index(text, begin, 1), F.substring_index(text, end, -1)
+    new = F.concat(F.lit(begin + "\n"), block, F.lit("\n" + end))
+    return F.when(has, F.concat(before, new, after)).otherwise(F.concat(text, F.lit("\n"), new))
