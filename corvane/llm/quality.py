@@ -94,36 +94,43 @@ def votes() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def expectation_maximisation(ballots: DataFrame, rules: list[str], rounds: int) -> tuple[float, dict[str, tuple[float, float]]]:
+def expectation_maximisation(ballots: DataFrame, rules: list[str], rounds: int) -> tuple[float, list[tuple[float, float]]]:
     """The share of good texts, and for each rule how often it votes for a good and for a bad text, when it votes.
 
-    ``ballots`` holds each combination of votes once with its count ``c``, so it has at most 3 ** rules rows.
+    ``ballots`` holds each combination of votes once with its count ``c``, so it has at most 3 ** rules rows. A round
+    brings one row of sums a rule to the driver.
     """
-    share, rates = 0.9, {r: (0.95, 0.4) for r in rules}
+    share, rates = 0.9, [(0.95, 0.4)] * len(rules)
+    vote = F.col("vote")
     for _ in range(rounds):
-        p = posterior(share, rates)
-        good, bad = F.col("c") * p, F.col("c") * (1 - p)
-        sums = [F.sum(good).alias("good"), F.sum("c").alias("all")]
-        for r in rules:
-            for y, w in (("good", good), ("bad", bad)):
-                sums += [F.sum(F.when(F.col(r) == 1, w)).alias(f"{r}_{y}_for"), F.sum(F.when(F.col(r) != 0, w)).alias(f"{r}_{y}_cast")]
-        now = ballots.agg(*sums).first()
-        if not now["all"]:
+        cast = ballots.select("c", (F.col("c") * posterior(share, rates)).alias("good"), F.posexplode("votes").alias("rule", "vote"))
+        cast = cast.withColumn("bad", F.col("c") - F.col("good"))
+        sums = [F.sum("c").alias("all"), F.sum("good").alias("good")]
+        for y in ("good", "bad"):
+            sums += [F.sum(F.when(vote == 1, F.col(y))).alias(f"{y}_for"), F.sum(F.when(vote != 0, F.col(y))).alias(f"{y}_cast")]
+        now = {r["rule"]: r for r in cast.groupBy("rule").agg(*sums).collect()}
+        if not now:
             break
-        rate = lambda r, y, mean: round(((now[f"{r}_{y}_for"] or 0) + 2 * mean) / ((now[f"{r}_{y}_cast"] or 0) + 2), 9)  # noqa: E731, B023
-        share = round(min(max(now["good"] / now["all"], 0.01), 0.99), 9)
-        rates = {r: (rate(r, "good", 0.95), rate(r, "bad", 0.4)) for r in rules}
+        rate = lambda r, y, mean: round(((r[f"{y}_for"] or 0) + 2 * mean) / ((r[f"{y}_cast"] or 0) + 2), 9)
+        share = round(min(max(now[0]["good"] / now[0]["all"], 0.01), 0.99), 9)
+        rates = [(rate(now[i], "good", 0.95), rate(now[i], "bad", 0.4)) for i in range(len(rules))]
     return share, rates
 
 
-def posterior(share: float, rates: dict[str, tuple[float, float]]) -> Column:
-    """The probability that a text with these votes is good."""
-    odds = F.lit(math.log(share / (1 - share)))
+def posterior(share: float, rates: list[tuple[float, float]]) -> Column:
+    """The probability that a text with these votes is good.
+
+    The log odds are one array constant, not numbers spread over the expression: Spark then compiles the same code for
+    every round, whatever the numbers are.
+    """
     clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
-    for r, (good, bad) in rates.items():
+    odds = [math.log(share / (1 - share))]
+    for good, bad in rates:
         good, bad = clip(good), clip(bad)
-        odds += F.when(F.col(r) == 1, math.log(good / bad)).when(F.col(r) == -1, math.log((1 - good) / (1 - bad))).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+        odds += [math.log(good / bad), math.log((1 - good) / (1 - bad))]
+    known = F.array(*map(F.lit, odds))
+    said = F.transform("votes", lambda v, i: F.when(v == 1, F.get(known, 2 * i + 1)).when(v == -1, F.get(known, 2 * i + 2)).otherwise(0.0))
+    return 1 / (1 + F.exp(-F.aggregate(said, F.get(known, F.lit(0)), lambda x, y: x + y)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 10) -> DataFrame:
@@ -138,8 +145,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     rows = measured(docs, id_col, text_col)
     cast = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = staged(rows.withColumns({r: cast(*v) for r, v in rules.items()} | {"base_failed": failed}))
-    ballots = staged(rows.where("NOT base_failed").groupBy(*rules).agg(F.count("*").alias("c")))
+    rows = staged(rows.withColumns({"votes": F.array(*(cast(*v) for v in rules.values())), "base_failed": failed}))
+    ballots = staged(rows.where("NOT base_failed").groupBy("votes").agg(F.count("*").alias("c")))
     share, rates = expectation_maximisation(ballots, list(rules), rounds)
     rows = rows.withColumn("quality", posterior(share, rates))
     kept = ~F.col("base_failed") & (F.col("quality") >= 0.5)
