@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What is looked for, in order of precedence where two start at the same place.
+#: What is looked for; RUN and the order of the passes are below.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "date": r"(?<![0-9-])(?:1[7-9][0-9]{2}|20[0-9]{2})-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
@@ -17,7 +17,10 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-ANY = "|".join(PATTERNS.values())
+#: Numbers with single spaces or hyphens between them, as far as they go, and with digits enough for a card.
+RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]+(?:[ -][0-9]+)*+"
+#: How card numbers are usually written, with a space for either separator.
+USUAL = r"^(?:[3-6]|2(?=[2-7]))(?:[0-9]{12,18}|[0-9]{3}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{3}(?: [0-9]{4}){3} [0-9]{1,3}|[0-9]{3} [0-9]{6} [0-9]{4,5})$"
 #: Days of the Gregorian cycle of 400 years, which starts on this day, as 189 * 773.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
 ROUNDS = 10
@@ -87,13 +90,82 @@ def card(digits: Column, key: str) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
 
-def kind_of(match: Column) -> Column:
-    """The kind of a match; null for what fails validation."""
-    whole = lambda k: match.rlike(f"^(?:{PATTERNS[k]})$")
-    sound = F.pmod(luhn(digits_of(match)), F.lit(10)) == 0
-    out = F.when(F.contains(match, F.lit("@")), "email").when(whole("date"), F.when(F.try_to_date(match).isNotNull(), "date"))
-    out = out.when(whole("ip"), "ip").when(whole("ssn"), "ssn").when(whole("phone"), "phone")
-    return out.when(sound, "card")
+SEGMENT = "struct<kind:string,text:string>"
+
+
+def _segment(kind: Column | None, text: Column) -> Column:
+    return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), text.alias("text"))
+
+
+def cut(segments: Column, pattern: str, within) -> Column:
+    """``segments`` (kind, text) in which each match of ``pattern`` in text of no kind gives way to the segments ``within(match)``."""
+
+    def pieces(text: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
+        none = F.array().cast(f"array<{SEGMENT}>")
+        join = lambda gap, hit: F.concat(F.array(_segment(None, gap)), F.when(hit.isNull(), none).otherwise(within(hit)))
+        return F.flatten(F.zip_with(F.split(text, pattern, -1), hits, join))
+
+    taken = lambda s: s["kind"].isNotNull() | ~s["text"].rlike(pattern)
+    return F.flatten(F.transform(segments, lambda s: F.when(taken(s), F.array(s)).otherwise(pieces(s["text"]))))
+
+
+def card_segments(run: Column, usual: bool) -> Column:
+    """A run of numbers as segments: from left to right, the longest row of whole numbers that is a valid card, and what is between.
+
+    With ``usual``, only rows that look like a card count.
+    """
+
+    def of(row: Column) -> Column:
+        numbers, marks = row["numbers"], row["marks"]
+        n = F.size(numbers)
+
+        def is_card(i: Column, j: Column) -> Column:
+            part = F.slice(numbers, i + 1, j - i + 1)
+            size = F.aggregate(part, F.lit(0), lambda a, x: a + F.length(x))
+            valid = F.when(size.between(13, 19), F.pmod(luhn(F.array_join(part, "")), F.lit(10)) == 0)
+            return F.when(F.array_join(part, " ").rlike(USUAL), valid) if usual else valid
+
+        # a card has at most 19 numbers
+        last = lambda i: F.array_max(F.filter(F.sequence(i, F.least(n - 1, i + 18)), lambda j: is_card(i, j)))
+        ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), last(i).alias("j")))
+        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<i:int,j:int>>").alias("picks"))
+        take = lambda acc, e: F.struct((e["j"] + 1).alias("free"), F.array_append(acc["picks"], e).alias("picks"))
+        picks = F.aggregate(F.filter(ends, lambda e: e["j"].isNotNull()), start, lambda acc, e: F.when(e["i"] >= acc["free"], take(acc, e)).otherwise(acc), lambda acc: acc["picks"])
+
+        def written(i: Column, j: Column) -> Column:
+            """Numbers i to j with the marks between them."""
+            return F.array_join(F.transform(F.sequence(i, j), lambda k: F.concat(numbers[k], F.when(k < j, marks[k]).otherwise(""))), "")
+
+        def parts(p: Column) -> Column:
+            before = F.when(p["from"] < p["i"], F.concat(written(p["from"], p["i"] - 1), marks[p["i"] - 1])).otherwise("")
+            after = F.when(p["j"] < n - 1, marks[F.least(p["j"], n - 2)]).otherwise("")
+            return F.array(_segment(None, before), _segment(F.lit("card"), written(p["i"], p["j"])), _segment(None, after))
+
+        def laid_out(found: Column) -> Column:
+            froms = F.transform(found, lambda p, k: F.struct(F.when(k > 0, F.get(found, k - 1)["j"] + 1).otherwise(0).alias("from"), p["i"].alias("i"), p["j"].alias("j")))
+            end = F.element_at(found, -1)["j"] + 1
+            tail = F.when(end < n, written(end, n - 1)).otherwise("")
+            return F.concat(F.flatten(F.transform(froms, parts)), F.array(_segment(None, tail)))
+
+        return _let(picks, lambda found: F.when(F.size(found) > 0, laid_out(found)).otherwise(F.array(_segment(None, run))))
+
+    return _let(F.struct(F.split(run, "[ -]").alias("numbers"), F.regexp_extract_all(run, F.lit("([ -])"), F.lit(0)).alias("marks")), of)
+
+
+def found(text: Column) -> Column:
+    """``text`` as segments of a kind, or of none, in order.
+
+    Kinds are looked for one after the other, so that what fails validation hides nothing. Cards that look like
+    one go before phone numbers, all others after them.
+    """
+    segments = F.array(_segment(None, text))
+    for kind in ("email", "date", "ip", "ssn"):
+        valid = (lambda m: F.when(F.try_to_date(m).isNotNull(), "date")) if kind == "date" else (lambda m, k=kind: F.lit(k))
+        segments = cut(segments, PATTERNS[kind], lambda m, v=valid: F.array(_segment(v(m), m)))
+    segments = cut(segments, RUN, lambda m: card_segments(m, True))
+    segments = cut(segments, PATTERNS["phone"], lambda m: F.array(_segment(F.lit("phone"), m)))
+    return cut(segments, RUN, lambda m: card_segments(m, False))
 
 
 def pseudonym(match: Column, kind: Column, key: str) -> Column:
@@ -124,15 +196,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Found: e-mail addresses, IPv4 addresses, dates (ISO, 1700 to 2099), social security numbers, phone numbers
     and card numbers with a valid check digit. Numbers and dates move within their format by a permutation under
     ``key``, so that equal values stay linked across documents and distinct ones stay distinct; e-mail
-    addresses become keyed digests. Numbers that fail validation stay. A null text stays null, with no finds.
-    All rows and columns stay; the names ``pii``, ``_hits`` and ``_gaps`` are reserved and an own ``pii`` is replaced.
+    addresses become keyed digests. Numbers that fail validation stay, and what is valid next to them is found: a card
+    is any row of whole numbers, apart by single spaces or hyphens, with 13 to 19 digits and a valid check digit. A null
+    text stays null, with no finds. All rows and columns stay; the name ``_found`` is reserved and an own ``pii`` is replaced.
     """
     text = F.col(text_col)
-    rows = docs.withColumn("_hits", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))))
-    found = F.coalesce(F.size("_hits"), F.lit(0)) > 0
-    made = F.transform(F.col("_hits"), lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("value"))))
-    rows = rows.withColumn("pii", F.when(found, made).otherwise(F.array().cast("array<struct<kind:string,value:string>>")))
-    gaps = F.split(text, f"(?:{ANY})", -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform("pii", lambda p: p["value"]), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
-    rows = rows.withColumn(text_col, F.when(found, joined).otherwise(text)).drop("_hits")
-    return rows.withColumn("pii", F.filter("pii", lambda p: p["kind"].isNotNull()))
+    rows = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), found(text)))
+    made = F.transform("_found", lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["text"], s["kind"], key).alias("value")))
+    rows = rows.withColumn("_found", made)
+    rows = rows.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(F.array_join(F.transform("_found", lambda s: s["value"]), "")))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    return rows.withColumn("pii", F.coalesce(F.filter("_found", lambda s: s["kind"].isNotNull()), none)).drop("_found")

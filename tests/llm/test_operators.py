@@ -319,6 +319,21 @@ def test_pii(spark, odd, none):
     assert out.count() == 12 and out.columns == [*odd.columns, "pii"] and pii.pseudonymise(none, "k").count() == 0
 
 
+def test_pii_next_to_other_numbers(spark):
+    """What fails validation as a whole hides nothing that is valid within it."""
+    card = "4111 1111 1111 1111"
+    hidden = [
+        (f"{card} 123", card, "card"), ("4111111111111111 12/26", "4111111111111111", "card"), ("row 7 4111111111111111", "4111111111111111", "card"),
+        (f"12345 67890 12345 {card}", card, "card"), ("2024 3782-822463-10005 9", "3782-822463-10005", "card"), (f"123 456 {card} x", card, "card"),
+        ("id 4821 415-555-1234", "415-555-1234", "phone"), ("tel 555 415-555-1234", "415-555-1234", "phone"), ("1999 12 2000-01-01 12345", "2000-01-01", "date"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(hidden)], "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        text, value, kind = hidden[r.doc_id]
+        assert [p["kind"] for p in r.pii] == [kind], text
+        assert r.text == text.replace(value, r.pii[0]["value"]) and r.pii[0]["value"] != value
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(189 * 21)
     moved = n.select(pii.feistel(F.col("id"), 189, 21, "k", "t").alias("x")).distinct()
