@@ -43,11 +43,17 @@ def collapsed(hits: DataFrame, group: list[str], order: list[Column], label: str
     out has content that a later hit repeats.
     """
     keyed = hits.withColumn("_key", collapse_key(F.col(text)))
-    same = Window.partitionBy(*group, "_key").orderBy(*order)
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = keyed.withColumns({"_n": F.row_number().over(same), "_all": F.collect_list(label).over(whole), "_c": F.count("*").over(whole)})
-    first = first.where("_n = 1").withColumns({"also_in": F.array_sort(F.array_distinct(F.slice("_all", 2, 1_000))), "collapsed": F.col("_c") - 1})
-    first = first.drop("_key", "_n", "_all", "_c")
+    key = [*group, "_key"]
+    first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    counted = keyed.groupBy(*key, F.col(label).alias("_label")).agg(F.count("*").alias("_times"))
+    counted = counted.groupBy(*key).agg(F.sum("_times").alias("_c"), F.collect_list(F.struct("_label", "_times")).alias("_labels"))
+    counted = counted.select(*(F.col(c).alias(f"_of_{c}") for c in key), "_c", "_labels")
+    alike = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
+    first = first.join(counted, alike)
+    # the first hit's own label counts where another hit has it too
+    others = F.filter("_labels", lambda x: x["_label"].isNotNull() & ((x["_times"] > 1) | ~x["_label"].eqNullSafe(F.col(label))))
+    first = first.withColumns({"also_in": F.array_sort(F.transform(others, lambda x: x["_label"])), "collapsed": F.col("_c") - 1})
+    first = first.drop("_key", "_c", "_labels", *(f"_of_{c}" for c in key))
     if per_doc is None:
         return first
     own = Window.partitionBy(*group, doc).orderBy(*order)

@@ -81,6 +81,13 @@ def test_greedy_collapse_leaves_keys_of_crowded_rows_free(spark):
     assert [(r.place, r.id, r.also_in, r.collapsed) for r in out.orderBy("place").collect()] == [(1, 1, ["nota"], 1), (2, 4, [], 0), (3, 6, [], 0), (4, 2, [], 0)]
 
 
+def test_collapse_keeps_every_label(spark):
+    """Late labels, a first hit without one, labels of the first hit that others share, and keys of null."""
+    rows = [(0, i, "a", "copy") for i in range(1500)] + [(0, 1500, "late", "copy"), (0, 2000, None, "two"), (0, 2001, "b", " TWO"), (0, 3000, "c", "one"), (1, 4000, "d", None), (1, 4001, "e", None)]
+    out = ranking.collapsed(spark.createDataFrame(rows, "query_id int, id int, label string, text string"), ["query_id"], [F.col("id")], "label")
+    assert values(out, "id", "also_in", "collapsed") == [(0, ["a", "late"], 1500), (2000, ["b"], 1), (3000, [], 0), (4000, ["e"], 1)]
+
+
 def test_relevance_floor(spark):
     rows = spark.createDataFrame([([], "a"), (["aa"], "xaax"), (["aa", "bb", "cc"], "aa"), (["aa", "bb", "cc", "dd"], "aa bb"), (["aa", "bb", "cc", "dd", "ee"], "aa bb")], "t array<string>, x string")
     assert [r[0] for r in rows.select(predicates.relevant(F.col("t"), F.col("x"))).collect()] == [False, True, False, True, False]
