@@ -220,13 +220,23 @@ def q22_per_document(spark, sf_dir):
     return rows.withColumn("place", place.cast("long")).where("place <= 100").select("doc", "turn", "place", F.col("doc_rank").cast("long").alias("doc_rank"))
 
 
+def pools(spark, sf_dir):
+    """What three branches find for each text of the benchmark, in the order of their fused ranks: turns and documents by words, documents by vectors."""
+    turns, docs, vectors = (table(spark, sf_dir, t) for t in ("conversations", "documents", "embeddings"))
+    # even ids are turns, odd ones documents
+    turns = turns.select(((F.col("conv_id") * 10_000 + F.col("turn")) * 2).alias("id"), F.concat(F.lit("conversation:"), F.col("conv_id").cast("string")).alias("doc"), F.col("role").alias("label"), "text")
+    docs = docs.select((F.col("doc_id") * 2 + 1).alias("id"), F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc"), F.col("source").alias("label"), "text")
+    asked = vectors.join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").cast("int").alias("query_id"), F.col("embedding").alias("query"))
+    near = vector.top_k(vectors, asked, lexical.POOL).withColumn("id", F.col("id") * 2 + 1)
+    by_words = [lexical.top(lexical.bm25(rows, bench(spark, sf_dir), TEXT, "id")) for rows in (turns, docs)]
+    fused = ranking.fuse(*by_words, near).select("query_id", "id", F.round("rrf", 8).alias("rrf"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id"))
+    return turns.unionByName(docs).join(fused.withColumn("position", place).drop("rrf"), "id")
+
+
 @query
 def q22_greedy_collapse(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("conv_id < 40").select(
-        F.lit(0).alias("query_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("doc"), F.col("role").alias("label"), "text",
-        (F.col("turn") * 1000 + F.col("conv_id")).alias("position"),
-    )
-    return ranking.greedy_collapse(turns, 30)
+    return ranking.greedy_collapse(pools(spark, sf_dir), 30)
 
 
 @query

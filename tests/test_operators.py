@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions import predicates
 from corvane.functions import text as tx
 from corvane.operators import evaluation, graph, lexical, ranking, reports, vector
+from corvane.plans import queries
 from corvane.sources import chunks, files, snapshots
 from corvane.streaming import incremental
 
@@ -81,6 +82,18 @@ def test_greedy_collapse_leaves_keys_of_crowded_rows_free(spark):
     assert [(r.place, r.id, r.also_in, r.collapsed) for r in out.orderBy("place").collect()] == [(1, 1, ["nota"], 1), (2, 4, [], 0), (3, 6, [], 0), (4, 2, [], 0)]
 
 
+def test_greedy_collapse_query_is_over_whole_tables(spark):
+    """Each query of the benchmark has a group of its own, and late conversations are found."""
+    sf = "/root/testdata/sf0.001"
+    pool = queries.pools(spark, sf).cache()
+    rows = pool.groupBy("query_id").agg(F.count("*").alias("n")).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/benchmark.parquet").count() and all(r.n <= 3 * lexical.POOL for r in rows)
+    last = spark.read.parquet(f"{sf}/conversations.parquet").agg(F.max("conv_id")).first()[0]
+    found = {int(r[0].split(":")[1]) for r in pool.where("doc LIKE 'conversation:%'").select("doc").distinct().collect()}
+    assert found and max(found) <= last and (last < 40 or max(found) >= 40)
+    assert queries.q22_greedy_collapse(spark, sf).select("query_id").distinct().count() == len(rows)
+
+
 def test_collapse_keeps_every_label(spark):
     """Late labels, a first hit without one, labels of the first hit that others share, and keys of null."""
     rows = [(0, i, "a", "copy") for i in range(1500)] + [(0, 1500, "late", "copy"), (0, 2000, None, "two"), (0, 2001, "b", " TWO"), (0, 3000, "c", "one"), (1, 4000, "d", None), (1, 4001, "e", None)]
