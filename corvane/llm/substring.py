@@ -23,6 +23,8 @@ _PLACE = np.uint64((1 << 24) - 1)
 #: A window as one number: centre, and how far left and right reach from it, up to this many tokens. A key's last bits
 #: are the number of its hash function.
 REACH, HASH_BITS = 18, 4
+#: Makes the numbers that are summed over a window's tokens.
+SUMMED = constants(1, 22)[0]
 
 
 def compact_windows(tokens: np.ndarray, hashed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,17 +57,28 @@ def compact_windows(tokens: np.ndarray, hashed: np.ndarray, length: int) -> tupl
 
 
 def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
-    """doc_id, keys, spans: the compact windows of every text, as arrays that run side by side."""
+    """doc_id, keys, spans: the compact windows of every text, as arrays that run side by side.
+
+    Windows of one key that reach as far, up to ``length`` tokens each way, over the same tokens are one: a text that repeats
+    itself has the first.
+    """
     by, most = constants(hashes, 21), (1 << REACH) - 1
 
     def of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         tokens, keys, spans = shingle_hashes(word_hashes(text), k), [], []
         for start in range(0, max(1, len(tokens) - OVERLAP), SPAN - OVERLAP):
             part = tokens[start : start + SPAN]
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(part ^ SUMMED))])
             for j in range(hashes):
                 hashed = mix64(part ^ by[j])
                 left, centre, right = compact_windows(part, hashed, length)
-                keys.append(mix64(hashed[centre]) >> np.uint64(HASH_BITS) << np.uint64(HASH_BITS) | np.uint64(j))
+                key = mix64(hashed[centre]) >> np.uint64(HASH_BITS) << np.uint64(HASH_BITS) | np.uint64(j)
+                if len(np.unique(key)) < len(key):
+                    low, high = np.maximum(left, centre - length + 1), np.minimum(right, centre + length - 1)
+                    around = mix64(total[high + 1] - total[low]) ^ mix64(((centre - low) << 32 | (high - centre)).astype(np.uint64))
+                    once = np.sort(np.unique(mix64(key) + around, return_index=True)[1])
+                    left, centre, right, key = left[once], centre[once], right[once], key[once]
+                keys.append(key)
                 spans.append((centre + start) << 2 * REACH | np.minimum(centre - left, most) << REACH | np.minimum(right - centre, most))
         return np.concatenate(keys).view(np.int64), np.concatenate(spans)
 
@@ -158,7 +171,7 @@ def shared_passages(x: np.ndarray, y: np.ndarray, spans: list[dict], length: int
             if left < length:
                 break
             for a, b in dense_runs(hit, length, share):
-                mine = x[g["x0"] + a : g["x0"] + b]
+                mine, fresh = x[g["x0"] + a : g["x0"] + b], True
                 for c, d in dense_runs(np.isin(part, mine), length, share):
                     theirs = part[c:d]
                     both = len(np.intersect1d(mine, theirs))
@@ -167,7 +180,8 @@ def shared_passages(x: np.ndarray, y: np.ndarray, spans: list[dict], length: int
                         found = (g["x0"] + a, g["x0"] + b, g["y0"] + c, g["y0"] + d)
                         if not any(p[0] < found[1] and found[0] < p[1] and p[2] < found[3] and found[2] < p[3] for p in seen):
                             seen.append(found)
-                            left -= b - a
+                            left -= (b - a) * fresh
+                            fresh = False
                             yield (*found, both / union)
 
 
@@ -177,10 +191,11 @@ FOUND = "doc_id long, start long, end long, other_id long, other_start long, oth
 def against_centres(hits: DataFrame, docs: DataFrame, length: int, k: int, needed: int, percent: int) -> DataFrame:
     """Passages that texts share with the centre ``x`` of a key; ``hits`` has key, doc_id, span and x.
 
+    All windows of the centre meet all windows of the others, so that it does not matter which of a repeated line is in a passage.
     Pairs of texts whose keys come from fewer than ``needed`` hash functions go no further; the texts of the others are
     read again, as their ids grow with the corpus in a join of both sides by id.
     """
-    centres = hits.where("doc_id = x").groupBy("key").agg(F.min("span").alias("xs"))
+    centres = hits.where("doc_id = x").select("key", F.col("span").alias("xs"))
     met = hits.where("doc_id != x").join(centres.hint("merge"), "key")
     pairs = met.groupBy("x", F.col("doc_id").alias("y")).agg(F.collect_list(F.struct("key", "xs", F.col("span").alias("ys"))).alias("spans"))
     made_by = F.array_distinct(F.transform("spans", lambda s: s["key"].bitwiseAND((1 << HASH_BITS) - 1)))

@@ -241,6 +241,31 @@ def test_repeated_passages(spark, odd, none):
     assert substring.repeated_passages(odd).count() >= 0 and substring.repeated_passages(none).count() == 0
 
 
+def test_passages_after_their_parts(spark):
+    """Each part of a passage stands alone, earlier in the text with the smaller id, and is a window's minimum there."""
+    rng = random.Random(12)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(40):
+        passage = make(50)
+        parts = [w for at in range(0, 46, 5) for w in [*passage[at : at + 9], *make(45)]]
+        docs += [(2 * i, " ".join([*parts, *passage, *make(60)])), (2 * i + 1, " ".join([*make(60), *passage, *make(60)]))]
+    rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
+
+
+def test_a_passage_counts_once_for_what_is_left():
+    """One passage of x stands twice in y; the other, of which fewer shingles are shared, is found all the same."""
+    rng = np.random.default_rng(2)
+    make = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    one, other = make(100), make(60)
+    part = np.delete(other, range(5, 60, 7))
+    x, y = np.concatenate([one, make(60), other]), np.concatenate([one, make(80), one, make(80), part])
+    span = {"xl": 0, "xc": 0, "xr": len(x) - 1, "yl": 0, "yc": 0, "yr": len(y) - 1}
+    found = list(substring.shared_passages(x, y, [span | {"j": j} for j in range(3)], 46, 2, 80))
+    assert sorted((a, b, c, d) for a, b, c, d, _ in found) == [(0, 100, 0, 100), (0, 100, 180, 280), (160, 220, 360, 412)]
+
+
 def test_compact_windows_are_all_windows():
     rng = np.random.default_rng(7)
     for n, length in ((40, 5), (23, 7), (6, 6), (5, 6)):
