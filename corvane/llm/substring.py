@@ -244,7 +244,7 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, words: int = 50, k: int = 5, hashes: int = 3, needed: int = 2, percent: int = 80, rounds: int = 3,
+    docs: DataFrame, words: int = 50, k: int = 5, hashes: int = 10, needed: int = 3, percent: int = 80, rounds: int = 3,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end, similarity: passages that a text shares with another.
@@ -255,8 +255,9 @@ def repeated_passages(
     centre that it shares a passage with, so a passage in n texts makes about n - 1 rows and every text with it is
     in one. Of equal texts, the smallest id stands for all: each other one has a row with it over the whole text, and
     goes no further. Windows that no passage found covers go on to another round among themselves, with a new centre, so that
-    a text which has but part of a passage does not hide it; a passage is missed only if other texts do so in all
-    ``rounds``. Null, empty and short texts, and rows with a null id, have no passages; rows that share an id count
+    a text which has but part of a passage does not hide it. A passage is missed where fewer than ``needed`` of
+    the ``hashes`` functions agree, at a similarity of 0.8 with a probability of 8e-5 (binomial), or where texts with but
+    part of it are the centres of its windows in all ``rounds``; windows not covered by then are left. Null, empty and short texts, and rows with a null id, have no passages; rows that share an id count
     as one text.
     """
     length = words - k + 1

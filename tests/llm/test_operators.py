@@ -241,6 +241,23 @@ def test_repeated_passages(spark, odd, none):
     assert substring.repeated_passages(odd).count() >= 0 and substring.repeated_passages(none).count() == 0
 
 
+def test_shortest_edited_passages(spark):
+    """Hundreds of passages of 50 words, each in two texts, with one word changed: a similarity of 41/51."""
+    rng = random.Random(21)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, linked = [], set()
+    for i in range(400):
+        passage = make(50)
+        edited = list(passage)
+        edited[rng.randint(5, 44)] = "changed"
+        a, b = shingles(" ".join(passage), 5), shingles(" ".join(edited), 5)
+        docs += [(2 * i, " ".join([*make(200), *passage, *make(200)])), (2 * i + 1, " ".join([*make(200), *edited, *make(200)]))]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            linked.add((2 * i + 1, 2 * i))
+    rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(linked) == 400 and {(r.doc_id, r.other_id) for r in rows} == linked
+
+
 def test_passages_after_their_parts(spark):
     """Each part of a passage stands alone, earlier in the text with the smaller id, and is a window's minimum there."""
     rng = random.Random(12)
