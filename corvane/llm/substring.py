@@ -4,6 +4,10 @@ The tokens are shingles of five words. For one hash function, all passages of a
 token form a compact window (left, centre, right): any passage that starts between left and centre and ends between
 centre and right has that minimum. The windows of all passages of a given length or more are the nodes of the
 Cartesian tree over the hashes that span as much; a text of n tokens has about 2n / length of them.
+
+Texts that have a window's token in common are compared with one of them, the centre, and only where such windows lie.
+What the centre does not explain of those places is hashed again without the tokens that it has, and so on until no two
+places agree: a line that many texts have costs each of them one comparison, not one with every other.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from .common import WORD, constants, mix64, shingle_hashes, staged, word_hashes
 #: Tokens of a text that one tree spans; longer texts are cut with an overlap that no shorter passage is lost in.
 SPAN, OVERLAP = 1 << 23, 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
-#: A window as one number: centre, and how far left and right reach from it, up to this many tokens. A key's last bits
-#: are the number of its hash function.
-REACH, HASH_BITS = 18, 4
+#: A window as one number: centre, and how far left and right reach from it. A key's last bits are its hash function.
+REACH, HASH_BITS = 16, 4
 #: Makes the numbers that are summed over a window's tokens.
 SUMMED = constants(1, 22)[0]
+#: No token has it: the hash of what is left out.
+NEVER = np.uint64((1 << 64) - 1)
 
 
 def compact_windows(tokens: np.ndarray, hashed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,13 +61,19 @@ def compact_windows(tokens: np.ndarray, hashed: np.ndarray, length: int) -> tupl
     return np.array(left), np.array(places), np.array(right)
 
 
+def keyed(hashed: np.ndarray, function: int) -> np.ndarray:
+    """Keys of minima, with the number of the hash function in the last bits."""
+    return mix64(hashed) >> np.uint64(HASH_BITS) << np.uint64(HASH_BITS) | np.uint64(function)
+
+
 def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
     """doc_id, keys, spans: the compact windows of every text, as arrays that run side by side.
 
-    Windows of one key that reach as far, up to ``length`` tokens each way, over the same tokens are one: a text that repeats
-    itself has the first.
+    A span says how far a window reaches from its centre, up to ``length`` tokens each way: no further can a passage of
+    ``length`` tokens around the centre. Windows of one key that reach as far over the same tokens are one: a text that
+    repeats itself has the first.
     """
-    by, most = constants(hashes, 21), (1 << REACH) - 1
+    by = constants(hashes, 21)
 
     def of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         tokens, keys, spans = shingle_hashes(word_hashes(text), k), [], []
@@ -72,14 +83,13 @@ def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
             for j in range(hashes):
                 hashed = mix64(part ^ by[j])
                 left, centre, right = compact_windows(part, hashed, length)
-                key = mix64(hashed[centre]) >> np.uint64(HASH_BITS) << np.uint64(HASH_BITS) | np.uint64(j)
+                left, right, key = np.maximum(left, centre - length + 1), np.minimum(right, centre + length - 1), keyed(hashed[centre], j)
                 if len(np.unique(key)) < len(key):
-                    low, high = np.maximum(left, centre - length + 1), np.minimum(right, centre + length - 1)
-                    around = mix64(total[high + 1] - total[low]) ^ mix64(((centre - low) << 32 | (high - centre)).astype(np.uint64))
+                    around = mix64(total[right + 1] - total[left]) ^ mix64(((centre - left) << 32 | (right - centre)).astype(np.uint64))
                     once = np.sort(np.unique(mix64(key) + around, return_index=True)[1])
                     left, centre, right, key = left[once], centre[once], right[once], key[once]
                 keys.append(key)
-                spans.append((centre + start) << 2 * REACH | np.minimum(centre - left, most) << REACH | np.minimum(right - centre, most))
+                spans.append((centre + start) << 2 * REACH | (centre - left) << REACH | (right - centre))
         return np.concatenate(keys).view(np.int64), np.concatenate(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +104,6 @@ def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, keys array<long>, spans array<long>")
 
 
-def opened(span: int, name: str) -> dict[str, int]:
-    """Left, centre and right of a window."""
-    centre, most = span >> 2 * REACH, (1 << REACH) - 1
-    return {f"{name}l": centre - (span >> REACH & most), f"{name}c": centre, f"{name}r": centre + (span & most)}
-
-
 def sequences(docs: DataFrame, k: int) -> DataFrame:
     """doc_id and the shingles of its whole text in order."""
 
@@ -139,96 +143,176 @@ def dense_runs(hit: np.ndarray, length: int, share: float) -> list[tuple[int, in
     return out
 
 
-def shared_passages(x: np.ndarray, y: np.ndarray, spans: list[dict], length: int, needed: int, percent: int) -> Iterator[tuple]:
-    """(x start, x end, y start, y end, similarity) in tokens of passages that two texts share.
+def shared_passages(xs: list[np.ndarray], y: np.ndarray, length: int, percent: int) -> Iterator[tuple]:
+    """(place, x start, x end, y start, y end, similarity): passages of ``y`` that one of the places ``xs`` has, each once."""
+    whole = percent / 100
+    pool = np.unique(np.concatenate(xs))
+    hit = pool[np.minimum(np.searchsorted(pool, y), len(pool) - 1)] == y
+    for share in (2 * whole / (1 + whole), whole):  # what both sides hold if they differ alike, or if one is whole
+        for a, b in dense_runs(hit, length, share) if np.count_nonzero(hit) >= share * length else ():
+            mine = np.unique(y[a:b])
+            best = None
+            for place, x in enumerate(xs):
+                for c, d in dense_runs(mine[np.minimum(np.searchsorted(mine, x), len(mine) - 1)] == x, length, share):
+                    theirs = np.unique(x[c:d])
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    union = len(mine) + len(theirs) - both
+                    if 100 * both >= percent * union and (best is None or both / union > best[-1]):
+                        best = (place, c, d, a, b, both / union)
+            if best:
+                hit[a:b] = False
+                yield best
+
+
+def unexplained(tokens: np.ndarray, left_out: np.ndarray, length: int, hashes: int) -> np.ndarray:
+    """Keys of the minima of all runs of ``length`` tokens, leaving out the tokens of ``left_out``."""
+    if len(tokens) < length or left_out.all():
+        return np.empty(0, dtype=np.int64)
+    low, width = mix64(tokens[None, :] ^ constants(hashes, 21)[:, None]), 1
+    low[:, left_out] = NEVER
+    while 2 * width <= length:
+        low = np.minimum(low[:, :-width], low[:, width:])
+        width *= 2
+    if width < length:
+        low = np.minimum(low[:, : len(tokens) - length + 1], low[:, length - width :])
+    return np.unique(np.concatenate([keyed(r[r != NEVER], j) for j, r in enumerate(np.unique(x) for x in low)])).view(np.int64)
 
-    ``spans`` are window pairs with one key. Where windows of ``needed`` different hash functions overlap in both
-    texts, at about the same offset, the region that they span is looked at token by token.
-    """
-    spans = sorted(spans, key=lambda s: (s["xc"], s["yc"]))
-    groups: list[dict] = []
-    open_groups: list[dict] = []
-    for s in spans:
-        shift = s["yc"] - s["xc"]
-        open_groups = [g for g in open_groups if g["x1"] >= s["xl"]]
-        for g in open_groups:
-            if abs(g["shift"] - shift) <= length // 2 and g["x1"] >= s["xl"] and g["y1"] >= s["yl"] and g["y0"] <= s["yr"]:
-                g["x0"], g["x1"], g["y0"], g["y1"] = min(g["x0"], s["xl"]), max(g["x1"], s["xr"]), min(g["y0"], s["yl"]), max(g["y1"], s["yr"])
-                g["shift"] = shift
-                g["hashes"].add(s["j"])
-                break
-        else:
-            g = {"x0": s["xl"], "x1": s["xr"], "y0": s["yl"], "y1": s["yr"], "shift": shift, "hashes": {s["j"]}}
-            groups.append(g)
-            open_groups.append(g)
-    seen: list[tuple[int, int, int, int]] = []
-    for g in groups:
-        if len(g["hashes"]) < needed or any(a <= g["x0"] and g["x1"] < b and c <= g["y0"] and g["y1"] < d for a, b, c, d in seen):
-            continue
-        part, whole = y[g["y0"] : g["y1"] + 1], percent / 100
-        hit, left = np.isin(x[g["x0"] : g["x1"] + 1], part), g["x1"] + 1 - g["x0"]
-        for share in (2 * whole / (1 + whole), whole):  # what both sides hold if they differ alike, or if one is whole
-            if left < length:
-                break
-            for a, b in dense_runs(hit, length, share):
-                mine, fresh = x[g["x0"] + a : g["x0"] + b], True
-                for c, d in dense_runs(np.isin(part, mine), length, share):
-                    theirs = part[c:d]
-                    both = len(np.intersect1d(mine, theirs))
-                    union = len(np.unique(mine)) + len(np.unique(theirs)) - both
-                    if 100 * both >= percent * union:
-                        found = (g["x0"] + a, g["x0"] + b, g["y0"] + c, g["y0"] + d)
-                        if not any(p[0] < found[1] and found[0] < p[1] and p[2] < found[3] and found[2] < p[3] for p in seen):
-                            seen.append(found)
-                            left -= (b - a) * fresh
-                            fresh = False
-                            yield (*found, both / union)
-
-
-FOUND = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double"
-
-
-def against_centres(hits: DataFrame, docs: DataFrame, length: int, k: int, needed: int, percent: int) -> DataFrame:
-    """Passages that texts share with the centre ``x`` of a key; ``hits`` has key, doc_id, span and x.
-
-    All windows of the centre meet all windows of the others, so that it does not matter which of a repeated line is in a passage.
-    Pairs of texts whose keys come from fewer than ``needed`` hash functions go no further; the texts of the others are
-    read again, as their ids grow with the corpus in a join of both sides by id.
+
+#: What a comparison tells: passages, and places that it leaves, each with a number of its own, the text that explains it
+#: (its own where no passage covers all of it), its tokens, which of them are explained, and the keys of the others.
+PASSAGE = "start long, end long, other_id long, other_start long, other_end long, similarity double"
+PLACE = "start long, home long, tokens array<long>, left_out binary, keys array<long>"
+TOLD = f"doc_id long, passage struct<{PASSAGE}>, place struct<{PLACE}>"
+
+
+def compared(pairs: DataFrame, length: int, hashes: int, percent: int, k: int) -> DataFrame:
+    """``TOLD`` of every row of ``pairs``: x, y, more, and of each side an array of places (start, tokens), y's with
+    ``left_out`` and ``marks``. ``more`` says whether other texts can have what x leaves unexplained of y, and ``marks``
+    are the tokens that a passage has to cover for y to count as explained by x.
     """
-    centres = hits.where("doc_id = x").select("key", F.col("span").alias("xs"))
-    met = hits.where("doc_id != x").join(centres.hint("merge"), "key")
-    pairs = met.groupBy("x", F.col("doc_id").alias("y")).agg(F.collect_list(F.struct("key", "xs", F.col("span").alias("ys"))).alias("spans"))
-    made_by = F.array_distinct(F.transform("spans", lambda s: s["key"].bitwiseAND((1 << HASH_BITS) - 1)))
-    pairs = staged(pairs.where(F.size(made_by) >= needed))
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    seqs = staged(sequences(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
-    # a centre may have many pairs, so the last join, in whose tasks pairs are compared, goes by the other side
-    both = pairs.join(seqs.select(F.col("doc_id").alias("x"), F.col("seq").alias("of_x")).hint("merge"), "x")
-    both = both.join(seqs.select(F.col("doc_id").alias("y"), F.col("seq").alias("of_y")).hint("merge"), "y").select("x", "y", "of_x", "of_y", "spans")
+    numbers = lambda values: values.to_numpy(zero_copy_only=False)
+    schema = pa.schema([
+        ("doc_id", pa.int64()),
+        ("passage", pa.struct([(n, pa.int64()) for n in ("start", "end", "other_id", "other_start", "other_end")] + [("similarity", pa.float64())])),
+        ("place", pa.struct([("start", pa.int64()), ("home", pa.int64()), ("tokens", pa.list_(pa.int64())), ("left_out", pa.binary()), ("keys", pa.list_(pa.int64()))])),
+    ])
+
+    def told(row: dict) -> Iterator[dict]:
+        xs = [numbers(p["tokens"].values).view(np.uint64) for p in row["xs"] if len(p["tokens"])]
+        starts = [p["start"].as_py() for p in row["xs"] if len(p["tokens"])]
+        if not xs:
+            return
+        pool = np.unique(np.concatenate(xs))
+        for p in row["ys"]:
+            y, at = numbers(p["tokens"].values).view(np.uint64), p["start"].as_py()
+            if not len(y):
+                continue
+            covered = np.zeros(len(y), dtype=bool)
+            for place, c, d, a, b, similarity in shared_passages(xs, y, length, percent):
+                covered[a:b] = True
+                values = (at + a, at + b + k - 1, row["x"], starts[place] + c, starts[place] + d + k - 1, similarity)
+                names = ("start", "end", "other_id", "other_start", "other_end", "similarity")
+                yield {"doc_id": row["y"], "passage": dict(zip(names, values, strict=True)), "place": None}
+            if not row["more"]:
+                continue
+            left_out = pool[np.minimum(np.searchsorted(pool, y), len(pool) - 1)] == y
+            if len(before := p["left_out"].as_py() or b""):
+                left_out |= np.frombuffer(before, dtype=bool)
+            keys = unexplained(y, left_out, length, hashes)
+            if len(keys):
+                marks = numbers(p["marks"].values) - at
+                home = row["x"] if covered[marks[(marks >= 0) & (marks < len(y))]].all() else row["y"]
+                yield {"doc_id": row["y"], "passage": None, "place": {"start": at, "home": home, "tokens": y.view(np.int64), "left_out": left_out.tobytes(), "keys": keys}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out: list[list] = [[] for _ in range(7)]
-                part = batch.slice(at, 64)
-                for i in range(part.num_rows):
-                    x, y = (part.column(c)[i].values.to_numpy().view(np.uint64) for c in (2, 3))
-                    spans = [opened(s["xs"], "x") | opened(s["ys"], "y") | {"j": s["key"] & (1 << HASH_BITS) - 1} for s in part.column(4)[i].as_py()]
-                    for a, b, c, d, similarity in shared_passages(x, y, spans, length, needed, percent):
-                        values = (part.column(1)[i].as_py(), c, d + k - 1, part.column(0)[i].as_py(), a, b + k - 1, similarity)
-                        for o, v in zip(out, values, strict=True):
-                            o.append(v)
-                kinds = (*[pa.int64()] * 6, pa.float64())
-                names = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity"]
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=names)
+            out: list[dict] = []
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("x", "y", "more")} | {n: batch.column(n)[i] for n in ("xs", "ys")}
+                out += told(row)
+                if len(out) >= 500 or (out and len(batch.column("ys")[i]) > 50):
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    return pairs.select("x", "y", "more", "xs", "ys").mapInArrow(run, TOLD)
+
+
+def merged(pairs: DataFrame) -> DataFrame:
+    """x, y, more, and for each side the places [start, stop) that its windows make where they overlap; y's with their centres."""
+    side = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("marks", pa.list_(pa.int64()))]))
+
+    def places(spans: np.ndarray) -> list[dict]:
+        spans = np.unique(spans)
+        centre, most = spans >> 2 * REACH, (1 << REACH) - 1
+        low, high = centre - (spans >> REACH & most), centre + (spans & most) + 1
+        order = np.argsort(low, kind="stable")
+        low, high, centre = low[order], np.maximum.accumulate(high[order]), centre[order]
+        first = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+        ends = np.append(first[1:], len(low))
+        return [{"start": low[a], "stop": high[b - 1], "marks": np.unique(centre[a:b])} for a, b in zip(first, ends, strict=True)]
 
-    return both.mapInArrow(run, FOUND)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [pa.array([places(s.values.to_numpy(zero_copy_only=False)) for s in batch.column(c)], side) for c in ("xs", "ys")]
+            yield pa.RecordBatch.from_arrays([*batch.select(["x", "y", "more"]).columns, *sides], names=["x", "y", "more", "xs", "ys"])
 
+    of = "array<struct<start:long,stop:long,marks:array<long>>>"
+    return pairs.select("x", "y", "more", "xs", "ys").mapInArrow(run, f"x long, y long, more boolean, xs {of}, ys {of}")
 
-def centred(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, doc_id, span) of keys that two texts or more have, with the smallest of them as ``x``."""
-    keys = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last")).where("x < last").drop("last")
-    return rows.join(keys.hint("merge"), "key")
+
+def first_pairs(found: DataFrame, docs: DataFrame, needed: int, k: int) -> DataFrame:
+    """What ``compared`` takes: texts with the centres of their keys, at the places where their windows lie.
+
+    The centre of a key is the smallest id that has it. A pair for which fewer than ``needed`` hash functions agree
+    goes no further if none of its keys has a third window.
+    """
+    rows = found.select("doc_id", F.explode(F.arrays_zip("keys", "spans")).alias("w")).select(F.col("w.keys").alias("key"), "doc_id", F.col("w.spans").alias("span"))
+    keys = found.select("doc_id", F.explode("keys").alias("key")).groupBy("key")
+    keys = keys.agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last"), (F.count("*") > 2).alias("more")).where("x < last").drop("last")
+    hits = staged(rows.join(keys.hint("merge"), "key"))
+    # a text's windows of one key go on together, so that a line which both texts repeat makes no products
+    mine = hits.groupBy("key", "x", "more", "doc_id").agg(F.collect_list("span").alias("spans"))
+    centres = mine.where("doc_id = x").select("key", F.col("spans").alias("xs"))
+    met = mine.where("doc_id != x").join(centres.hint("merge"), "key")
+    made_by = F.count_distinct(F.col("key").bitwiseAND((1 << HASH_BITS) - 1)).alias("made_by")
+    pairs = met.groupBy("x", F.col("doc_id").alias("y")).agg(
+        F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("spans")).alias("ys"), F.bool_or("more").alias("more"), made_by
+    )
+    pairs = staged(merged(pairs.where(F.col("made_by") >= needed)))
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    seqs = staged(sequences(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
+    cut = lambda p, seq: F.slice(seq, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int"))
+    x_place = lambda p: F.struct(p["start"].alias("start"), cut(p, F.col("seq")).alias("tokens"))
+    y_place = lambda p: F.struct(p["start"].alias("start"), cut(p, F.col("seq")).alias("tokens"), F.lit(None).cast("binary").alias("left_out"), p["marks"].alias("marks"))
+    # each join keeps only the places of a text, not the text
+    both = pairs.join(seqs.withColumnRenamed("doc_id", "x").hint("merge"), "x").select("x", "y", "more", F.transform("xs", x_place).alias("xs"), "ys")
+    return both.join(seqs.withColumnRenamed("doc_id", "y").hint("merge"), "y").select("x", "y", "more", "xs", F.transform("ys", y_place).alias("ys"))
+
+
+def next_pairs(places: DataFrame) -> DataFrame | None:
+    """What ``compared`` takes next: places of different texts that agree in a key of what is not explained yet.
+
+    Places that one text explains, all of them, are linked by it already. None if there are no pairs.
+    """
+    places = places.withColumn("place", F.xxhash64("doc_id", "start", "left_out"))
+    rows = places.select("place", "doc_id", "home", F.explode("keys").alias("key")).distinct()
+    keys = rows.groupBy("key").agg(
+        F.min(F.struct("doc_id", "place")).alias("centre"), F.max("doc_id").alias("last"), F.min("home").alias("low"), F.max("home").alias("high"), (F.count("*") > 2).alias("more")
+    )
+    keys = keys.where("centre.doc_id < last AND low < high").select("key", F.col("centre.doc_id").alias("x"), F.col("centre.place").alias("x_place"), "more")
+    met = rows.join(keys.hint("merge"), "key").where("doc_id != x").groupBy("x", F.col("doc_id").alias("y"), "x_place", "place")
+    met = met.agg(F.bool_or("more").alias("more"), F.count_distinct("key").alias("n")).groupBy("place")
+    met = met.agg(F.max_by(F.struct("x", "y", "x_place", "more"), F.struct("n", -F.col("x"), "x_place")).alias("best"))
+    met = staged(met.select("place", "best.*"))
+    if met.isEmpty():
+        return None
+    narrow = places.dropDuplicates(["place"]).select("place", "start", "tokens", "left_out")
+    xs = narrow.select(F.col("place").alias("x_place"), F.array(F.struct("start", "tokens")).alias("xs"))
+    every = F.sequence(F.col("start"), F.col("start") + F.size("tokens") - 1)
+    ys = narrow.select("place", F.array(F.struct("start", "tokens", "left_out", every.alias("marks"))).alias("ys"))
+    return met.join(xs.hint("merge"), "x_place").join(ys.hint("merge"), "place").select("x", "y", "more", "xs", "ys")
 
 
 def digest() -> Column:
@@ -244,43 +328,37 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, words: int = 50, k: int = 5, hashes: int = 10, needed: int = 3, percent: int = 80, rounds: int = 3,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, words: int = 50, k: int = 5, hashes: int = 8, needed: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end, similarity: passages that a text shares with another.
 
     Passages are runs of ``words`` words or more, A-Z lower-cased, given by word positions, ends exclusive, whose sets
-    of ``k``-word shingles have a Jaccard similarity of ``percent`` or more. For each key, the text with the
+    of ``k``-word shingles have a Jaccard similarity of ``percent`` or more; they begin and end with a shingle that both have. For each key, the text with the
     smallest id is the centre, and every other text with that key is compared with it: a row names a text and the
     centre that it shares a passage with, so a passage in n texts makes about n - 1 rows and every text with it is
     in one. Of equal texts, the smallest id stands for all: each other one has a row with it over the whole text, and
-    goes no further. Windows that no passage found covers go on to another round among themselves, with a new centre, so that
-    a text which has but part of a passage does not hide it. A passage is missed where fewer than ``needed`` of
-    the ``hashes`` functions agree, at a similarity of 0.8 with a probability of 8e-5 (binomial), or where texts with but
-    part of it are the centres of its windows in all ``rounds``; windows not covered by then are left. Null, empty and short texts, and rows with a null id, have no passages; rows that share an id count
-    as one text.
+    goes no further.
+
+    A comparison leaves what the centre does not have of a text's places. These are hashed anew without the tokens that the
+    centre has, and the places that agree then are compared, until none do, each time with fewer tokens. So a text that
+    has but part of a passage, or a line that many texts have, does not hide it. Places that the same text explains,
+    and only those, are linked by it. Two texts that share a minimal passage at a similarity of 0.8 fail to meet where fewer than
+    ``needed`` of the ``hashes`` functions agree, with a probability of 8e-5 (binomial); tokens are compared as 64-bit hashes.
+
+    Null, empty and short texts, and rows with a null id, have no passages; rows that share an id count as one text.
     """
     length = words - k + 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     copied = copies(base)
     texts = base.withColumn("digest", digest()).join(copied, ["doc_id", "digest"], "left_anti").drop("digest")
     found = staged(windows(texts, length, hashes, k))
-    keys = found.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last"))
-    keys = keys.where("x < last").drop("last")
-    rows = found.select("doc_id", F.explode(F.arrays_zip("keys", "spans")).alias("w")).select(F.col("w.keys").alias("key"), "doc_id", F.col("w.spans").alias("span"))
-    hits = staged(rows.join(keys.hint("merge"), "key"))
     start, end = F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")
     out = copied.where(F.col("n_words") >= words).select(
         "doc_id", start, end, F.col("x").alias("other_id"), start.alias("other_start"), end.alias("other_end"), F.lit(1.0).alias("similarity")
     )
-    for turn in range(rounds):
-        passages = staged(against_centres(hits, base, length, k, needed, percent))
-        out = out.unionByName(passages)
-        if turn + 1 < rounds:
-            inside = passages.select(F.col("doc_id").alias("d"), F.col("other_id").alias("o"), F.col("start").alias("s"), (F.col("end") - k + 1).alias("e"))
-            centre = F.shiftrightunsigned("span", 2 * REACH)
-            clear = (F.col("doc_id") == F.col("d")) & (F.col("x") == F.col("o")) & (centre >= F.col("s")) & (centre < F.col("e"))
-            hits = staged(centred(hits.where("doc_id != x").join(inside.hint("merge"), clear, "left_anti").drop("x")))
-            if hits.isEmpty():
-                break
-    return out
+    pairs = first_pairs(found, base, needed, k)
+    while pairs is not None:
+        told = staged(compared(pairs, length, hashes, percent, k))
+        out = out.unionByName(told.where("passage IS NOT NULL").select("doc_id", "passage.*"))
+        pairs = next_pairs(told.where("place IS NOT NULL").select("doc_id", "place.*"))
+    return out.distinct()

@@ -238,7 +238,13 @@ def test_repeated_passages(spark, odd, none):
         a, b = (shingles(" ".join(texts[i][s:e]), 5) for i, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)))
         assert r.end - r.start >= 50 and r.other_end - r.other_start >= 50
         assert len(a & b) / len(a | b) == pytest.approx(r.similarity) and r.similarity >= 0.8
-    assert substring.repeated_passages(odd).count() >= 0 and substring.repeated_passages(none).count() == 0
+    texts = {}
+    for r in odd_rows():
+        if r[1] is not None and r[0] is not None:
+            texts.setdefault(r[1], set()).add(r[0])
+    copied = {(d, min(ids)) for t, ids in texts.items() if len(words(t)) >= 50 for d in ids - {min(ids)}}
+    rows = substring.repeated_passages(odd).collect()
+    assert copied <= {(r.doc_id, r.other_id) for r in rows} and substring.repeated_passages(none).count() == 0
 
 
 def test_shortest_edited_passages(spark):
@@ -271,16 +277,62 @@ def test_passages_after_their_parts(spark):
     assert {(r.doc_id, r.other_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
 
 
-def test_a_passage_counts_once_for_what_is_left():
-    """One passage of x stands twice in y; the other, of which fewer shingles are shared, is found all the same."""
+def test_each_passage_is_found_once():
+    """A passage of x stands twice in y; the other, of which fewer shingles are shared, is found all the same."""
     rng = np.random.default_rng(2)
     make = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
     one, other = make(100), make(60)
     part = np.delete(other, range(5, 60, 7))
     x, y = np.concatenate([one, make(60), other]), np.concatenate([one, make(80), one, make(80), part])
-    span = {"xl": 0, "xc": 0, "xr": len(x) - 1, "yl": 0, "yc": 0, "yr": len(y) - 1}
-    found = list(substring.shared_passages(x, y, [span | {"j": j} for j in range(3)], 46, 2, 80))
-    assert sorted((a, b, c, d) for a, b, c, d, _ in found) == [(0, 100, 0, 100), (0, 100, 180, 280), (160, 220, 360, 412)]
+    found = list(substring.shared_passages([make(50), x], y, 46, 80))
+    assert sorted(f[:-1] for f in found) == [(1, 0, 100, 0, 100), (1, 0, 100, 180, 280), (1, 160, 220, 360, 412)]
+
+
+def edit(passage, rng):
+    """The passage with one word changed, left out or put in."""
+    at, out = rng.randint(5, len(passage) - 6), list(passage)
+    kind = rng.randrange(3)
+    out[at : at + (kind > 0)] = [] if kind == 1 else ["changed"]
+    return out
+
+
+def test_recall_of_passages_around_a_common_line(spark):
+    """Pairs of texts share a passage at 0.8 or more; all texts have a line, which most passages hold as well."""
+    rng = random.Random(31)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, docs, linked = make(20), [], set()
+    for i in range(300):
+        passage = [*make(16), *line, *make(16)] if i % 3 else make(52)
+        edited = edit(passage, rng)
+        a, b = shingles(" ".join(passage), 5), shingles(" ".join(edited), 5)
+        docs += [(2 * i, " ".join([*make(80), *line, *make(80), *passage, *make(90)])), (2 * i + 1, " ".join([*make(90), *edited, *make(80)]))]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            linked.add((2 * i + 1, 2 * i))
+    rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in rows}
+    assert found <= linked and len(linked) == 300 and len(found) >= 0.98 * len(linked)
+
+
+def test_passages_that_the_centre_lacks(spark):
+    """A chain: each text is near the next one, but the first, which is the centre of most keys, is near the second alone."""
+    rng = random.Random(33)
+    make = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, expected = [], set()
+    for i in range(60):
+        one = make(60)
+        two = [*one[:20], *make(1), *one[21:]]
+        three = [*two[:40], *make(1), *two[41:]]
+        docs += [(4 * i + j, " ".join([*make(70), *t, *make(70)])) for j, t in enumerate((one, two, three))]
+        expected |= {4 * i + j for j in range(3)}
+    rows = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x for r in rows for x in (r.doc_id, r.other_id)} == expected
+    assert all(shingle_similarity(docs, r) == pytest.approx(r.similarity) for r in rows)
+
+
+def shingle_similarity(docs, r):
+    texts = {i: low(t).split() for i, t in docs}
+    a, b = (shingles(" ".join(texts[i][s:e]), 5) for i, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)))
+    return len(a & b) / len(a | b)
 
 
 def test_compact_windows_are_all_windows():
