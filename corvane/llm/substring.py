@@ -12,6 +12,7 @@ places agree: a line that many texts have costs each of them one comparison, not
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, constants, mix64, shingle_hashes, staged, word_hashes
+from .common import WORD, constants, mix64, release, shingle_hashes, staged, word_hashes
 
 #: Tokens of a text that one tree spans; longer texts are cut with an overlap that no shorter passage is lost in.
 SPAN, OVERLAP = 1 << 23, 1 << 16
@@ -67,11 +68,11 @@ def keyed(hashed: np.ndarray, function: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
-    """doc_id, keys, spans: the compact windows of every text, as arrays that run side by side.
+    """doc_id, keys, spans: the compact windows of texts, as arrays that run side by side.
 
     A span says how far a window reaches from its centre, up to ``length`` tokens each way: no further can a passage of
     ``length`` tokens around the centre. Windows of one key that reach as far over the same tokens are one: a text that
-    repeats itself has the first.
+    repeats itself has the first. Of equal texts that meet in a task, one is given: they are one class later on.
     """
     by = constants(hashes, 21)
 
@@ -93,28 +94,54 @@ def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
         return np.concatenate(keys).view(np.int64), np.concatenate(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [of(x) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                offsets = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in found]), pa.int64())) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "keys", "spans"])
+                part, ids, found = batch.slice(at, 500), [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    mark = hashlib.blake2b(text, digest_size=16).digest()
+                    if mark not in seen:
+                        seen.add(mark)
+                        ids.append(doc_id)
+                        found.append(of(text))
+                if ids:
+                    offsets = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in found]), pa.int64())) for i in range(2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "keys", "spans"])
 
     return docs.mapInArrow(run, "doc_id long, keys array<long>, spans array<long>")
 
 
-def sequences(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and the shingles of its whole text in order."""
+#: Places of one text that are cut in one go.
+AT_ONCE = 64
+
+
+def cut(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``pairs`` with the tokens of their places. Texts meet what is wanted of them, so that only places are shuffled on.
+
+    A text that many pairs want is read for ``AT_ONCE`` of them at a time.
+    """
+    side = lambda name, n: pairs.select(F.col(name).alias("doc_id"), F.struct("x", "y", "more", F.lit(n).alias("side"), F.col(f"{name}s").alias("places")).alias("ask"))
+    asks = side("x", 0).unionByName(side("y", 1))
+    parts = asks.groupBy("doc_id").agg(F.ceil(F.count("*") / AT_ONCE).alias("parts"))
+    asks = asks.join(parts.hint("merge"), "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("ask.x", "ask.y"), "parts").alias("part")).agg(F.collect_list("ask").alias("asks"))
+    rows = docs.join(asks.hint("merge"), "doc_id").dropDuplicates(["doc_id", "part"]).select("text", "asks")
+    place = pa.list_(pa.struct([("start", pa.int64()), ("tokens", pa.list_(pa.int64())), ("left_out", pa.binary()), ("marks", pa.list_(pa.int64()))]))
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("more", pa.bool_()), ("side", pa.int32()), ("places", place)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [shingle_hashes(word_hashes(x), k).view(np.int64) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "seq"])
+            for i in range(batch.num_rows):
+                tokens = shingle_hashes(word_hashes(batch.column(0)[i].as_py().encode()), k).view(np.int64)
+                out = batch.column(1)[i].as_py()
+                for ask in out:
+                    ask["places"] = [{"start": p["start"], "tokens": tokens[p["start"] : p["stop"]], "left_out": None, "marks": p["marks"]} for p in ask["places"]]
+                yield pa.RecordBatch.from_pylist(out, schema)
 
-    return docs.mapInArrow(run, "doc_id long, seq array<long>")
+    places = "array<struct<start:long,tokens:array<long>,left_out:binary,marks:array<long>>>"
+    cuts = rows.mapInArrow(run, f"x long, y long, more boolean, side int, places {places}")
+    of = lambda n: F.any_value(F.when(F.col("side") == n, F.col("places")), True)
+    return cuts.groupBy("x", "y").agg(F.any_value("more").alias("more"), of(0).alias("xs"), of(1).alias("ys")).where("xs IS NOT NULL AND ys IS NOT NULL")
 
 
 def dense_runs(hit: np.ndarray, length: int, share: float) -> list[tuple[int, int]]:
@@ -262,33 +289,28 @@ def merged(pairs: DataFrame) -> DataFrame:
     return pairs.select("x", "y", "more", "xs", "ys").mapInArrow(run, f"x long, y long, more boolean, xs {of}, ys {of}")
 
 
-def first_pairs(found: DataFrame, docs: DataFrame, needed: int, k: int) -> DataFrame:
+def first_pairs(found: DataFrame, same: DataFrame, docs: DataFrame, needed: int, k: int) -> DataFrame:
     """What ``compared`` takes: texts with the centres of their keys, at the places where their windows lie.
 
-    The centre of a key is the smallest id that has it. A pair for which fewer than ``needed`` hash functions agree
-    goes no further if none of its keys has a third window.
+    The centre of a key is the smallest id that has it, where ``same`` (doc_id, first) names equal texts by their first. Pairs
+    for which fewer than ``needed`` hash functions agree go no further.
     """
     rows = found.select("doc_id", F.explode(F.arrays_zip("keys", "spans")).alias("w")).select(F.col("w.keys").alias("key"), "doc_id", F.col("w.spans").alias("span"))
-    keys = found.select("doc_id", F.explode("keys").alias("key")).groupBy("key")
-    keys = keys.agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last"), (F.count("*") > 2).alias("more")).where("x < last").drop("last")
-    hits = staged(rows.join(keys.hint("merge"), "key"))
+    keys = found.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    hits = staged(rows.join(keys.where("low < high").select("key").hint("merge"), "key"))
+    release(found)
+    named = hits.join(same.hint("merge"), "doc_id", "left").withColumn("doc_id", F.coalesce("first", "doc_id"))
     # a text's windows of one key go on together, so that a line which both texts repeat makes no products
-    mine = hits.groupBy("key", "x", "more", "doc_id").agg(F.collect_list("span").alias("spans"))
-    centres = mine.where("doc_id = x").select("key", F.col("spans").alias("xs"))
-    met = mine.where("doc_id != x").join(centres.hint("merge"), "key")
+    mine = staged(named.groupBy("key", "doc_id").agg(F.collect_set("span").alias("ys")))
+    release(hits)
+    centres = mine.groupBy("key").agg(F.min("doc_id").alias("x"), F.min_by("ys", "doc_id").alias("xs"), F.count("*").alias("n"))
+    centres = centres.where("n > 1").select("key", "x", "xs", (F.col("n") > 2).alias("more"))
+    met = mine.join(centres.hint("merge"), "key").where("doc_id != x")
     made_by = F.count_distinct(F.col("key").bitwiseAND((1 << HASH_BITS) - 1)).alias("made_by")
     pairs = met.groupBy("x", F.col("doc_id").alias("y")).agg(
-        F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("spans")).alias("ys"), F.bool_or("more").alias("more"), made_by
+        F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("ys")).alias("ys"), F.bool_or("more").alias("more"), made_by
     )
-    pairs = staged(merged(pairs.where(F.col("made_by") >= needed)))
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    seqs = staged(sequences(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
-    cut = lambda p, seq: F.slice(seq, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int"))
-    x_place = lambda p: F.struct(p["start"].alias("start"), cut(p, F.col("seq")).alias("tokens"))
-    y_place = lambda p: F.struct(p["start"].alias("start"), cut(p, F.col("seq")).alias("tokens"), F.lit(None).cast("binary").alias("left_out"), p["marks"].alias("marks"))
-    # each join keeps only the places of a text, not the text
-    both = pairs.join(seqs.withColumnRenamed("doc_id", "x").hint("merge"), "x").select("x", "y", "more", F.transform("xs", x_place).alias("xs"), "ys")
-    return both.join(seqs.withColumnRenamed("doc_id", "y").hint("merge"), "y").select("x", "y", "more", "xs", F.transform("ys", y_place).alias("ys"))
+    return cut(staged(merged(pairs.where(F.col("made_by") >= needed))), docs, k)
 
 
 def next_pairs(places: DataFrame) -> DataFrame | None:
@@ -319,16 +341,21 @@ def digest() -> Column:
     return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, x, n_words: texts that equal the text of a smaller id, the smallest such id, and how long they are."""
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, x, n_words: texts that equal the text of a smaller id, the smallest such id, and how long they are; and
+    (doc_id, first): the same where an id has one text alone.
+    """
     rows = docs.select("doc_id", digest().alias("digest"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words"))
-    first = staged(first.where("x < last").drop("last"))
-    return staged(rows.select("doc_id", "digest").distinct().join(first, "digest").where("doc_id != x"))
+    first = first.where("x < last").drop("last")
+    texts = rows.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").select("doc_id", "digest")
+    found = staged(rows.select("doc_id", "digest").distinct().join(first.hint("merge"), "digest").where("doc_id != x"))
+    single = found.join(texts.hint("merge"), ["doc_id", "digest"], "left_semi").select("doc_id", F.col("x").alias("first"))
+    return found.drop("digest"), staged(single)
 
 
 def repeated_passages(
-    docs: DataFrame, words: int = 50, k: int = 5, hashes: int = 8, needed: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, words: int = 50, k: int = 5, hashes: int = 6, needed: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end, similarity: passages that a text shares with another.
 
@@ -343,20 +370,19 @@ def repeated_passages(
     centre has, and the places that agree then are compared, until none do, each time with fewer tokens. So a text that
     has but part of a passage, or a line that many texts have, does not hide it. Places that the same text explains,
     and only those, are linked by it. Two texts that share a minimal passage at a similarity of 0.8 fail to meet where fewer than
-    ``needed`` of the ``hashes`` functions agree, with a probability of 8e-5 (binomial); tokens are compared as 64-bit hashes.
+    ``needed`` of the ``hashes`` functions agree, with a probability of 0.0016 (binomial); tokens are compared as 64-bit hashes.
 
     Null, empty and short texts, and rows with a null id, have no passages; rows that share an id count as one text.
     """
     length = words - k + 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    copied = copies(base)
-    texts = base.withColumn("digest", digest()).join(copied, ["doc_id", "digest"], "left_anti").drop("digest")
-    found = staged(windows(texts, length, hashes, k))
+    copied, same = copies(base)
+    found = staged(windows(base, length, hashes, k))
     start, end = F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")
     out = copied.where(F.col("n_words") >= words).select(
         "doc_id", start, end, F.col("x").alias("other_id"), start.alias("other_start"), end.alias("other_end"), F.lit(1.0).alias("similarity")
     )
-    pairs = first_pairs(found, base, needed, k)
+    pairs = first_pairs(found, same, base, needed, k)
     while pairs is not None:
         told = staged(compared(pairs, length, hashes, percent, k))
         out = out.unionByName(told.where("passage IS NOT NULL").select("doc_id", "passage.*"))
