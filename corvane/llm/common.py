@@ -139,6 +139,33 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def many_shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of the words of each text one after the other, where each text's begin, and how many words each has.
+
+    Texts are hashed together, so that short ones cost no calls of their own.
+    """
+    raw = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), dtype=np.uint8)
+    start, end = word_bounds(raw)
+    up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    words = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    counts = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    first = np.cumsum(counts) - counts
+    # runs of words that lie in one text
+    whole = np.maximum(counts - k + 1, 0)
+    short = (counts > 0) & (counts < k)
+    sizes = np.where(short, 1, whole)
+    begins = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.uint64)
+    if len(words) >= k:
+        within = np.arange(int(whole.sum())) - np.repeat(np.cumsum(whole) - whole, whole)
+        out[np.repeat(~short, sizes)] = shingle_hashes(words, k)[np.repeat(first, whole) + within]
+    for i in np.flatnonzero(short):
+        out[begins[i]] = shingle_hashes(words[first[i] : first[i] + counts[i]], k)[0]
+    return out, begins, counts
+
+
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """The distinct shingles of ``text`` as sorted 64-bit hashes."""
     return np.unique(shingle_hashes(word_hashes(text), k))

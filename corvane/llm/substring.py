@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, constants, mix64, release, shingle_hashes, staged, word_hashes
+from .common import constants, many_shingle_hashes, mix64, release, shingle_hashes, staged, word_hashes
 
-#: Tokens of a text that one tree spans; longer texts are cut with an overlap that no shorter passage is lost in.
-SPAN, OVERLAP = 1 << 23, 1 << 16
+#: Bytes of texts, about, whose windows are made together; a longer text is taken alone, in trees of at most ``SPAN`` tokens
+#: with an overlap that no shorter passage is lost in.
+TOGETHER, SPAN, OVERLAP = 1 << 20, 1 << 23, 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 #: A window as one number: centre, and how far left and right reach from it. A key's last bits are its hash function.
 REACH, HASH_BITS = 16, 4
@@ -33,14 +34,14 @@ SUMMED = constants(1, 22)[0]
 NEVER = np.uint64((1 << 64) - 1)
 
 
-def compact_windows(tokens: np.ndarray, hashed: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """left, centre and right of each compact window of ``length`` tokens or more.
+def compact_windows(hashed: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """left, centre and right of each compact window of ``length`` tokens or more, for texts that stand one after the other.
 
     Only minima of runs of exactly ``length`` tokens can be centres, and their nearest smaller neighbours are such
-    minima again, so the tree is built over those alone, with a stack.
+    minima again, so the trees are built over those alone, with a stack.
     """
     n = len(hashed)
-    if n < length:
+    if not (sizes >= length).any():
         return (np.empty(0, dtype=np.int64),) * 3
     low = (hashed & ~_PLACE) | np.arange(n, dtype=np.uint64)
     width = 1
@@ -49,17 +50,27 @@ def compact_windows(tokens: np.ndarray, hashed: np.ndarray, length: int) -> tupl
         width *= 2
     if width < length:
         low = np.minimum(low[: n - length + 1], low[length - width :])
-    low = low[np.flatnonzero(np.append(True, low[1:] != low[:-1]))]
-    low = np.unique(low)
-    order = np.argsort(low & _PLACE)
-    values, places = low[order].tolist(), (low[order] & _PLACE).astype(np.int64).tolist()
-    left, right, stack = [0] * len(values), [n - 1] * len(values), []
-    for i, value in enumerate(values):
-        while stack and values[stack[-1]] > value:
-            right[stack.pop()] = places[i] - 1
-        left[i] = places[stack[-1]] + 1 if stack else 0
-        stack.append(i)
-    return np.array(left), np.array(places), np.array(right)
+    runs = np.maximum(sizes - length + 1, 0)
+    low = low[np.repeat(begins, runs) + np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)]
+    low = np.unique(low[np.flatnonzero(np.append(True, low[1:] != low[:-1]))])
+    low = low[np.argsort(low & _PLACE)]
+    places = (low & _PLACE).astype(np.int64)
+    owner = np.searchsorted(begins, places, side="right") - 1
+    first, last = begins[owner], begins[owner] + sizes[owner] - 1
+    left, right, stack = first.copy(), last.copy(), []
+    where, bound = places.tolist(), first.tolist()
+    lefts, rights = {}, {}
+    before = -1
+    for i, value in enumerate(low.tolist()):
+        if bound[i] != before:
+            stack, before = [], bound[i]
+        while stack and stack[-1][0] > value:
+            rights[stack.pop()[1]] = where[i] - 1
+        if stack:
+            lefts[i] = where[stack[-1][1]] + 1
+        stack.append((value, i))
+    left[list(lefts)], right[list(rights)] = list(lefts.values()), list(rights.values())
+    return left, places, right
 
 
 def keyed(hashed: np.ndarray, function: int) -> np.ndarray:
@@ -68,48 +79,75 @@ def keyed(hashed: np.ndarray, function: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, length: int, hashes: int, k: int) -> DataFrame:
-    """doc_id, keys, spans: the compact windows of texts, as arrays that run side by side.
+    """doc_id, digest, n_words, keys, spans: the compact windows of texts, as arrays that run side by side.
 
     A span says how far a window reaches from its centre, up to ``length`` tokens each way: no further can a passage of
     ``length`` tokens around the centre. Windows of one key that reach as far over the same tokens are one: a text that
-    repeats itself has the first. Of equal texts that meet in a task, one is given: they are one class later on.
+    repeats itself has the first. Of equal texts that meet in a task, one is given with windows: they are one class later on.
     """
     by = constants(hashes, 21)
 
-    def of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        tokens, keys, spans = shingle_hashes(word_hashes(text), k), [], []
-        for start in range(0, max(1, len(tokens) - OVERLAP), SPAN - OVERLAP):
-            part = tokens[start : start + SPAN]
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(part ^ SUMMED))])
-            for j in range(hashes):
-                hashed = mix64(part ^ by[j])
-                left, centre, right = compact_windows(part, hashed, length)
-                left, right, key = np.maximum(left, centre - length + 1), np.minimum(right, centre + length - 1), keyed(hashed[centre], j)
-                if len(np.unique(key)) < len(key):
-                    around = mix64(total[right + 1] - total[left]) ^ mix64(((centre - left) << 32 | (right - centre)).astype(np.uint64))
-                    once = np.sort(np.unique(mix64(key) + around, return_index=True)[1])
-                    left, centre, right, key = left[once], centre[once], right[once], key[once]
-                keys.append(key)
-                spans.append((centre + start) << 2 * REACH | (centre - left) << REACH | (right - centre))
-        return np.concatenate(keys).view(np.int64), np.concatenate(spans)
+    def of(tokens: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text of each window, its key and its span."""
+        owners, keys, spans = [], [], []
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(tokens ^ SUMMED))])
+        for j in range(hashes):
+            hashed = mix64(tokens ^ by[j])
+            left, centre, right = compact_windows(hashed, begins, sizes, length)
+            left, right, key = np.maximum(left, centre - length + 1), np.minimum(right, centre + length - 1), keyed(hashed[centre], j)
+            owner = np.searchsorted(begins, centre, side="right") - 1
+            around = mix64(total[right + 1] - total[left]) ^ mix64(((centre - left) << 32 | (right - centre)).astype(np.uint64))
+            once = np.sort(np.unique(mix64(mix64(key) + around) + owner.astype(np.uint64) * SUMMED, return_index=True)[1])
+            left, centre, right, owner = left[once], centre[once], right[once], owner[once]
+            owners.append(owner)
+            keys.append(key[once])
+            spans.append((centre - begins[owner]) << 2 * REACH | (centre - left) << REACH | (right - centre))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return owner[order], np.concatenate(keys)[order].view(np.int64), np.concatenate(spans)[order]
+
+    def made(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How many windows each text has, its words, and keys and spans of all."""
+        tokens, begins, words = many_shingle_hashes(texts, k)
+        sizes = np.diff(np.append(begins, len(tokens)))
+        if len(tokens) <= SPAN:
+            some = np.flatnonzero(sizes)  # a text without tokens begins where the next one does
+            owner, keys, spans = of(tokens, begins[some], sizes[some]) if len(some) else (np.empty(0, dtype=np.int64),) * 3
+            return np.bincount(some[owner] if len(some) else owner, minlength=len(texts)), words, keys, spans
+        parts = [(at, of(part := tokens[at : at + SPAN], np.zeros(1, dtype=np.int64), np.array([len(part)]))) for at in range(0, len(tokens) - OVERLAP, SPAN - OVERLAP)]
+        keys = np.concatenate([p[1] for _, p in parts])
+        return np.array([len(keys)]), words, keys, np.concatenate([p[2] + (at << 2 * REACH) for at, p in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, ids, found = batch.slice(at, 500), [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    mark = hashlib.blake2b(text, digest_size=16).digest()
-                    if mark not in seen:
-                        seen.add(mark)
-                        ids.append(doc_id)
-                        found.append(of(text))
-                if ids:
-                    offsets = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in found]), pa.int64())) for i in range(2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["doc_id", "keys", "spans"])
-
-    return docs.mapInArrow(run, "doc_id long, keys array<long>, spans array<long>")
+            held: list[tuple[int, bytes, bytes]] = []
+            size = 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                text = text.as_py()
+                if held and size + len(text) > TOGETHER:
+                    yield out(held, seen)
+                    held, size = [], 0
+                held.append((doc_id, text, hashlib.blake2b(text, digest_size=16).digest()))
+                size += len(text)
+            if held:
+                yield out(held, seen)
+
+    def out(held: list[tuple[int, bytes, bytes]], seen: set[bytes]) -> pa.RecordBatch:
+        fresh = []
+        for i, (_, _, mark) in enumerate(held):
+            if mark not in seen:
+                seen.add(mark)
+                fresh.append(i)
+        counts, words, keys, spans = made([held[i][1] for i in fresh]) if fresh else (np.empty(0, dtype=np.int64),) * 4
+        many, n_words = np.zeros(len(held), dtype=np.int64), np.zeros(len(held), dtype=np.int64)
+        many[fresh], n_words[fresh] = counts, words
+        offsets = pa.array(np.cumsum([0, *many]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (keys, spans)]
+        columns = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary()), pa.array(n_words), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_words", "keys", "spans"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, n_words long, keys array<long>, spans array<long>")
 
 
 #: Places of one text that are cut in one go.
@@ -337,16 +375,11 @@ def next_pairs(places: DataFrame) -> DataFrame | None:
     return met.join(xs.hint("merge"), "x_place").join(ys.hint("merge"), "place").select("x", "y", "more", "xs", "ys")
 
 
-def digest() -> Column:
-    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-
-
-def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, x, n_words: texts that equal the text of a smaller id, the smallest such id, and how long they are; and
-    (doc_id, first): the same where an id has one text alone.
+    (doc_id, first): the same where an id has one text alone. ``rows`` has doc_id, digest and n_words, once at least for each digest.
     """
-    rows = docs.select("doc_id", digest().alias("digest"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last"), F.max("n_words").alias("n_words"))
     first = first.where("x < last").drop("last")
     texts = rows.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").select("doc_id", "digest")
     found = staged(rows.select("doc_id", "digest").distinct().join(first.hint("merge"), "digest").where("doc_id != x"))
@@ -376,8 +409,8 @@ def repeated_passages(
     """
     length = words - k + 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    copied, same = copies(base)
     found = staged(windows(base, length, hashes, k))
+    copied, same = copies(found.select("doc_id", "digest", "n_words"))
     start, end = F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")
     out = copied.where(F.col("n_words") >= words).select(
         "doc_id", start, end, F.col("x").alias("other_id"), start.alias("other_start"), end.alias("other_end"), F.lit(1.0).alias("similarity")

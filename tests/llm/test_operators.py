@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, licenses, lm_mixing, minhash, mixing, pii, quality, queries, secrets, subspace, substring
-from corvane.llm.common import connected_components
+from corvane.llm.common import connected_components, many_shingle_hashes, shingle_hashes, word_hashes
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
@@ -337,11 +337,22 @@ def shingle_similarity(docs, r):
 
 def test_compact_windows_are_all_windows():
     rng = np.random.default_rng(7)
-    for n, length in ((40, 5), (23, 7), (6, 6), (5, 6)):
-        hashed = mixed = rng.integers(0, 1 << 62, n, dtype=np.uint64)
-        left, centre, right = substring.compact_windows(mixed, hashed, length)
+    for sizes, length in (([40], 5), ([23, 3, 9], 7), ([6, 6], 6), ([5], 6), ([2, 30, 31], 4)):
+        sizes = np.array(sizes)
+        begins = np.cumsum(sizes) - sizes
+        hashed = rng.integers(0, 1 << 62, sizes.sum(), dtype=np.uint64)
+        left, centre, right = substring.compact_windows(hashed, begins, sizes, length)
         covered = {(i, j): c for lo, c, hi in zip(left, centre, right, strict=True) for i in range(lo, c + 1) for j in range(c, hi + 1) if j - i + 1 >= length}
-        assert covered == {(i, j): i + int(hashed[i : j + 1].argmin()) for i in range(n) for j in range(i + length - 1, n)}
+        runs = [(i, j) for b, n in zip(begins, sizes, strict=True) for i in range(b, b + n) for j in range(i + length - 1, b + n)]
+        assert covered == {(i, j): i + int(hashed[i : j + 1].argmin()) for i, j in runs}
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    texts = [b"", b"one", b"A b c d e f", b"  ", b"a b c d", b"a b c d e", "é x\ty\nz q r".encode(), b""]
+    found, begins, counts = many_shingle_hashes(texts, 5)
+    ends = [*begins[1:], len(found)]
+    for t, a, b, n in zip(texts, begins, ends, counts, strict=True):
+        assert found[a:b].tolist() == shingle_hashes(word_hashes(t), 5).tolist() and n == len(t.split())
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):
