@@ -38,7 +38,7 @@ def compact_windows(hashed: np.ndarray, begins: np.ndarray, sizes: np.ndarray, l
     """left, centre and right of each compact window of ``length`` tokens or more, for texts that stand one after the other.
 
     Only minima of runs of exactly ``length`` tokens can be centres, and their nearest smaller neighbours are such
-    minima again, so the trees are built over those alone, with a stack.
+    minima again, so the trees are built over those alone.
     """
     n = len(hashed)
     if not (sizes >= length).any():
@@ -57,22 +57,26 @@ def compact_windows(hashed: np.ndarray, begins: np.ndarray, sizes: np.ndarray, l
     places = (low & _PLACE).astype(np.int64)
     owner = np.searchsorted(begins, places, side="right") - 1
     first, last = begins[owner], begins[owner] + sizes[owner] - 1
-    left, right, stack = first.copy(), last.copy(), []
-    where, bound = places.tolist(), first.tolist()
-    lefts, rights = {}, {}
-    before = -1
-    for i, value in enumerate(low.tolist()):
-        if bound[i] != before:
-            stack, before = [], bound[i]
-        while stack and stack[-1][0] > value:
-            rights[stack.pop()[1]] = where[i] - 1
-        if stack:
-            lefts[i] = where[stack[-1][1]] + 1
-        stack.append((value, i))
-    left[list(lefts)], right[list(rights)] = list(lefts.values()), list(rights.values())
+    before, after = nearest_smaller(low, owner), len(low) - 1 - nearest_smaller(low[::-1], owner[::-1])[::-1]
+    left = np.where(before < 0, first, places[before] + 1)
+    right = np.where(after >= len(low), last, places[np.minimum(after, len(low) - 1)] - 1)
     return left, places, right
 
 
+def nearest_smaller(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The place of the last smaller value before each one of the same owner, -1 for none: its ancestor to the left in the tree.
+
+    All between a place and its pointer are larger; where the one pointed to is, too, its own pointer is the next to try.
+    """
+    n = len(values)
+    at = np.arange(-1, n - 1)
+    at[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))] = -1
+    with_none, todo = np.append(values, np.uint64(0)), np.arange(n)
+    while len(todo := todo[with_none[at[todo]] > values[todo]]):
+        at[todo] = at[at[todo]]
+    return at
+
+
 def keyed(hashed: np.ndarray, function: int) -> np.ndarray:
     """Keys of minima, with the number of the hash function in the last bits."""
     return mix64(hashed) >> np.uint64(HASH_BITS) << np.uint64(HASH_BITS) | np.uint64(function)
