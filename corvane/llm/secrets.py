@@ -21,7 +21,9 @@ DIGESTS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile("|".join(f"[0-9A-Fa-f]{{{n}}}" for n in DIGESTS))
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Names as code and prose have them: words and numbers joined by marks, in lower case, capitals or camel case.
-_NAME = re.compile(r"[+/_-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[+/_-]+|(?=[A-Z])|$))+|[a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9+/_-]+")
+#: Parts are taken whole, so that a long run is read once: capitals leave their last one to a word that it begins.
+_PART = r"(?>[A-Z]{2,}(?=[A-Z][a-z]{2})|[A-Z]{2,}(?![A-Za-z])|[A-Z]?[a-z]{2,}|[0-9]{1,4}(?![0-9]))"
+_NAME = re.compile(rf"[+/_-]*+(?:{_PART}(?:[+/_-]++|(?=[A-Z])|$))++|[a-z]++|[A-Z][a-z]*+|[A-Z]++|[0-9+/_-]++")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
