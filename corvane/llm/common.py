@@ -39,6 +39,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name`` with underscores before it, as many as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(df: DataFrame) -> None:
     """Removes what ``staged`` wrote for ``df``, once all that was made of it is written itself."""
     sc = df.sparkSession.sparkContext

@@ -8,13 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What is looked for; RUN and the order of the passes are below.
+from .common import unused
+
+#: What is looked for; RUN and the order of the passes are below. A match begins where its kind of characters do and takes
+#: them whole, so that a long run is read once. A host name has 127 labels at most.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++(?<!\.)@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "date": r"(?<![0-9-])(?:1[7-9][0-9]{2}|20[0-9]{2})-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 #: Numbers with single spaces or hyphens between them, as far as they go, and with digits enough for a card.
@@ -72,6 +75,28 @@ def permuted(digits: Column, key: str, tweak: str) -> Column:
     return F.lpad(feistel(digits.cast("long"), power(n - half), power(half), key, tweak).cast("string"), n, "0")
 
 
+def social(number: Column, key: str) -> Column:
+    """Nine digits permuted among valid numbers: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
+    area, group, serial = (number.substr(F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+    place = ((area - 1 - (area > 666).cast("long")) * 99 + group - 1) * 9999 + serial - 1
+
+    def told(x: Column) -> Column:
+        area = F.floor(x / (99 * 9999)) + 1
+        parts = (area + (area >= 666).cast("long"), F.pmod(F.floor(x / 9999), F.lit(99)) + 1, F.pmod(x, F.lit(9999)) + 1)
+        return F.concat(*(F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)))
+
+    return _let(feistel(place, 898 * 99, 9999, key, "ssn"), told)
+
+
+def phone(number: Column, key: str) -> Column:
+    """Ten digits permuted among those whose area and exchange begin with 2 to 9."""
+    area, exchange, line = (number.substr(F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
+    place = ((area - 200) * 800 + exchange - 200) * 10_000 + line
+    parts = lambda x: (F.floor(x / 8_000_000) + 200, F.pmod(F.floor(x / 10_000), F.lit(800)) + 200, F.pmod(x, F.lit(10_000)))
+    told = lambda x: F.concat(*(F.lpad(p.cast("string"), n, "0") for p, n in zip(parts(x), (3, 3, 4), strict=True)))
+    return _let(feistel(place, 80_000, 80_000, key, "phone"), told)
+
+
 def luhn(digits: Column) -> Column:
     """The sum whose last digit is 0 for a valid card number."""
     n = F.length(digits)
@@ -178,32 +203,34 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(F.datediff(F.try_to_date(match), F.lit(FIRST_DAY).cast("date")).cast("long"), *DAYS, key, "date").cast("int"))
     number = digits_of(match)
     # a phone number keeps what precedes its last ten digits
-    phone = F.concat(number.substr(F.lit(1), F.length(number) - 10), permuted(number.substr(F.length(number) - 9, F.lit(10)), key, "phone"))
+    dialled = F.concat(number.substr(F.lit(1), F.length(number) - 10), phone(number.substr(F.length(number) - 9, F.lit(10)), key))
     return (
         F.when(kind == "email", F.concat(F.lit("p"), F.substring(email, 1, 16), F.lit("@example.invalid")))
         .when(kind == "date", day.cast("string"))
         .when(kind == "ip", ip)
-        .when(kind == "ssn", refill(match, permuted(number, key, "ssn")))
-        .when(kind == "phone", refill(match, phone))
+        .when(kind == "ssn", refill(match, social(number, key)))
+        .when(kind == "phone", refill(match, dialled))
         .when(kind == "card", refill(match, card(number, key)))
         .otherwise(match)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` pseudonymised, and ``pii`` array<struct<kind, value>>: each stand-in in order.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """``docs`` with ``text_col`` pseudonymised, and ``out_col`` array<struct<kind, value>>: each stand-in in order.
 
     Found: e-mail addresses, IPv4 addresses, dates (ISO, 1700 to 2099), social security numbers, phone numbers
     and card numbers with a valid check digit. Numbers and dates move within their format by a permutation under
     ``key``, so that equal values stay linked across documents and distinct ones stay distinct; e-mail
     addresses become keyed digests. Numbers that fail validation stay, and what is valid next to them is found: a card
     is any row of whole numbers, apart by single spaces or hyphens, with 13 to 19 digits and a valid check digit. A null
-    text stays null, with no finds. All rows and columns stay; the name ``_found`` is reserved and an own ``pii`` is replaced.
+    text stays null, with no finds. All rows and columns stay; an own column ``out_col`` is replaced. Social security numbers
+    of area 000, 666 or 900 and above, group 00 or serial 0000, and phone numbers whose area or exchange begins with 0 or 1,
+    are none; who has ``key`` can undo the permutations.
     """
-    text = F.col(text_col)
-    rows = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), found(text)))
-    made = F.transform("_found", lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["text"], s["kind"], key).alias("value")))
-    rows = rows.withColumn("_found", made)
-    rows = rows.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(F.array_join(F.transform("_found", lambda s: s["value"]), "")))
+    text, spare = F.col(text_col), unused(docs, "found")
+    rows = docs.withColumn(spare, F.when(text.rlike("[0-9@]"), found(text)))
+    made = F.transform(spare, lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["text"], s["kind"], key).alias("value")))
+    rows = rows.withColumn(spare, made)
+    rows = rows.withColumn(text_col, F.when(F.col(spare).isNull(), text).otherwise(F.array_join(F.transform(spare, lambda s: s["value"]), "")))
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    return rows.withColumn("pii", F.coalesce(F.filter("_found", lambda s: s["kind"].isNotNull()), none)).drop("_found")
+    return rows.withColumn(out_col, F.coalesce(F.filter(spare, lambda s: s["kind"].isNotNull()), none)).drop(spare)
