@@ -71,8 +71,8 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with personal data replaced, and how many of each kind were."""
-    rows = pii.pseudonymise(_documents(spark, sf_dir), key="op7")
+    """Every text with personal data replaced, and how many of each kind were. A real key comes from the session's ``spark.corvane.pii.key``."""
+    rows = pii.pseudonymise(_documents(spark, sf_dir), key=spark.conf.get("spark.corvane.pii.key", "op7"))
     count = lambda kind: F.size(F.filter("pii", lambda p: p["kind"] == kind)).cast("long")
     return rows.select("doc_id", "text", *(count(k).alias(f"n_{k}") for k in pii.PATTERNS))
 
