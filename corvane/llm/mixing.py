@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,9 +76,8 @@ def mix(
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, source: one row for each row of ``docs``.
 
-    size is the number of words (null text: 0). A source takes all its documents once if its target allows it and
-    then some a second time, else some once; ``taken`` is 0, size or 2 * size. Which ones is fixed by ``seed`` and
-    the id. Repeated rows are documents of their own; an empty table gives no rows.
+    size is the number of words (null text: 0). Every document can be taken up to ``most`` times, those of one length as
+    evenly as can be; ``taken`` is a multiple of size. Which ones is fixed by ``seed`` and the id. Repeated rows are documents of their own; an empty table gives no rows.
 
     Lengths are counted first: a source's whole choice is made on at most one row for each different length, and
     documents learn their rank within their length from groups of about ``RANKED``, whatever the source's share.
@@ -94,10 +94,8 @@ def mix(
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
         rows = rows.sort_values("size")
-        whole = min(most, int(target // size)) if size else 0
-        rest = int(target - whole * size)
-        rows["extra"] = fit(rows["size"].tolist(), rows["n"].tolist(), rest if whole < most else 0, seed)
-        return rows.assign(whole=whole)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
+        taken = np.array(fit(rows["size"].tolist(), (rows["n"] * most).tolist(), int(min(target, most * size)), seed), dtype=np.int64)
+        return rows.assign(whole=taken // rows["n"], extra=taken % rows["n"])[["source", "size", "n", "source_size", "target", "whole", "extra"]]
 
     plan = lengths.join(aims, lengths["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     plan = staged(plan.groupBy("source").applyInPandas(choose, "source string, size long, n long, source_size long, target double, whole long, extra long"))
