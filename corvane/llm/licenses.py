@@ -48,6 +48,14 @@ def shingles(text: Column) -> Column:
     return _let(words, runs)
 
 
+def versions(text: Column) -> Column:
+    """The shingles of ``text`` that hold a word with a digit."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    marked = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.exists(F.slice(w, i + 1, SHINGLE), lambda x: x.rlike(r"\p{N}")))
+    pairs = lambda w: F.arrays_zip(shingles(text).alias("h"), marked(w).alias("m"))
+    return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.filter(pairs(w), lambda p: p["m"]), lambda p: p["h"])).otherwise(F.array().cast("array<long>")))
+
+
 def least(window: Column, band: Column) -> Column:
     """The MinHash of a window for one band."""
     return F.array_min(F.transform(window, lambda h: F.xxhash64(h, band)))
@@ -59,7 +67,8 @@ def scan(
     """doc_id, license, template, containment, windows: one row for each text and template found in it.
 
     ``template`` is a position in ``templates``, containment the share of the template's shingles in the window
-    that has most of them, windows the number of windows that have ``percent`` or more. Texts that are null, empty
+    that has most of them, windows the number of windows that have ``percent`` or more. Where a template names a version, the
+    window has to hold some shingle with it, so that a notice is not taken for that of another version. Texts that are null, empty
     or shorter than five words have no rows; rows that share an id are counted together. Templates of fewer than
     five words are never found.
 
@@ -68,7 +77,7 @@ def scan(
     """
     spark = docs.sparkSession
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    known = rows.select("template", "license", F.array_distinct(shingles(F.col("text"))).alias("of")).where("size(of) > 0")
+    known = rows.select("template", "license", F.array_distinct(shingles(F.col("text"))).alias("of"), versions(F.col("text")).alias("version")).where("size(of) > 0")
     known = known.withColumn("stride", F.greatest(F.lit(1), F.floor(F.size("of") / 4).cast("int"))).withColumn("width", F.size("of") + F.col("stride"))
     known = known.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("key", least(F.col("of"), F.col("band")))
     # templates are a parameter, so what is gathered of them here, 16 numbers for each, does not grow with the corpus
@@ -92,6 +101,7 @@ def scan(
     texts = texts.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("key", least(F.col("window"), F.col("band")))
     hits = texts.join(F.broadcast(known.drop("stride")), ["width", "band", "key"])
     hits = hits.withColumn("shared", F.size(F.array_intersect("of", "window"))).where(100 * F.col("shared") >= percent * F.size("of"))
+    hits = hits.where((F.size("version") == 0) | F.arrays_overlap("version", "window"))
     return hits.groupBy("doc_id", "license", "template").agg(
         F.max(F.col("shared") / F.size("of")).alias("containment"), F.count_distinct("start").cast("long").alias("windows")
     )
