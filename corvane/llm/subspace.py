@@ -7,6 +7,7 @@ distance are within a proportional share of it in one block at least. So each bl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from .common import connected_components, staged
 TILE, STRIP = 16_384, 512
 
 
+@lru_cache(maxsize=8)
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
     """A random orthogonal matrix, the same wherever it is made."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dims]).standard_normal((dims, dims)))
@@ -41,17 +43,16 @@ def cells(classes: DataFrame, cosine: float, parts: int, kind: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
-            for i, x in enumerate(raw):
-                v = np.frombuffer(x, dtype=kind).astype(np.float64)[None]
-                at = turned(v)[0]
-                for b, part in enumerate(blocks(len(at), parts)):
-                    reach = np.sqrt((2 - 2 * cosine) * (part.stop - part.start) / len(at)) * (1 + 1e-9) + 1e-12
-                    values = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), x, len(at), b, int(np.floor(at[part.start] / reach)))
-                    for o, y in zip(out, values, strict=True):
-                        o.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["rep", "copies", "vector", "dims", "block", "cell"])
+            sizes = np.array([len(x) // np.dtype(kind).itemsize for x in raw])
+            for dims in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == dims)
+                at = turned(np.frombuffer(b"".join(raw[i] for i in some), dtype=kind).reshape(len(some), dims).astype(np.float64))
+                mine = batch.take(pa.array(some))
+                for b, part in enumerate(blocks(dims, parts)):
+                    reach = np.sqrt((2 - 2 * cosine) * (part.stop - part.start) / dims) * (1 + 1e-9) + 1e-12
+                    cell = np.floor(at[:, part.start] / reach).astype(np.int32)
+                    columns = [*mine.columns, *(pa.array(np.full(len(some), x, dtype=np.int32)) for x in (dims, b)), pa.array(cell)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rep", "copies", "vector", "dims", "block", "cell"])
 
     return classes.select("rep", "copies", "vector").mapInArrow(run, "rep long, copies long, vector binary, dims int, block int, cell int")
 
@@ -124,8 +125,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, parts: int = 4, id_
     counts = homes.groupBy(*spot).agg(F.count("*").alias("n"))
     below = counts.select("dims", "block", (F.col("cell") + 1).alias("cell"), F.col("n").alias("m"))
     sizes = counts.join(below, spot, "left").select(*spot, F.ceil(F.col("n") / TILE).alias("own"), F.ceil(F.coalesce("m", F.lit(0)) / TILE).alias("guests"))
-    # cells are few: a block's first coordinate has a range of two lengths at most
-    sizes = F.broadcast(staged(sizes))
+    sizes = staged(sizes)
     slot = lambda n: F.pmod(F.xxhash64("rep"), n)
     upto = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
     zero = F.lit(0).cast("long")
