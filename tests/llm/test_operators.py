@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -439,6 +440,81 @@ def test_pii_next_to_other_numbers(spark):
         assert r.text == text.replace(value, r.pii[0]["value"]) and r.pii[0]["value"] != value
 
 
+LONG_RUNS = {
+    "letters": "a" * 10**6, "capitals": "A" * 10**6 + "1x", "digits": "7" * 10**6, "digits at": "1" * 10**6 + "@", "labels": "q@" + "a." * 500_000 + " 1",
+    "dots": "a." * 500_000 + "@b 1", "words": "x" * 10**6 + "1", "numbers": "1 " * 10_000, "spaces": "token" + " " * 10**6, "camel": "aB" * 500_000 + "9z9",
+}
+
+
+def test_long_runs_are_read_once(spark):
+    """A million characters of each kind, in seconds: no pattern goes back over them."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(LONG_RUNS.values())], "doc_id long, text string").repartition(4)
+    start = time.monotonic()
+    assert len(secrets.scan(docs, queries.RANKS, queries.PATTERN).collect()) == len(LONG_RUNS)
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").selectExpr("doc_id", "length(text) n", "size(pii) p").collect()}
+    assert time.monotonic() - start < 60
+    names = list(LONG_RUNS)
+    assert all(rows[names.index(k)].n == len(LONG_RUNS[k]) and rows[names.index(k)].p == 0 for k in ("letters", "digits", "dots", "labels", "spaces"))
+
+
+def test_pii_stays_valid(spark):
+    """Against a plain reading of the rules: invalid numbers stay, valid ones become other valid ones, one to one."""
+    rng = random.Random(8)
+    numbers = [f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10000):04}" for _ in range(400)] + ["000-12-3456", "666-12-3456", "901-12-3456", "123-00-1234", "123-45-0000"]
+    phones = [f"{rng.randrange(1000):03}-{rng.randrange(1000):03}-{rng.randrange(10000):04}" for _ in range(400)]
+    ssn = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000"
+    tel = lambda x: x[0] > "1" and x[4] > "1"
+    for values, valid, kind in ((numbers, ssn, "ssn"), (phones, tel, "phone")):
+        df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+        rows = pii.pseudonymise(df, "k").collect()
+        told = {}
+        for r in rows:
+            was = values[r.doc_id]
+            assert [p.kind for p in r.pii] == [kind] * valid(was) and valid(r.text) == valid(was) and (valid(was) or r.text == was)
+            assert re.fullmatch(re.sub("[0-9]", "[0-9]", was), r.text)
+            told[was] = r.text
+        assert len(set(told.values())) == len(told)
+
+
+def test_names_are_no_secrets():
+    for name in ("getHTTPServerResponseCode", "some-long_name-with-parts", "CONSTANT_NAME_IN_CAPITALS", "release-2024-01-final-version"):
+        assert secrets._NAME.fullmatch(name), name
+    for other in ("aB3xK9qLmZ7pR2tW8vYc", "ABcdEf1234567890xyZQ"):
+        assert not secrets._NAME.fullmatch(other), other
+
+
+def test_a_notice_is_of_its_own_version(spark):
+    """Every template alone in a text is found as itself at 1, and no other license is."""
+    docs = [(i, f"before it {text} and after it") for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.license == licenses.TEMPLATES[r.doc_id][0] or r.containment < 1
+        if licenses.TEMPLATES[r.doc_id][0].startswith("GPL"):
+            assert r.license == licenses.TEMPLATES[r.doc_id][0]
+
+
+def test_licenses_against_brute_force(spark):
+    """Templates with words changed: found where four fifths of their shingles and some of the version's are in the text."""
+    rng = random.Random(17)
+    parts = lambda t: re.findall(r"[^\W_]+", t.lower())
+    runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    docs = []
+    for i in range(240):
+        w = parts(licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1])
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "changed"
+        docs.append((i, " ".join([*(f"w{rng.randrange(1000)}" for _ in range(rng.randrange(40))), *w, *(f"w{rng.randrange(1000)}" for _ in range(20))])))
+    want = set()
+    for i, text in docs:
+        has = set(runs(parts(text)))
+        for t, (_, template) in enumerate(licenses.TEMPLATES):
+            of = set(runs(parts(template)))
+            version = {x for x in of if any(re.search(r"\d", y) for y in x)}
+            if of and 100 * len(of & has) >= 80 * len(of) and (not version or version & has):
+                want.add((i, t))
+    found = {(r.doc_id, r.template) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found <= want and len(found) >= 0.99 * len(want) and len(want) > 60
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(189 * 21)
     moved = n.select(pii.feistel(F.col("id"), 189, 21, "k", "t").alias("x")).distinct()

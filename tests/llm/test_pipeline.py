@@ -1,5 +1,7 @@
 """The stages one after the other, and each against what its operator says."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corvane.llm import minhash, quality
 
@@ -22,3 +24,17 @@ def test_pipeline(spark):
     assert abs(sizes[1] - 1.5 * sizes[0]) < 0.01 * sizes[0]
     digests = {r.x for r in steps[4].selectExpr("sha2(text, 256) x").collect()}
     assert {r.decoded_sha256 for r in steps[5].collect()} == digests
+
+
+def test_stages_leave_other_columns_alone(spark):
+    """Columns of any name go through every stage but the last; repeated rows, nulls and empty texts too."""
+    text = "Plain words about rivers and towns that a reader would not mind, written to anna@example.org on 2024-05-06. " * 6
+    names = ("_id", "_copies", "_copy", "_hits", "_found", "pii", "kept_id", "found_pii", "mixed_id", "mixed_times", "mixed_copy", "copies", "kept", "size")
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([text, text + "More of it here.", "", None, text])]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+    assert corpus_pipeline.tokens(spark, docs, "").count() == 6
