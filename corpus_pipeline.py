@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, minhash, mixing, pii, quality
-from corvane.llm.common import shared_folder
+from corvane.llm.common import shared_folder, unused
 
 #: No stage but the last could be SQL: verdicts, pseudonyms and token ids come from models, keys and a vocabulary.
 ORACLE_SQL = None
@@ -19,8 +19,9 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is kept, a null id included; rows that share an id go or stay together."""
-    ids = verdicts.where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    spare = unused(docs, "kept_id")
+    ids = verdicts.where("kept").select(F.col("doc_id").alias(spare))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[spare]), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +35,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to pseudonyms; n_chars follows the text."""
-    return pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Personal data give way to pseudonyms; n_chars follows the text. A real key comes from the session's ``spark.corvane.pii.key``."""
+    rows = pii.pseudonymise(docs, spark.conf.get("spark.corvane.pii.key", PII_KEY), out_col=unused(docs, "found_pii"))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target proportions; a document that the mix takes twice is there twice."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    """Sources in their target proportions; a document that the mix takes twice is there twice. Rows that share an id
+    are each there as often as the one of them that the mix takes most often.
+    """
+    node, times, copy = (unused(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias(node)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies[node]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*(docs[c] for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
