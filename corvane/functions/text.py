@@ -116,3 +116,9 @@ def is_empty_answer(answer: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
+
+
+def github_label(key: Column) -> Column:
+    """How a card or pull request is shown by its key: [card #7], [pr #7]; null for any other key."""
+    kind, number = F.regexp_extract(key, r"^(card|pr):[^#]*#(\d+)$", 1), F.regexp_extract(key, r"^(card|pr):[^#]*#(\d+)$", 2)
+    return F.when(kind != "", F.concat(F.lit("["), kind, F.lit(" #"), number, F.lit("]")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import coherent
@@ -81,3 +81,22 @@ def coverage_faults(cases: DataFrame, least: int = 60) -> DataFrame:
     negative = F.when(F.count_if(F.col("kind") == "negativo") < 2, "fewer than two negatives")
     flavours = F.when(F.count_distinct(F.when(F.col("kind") == "negativo", F.col("style"))) < 2, "negatives of one style")
     return cases.agg(F.count("*").alias("cases"), F.array_compact(F.array(few, code, negative, flavours)).alias("faults"))
+
+
+def by_drop(compared: DataFrame) -> DataFrame:
+    """Cases of a comparison, the biggest drop first."""
+    return compared.orderBy("delta", "case_id")
+
+
+def write_cases(cases: DataFrame, path: str, least: int = 60) -> None:
+    """Write a set of cases as JSON lines with the keys in order, unless it lacks something: then nothing is written."""
+    faults = coverage_faults(cases, least).first()["faults"]
+    if faults:
+        raise ValueError("; ".join(faults))
+    cases.select(*sorted(cases.columns)).write.json(path)
+
+
+def read_cases(spark: SparkSession, path: str, schema: str, style: str | None = None) -> DataFrame:
+    """The cases of a set, of one style if one is named."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if style is None else rows.where(F.col("style") == style)

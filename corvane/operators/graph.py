@@ -135,3 +135,15 @@ def lookup(entities: DataFrame, text: str, limit: int = 10) -> DataFrame:
         number = entities.where(F.col("key").like(f"%#{m[0]}") | F.col("key").like(f"feature:{m[0]}-%")).withColumn("by", F.lit(0))
         part = number.unionByName(part.join(F.broadcast(number.agg(F.count("*").alias("_c"))), how="cross").where("_c = 0").drop("_c"))
     return part.orderBy("by", (F.col("kind") == "arquivo").desc(), "key").limit(limit).drop("by")
+
+
+def described_neighbours(edges: DataFrame, targets: DataFrame, docs: DataFrame, limit: int, most: int = 4) -> DataFrame:
+    """target, rel and the neighbours under it with their kinds, ``limit`` at most for a target, for the first ``most`` targets.
+
+    Edges of both directions count once. ``docs`` has key and doc_type; a neighbour without a document has none.
+    """
+    few = targets.select("target").distinct().orderBy("target").limit(most)
+    near = neighbours(edges, few).select("target", "neighbour", "rel").distinct().join(docs.withColumnRenamed("key", "neighbour"), "neighbour", "left")
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("rel", "neighbour"))).where(F.col("_n") <= limit)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_n", "neighbour", "doc_type"))), lambda x: F.concat(x["neighbour"], F.lit(" "), F.coalesce(x["doc_type"], F.lit("-"))))
+    return near.groupBy("target", "rel").agg(F.count("*").alias("n"), listed.alias("listed"))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, terms
+from ..session import staged
 
 K1, B, POOL, LEAST_IDF = 1.2, 0.75, 60, 1e-6
+#: Terms of a batch of queries that are looked for where texts are read; with more, they meet the terms in a join.
+ASKED = 100
 
 
 def queries_of(spark, texts: dict[int, list[str]]) -> DataFrame:
@@ -16,27 +19,34 @@ def queries_of(spark, texts: dict[int, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, term string")
 
 
-def statistics(chunks: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """id, length and the terms of each field; a row's length is over all fields."""
+def index(chunks: DataFrame, fields: dict[str, float], id_col: str = "doc_id", queries: DataFrame | None = None) -> DataFrame:
+    """id, length and the terms of each field, written once for all searches; a row's length is over all fields.
+
+    With ``queries``, only their terms are written, as long as these are at most ``ASKED``: then each text is looked
+    at once, and what goes on follows the hits and not the corpus. Without, the index serves any search.
+    """
     rows = chunks.select(F.col(id_col).alias("id"), *(terms(F.col(f)).alias(f) for f in fields))
-    return rows.withColumn("length", sum((F.size(f) for f in fields), F.lit(0)).cast("double"))
+    rows = rows.withColumn("length", sum((F.size(f) for f in fields), F.lit(0)).cast("double"))
+    asked = [] if queries is None else [r["term"] for r in queries.select("term").distinct().limit(ASKED + 1).collect()]
+    if 0 < len(asked) <= ASKED:
+        rows = rows.withColumns({f: F.filter(f, lambda t: t.isin(asked)) for f in fields})
+    return staged(rows)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col: str = "doc_id") -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col: str = "doc_id", indexed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, matched): BM25 of every chunk that has a term of the query; matched counts its terms.
 
-    Statistics are over the whole table, before any filter. Texts are turned into terms once, and only terms that some
-    query has leave the scan: what is shuffled follows the hits, not the corpus. No side is hinted for
-    broadcast: a small batch of queries is, by its size.
+    Statistics are over the whole table, before any filter. ``indexed`` is what ``index`` made of the chunks; without
+    it, one is made for these queries. No side is hinted for broadcast: a small batch of queries is, by its size.
     """
     wanted = queries.select("term").distinct()
-    rows = statistics(chunks, fields, id_col)
+    rows = index(chunks, fields, id_col, queries) if indexed is None else indexed
     totals = rows.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
     hits = None
     for f, weight in fields.items():
         part = rows.select("id", "length", F.explode(f).alias("term")).join(wanted, "term").withColumn("weight", F.lit(float(weight)))
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.groupBy("id", "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length"))
+    hits = staged(hits.groupBy("id", "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length")))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     facts = df.crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
@@ -59,12 +69,13 @@ def two_pass(chunks: DataFrame, strict: DataFrame, wide: DataFrame, fields: dict
     ``allowed`` holds the ids that the filters let through.
     """
     keep = lambda df: df if allowed is None else df.join(allowed.select(F.col(id_col).alias("id")), "id", "left_semi")
+    rows = index(chunks, fields, id_col, strict.unionByName(wide))
     sizes = strict.groupBy("query_id").agg(F.count("*").alias("n"))
-    first = keep(bm25(chunks, strict, fields, id_col)).join(sizes, "query_id").where("matched = n")
-    first = top(first, pool).select("query_id", "id", "score", F.lit(0).alias("pass"))
+    first = keep(bm25(chunks, strict, fields, id_col, rows)).join(sizes, "query_id").where("matched = n")
+    first = staged(top(first, pool).select("query_id", "id", "score", F.lit(0).alias("pass")))
     short = sizes.join(first.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left")
     short = short.where((F.coalesce("c", F.lit(0)) < pool) & (F.col("n") > 1)).select("query_id")
-    second = top(keep(bm25(chunks, wide.join(short, "query_id", "left_semi"), fields, id_col)), pool)
+    second = top(keep(bm25(chunks, wide.join(short, "query_id", "left_semi"), fields, id_col, rows)), pool)
     second = second.join(first, ["query_id", "id"], "left_anti").select("query_id", "id", "score", F.lit(1).alias("pass"))
     w = Window.partitionBy("query_id").orderBy("pass", F.col("score").desc(), "id")
     return first.unionByName(second).withColumn("rank", F.row_number().over(w))

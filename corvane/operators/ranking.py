@@ -91,17 +91,20 @@ def greedy_collapse(hits: DataFrame, limit: int, per_doc: int = 2) -> DataFrame:
     return keyed.groupBy("query_id").applyInPandas(run, "query_id int, id long, doc string, also_in array<string>, collapsed int, place int")
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame | None, docs: DataFrame, as_of: str, limit: int, id_col: str = "doc_id") -> DataFrame:
+def hybrid(
+    lexical: DataFrame, semantic: DataFrame | None, docs: DataFrame, as_of: str, limit: int, id_col: str = "doc_id", per_doc: int | None = None, doc: str = "doc"
+) -> DataFrame:
     """Ranked results for each query: both branches fused, weighed by authority, collapsed and cut to ``limit``.
 
     Without a semantic branch the search goes on with words alone and says so in ``semantic``. Only the fused ids meet
-    their documents, after the cut of each branch. ``docs`` has id, doc_type, status, data, source and text.
+    their documents, after the cut of each branch. ``docs`` has id, doc_type, status, data, source and text. With
+    ``per_doc``, a document ``doc`` has so many hits at most, and first hits of documents go before second ones.
     """
     fused = fuse(lexical, semantic) if semantic is not None else fuse(lexical).withColumn("rank_1", F.lit(None).cast("int"))
     rows = docs.withColumnRenamed(id_col, "id").join(fused, "id")
     rows = rows.withColumn("score", F.round(F.col("rrf") * authority(F.col("doc_type"), F.col("status"), F.col("data"), as_of), 8))
     order = [F.col("score").desc(), F.col("rank_0").asc_nulls_last(), F.col("rank_1").asc_nulls_last(), F.col("id")]
-    kept = collapsed(rows, ["query_id"], order, "doc_type")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    kept = collapsed(rows, ["query_id"], order, "doc_type", per_doc=per_doc, doc=doc)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*([] if per_doc is None else ["doc_rank"]), *order))
     kept = kept.withColumn("place", place).where(F.col("place") <= limit).withColumn("semantic", F.lit(semantic is not None))
     return kept.select("query_id", "place", "id", "score", "collapsed", "rank_0", "rank_1", "semantic")

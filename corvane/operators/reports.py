@@ -71,3 +71,34 @@ def with_successors(decisions: DataFrame) -> DataFrame:
     """Decisions (id, supersedes, ...) with ``superseded_by``, the latest that replaces each; null while one stands."""
     by = decisions.where("supersedes IS NOT NULL").groupBy(F.col("supersedes").alias("id")).agg(F.max("id").alias("superseded_by"))
     return decisions.join(by, "id", "left")
+
+
+def beginnings(chunks: DataFrame, doc: str, place: str, text: str = "text", most: int = 40, width: int = 40_000) -> DataFrame:
+    """Each document's first ``most`` chunks in order as one text of at most ``width`` characters. Null chunks are left out."""
+    first = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(doc).orderBy(place))).where(F.col("_n") <= most)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", text))), lambda x: x[text]), "\n")
+    return first.groupBy(doc).agg(F.substring(joined, 1, width).alias(text))
+
+
+def first_chunks(chunks: DataFrame, doc: str, place: str, text: str = "text") -> DataFrame:
+    """The chunk that each document begins with; it is aggregated before it is shuffled."""
+    return chunks.groupBy(doc).agg(F.min_by(text, place).alias(text))
+
+
+def changes_by_repo(files: DataFrame, repo: str) -> DataFrame:
+    """How many changed files each repository has, the most first; those of none are under ``?``."""
+    return files.groupBy(F.coalesce(F.col(repo), F.lit("?")).alias(repo)).agg(F.count("*").alias("changes")).orderBy(F.col("changes").desc(), repo)
+
+
+def reasons(rows: DataFrame, reason: str) -> DataFrame:
+    """How often each reason was given, and its share of all rows."""
+    counts = rows.groupBy(reason).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(reason, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def briefings(rows: DataFrame, section: str, date: str, as_of: str, caps: dict[str, int], days: int = 10, id_col: str = "path") -> DataFrame:
+    """The latest rows of each section of ``caps``, up to its cap, none older than ``days``."""
+    recent = rows.where(F.col(section).isin(*caps) & (F.col(date) >= F.date_sub(F.lit(as_of).cast("date"), days)))
+    cap = F.element_at(F.create_map(*(F.lit(x) for pair in caps.items() for x in pair)), F.col(section))
+    return sections(recent, section, [F.col(date).desc(), F.col(id_col)], cap)

@@ -82,6 +82,36 @@ def related(items: DataFrame, fact: DataFrame, least: float, newest: int, best:
     return scored.where(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(best)
 
 
+def in_scope(scope: Column, asked: str | int | None) -> Column:
+    """A decision of no scope holds everywhere; without a scope asked for, all do."""
+    return F.lit(True) if asked is None else scope.isNull() | (scope == asked)
+
+
+def related_decisions(decisions: DataFrame, fact: DataFrame, scope: str | int | None = None, least: float = 0.82, newest: int = 300, best: int = 5) -> DataFrame:
+    """What ``related`` finds among the decisions (id, ts, v, scope, superseded_by) that stand and hold in ``scope``."""
+    return related(decisions.where(F.col("superseded_by").isNull() & in_scope(F.col("scope"), scope)), fact, least, newest, best)
+
+
+def blobs(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """``vectors`` with the vector as little-endian 32-bit floats in ``blob``; a null vector has a null one."""
+
+    @F.pandas_udf("binary")
+    def pack(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return vectors.withColumn("blob", pack(F.col(vector_col)))
+
+
+def unpacked(rows: DataFrame, blob_col: str = "blob") -> DataFrame:
+    """``rows`` with the vector of each blob in ``vector``."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
+
+    return rows.withColumn("vector", unpack(F.col(blob_col)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """The share of the tokens of ``a`` that ``b`` has too."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_distinct(a)))

@@ -78,12 +78,13 @@ def _slug(x: str) -> str:
     return f"left(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60)"
 
 
-def _hybrid(fused: str) -> str:
+def _hybrid(fused: str, diverse: bool = False) -> str:
     order = "score DESC, rank_0 ASC NULLS LAST, rank_1 ASC NULLS LAST, id"
     return f"""WITH {LEX}, {VEC}, {fused}, {DATED},
-    rows AS (SELECT id, rank_0, rank_1, round(rrf * ({WEIGHT}), 8) AS score, {KEY} AS key FROM fused JOIN dated ON doc_id = id),
+    rows AS (SELECT id, source, rank_0, rank_1, round(rrf * ({WEIGHT}), 8) AS score, {KEY} AS key FROM fused JOIN dated ON doc_id = id),
     one AS (SELECT *, count(*) OVER (PARTITION BY key) - 1 AS collapsed FROM rows QUALIFY row_number() OVER (PARTITION BY key ORDER BY {order}) = 1)
-    SELECT id, score, collapsed, row_number() OVER (ORDER BY {order}) AS place FROM one QUALIFY place <= 8"""
+    {f", of_doc AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {order}) AS doc_rank FROM one QUALIFY doc_rank <= 2)" if diverse else ""}
+    SELECT id, score, collapsed, row_number() OVER (ORDER BY {"doc_rank, " if diverse else ""}{order}) AS place FROM {"of_doc" if diverse else "one"} QUALIFY place <= 8"""
 
 
 SQL: dict[str, str] = {
@@ -123,6 +124,7 @@ SQL: dict[str, str] = {
         two AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, doc, turn) AS doc_rank FROM one QUALIFY doc_rank <= 2)
         SELECT doc, turn, row_number() OVER (ORDER BY doc_rank, score DESC, doc, turn) AS place, doc_rank FROM two QUALIFY place <= 100""",
     "q23_hybrid_search": _hybrid(FUSED),
+    "q23_hybrid_diverse": _hybrid(FUSED, diverse=True),
     "q23_lexical_only": _hybrid("fused AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS rrf, rank AS rank_0, NULL AS rank_1 FROM lex)"),
     "q24_relevance_floor": f"""WITH {bm25(_batch(WORDS))}, lex AS ({top('scored', 24)}), kept AS (SELECT id, rank FROM lex JOIN documents ON doc_id = id
         WHERE (CASE WHEN source IN ('src1', 'src2') THEN starts_with(source, 'src1') ELSE lang <> 'es' END) AND len(list_filter({_list(WORDS[0])}, lambda t: contains({FOLD}, t))) >= 2)
@@ -174,3 +176,31 @@ SQL: dict[str, str] = {
     "q57_paths_under_roots": r"SELECT * FROM (VALUES ('C:\Docs\a.md'), ('/srv/docs/x/b.md')) v(path)",
     "q54_upsert": "SELECT source, count(*) AS n, sum(n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS chars FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 9 = 0 GROUP BY source",
 }
+
+_COMMITS = """c AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS sha, o_orderpriority AS repo, strftime(o_orderdate, '%Y-%m-%d') AS data, list_transform(range(1, o_orderkey % 60 + 1), lambda i: 'f' || i) AS fs FROM orders)"""
+SQL |= {
+    "q58_described_notes": "SELECT doc_id, md5(CASE WHEN source = 'src1' AND lang IS NOT NULL THEN concat_ws(chr(10) || chr(10), lang, text) ELSE text END) AS digest FROM documents",
+    "q59_month_files": f"""WITH {_COMMITS}, l AS (SELECT *, data || ' s ' || array_to_string(fs[1:25], ', ') || CASE WHEN len(fs) > 25 THEN ' (+' || (len(fs) - 25) || ')' ELSE '' END AS line FROM c)
+        SELECT repo, left(data, 7) AS month, count(*) AS commits, count(DISTINCT CASE WHEN k % 3 = 0 THEN k % 100 END) AS cards, (sum(length(line)) + count(*) - 1)::BIGINT AS chars FROM l GROUP BY ALL""",
+    "q60_citing_commits": f"WITH {_COMMITS} SELECT sha, least(len(fs), 40)::BIGINT AS files, (k % 100)::BIGINT AS card FROM c WHERE k % 3 = 0",
+    "q61_written_cases": "SELECT doc_id AS id, 'negativo' AS kind, md5(text) AS q FROM documents WHERE doc_id % 40 = 3",
+    "q62_beginnings": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), j AS (SELECT conv_id, left(string_agg(text, chr(10) ORDER BY n), 40000) AS t FROM f WHERE n <= 40 GROUP BY conv_id)
+        SELECT conv_id, length(t)::BIGINT AS chars, md5(t) AS digest FROM j""",
+    "q63_changes_by_repo": "SELECT coalesce(nullif(lang, 'fr'), '?') AS lang, count(*) AS changes FROM documents WHERE source <> 'src3' GROUP BY 1",
+    "q64_reasons": "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY event_type",
+    "q65_first_chunks": "SELECT conv_id, md5(arg_min(text, turn)) AS digest FROM conversations GROUP BY conv_id",
+    "q66_briefings": f"""WITH {ORDERS}, r AS (SELECT repo, path, data, row_number() OVER (PARTITION BY repo ORDER BY data DESC, path) AS rank FROM o WHERE data >= DATE '2001-08-01' - 10)
+        SELECT * FROM r WHERE rank <= CASE repo WHEN '1-URGENT' THEN 6 WHEN '2-HIGH' THEN 6 WHEN '3-MEDIUM' THEN 4 WHEN '5-LOW' THEN 5 ELSE 0 END""",
+    "q67_described_neighbours": """WITH t AS (SELECT DISTINCT 'part:' || l_partkey AS target FROM lineitem ORDER BY 1 LIMIT 4),
+        n AS (SELECT 'part:' || l_partkey AS target, 'order:' || l_orderkey AS neighbour, 'has' AS rel, o_orderstatus AS doc_type FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey UNION SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'from', NULL FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY rel, neighbour) AS k FROM n WHERE target IN (SELECT target FROM t) QUALIFY k <= 10)
+        SELECT target, rel, count(*) AS n, string_agg(neighbour || ' ' || coalesce(doc_type, '-'), ', ' ORDER BY k) AS listed FROM r GROUP BY target, rel""",
+    "q68_related_in_scope": f"""SELECT id, score FROM (SELECT a.vec_id AS id, {DOT} AS score FROM (SELECT * FROM embeddings WHERE vec_id > 0 AND vec_id % 7 <> 0 AND (vec_id % 5 = 0 OR vec_id % 2 = 1) ORDER BY vec_id DESC LIMIT 300) a, embeddings b WHERE b.vec_id = 0)
+        WHERE score >= 0.05 ORDER BY score DESC, id LIMIT 5""",
+    "q69_sync_marks": """WITH e AS (SELECT *, user_id % 50 AS repo, event_type = 'error' AND event_id % 200 = 0 AS failed FROM events), b AS (SELECT repo, min(ts) AS mark FROM e WHERE event_id % 10 = 0 GROUP BY repo)
+        SELECT e.repo, CASE WHEN count(*) FILTER (failed) = 0 THEN max(ts) ELSE any_value(b.mark) END AS mark, count(*) FILTER (failed) AS failures FROM e LEFT JOIN b ON e.repo = b.repo GROUP BY e.repo""",
+    "q70_telemetry": "SELECT event_type, count(*) AS n, sum(least(length(props) * 100, 500))::BIGINT AS chars FROM events GROUP BY event_type",
+    "q71_blobs": "SELECT vec_id, 4 * len(embedding) AS bytes, true AS same FROM embeddings",
+    "q72_github_labels": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '[card #' || c_custkey || ']' WHEN 1 THEN '[pr #' || c_custkey || ']' END AS label FROM customer",
+    "q73_biggest_drops": f"SELECT case_id, delta FROM ({SQL['q38_compare']}) ORDER BY delta, case_id LIMIT 10",
+}

@@ -582,3 +582,134 @@ def q56_backfill(spark, sf_dir):
 def q57_paths_under_roots(spark, sf_dir):
     paths = spark.createDataFrame([("C:\\Docs\\a.md",), ("/srv/docs/x/b.md",), ("/srv/docs2/c.md",), ("/tmp/d.md",)], "path string")
     return files.under_roots(paths, spark.createDataFrame([("c:/docs/",), ("/SRV/docs",)], "root string"))
+
+
+@query
+def q23_hybrid_diverse(spark, sf_dir):
+    rows = ranking.hybrid(lexical_hits(spark, sf_dir), vector_hits(spark, sf_dir), dated(spark, sf_dir), AS_OF, 8, per_doc=2, doc="source")
+    return rows.select("id", "score", "collapsed", F.col("place").cast("long").alias("place"))
+
+
+@query
+def q58_described_notes(spark, sf_dir):
+    source = F.when(F.col("source") == "src1", "memoria").otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(files.described(source, F.col("lang"), F.col("text"))).alias("digest"))
+
+
+def order_commits(spark, sf_dir):
+    """Orders as commits: a repository for each priority, a card for every third, up to 59 files."""
+    number = F.col("o_orderkey").cast("int")
+    listed = F.when(number % 60 > 0, F.transform(F.sequence(F.lit(1), number % 60), lambda i: F.concat(F.lit("f"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderpriority").alias("repo"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("data"), F.lit("s").alias("assunto"),
+        F.when(number % 3 == 0, F.array(number % 100)).otherwise(F.array().cast("array<int>")).alias("cards"), listed.alias("arquivos"),
+    )
+
+
+@query
+def q59_month_files(spark, sf_dir):
+    path = shared_folder(spark)
+    files.write_commit_months(order_commits(spark, sf_dir), path)
+    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
+    return rows.select("repo", F.substring(F.col("month").cast("string"), 1, 7).alias("month"), "commits", F.col("cards").cast("long").alias("cards"), F.length("text").cast("long").alias("chars"))
+
+
+@query
+def q60_citing_commits(spark, sf_dir):
+    path = shared_folder(spark)
+    files.citing_commits(order_commits(spark, sf_dir)).write.json(path)
+    return files.commit_lines(spark, path).select("sha", F.size("arquivos").cast("long").alias("files"), F.get("cards", F.lit(0)).cast("long").alias("card"))
+
+
+@query
+def q61_written_cases(spark, sf_dir):
+    path = shared_folder(spark)
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("q"), F.when(F.col("doc_id") % 2 == 0, "code").otherwise("docs").alias("source"),
+        F.when(F.col("doc_id") % 20 == 3, "negativo").otherwise("positivo").alias("kind"), F.when(F.col("doc_id") % 40 == 3, "keywords").otherwise("natural").alias("style"),
+    )
+    evaluation.write_cases(rows, path)
+    return evaluation.read_cases(spark, path, "id long, kind string, q string, source string, style string", "keywords").select("id", "kind", F.md5("q").alias("q"))
+
+
+@query
+def q62_beginnings(spark, sf_dir):
+    rows = reports.beginnings(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return rows.select("conv_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query
+def q63_changes_by_repo(spark, sf_dir):
+    return reports.changes_by_repo(table(spark, sf_dir, "documents").where("source <> 'src3'").withColumn("lang", F.nullif("lang", F.lit("fr"))), "lang")
+
+
+@query
+def q64_reasons(spark, sf_dir):
+    return reports.reasons(table(spark, sf_dir, "events"), "event_type")
+
+
+@query
+def q65_first_chunks(spark, sf_dir):
+    return reports.first_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", F.md5("text").alias("digest"))
+
+
+@query
+def q66_briefings(spark, sf_dir):
+    rows = reports.briefings(order_docs(spark, sf_dir), "repo", "data", AS_OF, {"1-URGENT": 6, "2-HIGH": 6, "3-MEDIUM": 4, "5-LOW": 5})
+    return rows.select("repo", "path", "data", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def q67_described_neighbours(spark, sf_dir):
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    part, order = F.concat(F.lit("part:"), F.col("l_partkey").cast("string")), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))
+    edges = items.select(order.alias("src"), part.alias("dst"), F.lit("has").alias("rel"))
+    edges = edges.unionByName(items.select(part.alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("from").alias("rel")))
+    docs = orders.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderstatus").alias("doc_type"))
+    rows = graph.described_neighbours(edges, items.select(part.alias("target")), docs, 10)
+    return rows.select("target", "rel", "n", F.array_join("listed", ", ").alias("listed"))
+
+
+@query
+def q68_related_in_scope(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where("vec_id > 0").select(
+        F.col("vec_id").alias("id"), F.col("vec_id").alias("ts"), F.col("embedding").alias("v"),
+        F.when(F.col("vec_id") % 5 > 0, F.col("vec_id") % 2).alias("scope"), F.when(F.col("vec_id") % 7 == 0, F.col("vec_id") + 1).alias("superseded_by"),
+    )
+    return vector.related_decisions(rows, query_vector(spark, sf_dir).select(F.col("query").alias("q")), 1, 0.05)
+
+
+@query
+def q69_sync_marks(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumns({"repo": F.col("user_id") % 50, "failed": (F.col("event_type") == "error") & (F.col("event_id") % 200 == 0)})
+    before = events.where("event_id % 10 = 0").groupBy("repo").agg(F.min("ts").alias("mark"))
+    return incremental.marks(events, before, "repo", "ts", "failed")
+
+
+@query
+def q70_telemetry(spark, sf_dir):
+    from ..sources.snapshots import append_calls
+
+    path = shared_folder(spark)
+    calls = table(spark, sf_dir, "events").select("event_id", "event_type", F.repeat("props", 100).alias("args"))
+    append_calls(calls.where("event_id % 2 = 0"), path)
+    append_calls(calls.where("event_id % 2 = 1"), path)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.length("args")).alias("chars"))
+
+
+@query
+def q71_blobs(spark, sf_dir):
+    rows = vector.unpacked(vector.blobs(table(spark, sf_dir, "embeddings")))
+    return rows.select("vec_id", F.length("blob").cast("long").alias("bytes"), (F.col("vector") == F.col("embedding")).alias("same"))
+
+
+@query
+def q72_github_labels(spark, sf_dir):
+    key = F.concat(F.when(F.col("c_custkey") % 3 == 0, "card:").when(F.col("c_custkey") % 3 == 1, "pr:").otherwise("doc:"), F.lit("r#"), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.github_label(key).alias("label"))
+
+
+@query
+def q73_biggest_drops(spark, sf_dir):
+    rows = evaluation.by_drop(evaluation.compare(expected_ranks(spark, sf_dir, 10), expected_ranks(spark, sf_dir, 2)))
+    return rows.limit(10).select(F.col("case_id").cast("long").alias("case_id"), "delta")

@@ -1,14 +1,25 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name under the one that the session names for checkpoints; under one of our own if it names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corvane-")
-    return f"{top}/{uuid.uuid4().hex}"
+    """A new folder's name under the one that the session names for checkpoints. Where it names none, a master on this
+    machine alone has one of its own; a cluster has to name one.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{top or tempfile.mkdtemp(prefix='corvane-')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what is read more than once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

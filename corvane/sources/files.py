@@ -186,3 +186,19 @@ def rewritten(text: Column, block: Column, begin: str = "<!-- auto:begin -->", e
     before, after = F.substring_index(text, begin, 1), F.substring_index(text, end, -1)
     new = F.concat(F.lit(begin + "\n"), block, F.lit("\n" + end))
     return F.when(has, F.concat(before, new, after)).otherwise(F.concat(text, F.lit("\n"), new))
+
+
+def described(source: Column, description: Column, text: Column) -> Column:
+    """The text of a note of the kind ``memoria`` after its description, any other as it is."""
+    return F.when((source == "memoria") & description.isNotNull(), F.concat_ws("\n\n", description, text)).otherwise(text)
+
+
+def write_commit_months(rows: DataFrame, path: str, files: int = 25) -> None:
+    """One text for each repository and month, in a folder of its own; months that are written again replace themselves."""
+    months = commit_months(rows, files)
+    months.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("repo", "month").parquet(path)
+
+
+def citing_commits(rows: DataFrame, files: int = 40) -> DataFrame:
+    """Commits that cite a card, with at most ``files`` files each, as they are written line by line."""
+    return rows.where(F.size("cards") > 0).withColumn("arquivos", F.slice("arquivos", 1, files))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save(df: DataFrame, root: str, name: str, version: int, partition: list[str] | None = None) -> str:
@@ -27,3 +28,15 @@ def replaced(old: DataFrame, new: DataFrame, key: str, removed: DataFrame | None
     if removed is not None:
         kept = kept.join(removed.select(key), key, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
+
+
+def append_calls(calls: DataFrame, path: str, args: str = "args", width: int = 500) -> None:
+    """Add calls to the telemetry, their arguments cut to ``width`` characters."""
+    calls.withColumn(args, F.substring(args, 1, width)).write.mode("append").parquet(path)
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Empty tables, keeping their schemas; all others stay as they are."""
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -37,3 +37,11 @@ def newest(state: DataFrame, updates: DataFrame, key: str, updated: str) -> Data
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Everything that has arrived, in micro-batches, then stop; a rerun goes on where the last one ended."""
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def marks(items: DataFrame, before: DataFrame, repo: str, updated: str, failed: str) -> DataFrame:
+    """repo, mark, failures: how far each repository is read. A failure keeps its own mark where it was and no other one."""
+    now = items.groupBy(repo).agg(F.max(updated).alias("_to"), F.count_if(failed).alias("failures"))
+    rows = now.join(before.select(repo, F.col("mark").alias("_from")), repo, "full")
+    mark = F.when(F.coalesce("failures", F.lit(0)) == 0, F.greatest("_to", "_from")).otherwise(F.col("_from"))
+    return rows.select(repo, mark.alias("mark"), F.coalesce("failures", F.lit(0)).alias("failures"))
