@@ -88,7 +88,7 @@ def _hybrid(fused: str, diverse: bool = False) -> str:
 
 
 SQL: dict[str, str] = {
-    "q01_fold_slug_title": rf"""SELECT doc_id, left({FOLD}, 80) AS folded, {_slug('title')} AS slug, title FROM (SELECT *, {TITLE} AS title FROM (
+    "q01_fold_slug_title": rf"""SELECT doc_id, md5({FOLD}) AS folded, {_slug('title')} AS slug, title FROM (SELECT *, {TITLE} AS title FROM (
         SELECT *, CASE WHEN regexp_matches(text, '(?s)[.!?]\s') THEN regexp_extract(text, '(?s)^(.*?[.!?])\s', 1) ELSE text END AS f FROM documents))""",
     "q02_query_tokens": f"SELECT item_id, array_to_string({_tokens()}, ' ') AS tokens FROM benchmark",
     "q03_synonym_expansion": f"""SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(t, flatten(list_transform(t, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {_list(v)}" for k, v in SYNONYMS.items())} ELSE []::VARCHAR[] END))))), ' ') AS tokens
@@ -104,7 +104,7 @@ SQL: dict[str, str] = {
     "q08_mentions": f"""WITH {DATED}, f AS (SELECT doc_id, source, data, len(list_intersect({TERMS}, ['ention', 'thndly'])) AS n FROM dated)
         SELECT doc_id, source, data FROM f WHERE n >= CASE WHEN (SELECT max(n) FROM f) = 2 THEN 2 ELSE 1 END ORDER BY data DESC NULLS LAST, doc_id LIMIT 15""",
     "q10_catalogue": f"""WITH {ORDERS} SELECT feature, repo, max(CASE WHEN status = 'arquivado' THEN 1 ELSE 0 END)::BIGINT AS archived, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS kinds, count(*) AS n_docs, max(data) AS last_date FROM o GROUP BY ALL""",
-    "q11_timeline": f"WITH {ORDERS} SELECT path, doc_type, data, row_number() OVER (ORDER BY CASE doc_type WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, path) AS place FROM o WHERE o_custkey = 7",
+    "q11_timeline": f"WITH {ORDERS} SELECT o_custkey, path, doc_type, data, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE doc_type WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, path) AS place FROM o",
     "q12_recent_activity": f"""WITH {ORDERS}, r AS (SELECT *, CASE repo WHEN '1-URGENT' THEN 25 WHEN '2-HIGH' THEN 10 ELSE 5 END AS cap, row_number() OVER (PARTITION BY repo ORDER BY data DESC, path) AS rank, count(*) OVER (PARTITION BY repo) AS n FROM o WHERE data >= DATE '{AS_OF}' - 7)
         SELECT repo, path, data, rank, greatest(0, n - cap)::BIGINT AS more FROM r WHERE rank <= cap""",
     "q14_vector_topk_filtered": f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label IN (1, 2, 3)) QUALIFY rank <= 60",
@@ -134,8 +134,8 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'nation:' || c_nationkey, c_custkey + 10000000, 'customer', 'c', CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_acctbal < 0 THEN 'poor' END FROM customer)
         SELECT key, first(kind ORDER BY seq) AS kind, first(repo ORDER BY seq) AS repo, last(title ORDER BY seq) FILTER (title IS NOT NULL) AS title, last(status ORDER BY seq) FILTER (status IS NOT NULL) AS status FROM c GROUP BY key""",
     "q26_distinct_edges": f"SELECT rel, count(*) AS edges, count(DISTINCT dst) AS targets FROM (SELECT DISTINCT * FROM ({EDGES}) WHERE src <> dst) GROUP BY rel",
-    "q27_round_robin": """WITH n AS (SELECT DISTINCT 'part:' || l_partkey AS target, 'order:' || l_orderkey AS neighbour, 'in' AS direction, 2 AS k FROM lineitem WHERE l_partkey < 20
-        UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'out', 1 FROM lineitem WHERE l_partkey < 20), t AS (SELECT *, row_number() OVER (PARTITION BY target, k ORDER BY neighbour) AS turn FROM n)
+    "q27_round_robin": """WITH n AS (SELECT DISTINCT 'part:' || l_partkey AS target, 'order:' || l_orderkey AS neighbour, 'in' AS direction, 2 AS k FROM lineitem
+        UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'out', 1 FROM lineitem), t AS (SELECT *, row_number() OVER (PARTITION BY target, k ORDER BY neighbour) AS turn FROM n)
         SELECT target, neighbour, direction, row_number() OVER (PARTITION BY target ORDER BY turn, k) AS place FROM t WHERE target IN (SELECT 'part:' || p_partkey FROM part) QUALIFY place <= 6""",
     "q28_unique_citations": "SELECT * FROM (VALUES ('a', 'src/lib/x.ts', 'p/src/lib/x.ts'), ('a', 'y.py', 'p/y.py'), ('b', 'lib/x.ts', 'p/src/lib/x.ts'), ('c', 'other/deep/x.ts', 'p/other/deep/x.ts'), ('c', 'lib/x.ts', 'p/src/lib/x.ts')) v(doc, cited, target)",
     "q29_explicit_refs": "SELECT * FROM (VALUES ('a', 101, 'card:r1#101'), ('b', 102, 'pr:r2#102'), ('c', 103, 'card:r3#103')) v(doc, number, target)",
