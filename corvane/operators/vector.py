@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,8 +15,8 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.text import terms
 
 
-#: Queries of a batch that are broadcast at once.
-HELD = 10_000
+#: Queries of a batch that tasks hold at once, and vectors that meet them in one go.
+HELD, STRIP = 10_000, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,8 +57,10 @@ def hashing_encoder(text: Column, dims: int = 384) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 60, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score, rank): for each query its ``k`` nearest vectors by dot product, ties to the smaller id.
 
-    ``queries`` (query_id, query) is a stated set against all rows. It is counted first: up to ``HELD`` queries are
-    broadcast, more go in parts of about that size. Every task keeps ``k`` rows of a query before anything is shuffled.
+    ``queries`` (query_id, query) is a stated set against all rows. It is counted first: up to ``HELD`` queries go to
+    every task, more go in parts of about that size. A task multiplies strips of vectors with all queries and keeps
+    ``k`` rows of each, so that no more than these are shuffled. Scores have six decimals. Null vectors, those of another
+    length than the query and those with a null or non-finite component are near nothing.
     """
     n = queries.count()
     if n > HELD:
@@ -69,8 +72,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 60, vector_col: str =
 
 
 def _top_k(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str, id_col: str) -> DataFrame:
-    pairs = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries), how="cross")
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("query")), 6).alias("score"))
+    asked = queries.where("query IS NOT NULL").collect()  # HELD at most, as counted
+    sizes = {len(r["query"]) for r in asked}
+    matrices = {d: ([r["query_id"] for r in asked if len(r["query"]) == d], np.array([r["query"] for r in asked if len(r["query"]) == d], dtype=np.float64)) for d in sizes}
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``k`` of each row, by score and then by id."""
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {d: (np.full((len(m), 0), -np.inf), np.empty((len(m), 0), dtype=np.int64)) for d, (_, m) in matrices.items()}
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            for d, (_, queried) in matrices.items():
+                some = np.flatnonzero(lengths == d)
+                for at in range(0, len(some), STRIP):
+                    part = batch.take(pa.array(some[at : at + STRIP]))
+                    ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                    sound = np.isfinite(v).all(axis=1)
+                    scores = np.floor(queried @ v[sound].T * 1e6 + 0.5) / 1e6
+                    held, names = kept[d]
+                    kept[d] = best(np.hstack([held, scores]), np.hstack([names, np.broadcast_to(ids[sound], scores.shape)]))
+        for d, (names, _) in matrices.items():
+            scores, ids = kept[d]
+            columns = [pa.array(np.repeat(names, scores.shape[1]), pa.int64()), pa.array(ids.ravel()), pa.array(scores.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+
+    scored = rows.mapInArrow(run, "query_id long, id long, score double").withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

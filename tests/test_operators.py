@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,52 @@ def test_filters_reach_the_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = docs.where("source = 'src1'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src1)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_nearest_vectors_against_brute_force(spark):
+    """Ties, repeated rows, nulls, other lengths and odd components."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(300)]
+    rows += [rows[7], (900, None), (901, []), (902, [1.0]), (903, [float("nan"), 1.0, 1.0, 1.0]), (904, [None, 1.0, 1.0, 1.0])]
+    asked = [(0, [1.0, 0.5, 0.0, -1.0]), (1, [0.0] * 4), (2, [3.0]), (3, None)]
+    schema = "vec_id long, embedding array<float>"
+    got = vector.top_k(spark.createDataFrame(rows, schema).repartition(5), spark.createDataFrame(asked, "query_id int, query array<float>"), 6)
+    want = []
+    for q, v in asked:
+        near = sorted((-round(sum(a * b for a, b in zip(x, v, strict=True)), 6), i) for i, x in rows if v is not None and x is not None and len(x) == len(v) and None not in x and not any(map(math.isnan, x)))
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(near[:6])]
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+    assert vector.top_k(spark.createDataFrame([], schema), spark.createDataFrame(asked, "query_id int, query array<float>"), 6).count() == 0
+
+
+def test_marks_move_only_past_success(spark):
+    items = spark.createDataFrame([("a", 5, False), ("a", 9, False), ("b", 7, True), ("b", 8, False), ("c", 1, True)], "repo string, ts int, failed boolean")
+    before = spark.createDataFrame([("a", 6), ("b", 2), ("d", 4)], "repo string, mark int")
+    got = {tuple(r) for r in incremental.marks(items, before, "repo", "ts", "failed").collect()}
+    assert got == {("a", 9, 0), ("b", 2, 1), ("c", None, 1), ("d", 4, 0)}
+
+
+def test_case_sets_that_lack_something_are_not_written(spark, tmp_path):
+    cases = spark.createDataFrame([(i, "code", "negativo" if i < 2 else "positivo", "keywords" if i % 2 else "natural") for i in range(8)], "id long, source string, kind string, style string")
+    with pytest.raises(ValueError, match="fewer than 60"):
+        evaluation.write_cases(cases, f"{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
+    evaluation.write_cases(cases, f"{tmp_path}/some", 5)
+    assert evaluation.read_cases(spark, f"{tmp_path}/some", "id long, kind string, source string, style string", "keywords").count() == 4
+
+
+def test_cleared_tables_keep_their_schema(spark, tmp_path):
+    for name in ("one", "other"):
+        spark.range(3).write.parquet(f"{tmp_path}/{name}")
+    snapshots.clear(spark, [f"{tmp_path}/one"])
+    assert spark.read.parquet(f"{tmp_path}/one").count() == 0 and spark.read.parquet(f"{tmp_path}/one").columns == ["id"]
+    assert spark.read.parquet(f"{tmp_path}/other").count() == 3
+
+
+def test_one_index_serves_several_searches(spark):
+    docs = spark.createDataFrame([(1, "red fish", "a"), (2, "blue fish fish", "red"), (3, None, "b")], "doc_id long, text string, title string")
+    fields = {"text": 1.0, "title": 5.0}
+    built = lexical.index(docs, fields)
+    for words in (["red"], ["fish", "blue"]):
+        batch = lexical.queries_of(spark, {0: words})
+        assert sorted(lexical.bm25(docs, batch, fields).collect()) == sorted(lexical.bm25(docs, batch, fields, indexed=built).collect())
