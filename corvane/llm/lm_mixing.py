@@ -30,8 +30,9 @@ GATES = (len(WHOLE) + 1) * (len(LAST) + 1) * 8
 #: Weights before any is learned; steps and range of the last table, in log odds.
 FIRST = np.array([0.0, 0.0, 0.05, 0.1, 0.25, 0.6])
 STEPS, RANGE = 33, 8.0
-#: Tokens that every executor holds at most, with their scores; bytes that are looked at, and counted, in one go.
-FREQUENT, AT_ONCE, COUNTED = 1 << 17, 1 << 16, 1 << 18
+#: Tokens that every executor holds at most, with their scores; bytes that are looked at, and counted, in one go;
+#: distinct tokens that one task learns from.
+FREQUENT, AT_ONCE, COUNTED, LEARNED = 1 << 17, 1 << 16, 1 << 18, 1 << 18
 #: Stands for the end of a text; no word contains it.
 END = b"\n"
 _KEYS = constants(8, 11)
@@ -180,6 +181,7 @@ def learn(vocabulary: DataFrame, table: np.ndarray, rate: float) -> tuple[np.nda
 
     Every task learns online over its own training tokens, each occurrence judged without itself in the counts;
     the tasks' weights are then averaged by how many bits they saw, and what their tables counted is added up.
+    ``vocabulary`` is ``dealt``, so that every run learns from the same tokens in the same order.
     """
     sc = vocabulary.sparkSession.sparkContext
     shared = sc.broadcast(table)
@@ -205,13 +207,14 @@ def learn(vocabulary: DataFrame, table: np.ndarray, rate: float) -> tuple[np.nda
                 steps += np.bincount(at, by, GATES * STEPS)
                 ones += np.bincount(at, by * bit, GATES * STEPS)
         parts = (weights * used[:, None], used, steps, ones)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in parts]).tobytes()], pa.binary())], names=["parts"])
+        whole = np.concatenate([x.ravel() for x in parts]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([whole], pa.binary())], names=["part", "parts"])
 
-    rows = vocabulary.where("trained > 0").select("token", "trained").mapInArrow(run, "parts binary")
+    rows = vocabulary.where("trained > 0").select("token", "trained").mapInArrow(run, "part int, parts binary")
     # a row is some 25 kB whatever its task saw; a sum of them is, too
-    total = rows.groupBy((F.spark_partition_id() / 64).cast("int")).applyInPandas(_sum_parts, "parts binary").collect()
+    total = rows.groupBy((F.col("part") / 64).cast("int")).applyInPandas(_sum_parts, "part int, parts binary").collect()
     shared.unpersist()
-    flat = sum((np.frombuffer(r["parts"]) for r in total), np.zeros(GATES * (CONTEXTS + 1 + 2 * STEPS)))
+    flat = sum((np.frombuffer(r["parts"]) for r in sorted(total)), np.zeros(GATES * (CONTEXTS + 1 + 2 * STEPS)))
     weights, used, steps, ones = np.split(flat, np.cumsum([GATES * CONTEXTS, GATES, GATES * STEPS]))
     weights = np.where(used[:, None] > 0, weights.reshape(GATES, CONTEXTS) / np.maximum(used, 1)[:, None], FIRST)
     prior = np.tile(squash(np.linspace(-RANGE, RANGE, STEPS)), GATES)
@@ -219,7 +222,13 @@ def learn(vocabulary: DataFrame, table: np.ndarray, rate: float) -> tuple[np.nda
 
 
 def _sum_parts(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"parts": [sum(np.frombuffer(x) for x in rows["parts"]).tobytes()]})
+    rows = rows.sort_values("part")
+    return rows.head(1).assign(parts=[sum(np.frombuffer(x) for x in rows["parts"]).tobytes()])
+
+
+def dealt(vocabulary: DataFrame, parts: int) -> DataFrame:
+    """``vocabulary`` in ``parts`` partitions by token, each in order of tokens: the same for every run, whatever came first."""
+    return vocabulary.repartition(parts, "token").sortWithinPartitions("token")
 
 
 def score_tokens(vocabulary: DataFrame, table: np.ndarray, weights: np.ndarray, last: np.ndarray) -> DataFrame:
@@ -291,7 +300,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     Texts with crc32(id) mod ``folds`` equal to ``fold`` are held out, all others teach. Tokens are words with A-Z
     lower-cased, then one end. base_score is the add-one unigram log10 probability, score that of the mixing model.
     Null and empty texts have the end alone. A null id teaches. Repeated rows count and are scored as often as they
-    are there. With no training text, all contexts are unseen and each bit costs one bit.
+    are there. With no training text, all contexts are unseen and each bit costs one bit. Reruns agree, in any order
+    of rows: weights are learned from tokens dealt and sorted by themselves.
 
     Frequent tokens, at most ``FREQUENT``, are scored where the text is; rarer ones meet their scores in a join.
     """
@@ -301,7 +311,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     facts = vocabulary.agg(F.sum("trained").alias("n"), F.count_if(F.col("trained") > 0).alias("v")).first()
     n, v = facts["n"] or 0, facts["v"] or 0
     table = count_bits(vocabulary)
-    weights, last = learn(vocabulary, table, rate)
+    weights, last = learn(dealt(vocabulary, v // LEARNED + 1), table, rate)
     scored = staged(score_tokens(vocabulary, table, weights, last))
     known = {bytes(r["token"]): (r["trained"], r["logp"]) for r in frequent(scored).collect()}
     spread = docs.sparkSession.sparkContext.broadcast(known)

@@ -543,6 +543,19 @@ def test_lm_base_scores(spark, none):
     assert lm_mixing.score(none).count() == 0
 
 
+def test_lm_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "LEARNED", 40)  # several tasks
+    rng = random.Random(8)
+    pool = [f"{a}{b}" for a in ("in", "out", "over", "Under", "re") for b in ("go", "take", "look", "come", "1", "22", "ing", "er")] * 5
+    docs = [(i, " ".join(rng.choices(pool, k=rng.randint(1, 60)) + [f"w{i}"])) for i in range(150)]
+    schema = "doc_id long, text string"
+    scores = lambda df: {r.doc_id: r.score for r in lm_mixing.score(df).collect()}
+    one = scores(spark.createDataFrame(docs, schema).repartition(3))
+    rng.shuffle(docs)
+    other = scores(spark.createDataFrame(docs, schema).repartition(7))
+    assert one.keys() == other.keys() and all(one[i] == pytest.approx(other[i], rel=1e-9) for i in one)
+
+
 def test_lm_odd_rows_and_rare_path(odd, monkeypatch):
     rows = lambda: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 3), round(r.score, 3)) for r in lm_mixing.score(odd).collect())
     whole = rows()
