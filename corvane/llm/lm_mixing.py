@@ -1,8 +1,11 @@
 """LM scoring by logistic context mixing: hashed-context bit predictors, gated weights, an adaptive last step.
 
-The model spells each token bit by bit. What it knows of a bit comes from counts under several contexts inside the
-token, gathered over all training tokens; weights learned online combine them, and a table refines the result. A
-token's probability depends on its spelling alone, so each distinct token is scored once, however often it occurs.
+A token's first bit says whether it is the one that most often followed the two tokens before it in the training
+texts; counts of every such place in them are gathered in a table that grows with the input, and how often they were
+right, by how much was seen, is that bit's probability. A token that is not told so is spelled bit by bit. What the
+model knows of these bits comes from counts under several contexts inside the token, gathered over all training
+tokens; weights learned online combine them, and a table refines the result. A token's spelling costs the same
+wherever it stands, so each distinct token is spelled once, however often it occurs.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -19,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, constants, staged
+from .common import _LOWER, constants, release, staged
 
 #: Contexts: none, the last one to four bytes, all bytes of the token so far. Slots of each context's table, and of
 #: the blocks in which tables travel; with 8 bytes a slot this bounds what is broadcast to 50 MB.
@@ -33,6 +38,11 @@ STEPS, RANGE = 33, 8.0
 #: Tokens that every executor holds at most, with their scores; bytes that are looked at, and counted, in one go;
 #: distinct tokens that one task learns from.
 FREQUENT, AT_ONCE, COUNTED, LEARNED = 1 << 17, 1 << 16, 1 << 18, 1 << 18
+#: Bytes of text whose places are counted together before they are sent; places that meet in one group.
+BLOCK_BYTES, MET = 1 << 22, 1 << 21
+#: Classes of how often a place was followed by its first token, and by others; each class of both has two codes.
+FIRST_SEEN, OTHERS_SEEN = np.array([2, 3, 5, 17]), np.array([1, 2, 4, 16])
+CODES = 1 + 2 * (len(FIRST_SEEN) + 1) * (len(OTHERS_SEEN) + 1)
 #: Stands for the end of a text; no word contains it.
 END = b"\n"
 _KEYS = constants(8, 11)
@@ -281,6 +291,148 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("trained").alias("trained"), F.sum("found").alias("found"))
 
 
+class _Hashes(dict):
+    """64-bit hashes of tokens, those of about a million at a time."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[token] = x = int.from_bytes(blake2b(token, digest_size=8).digest(), "little")
+        return x
+
+
+@dataclass
+class Places:
+    """Where the tokens of some texts stand: after which two, and which they are, as keys of 64 bits.
+
+    A key has 40 bits of the two tokens before, 23 of the token, and one that tells held-out texts; further bits of the
+    two tokens before choose the group in which keys meet. ``keys`` are distinct, in order of groups.
+    """
+
+    words: list[list[bytes]]
+    starts: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+    group: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes | None], held: list[bool], groups: int, hashes: _Hashes) -> Places:
+        words = [[*_tokens(t), END] for t in texts]
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes) - sizes
+        token = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+        one, two = np.full(len(token), _KEYS[0]), np.full(len(token), _KEYS[0])
+        one[1:], two[2:] = token[:-1], token[:-2]
+        one[starts] = two[starts] = two[starts[sizes > 1] + 1] = _KEYS[0]
+        before = one * _KEYS[1] + (two ^ (two >> np.uint64(31))) * _KEYS[2]
+        before = (before ^ (before >> np.uint64(29))) * _KEYS[3]
+        before ^= before >> np.uint64(32)
+        key = before << np.uint64(24) | (token >> np.uint64(41)) << np.uint64(1) | np.repeat(np.array(held, dtype=np.uint64), sizes)
+        keys, first, at, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        group = ((before[first] >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        moved = np.empty_like(order)
+        moved[order] = np.arange(len(order))
+        return cls(words, starts, keys[order], counts[order], group[order], moved[at])
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """block, ids, held, texts: the rows of ``docs`` put together, a block at ``BLOCK_BYTES`` of text."""
+    names = ["block", "ids", "held", "texts"]
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], k) for x, k in zip(rows, kinds, strict=True))], names=names)
+
+        block, rows, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                for held, x in zip(rows, row, strict=True):
+                    held.append(x)
+                size += len(row[2] or b"") + 64
+                if size >= BLOCK_BYTES:
+                    yield out()
+                    block, rows, size = block + 1, ([], [], []), 0
+        if size:
+            yield out()
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "block long, ids array<long>, held array<boolean>, texts array<binary>")
+
+
+def meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """What the training texts say of each key of one group: a code, 0 where they say nothing.
+
+    A training text's place is judged without itself. Of tokens that followed equally often, the one with the smaller
+    hash comes first. ``tally`` has how often training places got each code, in the group's first row.
+    """
+    sizes = [len(x) // 8 for x in rows["keys"]]
+    keys = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64)
+    by = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint32)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    trains = keys & np.uint64(1) == 0
+    by = np.where(trains, by[order], 0).astype(np.int64)
+    numbered = lambda x: np.cumsum(np.concatenate([[0], x[1:] != x[:-1]]))
+    pair, place = numbered(keys >> np.uint64(1)), numbered(keys >> np.uint64(24))
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    n, of = np.add.reduceat(by, first), place[first]
+    ranked = np.lexsort((-n, of))
+    start = np.flatnonzero(np.diff(of, prepend=-1))
+    total, best = np.add.reduceat(n, start), ranked[start]
+    has_two = np.diff(np.append(start, len(of))) > 1
+    second = np.where(has_two, ranked[np.minimum(start + 1, len(of) - 1)], best)
+    n_second = np.where(has_two, n[second], 0)
+    says, much, rest = best[place], n[best][place], total[place] - trains
+    own = trains & (says == pair)
+    much = much - own
+    other = own & ((n_second[place] > much) | ((n_second[place] == much) & (second[place] < says)))
+    says, much = np.where(other, second[place], says), np.where(other, n_second[place], much)
+    kind = np.searchsorted(FIRST_SEEN, much, "right") * (len(OTHERS_SEEN) + 1) + np.searchsorted(OTHERS_SEEN, rest - much, "right")
+    code = np.where(much > 0, 1 + 2 * kind + (says == pair), 0)
+    out = np.empty(len(keys), dtype=np.uint8)
+    out[order] = code
+    ends = np.cumsum(sizes)
+    tally = np.bincount(code, by, CODES).astype(np.int64)
+    return pd.DataFrame({
+        "block": rows["block"], "part": rows["part"], "codes": [out[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)],
+        "tally": [tally if i == 0 else None for i in range(len(rows))],
+    })
+
+
+def foretold(texts: DataFrame, groups: int) -> tuple[DataFrame, np.ndarray]:
+    """(block, codes): the codes of each block's keys, and the base-10 logarithm of what each code's bit costs.
+
+    Keys are counted in each block before they are sent, so a place that many texts have is one row a block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, _, held, text = (c[i].as_py() for c in batch.columns)
+                places = Places.of(text, held, groups, hashes)
+                cuts = np.flatnonzero(np.diff(places.group, prepend=-1))
+                runs = list(zip(cuts, [*cuts[1:], len(places.group)], strict=True))
+                cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in runs], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(runs), pa.int64()), pa.array(places.group[cuts], pa.int64()), cut(places.keys, np.uint64), cut(places.counts, np.uint32)],
+                    names=["block", "part", "keys", "counts"],
+                )
+
+    sent = texts.mapInArrow(run, "block long, part long, keys binary, counts binary")
+    told = staged(sent.groupBy("part").applyInPandas(meet, "block long, part long, codes binary, tally array<long>"))
+    tally = np.zeros(CODES)
+    for r in told.where("tally IS NOT NULL").select(F.posexplode("tally").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n")).collect():
+        tally[r["code"]] = r["n"]
+    missed, hit = tally[1::2], tally[2::2]
+    right = (hit + 0.4) / (hit + missed + 0.8)
+    cost = np.zeros(CODES)
+    cost[1::2], cost[2::2] = np.log10(1 - right), np.log10(right)
+    return told.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("codes")), cost
+
+
 def frequent(scored: DataFrame) -> DataFrame:
     """The most frequent tokens, at most ``FREQUENT``: all above the least frequency, in steps, that so few reach."""
     level = F.floor(F.log2("found") * 16).cast("int")
@@ -303,12 +455,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     are there. With no training text, all contexts are unseen and each bit costs one bit. Reruns agree, in any order
     of rows: weights are learned from tokens dealt and sorted by themselves.
 
-    Frequent tokens, at most ``FREQUENT``, are scored where the text is; rarer ones meet their scores in a join.
+    Texts go in blocks. What followed each pair of tokens is counted in tables of keys, which meet in groups of about
+    ``MET`` and send each block the codes of its own. Frequent tokens, at most ``FREQUENT``, are scored where the text
+    is; rarer ones meet their scores in a join. A token that was foretold is not spelled; that spelling it would have been
+    possible, too, is a small waste that makes no score too good.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held)
     vocabulary = staged(count_tokens(base))
-    facts = vocabulary.agg(F.sum("trained").alias("n"), F.count_if(F.col("trained") > 0).alias("v")).first()
+    facts = vocabulary.agg(F.sum("trained").alias("n"), F.count_if(F.col("trained") > 0).alias("v"), F.sum("found").alias("everything")).first()
     n, v = facts["n"] or 0, facts["v"] or 0
     table = count_bits(vocabulary)
     weights, last = learn(dealt(vocabulary, v // LEARNED + 1), table, rate)
@@ -316,39 +471,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     known = {bytes(r["token"]): (r["trained"], r["logp"]) for r in frequent(scored).collect()}
     spread = docs.sparkSession.sparkContext.broadcast(known)
     floor = math.log10(n + v + 1)
+    whole, groups = staged(blocks(base)), (facts["everything"] or 0) // MET + 1
+    codes, cost = foretold(whole, groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = {t: (c > 0, math.log10(c + 1) - floor, p) for t, (c, p) in spread.value.items()}.get
-        row = TaskContext.get().partitionId() << 40
-        rare = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
+        row, hashes = TaskContext.get().partitionId() << 40, _Hashes()
+        rare = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64()), ("spelled", pa.int64())]))
         names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score", "rare"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for i in range(batch.num_rows):
+                ids, held, text, told = (batch.column(c)[i].as_py() for c in ("ids", "held", "texts", "codes"))
+                places = Places.of(text, held, groups, hashes)
+                code = np.frombuffer(b"".join(x["codes"] for x in sorted(told, key=lambda x: x["part"])), dtype=np.uint8)[places.at]
+                bits = np.add.reduceat(cost[code], places.starts)
+                hit = ((code > 0) & (code % 2 == 0)).tolist()
                 out = [[] for _ in names[3:]]
-                for text in part.column(1).cast(pa.binary()).to_pylist():
-                    words = _tokens(text)
-                    known, low, high, left = 0, 0.0, 0.0, []
-                    for token, times in Counter([*words, END]).items():
-                        if hit := get(token):
-                            known, low, high = known + times * hit[0], low + times * hit[1], high + times * hit[2]
+                for words, start, first, size in zip(places.words, places.starts.tolist(), bits.tolist(), map(len, (t or b"" for t in text)), strict=True):
+                    known, low, high, left = 0, 0.0, first, []
+                    right = Counter(compress(words, hit[start : start + len(words)]))
+                    for token, times in Counter(words).items():
+                        spelled = times - right[token] if token in right else times
+                        if at := get(token):
+                            known, low, high = known + times * at[0], low + times * at[1], high + spelled * at[2]
                         else:
-                            left.append({"token": token, "times": times})
-                    for x, y in zip(out, (len(words) + 1, len(text or b""), known, low, high, left), strict=True):
+                            left.append({"token": token, "times": times, "spelled": spelled})
+                    for x, y in zip(out, (len(words), size, known, low, high, left), strict=True):
                         x.append(y)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare)
                 columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
-                rows = pa.array(range(row, row + part.num_rows), pa.int64())
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([rows, part.column(0), part.column(2), *columns], names=names)
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare array<struct<token:binary,times:long>>"
-    texts = staged(base.mapInArrow(run, schema))
-    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times").join(scored, "token")
+                rows = pa.array(range(row, row + len(ids)), pa.int64())
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *columns], names=names)
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare array<struct<token:binary,times:long,spelled:long>>"
+    texts = staged(whole.join(codes, "block").mapInArrow(run, schema))
+    release(whole)
+    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times", "r.spelled").join(scored, "token")
     rest = rare.groupBy("row").agg(
         F.sum(F.when(F.col("trained") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * (F.log10(F.col("trained") + 1.0) - floor)).alias("more_base"),
-        F.sum(F.col("times") * F.col("logp")).alias("more_score"),
+        F.sum(F.col("spelled") * F.col("logp")).alias("more_score"),
     )
     rows = texts.drop("rare").join(rest, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))

@@ -543,6 +543,57 @@ def test_lm_base_scores(spark, none):
     assert lm_mixing.score(none).count() == 0
 
 
+def test_lm_places_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "BLOCK_BYTES", 2000)
+    rng = random.Random(5)
+    docs = [(i, i % 7 == 2, " ".join(rng.choices("a b c d e f g h i j k l m n o p".split(), [2 ** -j for j in range(16)], k=rng.choice([0, 1, 2, 9, 40])))) for i in range(300)] + [(300 + i, i % 5 == 0, "one line that many texts have") for i in range(60)]
+    docs += [(400, False, None), (401, True, "")]
+    whole = lm_mixing.blocks(spark.createDataFrame(docs, "doc_id long, held_out boolean, text string").repartition(3)).cache()
+    codes, cost = lm_mixing.foretold(whole, 9)
+    follows = {}
+    split = lambda t: [None, None, *(t or "").encode().split(), lm_mixing.END]
+    for _, held, text in docs:
+        w = split(text)
+        for x, y, z in zip(w, w[1:], w[2:]):
+            follows.setdefault((x, y), Counter())[z] += not held
+    hashes, seen, used = lm_mixing._Hashes(), 0, Counter()
+    classes = lambda m, r: sum(m >= s for s in (2, 3, 5, 17)) * 5 + sum(r >= s for s in (1, 2, 4, 16))
+    for r in whole.join(codes, "block").collect():
+        places = lm_mixing.Places.of(r.texts, r.held, 9, hashes)
+        got = iter(np.frombuffer(b"".join(x["codes"] for x in sorted(r.codes, key=lambda x: x["part"])), dtype=np.uint8)[places.at].tolist())
+        for held, text in zip(r.held, r.texts):
+            w = split(text.decode() if text is not None else None)
+            for x, y, z in zip(w, w[1:], w[2:]):
+                c = follows[x, y] - Counter([] if held else [z])
+                n, _, says = max(((n, -(hashes[t] >> 41), t) for t, n in c.items()), default=(0, 0, b""))
+                code = next(got)
+                assert code == (1 + 2 * classes(n, sum(c.values()) - n) + (says == z) if n > 0 else 0)
+                used[code], seen = used[code] + (not held), seen + 1
+    assert seen == sum(len(split(t)) - 2 for *_, t in docs) and len(used) > 15
+    for code in used.keys() - {0}:
+        hit, missed = (used[code], used[code - 1]) if code % 2 == 0 else (used[code + 1], used[code])
+        p = (hit + 0.4) / (hit + missed + 0.8)
+        assert cost[code] == pytest.approx(math.log10(p if code % 2 == 0 else 1 - p))
+
+
+def test_lm_knows_the_order_of_words(spark):
+    rng = random.Random(9)
+    phrases = [" ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randint(0, 99)}" for _ in range(6)) for _ in range(40)]
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = [(i, " ".join(rng.choices(phrases, k=12))) for i in range(600)]
+    known = dict(docs)
+    mixed_up = lambda t: " ".join(rng.sample(t.split(), len(t.split())))
+    fluent, salad = held[100:200], held[200:300]
+    docs = [d for d in docs if d[0] not in {*fluent, *salad}]
+    texts = [known[i] for i in known if i not in held][:100]
+    docs += list(zip(fluent, texts)) + [(i, mixed_up(t)) for i, t in zip(salad, texts)]
+    rows = {r.doc_id: r for r in lm_mixing.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    total = lambda ids, c: sum(rows[i][c] for i in ids)
+    assert all(rows[i].held_out for i in (*fluent, *salad))
+    assert total(fluent, "score") > 0.5 * total(salad, "score")  # the same words in no order cost twice as much at least
+    assert total(fluent, "score") > 0.6 * total(fluent, "base_score")
+
+
 def test_lm_reruns_agree(spark, monkeypatch):
     monkeypatch.setattr(lm_mixing, "LEARNED", 40)  # several tasks
     rng = random.Random(8)
