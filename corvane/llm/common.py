@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -55,6 +56,12 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing holds any more; it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, constants, release, staged
+from .common import _LOWER, clear_shuffles, constants, release, staged
 
 #: Contexts: none, the last one to four bytes, all bytes of the token so far. Slots of each context's table, and of
 #: the blocks in which tables travel; with 8 bytes a slot this bounds what is broadcast to 50 MB.
@@ -468,11 +468,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     table = count_bits(vocabulary)
     weights, last = learn(dealt(vocabulary, v // LEARNED + 1), table, rate)
     scored = staged(score_tokens(vocabulary, table, weights, last))
+    release(vocabulary)
+    clear_shuffles(docs.sparkSession)
     known = {bytes(r["token"]): (r["trained"], r["logp"]) for r in frequent(scored).collect()}
     spread = docs.sparkSession.sparkContext.broadcast(known)
     floor = math.log10(n + v + 1)
     whole, groups = staged(blocks(base)), (facts["everything"] or 0) // MET + 1
     codes, cost = foretold(whole, groups)
+    clear_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = {t: (c > 0, math.log10(c + 1) - floor, p) for t, (c, p) in spread.value.items()}.get
