@@ -11,11 +11,12 @@ wherever it stands, so each distinct token is spelled once, however often it occ
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ STEPS, RANGE = 33, 8.0
 #: distinct tokens that one task learns from.
 FREQUENT, AT_ONCE, COUNTED, LEARNED = 1 << 17, 1 << 16, 1 << 18, 1 << 18
 #: Bytes of text whose places are counted together before they are sent; places that meet in one group.
-BLOCK_BYTES, MET = 1 << 22, 1 << 21
+BLOCK_BYTES, MET = 1 << 21, 1 << 21
 #: Classes of how often a place was followed by its first token, and by others; each class of both has two codes.
 FIRST_SEEN, OTHERS_SEEN = np.array([2, 3, 5, 17]), np.array([1, 2, 4, 16])
 CODES = 1 + 2 * (len(FIRST_SEEN) + 1) * (len(OTHERS_SEEN) + 1)
@@ -257,7 +258,9 @@ def score_tokens(vocabulary: DataFrame, table: np.ndarray, weights: np.ndarray,
                     total += np.log10(np.where(bit == 1, p, 1 - p))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(np.bincount(text.token, total, len(tokens)))], names=["token", "logp"])
 
-    return vocabulary.select("token", "trained").mapInArrow(run, "token binary, logp double").join(vocabulary, "token")
+    scored = staged(vocabulary.select("token", "trained").mapInArrow(run, "token binary, logp double").join(vocabulary, "token"))
+    shared.unpersist()
+    return scored
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -268,38 +271,49 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """token, trained, found: occurrences in training texts and in all; ``docs`` has text and held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            both = list(everything)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(both, pa.binary()), pa.array([trained[t] for t in both], pa.int64()), pa.array([everything[t] for t in both], pa.int64())],
-                names=["token", "trained", "found"],
-            )
+        def out() -> Iterator[pa.RecordBatch]:
+            for tokens, learned in ((trained, 1), (other, 0)):
+                found = pa.array(tokens.values(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.keys(), pa.binary()), found if learned else pa.array([0] * len(tokens), pa.int64()), found], names=["token", "trained", "found"])
 
-        everything, trained = Counter(), Counter()
+        trained, other = Counter(), Counter()
         for batch in batches:
             for text, held in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = [*_tokens(text), END]
-                everything.update(tokens)
-                if not held:
-                    trained.update(tokens)
-                if len(everything) > 500_000:
-                    yield out()
-                    everything, trained = Counter(), Counter()
-        yield out()
+                (other if held else trained).update([*_tokens(text), END])
+                if len(trained) + len(other) > 250_000:
+                    yield from out()
+                    trained, other = Counter(), Counter()
+        yield from out()
 
     rows = docs.select("text", "held_out").mapInArrow(run, "token binary, trained long, found long")
     return rows.groupBy("token").agg(F.sum("trained").alias("trained"), F.sum("found").alias("found"))
 
 
-class _Hashes(dict):
-    """64-bit hashes of tokens, those of about a million at a time."""
+def hashed(token: bytes) -> int:
+    return int.from_bytes(blake2b(token, digest_size=8).digest(), "little")
+
+
+class Numbers(dict):
+    """Numbers of tokens from 0 on, and their 64-bit hashes: of those at first, and of what a block adds to them."""
+
+    def __init__(self, first: list[bytes] = ()) -> None:
+        super().__init__(zip(first, range(len(first)), strict=True))
+        self.first, self.tokens = len(first), list(first)
+        self.hashes = array("Q", map(hashed, first))
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[token] = x = int.from_bytes(blake2b(token, digest_size=8).digest(), "little")
+        self[token] = x = len(self)
+        self.tokens.append(token)
+        self.hashes.append(hashed(token))
         return x
 
+    def trim(self) -> None:
+        """Forgets what came after the first ones, once it is more than ``FREQUENT``."""
+        if len(self) > self.first + FREQUENT:
+            kept = self.tokens[: self.first]
+            self.clear()
+            self.__init__(kept)
+
 
 @dataclass
 class Places:
@@ -309,7 +323,7 @@ class Places:
     two tokens before choose the group in which keys meet. ``keys`` are distinct, in order of groups.
     """
 
-    words: list[list[bytes]]
+    number: np.ndarray
     starts: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
@@ -317,11 +331,13 @@ class Places:
     at: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes | None], held: list[bool], groups: int, hashes: _Hashes) -> Places:
+    def of(cls, texts: list[bytes | None], held: list[bool], groups: int, numbers: Numbers) -> Places:
         words = [[*_tokens(t), END] for t in texts]
         sizes = np.array([len(w) for w in words])
         starts = np.cumsum(sizes) - sizes
-        token = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+        numbers.trim()
+        number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        token = np.frombuffer(numbers.hashes, dtype=np.uint64)[number]
         one, two = np.full(len(token), _KEYS[0]), np.full(len(token), _KEYS[0])
         one[1:], two[2:] = token[:-1], token[:-2]
         one[starts] = two[starts] = two[starts[sizes > 1] + 1] = _KEYS[0]
@@ -329,12 +345,17 @@ class Places:
         before = (before ^ (before >> np.uint64(29))) * _KEYS[3]
         before ^= before >> np.uint64(32)
         key = before << np.uint64(24) | (token >> np.uint64(41)) << np.uint64(1) | np.repeat(np.array(held, dtype=np.uint64), sizes)
-        keys, first, at, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.diff(key, prepend=~key[:1]) != 0
+        cuts = np.flatnonzero(new)
+        keys, first, counts, at = key[cuts], order[cuts], np.diff(cuts, append=len(key)), np.empty(len(key), dtype=np.int64)
+        at[order] = np.cumsum(new) - 1
         group = ((before[first] >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         moved = np.empty_like(order)
         moved[order] = np.arange(len(order))
-        return cls(words, starts, keys[order], counts[order], group[order], moved[at])
+        return cls(number, starts, keys[order], counts[order], group[order], moved[at])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -370,7 +391,7 @@ def meet(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = [len(x) // 8 for x in rows["keys"]]
     keys = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint64)
     by = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint32)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     trains = keys & np.uint64(1) == 0
     by = np.where(trains, by[order], 0).astype(np.int64)
@@ -378,13 +399,19 @@ def meet(rows: pd.DataFrame) -> pd.DataFrame:
     pair, place = numbered(keys >> np.uint64(1)), numbered(keys >> np.uint64(24))
     first = np.flatnonzero(np.diff(pair, prepend=-1))
     n, of = np.add.reduceat(by, first), place[first]
-    ranked = np.lexsort((-n, of))
     start = np.flatnonzero(np.diff(of, prepend=-1))
-    total, best = np.add.reduceat(n, start), ranked[start]
-    has_two = np.diff(np.append(start, len(of))) > 1
-    second = np.where(has_two, ranked[np.minimum(start + 1, len(of) - 1)], best)
-    n_second = np.where(has_two, n[second], 0)
-    says, much, rest = best[place], n[best][place], total[place] - trains
+
+    def leading(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.maximum.reduceat(n, start)
+        at = np.flatnonzero(n == most[of])
+        return at[np.diff(of[at], prepend=-1) != 0], most
+
+    best, n_best = leading(n)
+    left = n.copy()
+    left[best] = -1
+    second, n_second = leading(left)
+    total = np.add.reduceat(n, start)
+    says, much, rest = best[place], n_best[place], total[place] - trains
     own = trains & (says == pair)
     much = much - own
     other = own & ((n_second[place] > much) | ((n_second[place] == much) & (second[place] < says)))
@@ -408,11 +435,11 @@ def foretold(texts: DataFrame, groups: int) -> tuple[DataFrame, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        numbers = Numbers()
         for batch in batches:
             for i in range(batch.num_rows):
                 block, _, held, text = (c[i].as_py() for c in batch.columns)
-                places = Places.of(text, held, groups, hashes)
+                places = Places.of(text, held, groups, numbers)
                 cuts = np.flatnonzero(np.diff(places.group, prepend=-1))
                 runs = list(zip(cuts, [*cuts[1:], len(places.group)], strict=True))
                 cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in runs], pa.binary())  # noqa: B023, E731
@@ -467,7 +494,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     n, v = facts["n"] or 0, facts["v"] or 0
     table = count_bits(vocabulary)
     weights, last = learn(dealt(vocabulary, v // LEARNED + 1), table, rate)
-    scored = staged(score_tokens(vocabulary, table, weights, last))
+    scored = score_tokens(vocabulary, table, weights, last)
     release(vocabulary)
     clear_shuffles(docs.sparkSession)
     known = {bytes(r["token"]): (r["trained"], r["logp"]) for r in frequent(scored).collect()}
@@ -478,30 +505,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     clear_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = {t: (c > 0, math.log10(c + 1) - floor, p) for t, (c, p) in spread.value.items()}.get
-        row, hashes = TaskContext.get().partitionId() << 40, _Hashes()
+        numbers = Numbers(list(spread.value))
+        counted, logp = (np.array(x, dtype=np.float64) for x in zip(*spread.value.values(), strict=True)) if spread.value else (np.zeros(0), np.zeros(0))
+        # one more place for all other tokens, which add nothing here
+        worth = [np.append(x, 0.0) for x in (counted > 0, np.log10(counted + 1) - floor, logp)]
+        row = TaskContext.get().partitionId() << 40
         rare = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64()), ("spelled", pa.int64())]))
         names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score", "rare"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, held, text, told = (batch.column(c)[i].as_py() for c in ("ids", "held", "texts", "codes"))
-                places = Places.of(text, held, groups, hashes)
+                places = Places.of(text, held, groups, numbers)
                 code = np.frombuffer(b"".join(x["codes"] for x in sorted(told, key=lambda x: x["part"])), dtype=np.uint8)[places.at]
-                bits = np.add.reduceat(cost[code], places.starts)
-                hit = ((code > 0) & (code % 2 == 0)).tolist()
-                out = [[] for _ in names[3:]]
-                for words, start, first, size in zip(places.words, places.starts.tolist(), bits.tolist(), map(len, (t or b"" for t in text)), strict=True):
-                    known, low, high, left = 0, 0.0, first, []
-                    right = Counter(compress(words, hit[start : start + len(words)]))
-                    for token, times in Counter(words).items():
-                        spelled = times - right[token] if token in right else times
-                        if at := get(token):
-                            known, low, high = known + times * at[0], low + times * at[1], high + spelled * at[2]
-                        else:
-                            left.append({"token": token, "times": times, "spelled": spelled})
-                    for x, y in zip(out, (len(words), size, known, low, high, left), strict=True):
-                        x.append(y)
+                hit = (code > 0) & (code % 2 == 0)
+                at = np.minimum(places.number, numbers.first)
+                known, low, high = (x[at] for x in worth)
+                known, low, high = (np.add.reduceat(x, places.starts) for x in (known, low, np.where(hit, 0.0, high) + cost[code]))
+                sizes, left = np.diff(places.starts, append=len(code)), [{} for _ in ids]
+                others = np.flatnonzero(at == numbers.first)
+                where = np.searchsorted(places.starts, others, "right") - 1
+                for n, token, right in zip(where.tolist(), places.number[others].tolist(), hit[others].tolist(), strict=True):
+                    times, spelled = left[n].get(token, (0, 0))
+                    left[n][token] = (times + 1, spelled + (not right))
+                left = [[{"token": numbers.tokens[t], "times": x, "spelled": y} for t, (x, y) in each.items()] for each in left]
+                out = (sizes, [len(t or b"") for t in text], known.astype(np.int64), low, high, left)
                 columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
                 rows = pa.array(range(row, row + len(ids)), pa.int64())
                 row += len(ids)
@@ -509,6 +537,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare array<struct<token:binary,times:long,spelled:long>>"
     texts = staged(whole.join(codes, "block").mapInArrow(run, schema))
+    spread.unpersist()
     release(whole)
     rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times", "r.spelled").join(scored, "token")
     rest = rare.groupBy("row").agg(

@@ -556,16 +556,16 @@ def test_lm_places_against_brute_force(spark, monkeypatch):
         w = split(text)
         for x, y, z in zip(w, w[1:], w[2:]):
             follows.setdefault((x, y), Counter())[z] += not held
-    hashes, seen, used = lm_mixing._Hashes(), 0, Counter()
+    numbers, seen, used = lm_mixing.Numbers(), 0, Counter()
     classes = lambda m, r: sum(m >= s for s in (2, 3, 5, 17)) * 5 + sum(r >= s for s in (1, 2, 4, 16))
     for r in whole.join(codes, "block").collect():
-        places = lm_mixing.Places.of(r.texts, r.held, 9, hashes)
+        places = lm_mixing.Places.of(r.texts, r.held, 9, numbers)
         got = iter(np.frombuffer(b"".join(x["codes"] for x in sorted(r.codes, key=lambda x: x["part"])), dtype=np.uint8)[places.at].tolist())
         for held, text in zip(r.held, r.texts):
             w = split(text.decode() if text is not None else None)
             for x, y, z in zip(w, w[1:], w[2:]):
                 c = follows[x, y] - Counter([] if held else [z])
-                n, _, says = max(((n, -(hashes[t] >> 41), t) for t, n in c.items()), default=(0, 0, b""))
+                n, _, says = max(((n, -(lm_mixing.hashed(t) >> 41), t) for t, n in c.items()), default=(0, 0, b""))
                 code = next(got)
                 assert code == (1 + 2 * classes(n, sum(c.values()) - n) + (says == z) if n > 0 else 0)
                 used[code], seen = used[code] + (not held), seen + 1
@@ -576,6 +576,15 @@ def test_lm_places_against_brute_force(spark, monkeypatch):
         assert cost[code] == pytest.approx(math.log10(p if code % 2 == 0 else 1 - p))
 
 
+def test_numbers_are_trimmed(monkeypatch):
+    monkeypatch.setattr(lm_mixing, "FREQUENT", 3)
+    numbers = lm_mixing.Numbers([b"a", b"b"])
+    assert [numbers[t] for t in (b"x", b"a", b"y", b"z", b"x", b"w")] == [2, 0, 3, 4, 2, 5]
+    numbers.trim()
+    assert [numbers[t] for t in (b"b", b"w", b"x")] == [1, 2, 3] and numbers.tokens == [b"a", b"b", b"w", b"x"]
+    assert numbers.hashes.tolist() == [lm_mixing.hashed(t) for t in numbers.tokens]
+
+
 def test_lm_knows_the_order_of_words(spark):
     rng = random.Random(9)
     phrases = [" ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randint(0, 99)}" for _ in range(6)) for _ in range(40)]
