@@ -36,9 +36,9 @@ GATES = (len(WHOLE) + 1) * (len(LAST) + 1) * 8
 #: Weights before any is learned; steps and range of the last table, in log odds.
 FIRST = np.array([0.0, 0.0, 0.05, 0.1, 0.25, 0.6])
 STEPS, RANGE = 33, 8.0
-#: Tokens that every executor holds at most, with their scores; bytes that are looked at, and counted, in one go;
-#: distinct tokens that one task learns from.
-FREQUENT, AT_ONCE, COUNTED, LEARNED = 1 << 17, 1 << 16, 1 << 18, 1 << 18
+#: Tokens that every executor holds at most, with their scores; bytes that are looked at in one go; distinct
+#: tokens that one task learns from.
+FREQUENT, AT_ONCE, LEARNED = 1 << 17, 1 << 14, 1 << 18
 #: Bytes of text whose places are counted together before they are sent; places that meet in one group.
 BLOCK_BYTES, MET = 1 << 21, 1 << 21
 #: Classes of how often a place was followed by its first token, and by others; each class of both has two codes.
@@ -58,15 +58,25 @@ class Spelling:
     contexts: list[np.ndarray]
     token: np.ndarray
 
-    def bits(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each place in a byte: the place, the bits there, and the bits before as a node of the byte's tree."""
-        for k in range(8):
-            yield k, (self.data >> (7 - k)) & 1, (1 << k) | (self.data >> (8 - k))
-
-    def slots(self, context: int, node: np.ndarray) -> np.ndarray:
-        x = self.contexts[context] + node.astype(np.uint64) * _KEYS[7]
-        x = (x ^ (x >> np.uint64(29))) * _KEYS[6]
-        return (x >> _SLOT_SHIFT).astype(np.int64)
+    def bits(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """For each place in a byte: the place, the bits there, and their slots in each context's table.
+
+        A context's slots for half a byte, a tree of 15 nodes, are next to each other, so that they are hashed and read together.
+        """
+        for half in (0, 1):
+            four = (self.data >> 4) if half == 0 else (self.data & 15)
+            before = np.uint64(0) if half == 0 else ((self.data >> 4) + 1).astype(np.uint64) * _KEYS[7]
+            starts = []
+            for context in self.contexts:
+                x = context + before
+                x ^= x >> np.uint64(29)
+                x *= _KEYS[6]
+                x >>= _SLOT_SHIFT
+                x &= np.uint64(SLOTS - 16)
+                starts.append(x.view(np.int64))
+            for k in range(4):
+                node = (1 << k) | (four >> (4 - k))
+                yield 4 * half + k, (four >> (3 - k)) & 1, [x + node for x in starts]
 
 
 def spell(tokens: list[bytes]) -> Spelling:
@@ -92,8 +102,8 @@ def spell(tokens: list[bytes]) -> Spelling:
     return Spelling(data, [*contexts, whole], token)
 
 
-def portions(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Iterator[tuple[list[bytes], list[int]]]:
-    """Tokens and the counts in their second column, about ``at_once`` bytes at a time."""
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Tokens and the counts in their second column, about ``AT_ONCE`` bytes at a time."""
     tokens: list[bytes] = []
     counts: list[int] = []
     size = 0
@@ -102,7 +112,7 @@ def portions(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Itera
             tokens.append(token)
             counts.append(count)
             size += len(token) + 1
-            if size >= at_once:
+            if size >= AT_ONCE:
                 yield tokens, counts
                 tokens, counts, size = [], [], 0
     if tokens:
@@ -118,20 +128,14 @@ def count_bits(vocabulary: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((CONTEXTS, 2, SLOTS))
-        for tokens, counts in portions(batches, COUNTED):
-            text, weight = spell(tokens), np.array(counts, dtype=np.float64)
-            weight = weight[text.token]
-            for c in range(CONTEXTS):
-                at, by, ones = [], [], []
-                for _, bit, node in text.bits():
-                    at.append(text.slots(c, node))
-                    ones.append(weight * bit)
-                    by.append(weight)
-                at = np.concatenate(at)
-                one = np.bincount(at, np.concatenate(ones), SLOTS)
-                table[c, 1] += one
-                table[c, 0] += np.bincount(at, np.concatenate(by), SLOTS) - one
+        table = np.zeros((CONTEXTS, 2 * SLOTS))
+        for tokens, counts in portions(batches):
+            text, by = spell(tokens), np.array(counts, dtype=np.float64)
+            by = by[text.token]
+            for _, bit, slots in text.bits():
+                for c in range(CONTEXTS):
+                    np.add.at(table[c], slots[c] * 2 + bit, by)
+        table = table.reshape(CONTEXTS, SLOTS, 2).swapaxes(1, 2)
         for c in range(CONTEXTS):
             blocks = range(0, SLOTS, BLOCK)
             yield pa.RecordBatch.from_arrays(
@@ -152,26 +156,42 @@ def count_bits(vocabulary: DataFrame) -> np.ndarray:
     return table
 
 
-def inputs(table: np.ndarray, text: Spelling, k: int, node: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """What each context says of a bit, as a log odds, and the bit's gate. ``own`` bits are taken out of the counts once."""
-    said, seen = np.empty((CONTEXTS, len(node)), dtype=np.float32), {}
-    for c in range(CONTEXTS):
-        at = text.slots(c, node)
-        both = np.take(table[c], at)
-        zero, one = both.real.copy(), both.imag.copy()
-        if own is not None:
-            one, zero = np.maximum(one - own, 0), np.maximum(zero - (1 - own), 0)
-        if c in (3, CONTEXTS - 1):
-            seen[c] = zero + one
-        said[c] = np.log((one + np.float32(0.2)) / (zero + np.float32(0.2)))
-    reached = lambda steps, x: sum((x >= s).astype(np.int64) for s in steps)
-    gate = reached(WHOLE, seen[CONTEXTS - 1]) * (len(LAST) + 1) + reached(LAST, seen[3])
-    return said, gate * 8 + k
+@dataclass
+class Said:
+    """What counted bits say in each slot of each context, as log odds, and the class of how often a slot was seen.
+
+    With ``own``, of a bit that is itself among those counted, and is taken out of them: [CONTEXTS, 2 * SLOTS], zeros first.
+    """
+
+    odds: np.ndarray
+    whole: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, table: np.ndarray, own: bool) -> Said:
+        zero, one = table.real, table.imag
+        log = lambda zero, one: np.log((one + np.float32(0.2)) / (zero + np.float32(0.2)))
+        odds = np.concatenate([log(np.maximum(zero - 1, 0), one), log(zero, np.maximum(one - 1, 0))], axis=1) if own else log(zero, one)
+        whole, last = (np.searchsorted(steps, zero[c] + one[c] - own, "right").astype(np.uint8) for c, steps in ((CONTEXTS - 1, WHOLE), (3, LAST)))
+        return cls(odds, whole * np.uint8(len(LAST) + 1), last)
+
+    def inputs(self, k: int, slots: list[np.ndarray], own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """What each context says of a bit, as a log odds, and the bit's gate; ``own`` bits are among those counted."""
+        said, gate = np.empty((CONTEXTS, len(slots[0])), dtype=np.float32), np.full(len(slots[0]), k)
+        beyond = None if own is None else own * SLOTS
+        for c in range(CONTEXTS):
+            at = slots[c]
+            if c in (3, CONTEXTS - 1):
+                gate += np.take(self.last if c == 3 else self.whole, at, mode="clip").astype(np.int64) << 3
+            if own is not None:
+                at = at + beyond
+            np.take(self.odds[c], at, out=said[c], mode="clip")
+        return said, gate
 
 
 def mixed(weights: np.ndarray, gate: np.ndarray, said: np.ndarray) -> np.ndarray:
     """The log odds that the gates' weights make of what the contexts say; context by context, so that memory is read in order."""
-    return sum(np.take(w, gate) * x for w, x in zip(np.ascontiguousarray(weights.T), said, strict=True))
+    return sum(np.take(w, gate, mode="clip") * x for w, x in zip(np.ascontiguousarray(weights.T), said, strict=True))
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -182,9 +202,11 @@ def refined(p: np.ndarray, gate: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The mean of ``p`` and of what the last table has between the two steps next to it."""
     odds = np.clip(np.log(p / (1 - p)), -RANGE, RANGE)
     at = (odds + RANGE) * ((STEPS - 1) / (2 * RANGE))
-    low = np.minimum(at.astype(np.int64), STEPS - 2)
-    high = at - low
-    return np.clip((p + (1 - high) * last[gate, low] + high * last[gate, low + 1]) / 2, 1e-7, 1 - 1e-7)
+    low = np.minimum(at.astype(np.intp), STEPS - 2)
+    high = at - low.astype(at.dtype)
+    low += gate * STEPS
+    below, above = (np.take(last, at, mode="clip") for at in (low, low + 1))
+    return np.clip((p + below + high * (above - below)) / 2, 1e-7, 1 - 1e-7)
 
 
 def learn(vocabulary: DataFrame, table: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -195,17 +217,17 @@ def learn(vocabulary: DataFrame, table: np.ndarray, rate: float) -> tuple[np.nda
     ``vocabulary`` is ``dealt``, so that every run learns from the same tokens in the same order.
     """
     sc = vocabulary.sparkSession.sparkContext
-    shared = sc.broadcast(table)
+    shared = sc.broadcast(Said.of(table, own=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        known = shared.value
         weights, used, curve = np.tile(FIRST, (GATES, 1)), np.zeros(GATES), np.full((GATES, CONTEXTS), 1e-3)
         steps, ones = np.zeros(GATES * STEPS), np.zeros(GATES * STEPS)
         for tokens, by in portions(batches):
             text, by = spell(tokens), np.array(by, dtype=np.float64)
             by = by[text.token]
-            for k, bit, node in text.bits():
-                said, gate = inputs(counts, text, k, node, bit)
+            for k, bit, slots in text.bits():
+                said, gate = known.inputs(k, slots, bit)
                 p = squash(mixed(weights, gate, said))
                 miss, seen = by * (bit - p), np.bincount(gate, by, GATES)
                 bend = by * np.maximum(p * (1 - p), 0.02)
@@ -244,21 +266,25 @@ def dealt(vocabulary: DataFrame, parts: int) -> DataFrame:
 
 def score_tokens(vocabulary: DataFrame, table: np.ndarray, weights: np.ndarray, last: np.ndarray) -> DataFrame:
     """token, trained, found and logp: the base-10 logarithm of each token's probability."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast((table, weights, last))
+    shared = vocabulary.sparkSession.sparkContext.broadcast((Said.of(table, own=False), weights.astype(np.float32), last.astype(np.float32)))
+    least = np.float32(1e-7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mix, step = shared.value
+        known, mix, step = shared.value
         for batch in batches:
+            at = 0
             for tokens, _ in portions([batch]):
                 text = spell(tokens)
                 total = np.zeros(len(text.data))
-                for k, bit, node in text.bits():
-                    said, gate = inputs(counts, text, k, node, None)
-                    p = refined(np.clip(squash(mixed(mix, gate, said)), 1e-7, 1 - 1e-7), gate, step)
-                    total += np.log10(np.where(bit == 1, p, 1 - p))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(np.bincount(text.token, total, len(tokens)))], names=["token", "logp"])
-
-    scored = staged(vocabulary.select("token", "trained").mapInArrow(run, "token binary, logp double").join(vocabulary, "token"))
+                for k, bit, slots in text.bits():
+                    said, gate = known.inputs(k, slots, None)
+                    p = refined(np.clip(squash(mixed(mix, gate, said)), least, 1 - least), gate, step)
+                    total += np.log(np.abs(p - (1 - bit).astype(np.float32)))
+                columns = batch.slice(at, len(tokens)).columns
+                at += len(tokens)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.bincount(text.token, total, len(tokens)) / math.log(10))], names=["token", "trained", "found", "logp"])
+
+    scored = staged(vocabulary.select("token", "trained", "found").mapInArrow(run, "token binary, trained long, found long, logp double"))
     shared.unpersist()
     return scored
 
@@ -449,7 +475,7 @@ def foretold(texts: DataFrame, groups: int) -> tuple[DataFrame, np.ndarray]:
                 )
 
     sent = texts.mapInArrow(run, "block long, part long, keys binary, counts binary")
-    told = staged(sent.groupBy("part").applyInPandas(meet, "block long, part long, codes binary, tally array<long>"))
+    told = staged(sent.repartition(groups, "part").groupBy("part").applyInPandas(meet, "block long, part long, codes binary, tally array<long>"))
     tally = np.zeros(CODES)
     for r in told.where("tally IS NOT NULL").select(F.posexplode("tally").alias("code", "n")).groupBy("code").agg(F.sum("n").alias("n")).collect():
         tally[r["code"]] = r["n"]
