@@ -154,8 +154,8 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def many_shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``shingle_hashes`` of the words of each text one after the other, where each text's begin, and how many words each has.
+def many_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of each text one after the other, and how many words each has.
 
     Texts are hashed together, so that short ones cost no calls of their own.
     """
@@ -165,7 +165,12 @@ def many_shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndar
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
     words = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    counts = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    return words, np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+
+
+def many_shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of the words of each text one after the other, where each text's begin, and how many words each has."""
+    words, counts = many_word_hashes(texts)
     first = np.cumsum(counts) - counts
     # runs of words that lie in one text
     whole = np.maximum(counts - k + 1, 0)

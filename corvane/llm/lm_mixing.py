@@ -11,11 +11,9 @@ wherever it stands, so each distinct token is spelled once, however often it occ
 from __future__ import annotations
 
 import math
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, clear_shuffles, constants, release, staged
+from .common import _LOWER, clear_shuffles, constants, many_word_hashes, release, staged, word_hashes
 
 #: Contexts: none, the last one to four bytes, all bytes of the token so far. Slots of each context's table, and of
 #: the blocks in which tables travel; with 8 bytes a slot this bounds what is broadcast to 50 MB.
@@ -39,8 +37,9 @@ STEPS, RANGE = 33, 8.0
 #: Tokens that every executor holds at most, with their scores; bytes that are looked at in one go; distinct
 #: tokens that one task learns from.
 FREQUENT, AT_ONCE, LEARNED = 1 << 17, 1 << 14, 1 << 18
-#: Bytes of text whose places are counted together before they are sent; places that meet in one group.
-BLOCK_BYTES, MET = 1 << 21, 1 << 21
+#: Bytes of text whose places are counted together before they are sent, and that are hashed in one go; places that
+#: meet in one group.
+BLOCK_BYTES, HASHED, MET = 1 << 21, 1 << 17, 1 << 20
 #: Classes of how often a place was followed by its first token, and by others; each class of both has two codes.
 FIRST_SEEN, OTHERS_SEEN = np.array([2, 3, 5, 17]), np.array([1, 2, 4, 16])
 CODES = 1 + 2 * (len(FIRST_SEEN) + 1) * (len(OTHERS_SEEN) + 1)
@@ -316,21 +315,35 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def hashed(token: bytes) -> int:
-    return int.from_bytes(blake2b(token, digest_size=8).digest(), "little")
+    """The token's 64 bits in ``token_hashes``."""
+    return int(_KEYS[6] if token == END else word_hashes(token)[0])
+
+
+def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each token of the texts, one text after the other, and how many tokens each text has."""
+    hashes, sizes, at = [], [], 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and size < HASHED:
+            size += len(texts[upto] or b"") + 1
+            upto += 1
+        words, counts = many_word_hashes([t or b"" for t in texts[at:upto]])
+        hashes.append(np.insert(words, np.cumsum(counts), _KEYS[6]))
+        sizes.append(counts + 1)
+        at = upto
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 class Numbers(dict):
-    """Numbers of tokens from 0 on, and their 64-bit hashes: of those at first, and of what a block adds to them."""
+    """Numbers of tokens from 0 on: of those at first, and of what a block adds to them."""
 
     def __init__(self, first: list[bytes] = ()) -> None:
         super().__init__(zip(first, range(len(first)), strict=True))
         self.first, self.tokens = len(first), list(first)
-        self.hashes = array("Q", map(hashed, first))
 
     def __missing__(self, token: bytes) -> int:
         self[token] = x = len(self)
         self.tokens.append(token)
-        self.hashes.append(hashed(token))
         return x
 
     def trim(self) -> None:
@@ -349,7 +362,6 @@ class Places:
     two tokens before choose the group in which keys meet. ``keys`` are distinct, in order of groups.
     """
 
-    number: np.ndarray
     starts: np.ndarray
     keys: np.ndarray
     counts: np.ndarray
@@ -357,13 +369,9 @@ class Places:
     at: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes | None], held: list[bool], groups: int, numbers: Numbers) -> Places:
-        words = [[*_tokens(t), END] for t in texts]
-        sizes = np.array([len(w) for w in words])
+    def of(cls, texts: list[bytes | None], held: list[bool], groups: int) -> Places:
+        token, sizes = token_hashes(texts)
         starts = np.cumsum(sizes) - sizes
-        numbers.trim()
-        number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
-        token = np.frombuffer(numbers.hashes, dtype=np.uint64)[number]
         one, two = np.full(len(token), _KEYS[0]), np.full(len(token), _KEYS[0])
         one[1:], two[2:] = token[:-1], token[:-2]
         one[starts] = two[starts] = two[starts[sizes > 1] + 1] = _KEYS[0]
@@ -381,7 +389,7 @@ class Places:
         order = np.argsort(group, kind="stable")
         moved = np.empty_like(order)
         moved[order] = np.arange(len(order))
-        return cls(number, starts, keys[order], counts[order], group[order], moved[at])
+        return cls(starts, keys[order], counts[order], group[order], moved[at])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -421,7 +429,7 @@ def meet(rows: pd.DataFrame) -> pd.DataFrame:
     keys = keys[order]
     trains = keys & np.uint64(1) == 0
     by = np.where(trains, by[order], 0).astype(np.int64)
-    numbered = lambda x: np.cumsum(np.concatenate([[0], x[1:] != x[:-1]]))
+    numbered = lambda x: np.cumsum(np.concatenate([[0], x[1:] != x[:-1]]), dtype=np.int32)
     pair, place = numbered(keys >> np.uint64(1)), numbered(keys >> np.uint64(24))
     first = np.flatnonzero(np.diff(pair, prepend=-1))
     n, of = np.add.reduceat(by, first), place[first]
@@ -461,11 +469,10 @@ def foretold(texts: DataFrame, groups: int) -> tuple[DataFrame, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
         for batch in batches:
             for i in range(batch.num_rows):
                 block, _, held, text = (c[i].as_py() for c in batch.columns)
-                places = Places.of(text, held, groups, numbers)
+                places = Places.of(text, held, groups)
                 cuts = np.flatnonzero(np.diff(places.group, prepend=-1))
                 runs = list(zip(cuts, [*cuts[1:], len(places.group)], strict=True))
                 cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in runs], pa.binary())  # noqa: B023, E731
@@ -542,16 +549,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, held, text, told = (batch.column(c)[i].as_py() for c in ("ids", "held", "texts", "codes"))
-                places = Places.of(text, held, groups, numbers)
+                places = Places.of(text, held, groups)
+                numbers.trim()
+                number = np.fromiter(map(numbers.__getitem__, chain.from_iterable([*_tokens(t), END] for t in text)), np.int64, len(places.at))
                 code = np.frombuffer(b"".join(x["codes"] for x in sorted(told, key=lambda x: x["part"])), dtype=np.uint8)[places.at]
                 hit = (code > 0) & (code % 2 == 0)
-                at = np.minimum(places.number, numbers.first)
+                at = np.minimum(number, numbers.first)
                 known, low, high = (x[at] for x in worth)
                 known, low, high = (np.add.reduceat(x, places.starts) for x in (known, low, np.where(hit, 0.0, high) + cost[code]))
                 sizes, left = np.diff(places.starts, append=len(code)), [{} for _ in ids]
                 others = np.flatnonzero(at == numbers.first)
                 where = np.searchsorted(places.starts, others, "right") - 1
-                for n, token, right in zip(where.tolist(), places.number[others].tolist(), hit[others].tolist(), strict=True):
+                for n, token, right in zip(where.tolist(), number[others].tolist(), hit[others].tolist(), strict=True):
                     times, spelled = left[n].get(token, (0, 0))
                     left[n][token] = (times + 1, spelled + (not right))
                 left = [[{"token": numbers.tokens[t], "times": x, "spelled": y} for t, (x, y) in each.items()] for each in left]

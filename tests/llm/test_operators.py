@@ -556,10 +556,10 @@ def test_lm_places_against_brute_force(spark, monkeypatch):
         w = split(text)
         for x, y, z in zip(w, w[1:], w[2:]):
             follows.setdefault((x, y), Counter())[z] += not held
-    numbers, seen, used = lm_mixing.Numbers(), 0, Counter()
+    seen, used = 0, Counter()
     classes = lambda m, r: sum(m >= s for s in (2, 3, 5, 17)) * 5 + sum(r >= s for s in (1, 2, 4, 16))
     for r in whole.join(codes, "block").collect():
-        places = lm_mixing.Places.of(r.texts, r.held, 9, numbers)
+        places = lm_mixing.Places.of(r.texts, r.held, 9)
         got = iter(np.frombuffer(b"".join(x["codes"] for x in sorted(r.codes, key=lambda x: x["part"])), dtype=np.uint8)[places.at].tolist())
         for held, text in zip(r.held, r.texts):
             w = split(text.decode() if text is not None else None)
@@ -582,7 +582,16 @@ def test_numbers_are_trimmed(monkeypatch):
     assert [numbers[t] for t in (b"x", b"a", b"y", b"z", b"x", b"w")] == [2, 0, 3, 4, 2, 5]
     numbers.trim()
     assert [numbers[t] for t in (b"b", b"w", b"x")] == [1, 2, 3] and numbers.tokens == [b"a", b"b", b"w", b"x"]
-    assert numbers.hashes.tolist() == [lm_mixing.hashed(t) for t in numbers.tokens]
+
+
+def test_token_hashes_are_those_of_single_tokens(monkeypatch):
+    texts = [b"one Two", None, b"", b" \n", b"three\x0bone x", b"y" * 400, b"one"]
+    tokens = [[*(t or b"").lower().split(), lm_mixing.END] for t in texts]
+    for at_once in (1, 10, 1 << 17):
+        monkeypatch.setattr(lm_mixing, "HASHED", at_once)
+        hashes, sizes = lm_mixing.token_hashes(texts)
+        assert sizes.tolist() == [len(t) for t in tokens]
+        assert hashes.tolist() == [lm_mixing.hashed(w) for t in tokens for w in t]
 
 
 def test_lm_knows_the_order_of_words(spark):
