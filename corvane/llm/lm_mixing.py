@@ -543,9 +543,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
         # one more place for all other tokens, which add nothing here
         worth = [np.append(x, 0.0) for x in (counted > 0, np.log10(counted + 1) - floor, logp)]
         row = TaskContext.get().partitionId() << 40
-        rare = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64()), ("spelled", pa.int64())]))
         names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score", "rare"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, held, text, told = (batch.column(c)[i].as_py() for c in ("ids", "held", "texts", "codes"))
@@ -557,18 +556,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
                 at = np.minimum(number, numbers.first)
                 known, low, high = (x[at] for x in worth)
                 known, low, high = (np.add.reduceat(x, places.starts) for x in (known, low, np.where(hit, 0.0, high) + cost[code]))
-                sizes, left = np.diff(places.starts, append=len(code)), [{} for _ in ids]
                 others = np.flatnonzero(at == numbers.first)
                 where = np.searchsorted(places.starts, others, "right") - 1
-                for n, token, right in zip(where.tolist(), number[others].tolist(), hit[others].tolist(), strict=True):
-                    times, spelled = left[n].get(token, (0, 0))
-                    left[n][token] = (times + 1, spelled + (not right))
-                left = [[{"token": numbers.tokens[t], "times": x, "spelled": y} for t, (x, y) in each.items()] for each in left]
-                out = (sizes, [len(t or b"") for t in text], known.astype(np.int64), low, high, left)
+                each, of = np.unique(where * len(numbers) + number[others], return_inverse=True)
+                times, spelled = np.bincount(of, minlength=len(each)), np.bincount(of, ~hit[others], len(each)).astype(np.int64)
+                left = pa.StructArray.from_arrays([pa.array([numbers.tokens[t] for t in (each % len(numbers)).tolist()], pa.binary()), pa.array(times), pa.array(spelled)], names=["token", "times", "spelled"])
+                left = pa.ListArray.from_arrays(pa.array(np.searchsorted(each, np.arange(len(ids) + 1) * len(numbers)), pa.int32()), left)
+                out = (np.diff(places.starts, append=len(code)), [len(t or b"") for t in text], known.astype(np.int64), low, high)
                 columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
                 rows = pa.array(range(row, row + len(ids)), pa.int64())
                 row += len(ids)
-                yield pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *columns], names=names)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *columns, left], names=names)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare array<struct<token:binary,times:long,spelled:long>>"
     texts = staged(whole.join(codes, "block").mapInArrow(run, schema))
