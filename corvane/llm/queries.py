@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lm_mixing, minhash, mixing, pii, quality, secrets, subspace, substring
+from . import bpe, divergence, licenses, lm_mixing, minhash, mixing, packing, pii, quality, secrets, subspace, substring, survival
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,22 @@ def op10_subspace_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that each has more of."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in pieces, packed into sequences of 1024."""
+    packed = packing.pack(packing.cut(_documents(spark, sf_dir), *TOKENIZER))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, for each language."""
+    return survival.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py one after the other."""
     import corpus_pipeline
