@@ -90,40 +90,66 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:
     """Kinds of bins and how many of each: (times, {length: how many in a bin}), for ``counts`` documents of each length.
 
     A bin is filled greedily, the longest that fits first. Then its smallest document gives way to two unpacked ones
-    if they fit the gap that it leaves more tightly, as often as that helps. A kind is used until some length of it runs out, so there
-    are few kinds, however many documents.
+    if they fit the gap that it leaves more tightly. A kind is used until some length of it runs out, so there are few kinds,
+    however many documents. Short documents can be set aside at first, to fill what gaps the others leave. Several bounds
+    for that are tried, with such changes made as often as they help, once a bin or not at all, until no plan can have fewer bins.
     """
+    fewest, best = -(-sum(n * c for n, c in counts.items()) // size), None
+    for swaps in (size, 1, 0):
+        for aside in (size // 6, size // 12, size // 3, size // 24, 1):
+            kinds = _plan(counts, size, aside, swaps)
+            if best is None or sum(t for t, _ in kinds) < sum(t for t, _ in best):
+                best = kinds
+            if sum(t for t, _ in best) == fewest:
+                return best
+    return best
+
+
+def _plan(counts: dict[int, int], size: int, aside: int, swaps: int) -> list[tuple[int, dict[int, int]]]:
     left = {n: c for n, c in counts.items() if c > 0}
-    free = sum(1 << n for n in left)  # bit n: a document of length n is unpacked
-    kinds = []
-    while free:
-        bin_, gap, open_ = Counter(), size, free
-
-        def take(n: int, many: int = 1) -> None:
-            nonlocal gap, open_
-            bin_[n] += many
-            gap -= many * n
-            open_ = open_ | 1 << n if left[n] > bin_[n] else open_ & ~(1 << n)
-
-        while fits := open_ & ((2 << gap) - 1):
-            n = fits.bit_length() - 1
-            take(n, min(gap // n, left[n] - bin_[n]))
-        while gap and bin_.total() > 1:
-            small = min(n for n, c in bin_.items() if c)
-            pair = _tighter(open_, left, bin_, small, gap)
-            if pair is None:
-                break
-            take(small, -1)
-            for n in pair:
-                take(n)
-        bin_ = +bin_
-        times = min(left[n] // c for n, c in bin_.items())
-        kinds.append((times, dict(sorted(bin_.items(), reverse=True))))
-        for n, c in bin_.items():
-            left[n] -= times * c
-            if not left[n]:
-                free &= ~(1 << n)
-    return kinds
+    short = (1 << aside) - 1  # bit n: documents of length n
+    begun, kinds = [], []
+    while long := sum(1 << n for n, c in left.items() if c and n >= aside):
+        begun.append(_use(Counter(), size, long, left, None, swaps))
+    for times, bin_ in sorted(begun, key=lambda kind: sum(n * c for n, c in kind[1].items())):
+        gap = size - sum(n * c for n, c in bin_.items())
+        while times:
+            kinds.append(_use(Counter(bin_), gap, short & sum(1 << n for n, c in left.items() if c), left, times, swaps))
+            times -= kinds[-1][0]
+    while rest := sum(1 << n for n, c in left.items() if c):
+        kinds.append(_use(Counter(), size, rest, left, None, swaps))
+    return [(times, dict(sorted(bin_.items(), reverse=True))) for times, bin_ in kinds]
+
+
+def _use(begun: Counter, gap: int, open_: int, left: dict[int, int], most: int | None, swaps: int) -> tuple[int, Counter]:
+    """A kind that begins as ``begun`` with ``gap`` left, filled from the lengths in ``open_``, and how often it is used,
+    ``most`` times at most, its smallest document changed ``swaps`` times at most; takes from ``left`` what it has besides ``begun``.
+    """
+    own = Counter()
+
+    def take(n: int, many: int = 1) -> None:
+        nonlocal gap, open_
+        own[n] += many
+        gap -= many * n
+        open_ = open_ | 1 << n if left[n] > own[n] else open_ & ~(1 << n)
+
+    while fits := open_ & ((2 << gap) - 1):
+        n = fits.bit_length() - 1
+        take(n, min(gap // n, left[n] - own[n]))
+    while swaps and gap and own and own.total() + begun.total() > 1:
+        small = min(n for n, c in own.items() if c)
+        pair = _tighter(open_, left, own, small, gap)
+        if pair is None:
+            break
+        swaps -= 1
+        take(small, -1)
+        for n in pair:
+            take(n)
+    own = +own
+    times = min([left[n] // c for n, c in own.items()] + ([most] if most else []))
+    for n, c in own.items():
+        left[n] -= times * c
+    return times, begun + own
 
 
 def _tighter(open_: int, left: dict[int, int], bin_: Counter, small: int, gap: int) -> tuple[int, int] | None:
