@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters of Latin-1 and Latin Extended-A and their plain forms: fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters that have a canonical decomposition, and what is left of them without marks, one for one."""
+    accented, plain = [], []
+    for c in map(chr, chain(range(0xC0, 0xD800), range(0xF900, 0x30000))):
+        if not unicodedata.decomposition(c) or c != c.lower():
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
+        bare = unicodedata.normalize("NFC", bare)  # syllables stay whole
+        if len(bare) == 1 and bare != c:
+            accented.append(c)
+            plain.append(bare)
+    return "".join(accented), "".join(plain)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 #: Words without content, Portuguese and some English: fixed values.
 STOPWORDS = (

@@ -9,15 +9,33 @@ from ..functions.predicates import coherent
 from ..functions.text import last_two, style
 
 
+def _since_epoch(events: DataFrame, ts: str) -> Column:
+    """``ts`` as a number: microseconds for points in time, whatever the session's time zone, numbers as they are."""
+    kind = events.schema[ts].dataType.typeName()
+    if kind == "timestamp_ntz":
+        return F.expr(f"CAST(CAST(`{ts}` - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20,6)) * 1000000").cast("long")
+    return F.unix_micros(ts) if kind == "timestamp" else F.col(ts)
+
+
 def following(events: DataFrame, session: str, ts: str, order: str, is_search: Column, is_read: Column, within: Column) -> DataFrame:
     """Each search with the first later read of its session, if that is within the interval, ends included.
 
-    ``read`` is null otherwise. The window looks ahead over one session's events, never over all.
+    ``read`` is null otherwise; rows of one time follow each other by ``order``. A session is cut into stretches as long as the
+    interval: the read that counts is in the search's own stretch, where rows are walked backwards with the last read seen
+    in hand, or it is the first of the next one. So a session of any length spreads over tasks, and each row is looked at
+    once. ``within`` is a constant: days and times for points in time, a number for numbers. Null sessions are one session, a null time has no following read.
     """
-    w = Window.partitionBy(session).orderBy(ts, order).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(is_read, F.struct(F.col(ts).alias("at"), F.col(order).alias("id"))), ignorenulls=True).over(w)
-    rows = events.withColumn("_next", nxt).where(is_search)
-    return rows.withColumn("read", F.when(F.col("_next.at") <= F.col(ts) + within, F.col("_next"))).drop("_next")
+    at, wide, cut, nxt = (f"_following_{n}" for n in ("at", "wide", "cut", "next"))
+    rows = events.withColumns({at: _since_epoch(events, ts), nxt: F.col(ts) + within})
+    rows = rows.withColumn(wide, F.greatest(_since_epoch(rows, nxt) - F.col(at), F.lit(1).cast("long")))
+    rows = rows.withColumn(cut, F.call_function("div", F.col(at), F.col(wide)))
+    read = F.struct(F.col(ts).alias("at"), F.col(order).alias("id"))
+    back = Window.partitionBy(session, cut).orderBy(F.col(ts).desc(), F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.where(is_read).groupBy(F.col(session).alias("_session"), (F.col(cut) - 1).alias("_cut")).agg(F.min(read).alias("_first"))
+    rows = rows.withColumn(nxt, F.last(F.when(is_read, read), ignorenulls=True).over(back)).where(is_search)
+    rows = rows.join(firsts, F.col(session).eqNullSafe(F.col("_session")) & (F.col(cut) == F.col("_cut")), "left")
+    found = F.coalesce(nxt, "_first")
+    return rows.withColumn("read", F.when(found["at"] <= F.col(ts) + within, found)).select(*events.columns, "read")
 
 
 def harvest(pairs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,52 +7,60 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, terms
 from ..session import staged
+from . import postings
 
 K1, B, POOL, LEAST_IDF = 1.2, 0.75, 60, 1e-6
-#: Terms of a batch of queries that are looked for where texts are read; with more, they meet the terms in a join.
-ASKED = 100
+#: Tokens of a batch of queries that are looked for where texts are read; with more, they meet the postings in a join.
+ASKED = 20_000
 
 
 def queries_of(spark, texts: dict[int, list[str]]) -> DataFrame:
-    """(query_id, term): one row for each term of each query."""
+    """(query_id, term): one row for each token of each query."""
     rows = [(q, t) for q, ts in texts.items() for t in dict.fromkeys(ts)]
     return spark.createDataFrame(rows, "query_id int, term string")
 
 
-def index(chunks: DataFrame, fields: dict[str, float], id_col: str = "doc_id", queries: DataFrame | None = None) -> DataFrame:
-    """id, length and the terms of each field, written once for all searches; a row's length is over all fields.
+def asked_terms(queries: DataFrame) -> tuple[set[bytes] | None, bool]:
+    """The terms of the tokens of ``queries`` and whether one of them is a phrase; none and true for more than ``ASKED`` tokens."""
+    tokens = [r["term"] or "" for r in queries.select("term").distinct().limit(ASKED + 1).collect()]
+    if len(tokens) > ASKED:
+        return None, True
+    split = [postings.split(t.encode()) for t in tokens]
+    return {t for ts in split for t in ts}, any(len(ts) > 1 for ts in split)
+
 
-    With ``queries``, only their terms are written, as long as these are at most ``ASKED``: then each text is looked
-    at once, and what goes on follows the hits and not the corpus. Without, the index serves any search.
+def index(chunks: DataFrame, fields: dict[str, float], id_col: str = "doc_id", queries: DataFrame | None = None) -> DataFrame:
+    """The postings of ``chunks``, written once for all searches: all of them, or with ``queries`` of their terms only, as
+    long as these have at most ``ASKED`` tokens. A row's length is over all fields.
     """
-    rows = chunks.select(F.col(id_col).alias("id"), *(terms(F.col(f)).alias(f) for f in fields))
-    rows = rows.withColumn("length", sum((F.size(f) for f in fields), F.lit(0)).cast("double"))
-    asked = [] if queries is None else [r["term"] for r in queries.select("term").distinct().limit(ASKED + 1).collect()]
-    if 0 < len(asked) <= ASKED:
-        rows = rows.withColumns({f: F.filter(f, lambda t: t.isin(asked)) for f in fields})
-    return staged(rows)
+    asked = None if queries is None else asked_terms(queries)[0]
+    return staged(postings.postings(chunks, list(fields), id_col, asked))
+
+
+def scored(hits: DataFrame, queries: DataFrame, fields: dict[str, float], n: Column, mean: Column) -> DataFrame:
+    """(query_id, id, score, matched) from occurrences ``hits``, a document count and a mean length."""
+    weight = F.element_at(F.create_map(*(F.lit(x) for f, w in fields.items() for x in (f, float(w)))), F.col("field"))
+    hits = staged(hits.groupBy("id", F.col("token").alias("term")).agg(F.sum(F.col("tf") * weight).alias("tf"), F.max("length").cast("double").alias("length")))
+    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    rows = hits.join(df, "term").join(queries, "term")
+    return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col: str = "doc_id", indexed: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, matched): BM25 of every chunk that has a term of the query; matched counts its terms.
+    """(query_id, id, score, matched): BM25 of every chunk that has a token of the query; matched counts its tokens.
 
-    Statistics are over the whole table, before any filter. ``indexed`` is what ``index`` made of the chunks; without
-    it, one is made for these queries. No side is hinted for broadcast: a small batch of queries is, by its size.
+    A token with underscores is the phrase of its parts (``snake_case``: snake, then case) and counts as one term. A
+    token without letters and digits matches nothing. Statistics are over the whole table, before any filter. ``indexed`` is what
+    ``index`` made of the chunks; without it, one is made for these queries. No side is hinted for broadcast.
     """
-    wanted = queries.select("term").distinct()
+    phrases = asked_terms(queries)[1]
     rows = index(chunks, fields, id_col, queries) if indexed is None else indexed
-    totals = rows.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
-    hits = None
-    for f, weight in fields.items():
-        part = rows.select("id", "length", F.explode(f).alias("term")).join(wanted, "term").withColumn("weight", F.lit(float(weight)))
-        hits = part if hits is None else hits.unionByName(part)
-    hits = staged(hits.groupBy("id", "term").agg(F.sum("weight").alias("tf"), F.first("length").alias("length")))
-    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    facts = df.crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(facts, "term").select("id", "term", weight.alias("w")).join(queries, "term")
-    return scored.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("matched"))
+    # two numbers, whatever the corpus
+    n, total = rows.where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    hits = postings.occurrences(rows.where("term IS NOT NULL"), queries, phrases)
+    return scored(hits, queries, fields, F.lit(float(n)), F.lit(total / n if n else 0.0))
 
 
 def top(scored: DataFrame, k: int = POOL, order: tuple[Column, ...] | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def greedy_collapse(hits: DataFrame, limit: int, per_doc: int = 2) -> DataFrame:
 
         return pd.DataFrame([x | {"place": i + 1} for i, x in enumerate(best)], columns=[*out.columns, "also_in", "collapsed", "place"])
 
-    return keyed.groupBy("query_id").applyInPandas(run, "query_id int, id long, doc string, also_in array<string>, collapsed int, place int")
+    return keyed.groupBy("query_id").applyInPandas(run, f"query_id int, id {hits.schema['id'].dataType.simpleString()}, doc string, also_in array<string>, collapsed int, place int")
 
 
 def hybrid(

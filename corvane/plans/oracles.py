@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from ..functions.text import STOPWORDS
-from ..operators.ranking import AUTHORITY
-from .queries import AS_OF, PAIR, SYNONYMS, WORDS
+# What the SQL has in common with the code under test is written out here, so that a wrong constant there shows.
+STOPWORDS = (
+    "ao aos as os um uma uns umas de do da dos das em no na nos nas por pelo pela pelos pelas para pra "
+    "com sem sob sobre entre ate apos ante ou mas que se como quando onde quem qual quais porque pq "
+    "seu sua seus suas meu minha nosso nossa este esta estes estas esse essa esses essas isso isto "
+    "aquele aquela aquilo ser sao foi foram sendo estar estao esteve tem ter tinha havia haver "
+    "fazer faz feito usar usa usado funciona funcionar deve pode posso quero preciso queria "
+    "mais menos muito pouco todo toda todos todas ja nao sim so tambem entao assim aqui agora hoje "
+    "the of in to for and or is are how what where when why does did an"
+).split()
+AUTHORITY = {"spec": 1.05, "doc": 0.99, "nota": 0.98, "decisao": 1.06}
+AS_OF = "2001-08-01"
+WORDS = {0: ["aton", "erbe", "thndly", "that"]}
+PAIR = {0: ["that", "ention"]}
+SYNONYMS = {"ention": ["estion", "lytion"], "that": ["this"], "and": ["und", "et"]}
 
 FOLD = "strip_accents(lower(text))"
 TERMS = rf"regexp_extract_all({FOLD}, '[\p{{L}}\p{{N}}]+')"
@@ -29,15 +41,30 @@ def _batch(words: dict[int, list[str]]) -> str:
 
 
 BENCH = f"SELECT item_id AS query_id, unnest(list_distinct({_tokens()})) AS term FROM benchmark"
-
-
-def bm25(batch: str, name: str = "scored") -> str:
-    """Common table expressions that end in ``name`` (query_id, id, score, matched)."""
+DOCS = "SELECT doc_id AS id, text FROM documents"
+# the words and phrases that begin each text of the benchmark
+PHRASES = f"""SELECT item_id AS query_id, unnest(list_distinct(CASE WHEN len(content) > 0 THEN content ELSE every END)) AS term FROM (SELECT *, list_filter(every, lambda t: NOT list_contains({_list(STOPWORDS)}, t)) AS content FROM (
+    SELECT item_id, list_filter([w[1] || coalesce('_' || w[2], ''), array_to_string(w[3:5], '_'), w[6]], lambda t: len(t) >= 2) AS every FROM (SELECT item_id, {TERMS} AS w FROM benchmark)))"""
+
+
+def bm25(batch: str, name: str = "scored", docs: str = DOCS, fields: dict[str, int] | None = None) -> str:
+    """Common table expressions that end in ``name`` (query_id, id, score, matched); tokens of up to three parts are phrases."""
+    fields = fields or {"text": 1}
+    terms = lambda f: rf"regexp_extract_all(strip_accents(lower(coalesce({f}, ''))), '[\p{{L}}\p{{N}}]+')"
+    lists = ", ".join(f"{terms(f)} AS ts_{f}" for f in fields)
+    places = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {w}::DOUBLE AS weight, unnest(ts_{f}) AS term, generate_subscripts(ts_{f}, 1) AS i FROM {name}_t" for f, w in fields.items())
     return f"""
     {name}_q AS ({batch}),
-    {name}_t AS (SELECT doc_id AS id, {TERMS} AS ts FROM documents),
-    {name}_tot AS (SELECT count(*)::DOUBLE AS n, avg(len(ts))::DOUBLE AS mean FROM {name}_t),
-    {name}_h AS (SELECT id, length, term, count(*)::DOUBLE AS tf FROM (SELECT id, len(ts)::DOUBLE AS length, unnest(ts) AS term FROM {name}_t) WHERE term IN (SELECT term FROM {name}_q) GROUP BY ALL),
+    {name}_t AS (SELECT id, {lists} FROM ({docs})),
+    {name}_l AS (SELECT id, ({' + '.join(f'len(ts_{f})' for f in fields)})::DOUBLE AS length FROM {name}_t),
+    {name}_tot AS (SELECT count(*)::DOUBLE AS n, avg(length)::DOUBLE AS mean FROM {name}_l),
+    {name}_k AS (SELECT term AS token, regexp_extract_all(term, '[\\p{{L}}\\p{{N}}]+') AS p FROM (SELECT DISTINCT term FROM {name}_q)),
+    {name}_p AS ({places}),
+    {name}_o AS (SELECT token, id, weight FROM {name}_k JOIN {name}_p ON term = p[1] WHERE len(p) = 1
+        UNION ALL SELECT token, a.id, a.weight FROM {name}_k JOIN {name}_p a ON a.term = p[1] JOIN {name}_p b ON b.id = a.id AND b.field = a.field AND b.i = a.i + 1 AND b.term = p[2] WHERE len(p) = 2
+        UNION ALL SELECT token, a.id, a.weight FROM {name}_k JOIN {name}_p a ON a.term = p[1] JOIN {name}_p b ON b.id = a.id AND b.field = a.field AND b.i = a.i + 1 AND b.term = p[2]
+            JOIN {name}_p c ON c.id = a.id AND c.field = a.field AND c.i = a.i + 2 AND c.term = p[3] WHERE len(p) = 3),
+    {name}_h AS (SELECT id, token AS term, sum(weight) AS tf, any_value(length) AS length FROM {name}_o JOIN {name}_l USING (id) GROUP BY id, token),
     {name}_df AS (SELECT term, count(*)::DOUBLE AS df FROM {name}_h GROUP BY term),
     {name}_w AS (SELECT id, term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean)) AS w FROM {name}_h JOIN {name}_df USING (term), {name}_tot),
     {name} AS (SELECT query_id, id, round(sum(w), 6) AS score, count(*) AS matched FROM {name}_w JOIN {name}_q USING (term) GROUP BY query_id, id)"""
@@ -66,11 +93,11 @@ USAGE = f"""SELECT tool, count(*) AS calls, count(*) FILTER (empty) AS empty, ro
 PAIRS = """pairs AS (SELECT event_id, ts, props, CASE WHEN nxt.ts <= ts + INTERVAL 90 MINUTES THEN nxt.id END AS read_id FROM (
     SELECT *, first(CASE WHEN event_type = 'view' THEN {'ts': ts, 'id': event_id} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM events)
     WHERE event_type = 'click')"""
-RANKED = bm25(BENCH) + f", hits AS ({top('scored', 10)}), expected AS (SELECT b.item_id AS case_id, (SELECT min(rank) FROM hits h JOIN documents d ON d.doc_id = h.id WHERE h.query_id = b.item_id AND contains(d.text, left(b.text, 40)) AND rank <= 10) AS rank FROM benchmark b)"
+RANKED = bm25(BENCH) + f", hits AS ({top('scored', 10)}), expected AS (SELECT b.item_id AS case_id, (SELECT min(rank) FROM hits h JOIN documents d ON d.doc_id = h.id WHERE h.query_id = b.item_id AND contains(d.text, b.text) AND rank <= 10) AS rank FROM benchmark b)"
 GAIN = "CASE WHEN rank BETWEEN 1 AND 5 THEN 1 / log2(rank + 1.0) ELSE 0 END"
 EDGES = "SELECT 'n:' || l_orderkey AS src, 'n:' || l_partkey AS dst, l_returnflag AS rel FROM lineitem"
 STYLE = r"CASE WHEN contains(q, '?') OR len(string_split_regex(trim(q), '\s+')) > 5 THEN 'natural' ELSE 'keywords' END"
-CASES = f"cases AS (SELECT *, {STYLE} AS style FROM (SELECT item_id AS id, left(text, 60) AS q, CASE WHEN item_id % 2 = 0 THEN 'code' ELSE 'docs' END AS source, CASE WHEN item_id % 20 = 3 THEN 'negativo' ELSE 'positivo' END AS kind FROM benchmark))"
+CASES = f"cases AS (SELECT *, {STYLE} AS style FROM (SELECT item_id AS id, text AS q, CASE WHEN item_id % 2 = 0 THEN 'code' ELSE 'docs' END AS source, CASE WHEN item_id % 20 = 3 THEN 'negativo' ELSE 'positivo' END AS kind FROM benchmark))"
 TITLE = r"CASE WHEN len(f) <= 110 THEN f ELSE regexp_replace(left(f, 110), '\s+\S*$', '') || '…' END"
 
 
@@ -204,3 +231,21 @@ SQL |= {
     "q72_github_labels": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '[card #' || c_custkey || ']' WHEN 1 THEN '[pr #' || c_custkey || ']' END AS label FROM customer",
     "q73_biggest_drops": f"SELECT case_id, delta FROM ({SQL['q38_compare']}) ORDER BY delta, case_id LIMIT 10",
 }
+
+SQL |= {
+    "q74_phrase_search": f"WITH {bm25(PHRASES)} SELECT query_id, id, score, matched, rank FROM ({top('scored', 60)})",
+    "q75_weighted_fields": f"""WITH {bm25(BENCH + " UNION ALL SELECT -1, unnest(['src1', 'en', 'that'])", fields={'text': 1, 'breadcrumb': 3, 'title': 5}, docs=f"""SELECT doc_id AS id, text, concat_ws(' > ', source, lang) AS breadcrumb, {TITLE} AS title FROM (
+        SELECT *, CASE WHEN regexp_matches(text, '(?s)[.!?]\\s') THEN regexp_extract(text, '(?s)^(.*?[.!?])\\s', 1) ELSE text END AS f FROM documents)""")}
+        SELECT query_id, id, score, matched, rank FROM ({top('scored', 10)})""",
+    "q76_segment_search": f"""WITH {bm25(f"SELECT DISTINCT * FROM ({BENCH} UNION ALL {PHRASES})", docs="""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'That erbe, ' || reverse(text) || ' aton' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5
+        UNION ALL SELECT -doc_id, text || ' erbe und' FROM documents WHERE doc_id % 10 = 4""")} SELECT query_id, id, score, matched, rank FROM ({top('scored', 10)})""",
+    "q77_index_refresh": f"""WITH {bm25(_batch(WORDS), docs="SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || ' thndly' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0")}
+        SELECT query_id, id, score, matched, rank FROM ({top('scored', 60)})""",
+    "q78_hot_session": """SELECT event_id, CASE WHEN nxt.ts <= ts + INTERVAL 5 MINUTES THEN nxt.id END AS read_id FROM (
+        SELECT *, first(CASE WHEN event_type = 'view' THEN {'ts': ts, 'id': event_id} END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM events) WHERE event_type = 'click'""",
+    "q79_fragments_in_documents": r"""WITH s AS (SELECT item_id, string_split_regex(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark),
+        f AS (SELECT item_id || '/' || (generate_subscripts(parts, 1) - 1) AS fragment_id, unnest(parts) AS fragment FROM s)
+        SELECT fragment_id, doc_id AS id FROM f JOIN documents ON contains(text, fragment) WHERE fragment <> ''""",
+    "q80_fragments_in_urls": f"""WITH f AS (SELECT DISTINCT unnest({TERMS}) AS fragment FROM benchmark)
+        SELECT fragment AS fragment_id, count(*) AS pages, min(page_id) AS first FROM f JOIN pages ON contains(url, fragment) GROUP BY fragment""",
+}

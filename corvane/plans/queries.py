@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates
 from ..functions import text as tx
-from ..operators import evaluation, graph, lexical, ranking, reports, vector
-from ..session import shared_folder
-from ..sources import chunks, files
+from ..operators import containment, evaluation, graph, lexical, ranking, reports, vector
+from ..session import shared_folder, spread
+from ..sources import chunks, files, segments
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with what a search looks at: a date (of the order with the same number), a kind and a status."""
     docs, orders = table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders")
@@ -47,7 +51,7 @@ def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), lexical.queries_of(spark, WORDS), TEXT))
+    return lexical.top(lexical.bm25(texts(spark, sf_dir), lexical.queries_of(spark, WORDS), TEXT))
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,7 @@ def q04_bm25_top60(spark, sf_dir):
 
 @query
 def q05_bm25_and_filtered(spark, sf_dir):
-    docs = dated(spark, sf_dir)
+    docs = spread(dated(spark, sf_dir))
     allowed = docs.where(predicates.matches({"repo": "en"})).select(F.col("doc_id").alias("id"))
     hits = lexical.bm25(docs, lexical.queries_of(spark, PAIR), TEXT).where("matched = 2").join(allowed, "id", "left_semi")
     return lexical.top(hits).select("id", "score", F.col("rank").cast("long").alias("rank"))
@@ -91,13 +95,13 @@ def q05_bm25_and_filtered(spark, sf_dir):
 @query
 def q06_two_pass(spark, sf_dir):
     wide = {0: [*PAIR[0], *SYNONYMS["that"], *SYNONYMS["ention"]]}
-    rows = lexical.two_pass(table(spark, sf_dir, "documents"), lexical.queries_of(spark, PAIR), lexical.queries_of(spark, wide), TEXT)
+    rows = lexical.two_pass(texts(spark, sf_dir), lexical.queries_of(spark, PAIR), lexical.queries_of(spark, wide), TEXT)
     return rows.select("id", "score", F.col("pass").cast("long").alias("pass"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def q07_bm25_batch(spark, sf_dir):
-    rows = lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), bench(spark, sf_dir), TEXT), 10)
+    rows = lexical.top(lexical.bm25(texts(spark, sf_dir), bench(spark, sf_dir), TEXT), 10)
     return rows.select(F.col("query_id").cast("long").alias("query_id"), "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -216,19 +220,21 @@ def q21_content_collapse(spark, sf_dir):
 def q22_per_document(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.lit(0).alias("query_id"), F.col("conv_id").alias("doc"), "turn", "role", "text", F.length("text").alias("score"))
     rows = ranking.collapsed(turns, ["query_id"], [F.col("score").desc(), F.col("doc"), F.col("turn")], "role", per_doc=2)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_rank", F.col("score").desc(), "doc", "turn"))
-    return rows.withColumn("place", place.cast("long")).where("place <= 100").select("doc", "turn", "place", F.col("doc_rank").cast("long").alias("doc_rank"))
+    best = rows.orderBy("doc_rank", F.col("score").desc(), "doc", "turn").limit(100)
+    place = F.row_number().over(Window.orderBy("doc_rank", F.col("score").desc(), "doc", "turn"))  # of 100 rows
+    return best.withColumn("place", place.cast("long")).select("doc", "turn", "place", F.col("doc_rank").cast("long").alias("doc_rank"))
 
 
 def pools(spark, sf_dir):
     """What three branches find for each text of the benchmark, in the order of their fused ranks: turns and documents by words, documents by vectors."""
     turns, docs, vectors = (table(spark, sf_dir, t) for t in ("conversations", "documents", "embeddings"))
-    # even ids are turns, odd ones documents
-    turns = turns.select(((F.col("conv_id") * 10_000 + F.col("turn")) * 2).alias("id"), F.concat(F.lit("conversation:"), F.col("conv_id").cast("string")).alias("doc"), F.col("role").alias("label"), "text")
-    docs = docs.select((F.col("doc_id") * 2 + 1).alias("id"), F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc"), F.col("source").alias("label"), "text")
+    of_turn = F.concat_ws(":", F.lit("conversation"), F.lpad(F.col("conv_id").cast("string"), 19, "0"), F.lpad(F.col("turn").cast("string"), 19, "0"))
+    of_doc = lambda c: F.concat(F.lit("document:"), F.lpad(F.col(c).cast("string"), 19, "0"))
+    turns = turns.select(of_turn.alias("id"), F.concat(F.lit("conversation:"), F.col("conv_id").cast("string")).alias("doc"), F.col("role").alias("label"), "text")
+    docs = docs.select(of_doc("doc_id").alias("id"), F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("doc"), F.col("source").alias("label"), "text")
     asked = vectors.join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").cast("int").alias("query_id"), F.col("embedding").alias("query"))
-    near = vector.top_k(vectors, asked, lexical.POOL).withColumn("id", F.col("id") * 2 + 1)
-    by_words = [lexical.top(lexical.bm25(rows, bench(spark, sf_dir), TEXT, "id")) for rows in (turns, docs)]
+    near = vector.top_k(vectors, asked, lexical.POOL).withColumn("id", of_doc("id"))
+    by_words = [lexical.top(lexical.bm25(spread(rows), bench(spark, sf_dir), TEXT, "id")) for rows in (turns, docs)]
     fused = ranking.fuse(*by_words, near).select("query_id", "id", F.round("rrf", 8).alias("rrf"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id"))
     return turns.unionByName(docs).join(fused.withColumn("position", place).drop("rrf"), "id")
@@ -253,7 +259,7 @@ def q23_lexical_only(spark, sf_dir):
 
 @query
 def q24_relevance_floor(spark, sf_dir):
-    hits = lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), lexical.queries_of(spark, WORDS), TEXT), 24)
+    hits = lexical.top(lexical.bm25(texts(spark, sf_dir), lexical.queries_of(spark, WORDS), TEXT), 24)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text").join(hits, "id")
     here = predicates.in_workspace(F.col("source"), F.col("source"), F.col("lang"), "src1", ["es"], False, ["src1", "src2"])
     keep = predicates.relevant(F.array(*map(F.lit, WORDS[0])), lexical.folded_text(F.col("text")))
@@ -388,10 +394,11 @@ def q34_harvest(spark, sf_dir):
 
 
 def expected_ranks(spark, sf_dir, depth):
-    hits = lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), bench(spark, sf_dir), TEXT), depth)
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.substring("text", 1, 40).alias("fragment"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = docs.join(hits, "id").join(cases, "query_id").where(F.contains("text", F.col("fragment")))
+    hits = lexical.top(lexical.bm25(texts(spark, sf_dir), bench(spark, sf_dir), TEXT), depth)
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("fragment"))
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    holds = containment.contained(cases.select(F.col("query_id").alias("fragment_id"), "fragment"), docs).withColumnRenamed("fragment_id", "query_id")
+    found = hits.join(holds, ["query_id", "id"])
     found = found.groupBy("query_id").agg(F.min("rank").alias("rank"))
     return cases.join(found, "query_id", "left").select(F.col("query_id").alias("case_id"), "rank")
 
@@ -403,7 +410,7 @@ def q35_rank_of_expected(spark, sf_dir):
 
 def cases(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("q"), F.when(F.col("item_id") % 2 == 0, "code").otherwise("docs").alias("source"), F.when(F.col("item_id") % 20 == 3, "negativo").otherwise("positivo").alias("kind"), tx.style(F.substring("text", 1, 60)).alias("style"))
+    return rows.select(F.col("item_id").alias("id"), F.col("text").alias("q"), F.when(F.col("item_id") % 2 == 0, "code").otherwise("docs").alias("source"), F.when(F.col("item_id") % 20 == 3, "negativo").otherwise("positivo").alias("kind"), tx.style(F.col("text")).alias("style"))
 
 
 @query
@@ -713,3 +720,72 @@ def q72_github_labels(spark, sf_dir):
 def q73_biggest_drops(spark, sf_dir):
     rows = evaluation.by_drop(evaluation.compare(expected_ranks(spark, sf_dir, 10), expected_ranks(spark, sf_dir, 2)))
     return rows.limit(10).select(F.col("case_id").cast("long").alias("case_id"), "delta")
+
+
+def phrases(spark, sf_dir):
+    """Queries of words and phrases from the beginning of each text of the benchmark, as a user types them: ``one_two three_four_five six``."""
+    word = lambda *at: F.array_join(F.array(*(F.get("w", F.lit(i)) for i in at)), "_")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), tx.terms(F.col("text")).alias("w"))
+    typed = F.concat_ws(" ", word(0, 1), word(2, 3, 4), word(5))
+    return rows.select("query_id", F.explode(F.array_distinct(tx.query_tokens(typed))).alias("term"))
+
+
+def ranked(rows, k=10):
+    return lexical.top(rows, k).select(F.col("query_id").cast("long").alias("query_id"), "id", "score", F.col("matched").cast("long").alias("matched"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def q74_phrase_search(spark, sf_dir):
+    return ranked(lexical.bm25(texts(spark, sf_dir), phrases(spark, sf_dir), TEXT), 60)
+
+
+@query
+def q75_weighted_fields(spark, sf_dir):
+    docs = texts(spark, sf_dir).select("doc_id", "text", F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), tx.headline(F.col("text")).alias("title"))
+    return ranked(lexical.bm25(docs, bench(spark, sf_dir).unionByName(lexical.queries_of(spark, {-1: ["src1", "en", "that"]})), {"text": 1.0, "breadcrumb": 3.0, "title": 5.0}))
+
+
+def revised(spark, sf_dir):
+    """What a tenth of the documents say in their next version, and new ones."""
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    changed = docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("That erbe, "), F.reverse("text"), F.lit(" aton")))
+    return changed.unionByName(docs.where("doc_id % 10 = 4").select((-F.col("doc_id")).alias("doc_id"), F.concat("text", F.lit(" erbe und")).alias("text")))
+
+
+@query
+def q76_segment_search(spark, sf_dir):
+    root, docs = shared_folder(spark), texts(spark, sf_dir)
+    segments.create(docs, root, ["text"])
+    segments.update(spark, root, revised(spark, sf_dir), docs.where("doc_id % 11 = 5").select("doc_id"))
+    return ranked(segments.search(spark, root, bench(spark, sf_dir).unionByName(phrases(spark, sf_dir)).distinct(), TEXT))
+
+
+@query
+def q77_index_refresh(spark, sf_dir):
+    root, docs = shared_folder(spark), texts(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("doc_id").alias("modified"), F.col("n_chars").alias("size"), "text")
+    segments.refresh(docs.where("path % 7 <> 0"), root, ["text"])
+    segments.refresh(docs.where("path % 9 <> 0").withColumns({"size": F.when(F.col("path") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")), "text": F.when(F.col("path") % 5 == 0, F.concat("text", F.lit(" thndly"))).otherwise(F.col("text"))}), root, ["text"])
+    segments.compact(spark, root)
+    return ranked(segments.search(spark, root, lexical.queries_of(spark, WORDS), TEXT), 60)
+
+
+@query
+def q78_hot_session(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("session", F.lit(0))
+    rows = evaluation.following(events, "session", "ts", "event_id", F.col("event_type") == "click", F.col("event_type") == "view", F.expr("INTERVAL 5 MINUTES"))
+    return rows.select("event_id", F.col("read.id").alias("read_id"))
+
+
+@query
+def q79_fragments_in_documents(spark, sf_dir):
+    cut = F.posexplode(F.split("text", r"(?<=[.!?])\s"))
+    fragments = table(spark, sf_dir, "benchmark").select("item_id", cut.alias("nth", "fragment")).select(F.concat_ws("/", "item_id", "nth").alias("fragment_id"), "fragment")
+    return containment.contained(fragments, texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+
+
+@query
+def q80_fragments_in_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("fragment")).distinct()
+    rows = containment.contained(words.select(F.col("fragment").alias("fragment_id"), "fragment"), pages.select(F.col("page_id").alias("id"), F.col("url").alias("text")))
+    return rows.groupBy("fragment_id").agg(F.count("*").alias("pages"), F.min("id").alias("first"))

@@ -23,3 +23,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read, dealt over all cores where it has fewer files than there are: a file with a single row group
+    is one task's otherwise, whatever is done to its texts. Tables of more files stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(max(cores, df.rdd.getNumPartitions()))

@@ -43,7 +43,7 @@ def crawl(spark: SparkSession, roots: list[Root]) -> DataFrame:
         top = root.path.rstrip("/")
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(root.recursive).lower()).load(top)
         path = F.regexp_replace("path", "^file:/+", "/")
-        relative = F.substring(path, len(os.path.abspath(top)) + 2, 10_000)
+        relative = F.substr(path, F.lit(len(os.path.abspath(top)) + 2))
         ends = F.lit(False)
         for e in root.extensions:
             ends |= F.lower("path").endswith(e)
@@ -69,7 +69,7 @@ def front_matter(content: Column) -> Column:
     pairs = F.filter(F.split(block, r"\r?\n"), lambda line: line.rlike(r"^[\w-]+:"))
     entry = lambda line: F.struct(F.regexp_extract(line, r"^([\w-]+):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(line, r"^[\w-]+:", "")), "^['\"]|['\"]$", "").alias("value"))
     entries = F.transform(pairs, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 10_000), lambda later: later["key"] == e["key"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(last)
 
 

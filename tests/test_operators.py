@@ -3,15 +3,19 @@
 import datetime
 import math
 import random
+import re
+import time
+import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import predicates
 from corvane.functions import text as tx
-from corvane.operators import evaluation, graph, lexical, ranking, reports, vector
+from corvane.operators import containment, evaluation, graph, lexical, postings, ranking, reports, vector
 from corvane.plans import queries
-from corvane.sources import chunks, files, snapshots
+from corvane.sources import chunks, files, manifest, segments, snapshots
 from corvane.streaming import incremental
 
 
@@ -278,3 +282,154 @@ def test_one_index_serves_several_searches(spark):
     for words in (["red"], ["fish", "blue"]):
         batch = lexical.queries_of(spark, {0: words})
         assert sorted(lexical.bm25(docs, batch, fields).collect()) == sorted(lexical.bm25(docs, batch, fields, indexed=built).collect())
+
+
+def test_phrases_of_tokens_with_underscores(spark):
+    docs = spark.createDataFrame(
+        [(1, "Use snake_case, not snake-case twice", "x"), (2, "a snake in a case", "snake case"), (3, "case snake", None), (4, "Ação_Única ação ÚNICA", ""), (5, None, "a a a"), (6, "", None)],
+        "doc_id long, text string, title string",
+    )
+    asked = lexical.queries_of(spark, {0: ["snake_case"], 1: ["acao_unica", "nowhere_else"], 2: ["a_a"], 3: ["__"], 4: ["snake_case", "twice"], 5: ["snake", "__"]})
+    got = {(r.query_id, r.id): r.matched for r in lexical.bm25(docs, asked, {"text": 1.0, "title": 5.0}).collect()}
+    assert got == {(0, 1): 1, (0, 2): 1, (1, 4): 1, (2, 5): 1, (4, 1): 2, (4, 2): 1, (5, 1): 1, (5, 2): 1, (5, 3): 1}
+    rows = postings.postings(docs, ["text", "title"])
+    counts = {(r.token, r.id, r.field): (r.tf, r.length) for r in postings.occurrences(rows.where("term IS NOT NULL"), asked).collect()}
+    assert counts["snake_case", 1, "text"] == (2.0, 8) and counts["snake_case", 2, "title"] == (1.0, 7) and counts["a_a", 5, "title"] == (2.0, 3) and counts["acao_unica", 4, "text"] == (2.0, 4)
+    assert ("snake_case", 2, "text") not in counts and ("snake_case", 3, "text") not in counts
+    assert rows.where("term IS NULL").count() == 6
+    assert lexical.bm25(docs.limit(0), asked, {"text": 1.0, "title": 5.0}).count() == 0
+
+
+def test_many_tokens_meet_the_whole_postings(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} and w{i % 3}_x w{i}") for i in range(60)], "doc_id long, text string")
+    asked = lexical.queries_of(spark, {i: [f"w{i}", f"w{i % 3}_x", "and"] for i in range(10)})
+    want = sorted(map(tuple, lexical.bm25(docs, asked, {"text": 1.0}).collect()))
+    monkeypatch.setattr(lexical, "ASKED", 3)
+    assert lexical.asked_terms(asked) == (None, True)
+    assert sorted(map(tuple, lexical.bm25(docs, asked, {"text": 1.0}).collect())) == want and len(want) == 600
+
+
+def test_letters_lose_their_marks(spark):
+    texts = ["Ἀθῆναι Ελλάδα ΐ ΰ", "Việt Nam ệ ữ Ấ", "Йод ёлка Ѓ ў", "Ångström Å naïve é ǘ", "한국어 ツバメ が", "ﬁ ½ ß İ ı"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    folded = [r[0] for r in rows.select(tx.fold(F.col("t"))).collect()]
+    duck = duckdb.connect()
+    for text, mine in zip(texts, folded, strict=True):
+        assert mine == unicodedata.normalize("NFC", duck.execute("SELECT strip_accents(lower(?))", [text]).fetchone()[0])
+    terms = [r[0] for r in rows.select(tx.terms(F.col("t"))).collect()]
+    assert terms == [[t.decode() for t in postings.split(text.encode())] for text in texts]
+    assert folded[0] == "αθηναι ελλαδα ι υ" and folded[1] == "viet nam e u a" and folded[2] == "иод елка г у"
+
+
+def hits(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path):
+    r = random.Random(2)
+    say = lambda: " ".join(r.choices(["red", "blue", "snake_case", "ação", "x9", "rare"], k=r.randint(0, 12)))
+    asked = lexical.queries_of(spark, {0: ["red", "snake_case"], 1: ["acao"], 2: ["blue_red", "none"], 3: ["rare"]})
+    now = {i: (say(), say()) for i in range(40)}
+    frame = lambda rows: spark.createDataFrame([(i, *t) for i, t in rows.items()], "doc_id long, text string, title string").repartition(3)
+    root, weights = str(tmp_path / "index"), {"text": 1.0, "title": 5.0}
+    whole = lambda: hits(lexical.bm25(frame(now), asked, weights))
+    state = segments.create(frame(now), root, ["text", "title"], buckets=8)
+    assert hits(segments.search(spark, root, asked, weights)) == whole()
+    old = whole()
+    for step in range(3):
+        changed = {i: (say(), say()) for i in r.sample(range(60), 9)}
+        gone = set(r.sample(range(70), 6))
+        now = {i: t for i, t in (now | changed).items() if i not in gone}
+        state = segments.update(spark, root, frame(changed), spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        assert state["facts"]["documents"] == len(now) and state["facts"]["segments"] == step + 2
+        assert state["facts"]["length"] == lexical.index(frame(now), weights).where("term IS NULL").agg({"length": "sum"}).first()[0]
+        assert hits(segments.search(spark, root, asked, weights)) == whole()
+    assert hits(segments.search(spark, root, asked, weights, version=0)) == old
+    segments.compact(spark, root)
+    assert hits(segments.search(spark, root, asked, weights)) == whole()
+    assert segments.lengths(spark, root, manifest.read(spark, root)).count() == len(now)
+    with pytest.raises(manifest.Stale):
+        manifest.commit(spark, root, state, {})
+    rows = segments.asked_postings(spark, root, manifest.read(spark, root), lexical.queries_of(spark, {0: ["red"]}))[0]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
+
+
+def test_refresh_follows_crawls(spark, tmp_path):
+    schema, root = "path string, modified long, size long, text string", str(tmp_path / "index")
+    asked = lexical.queries_of(spark, {0: ["one"]})
+    first = [("a", 1, 3, "one two"), ("b", 1, 3, "one"), ("c", 1, 3, "three")]
+    segments.refresh(spark.createDataFrame(first, schema), root, ["text"])
+    same = segments.refresh(spark.createDataFrame(first, schema), root, ["text"])
+    assert same["version"] == 0
+    second = [("a", 1, 3, "not looked at"), ("c", 2, 3, "one three"), ("d", 1, 1, "one")]
+    state = segments.refresh(spark.createDataFrame(second, schema), root, ["text"])
+    assert state["version"] == 1 and state["facts"]["documents"] == 3 and state["facts"]["length"] == 5
+    assert {x.id for x in segments.search(spark, root, asked, {"text": 1.0}).collect()} == {"a", "c", "d"}
+    assert segments.refresh(spark.createDataFrame([], schema), root, ["text"])["facts"]["documents"] == 0
+    assert segments.search(spark, root, asked, {"text": 1.0}).count() == 0
+
+
+def test_a_version_is_seen_whole_or_not(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    assert manifest.read(spark, root) == {"version": -1, "tables": {}, "facts": {}}
+    put = lambda n, name: manifest.write(spark.range(n), root, name)
+    a = manifest.commit(spark, root, manifest.read(spark, root), {"one": [put(1, "one")], "two": [put(2, "two")]}, {"n": 3})
+    half = put(5, "one")  # written, but not committed
+    assert manifest.table(spark, manifest.read(spark, root), "one", "id long").count() == 1
+    b = manifest.commit(spark, root, a, {"one": [*a["tables"]["one"], half]})
+    for late in (a, {"version": -1, "tables": {}, "facts": {}}):
+        with pytest.raises(manifest.Stale):
+            manifest.commit(spark, root, late, {"two": []})
+    assert manifest.read(spark, root) == b and manifest.versions(spark, root) == [0, 1] and b["facts"] == {"n": 3}
+    assert manifest.table(spark, b, "one", "id long").count() == 6 and manifest.table(spark, b, "two", "id long").count() == 2
+    assert manifest.table(spark, manifest.read(spark, root, 0), "one", "id long").count() == 1 and manifest.table(spark, b, "none", "id long").count() == 0
+
+
+def brute_following(rows, within):
+    out = {}
+    for s, t, i, kind in rows:
+        if kind == "s":
+            later = [(u, j) for v, u, j, k in rows if v == s and k == "r" and (u, j) > (t, i)]
+            best = min(later, default=None)
+            out[i] = best[1] if best and best[0] <= t + within else None
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "timestamp", "timestamp_ntz"])
+def test_following_reads(spark, kind):
+    r = random.Random(7)
+    rows = [(r.choice((1, 2, None)), r.randint(-50, 300), i, r.choice("srx")) for i in range(300)]
+    events = spark.createDataFrame(rows, "s int, t long, i long, kind string")
+    within = F.lit(7).cast("long")
+    if kind != "long":
+        events = events.withColumn("t", F.timestamp_seconds("t").cast(kind))
+        within = F.expr("INTERVAL 7 SECONDS")
+    got = evaluation.following(events.repartition(4), "s", "t", "i", F.col("kind") == "s", F.col("kind") == "r", within)
+    assert got.columns == ["s", "t", "i", "kind", "read"]
+    assert {x.i: x.read.id if x.read else None for x in got.collect()} == brute_following(rows, 7)
+
+
+def test_a_session_of_a_million_events(spark):
+    events = spark.range(1_000_000).select(F.lit(1).alias("s"), (F.col("id") // 2).alias("t"), F.col("id").alias("i"), (F.col("id") % 10 == 0).alias("search"), (F.col("id") % 1000 == 999).alias("read_"))
+    began = time.time()
+    got = evaluation.following(events, "s", "t", "i", F.col("search"), F.col("read_"), F.lit(100).cast("long")).agg(F.count("*"), F.count("read"), F.sum("read.id")).first()
+    searches = range(0, 1_000_000, 10)
+    found = [n for n in ((i // 1000) * 1000 + 999 for i in searches)]
+    near = [n for i, n in zip(searches, found, strict=True) if n // 2 <= i // 2 + 100]
+    assert tuple(got) == (100_000, len(near), sum(near)) and time.time() - began < 20
+
+
+def test_fragments_in_texts(spark, monkeypatch):
+    r = random.Random(6)
+    say = lambda n: "".join(r.choices("abcé😀 %_\\", k=n))
+    texts = [(i, say(r.randint(0, 60))) for i in range(80)] + [(100, None), (101, ""), (102, "abc" * 5000)]
+    fragments = [(i, say(r.choice((1, 2, 3, 4, 6)))) for i in range(120)] + [(500, ""), (501, None), (502, "abcabcabcabc"), (3, "ab"), (503, "zzz never")]
+    a = spark.createDataFrame(fragments, "fragment_id long, fragment string").repartition(3)
+    b = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    want = {(f, t) for f, x in fragments if x for t, y in texts if y is not None and x in y}
+    for most in (containment.ASKED, 2):
+        monkeypatch.setattr(containment, "ASKED", most)
+        got = [tuple(x) for x in containment.contained(a, b).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert containment.contained(a.limit(0), b).count() == 0 and containment.contained(a, b.limit(0)).count() == 0
