@@ -249,3 +249,22 @@ SQL |= {
     "q80_fragments_in_urls": f"""WITH f AS (SELECT DISTINCT unnest({TERMS}) AS fragment FROM benchmark)
         SELECT fragment AS fragment_id, count(*) AS pages, min(page_id) AS first FROM f JOIN pages ON contains(url, fragment) GROUP BY fragment""",
 }
+
+_SYNC = """WITH t AS (SELECT *, turn % 3 = 0 AS review, conv_id % 2 = 0 AS card FROM conversations),
+    c AS (SELECT conv_id, turn, CASE WHEN review THEN 'f' ELSE '-' END AS file, CASE WHEN turn % 2 = 1 AND conv_id % 3 = 0 THEN 'again ' || text ELSE text END AS body FROM t
+        WHERE turn > 0 AND NOT (review AND card) AND (turn % 2 = 0 OR conv_id % 3 <> 0 OR turn % 4 = 1)),
+    l AS (SELECT conv_id, count(*) AS n, string_agg(turn || '=' || file || '=' || body, '|' ORDER BY turn) AS listed FROM c GROUP BY conv_id)
+    SELECT CASE WHEN card THEN 'card' ELSE 'pr' END AS kind, conv_id AS number, CASE WHEN conv_id % 5 = 0 THEN '2024-02' ELSE '2024-01' END AS updated, CASE WHEN conv_id % 5 = 0 THEN '2 ' ELSE '' END || md5(text) AS title, coalesce(n, 0) AS n, md5(coalesce(listed, '')) AS digest
+    FROM t LEFT JOIN l USING (conv_id) WHERE turn = 0"""
+_FRONT = "doc_id % 7 <> 0 AND doc_id % 10 <> 9"
+SQL |= {
+    "q81_stream_sync": _SYNC,
+    "q82_batch_sync": _SYNC,
+    "q83_exported_log": """SELECT sha1(o_orderkey::VARCHAR) AS sha, left(sha1(o_orderkey::VARCHAR), 7) AS short, strftime(o_orderdate, '%Y-%m-%d') AS data, 'order ' || o_orderkey || ' #' || (o_orderkey % 900 + 100) AS subject,
+        o_orderkey % 4 + 1 AS files, o_orderkey % 900 + 100 AS card FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 10 <> 0 AND o_orderdate >= DATE '1998-01-01'""",
+    "q84_yaml_front_matter": f"""SELECT doc_id, md5(CASE WHEN doc_id % 10 = 9 AND doc_id % 7 <> 0 THEN '---' || chr(10) || 'id: ' || doc_id || chr(10) || 'tags: [' || lang || ', ''b c'', ' || source || ']' || chr(10) || 'cards:' || chr(10) || '  - 101' || chr(10) || '  - 7' || chr(10)
+        || 'where:' || chr(10) || '  source: "' || source || ': \\"x\\" #1"' || chr(10) || '  deep: {{a: [1, 2.5], b: true}}' || chr(10) || 'note: >' || chr(10) || '  folded' || chr(10) || '  text' || chr(10) || 'raw: |' || chr(10) || '  two' || chr(10) || '  lines' || chr(10) || 'data: 2024-05-06'
+        || chr(10) || 'broken: [1, 2' || chr(10) || '---' || chr(10) || text ELSE text END) AS text,
+        CASE WHEN {_FRONT} THEN doc_id END AS id, CASE WHEN {_FRONT} THEN lang || '|b c|' || source END AS tags, CASE WHEN {_FRONT} THEN 7::BIGINT END AS card, CASE WHEN {_FRONT} THEN source || ': "x" #1' END AS source,
+        CASE WHEN {_FRONT} THEN 2.5::DOUBLE END AS deep, CASE WHEN {_FRONT} THEN true END AS flag, CASE WHEN {_FRONT} THEN 'folded text' || chr(10) END AS note, CASE WHEN {_FRONT} THEN 'two' || chr(10) || 'lines' || chr(10) END AS raw, CASE WHEN {_FRONT} THEN '2024-05-06' END AS data FROM documents""",
+}

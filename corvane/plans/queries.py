@@ -11,8 +11,8 @@ from ..functions import predicates
 from ..functions import text as tx
 from ..operators import containment, evaluation, graph, lexical, ranking, reports, vector
 from ..session import shared_folder, spread
-from ..sources import chunks, files, segments
-from ..streaming import incremental
+from ..sources import chunks, files, logs, segments
+from ..streaming import incremental, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -789,3 +789,91 @@ def q80_fragments_in_urls(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("fragment")).distinct()
     rows = containment.contained(words.select(F.col("fragment").alias("fragment_id"), "fragment"), pages.select(F.col("page_id").alias("id"), F.col("url").alias("text")))
     return rows.groupBy("fragment_id").agg(F.count("*").alias("pages"), F.min("id").alias("first"))
+
+
+def pull(spark, sf_dir, n):
+    """The ``n``-th of three pulls that read conversations as items and comments: some comments come before their item,
+    some come again with other words, some late.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    turn, conv = F.col("turn"), F.col("conv_id")
+    items = turns.where("turn = 0").select(
+        F.lit("r").alias("repo"), conv.alias("number"), F.when(conv % 2 == 0, "card").otherwise("pr").alias("kind"), F.lit(None).cast("long").alias("id"),
+        F.when((conv % 5 == 0) & F.lit(n == 2), "2024-02").otherwise("2024-01").alias("updated"), F.col("role").alias("author"),
+        F.concat(F.when(conv % 5 == 0, f"{n} ").otherwise(""), F.md5("text")).alias("title"), F.col("text").alias("body"), F.lit("OPEN").alias("state"), F.lit(None).cast("string").alias("file"),
+    )
+    said = turns.where("turn > 0").select(
+        F.lit("r").alias("repo"), conv.alias("number"), F.when(turn % 3 == 0, "review").otherwise("comment").alias("kind"), turn.alias("id"), F.lpad(turn.cast("string"), 9, "0").alias("updated"),
+        F.col("role").alias("author"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("again " if n == 2 else ""), "text").alias("body"), F.lit(None).cast("string").alias("state"), F.lit("f").alias("file"),
+    )
+    if n == 1:
+        return items.where("number % 3 <> 0").unionByName(said.where("id % 2 = 1"))
+    return items.unionByName(said.where("id % 4 = 1")) if n == 2 else said.where("id % 2 = 0")
+
+
+def told(items):
+    listed = F.array_join(F.transform("comments", lambda c: F.concat_ws("=", c["id"].cast("string"), F.coalesce(c["file"], F.lit("-")), c["body"])), "|")
+    return items.select("kind", "number", "updated", "title", F.size("comments").cast("long").alias("n"), F.md5(listed).alias("digest"))
+
+
+@query
+def q81_stream_sync(spark, sf_dir):
+    top = shared_folder(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sync.ROCKS)
+    try:
+        for n in (1, 2, 3):
+            pull(spark, sf_dir, n).write.mode("append").parquet(f"{top}/in")
+            stream = sync.synced_stream(spark.readStream.schema(sync.RECORD).parquet(f"{top}/in"))
+            incremental.run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{top}/out/batch={i}"), f"{top}/state")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    rows = spark.read.parquet(f"{top}/out")
+    last = rows.groupBy("repo", "kind", "number").agg(F.max_by(F.struct("updated", "title", "comments"), "batch").alias("r"))
+    return told(last.select("kind", "number", "r.*"))
+
+
+@query
+def q82_batch_sync(spark, sf_dir):
+    items = spark.createDataFrame([], sync.ITEM)
+    for n in (1, 2, 3):
+        path = shared_folder(spark)
+        sync.synced(items, pull(spark, sf_dir, n)).drop("changed").write.parquet(path)
+        items = spark.read.parquet(path)
+    return told(items)
+
+
+def exported(spark, sf_dir):
+    """Orders as the logs of five repositories, one file each, as a version control tool exports them; every tenth is a merge."""
+    top, number = shared_folder(spark), F.col("o_orderkey")
+    files_ = F.array_join(F.transform(F.sequence(F.lit(1), (number % 4 + 1).cast("int")), lambda i: F.concat(F.lit("src/f"), i.cast("string"))), "\n")
+    fields = [
+        F.sha1(number.cast("string")), F.substring(F.sha1(number.cast("string")), 1, 7), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("someone"), F.when(number % 10 == 0, "p1 p2").otherwise("p1"),
+        F.concat(F.lit("order "), number.cast("string"), F.when(number % 3 == 0, F.concat(F.lit(" #"), (number % 900 + 100).cast("string"))).otherwise("")), F.lit("a body\nof two lines"), files_,
+    ]
+    rows = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("repo"), F.concat(F.lit("\x1e"), F.concat_ws("\x1f", *fields)).alias("value"))
+    rows.repartition("repo").sortWithinPartitions("repo", "value").write.partitionBy("repo").option("lineSep", "\n").text(top)
+    return top
+
+
+@query
+def q83_exported_log(spark, sf_dir):
+    logs.register(spark)
+    rows = spark.read.format("commitlog").option("split", 1 << 16).load(exported(spark, sf_dir)).where("data >= '1998-01-01' AND size(cards) > 0")
+    return rows.select("sha", "short", "data", "subject", F.size("files").cast("long").alias("files"), F.col("cards")[0].cast("long").alias("card"))
+
+
+@query
+def q84_yaml_front_matter(spark, sf_dir):
+    quoted = F.concat(F.lit('"'), F.col("source"), F.lit(': \\"x\\" #1"'))
+    lines = [
+        F.concat(F.lit("id: "), F.col("doc_id").cast("string")), F.concat(F.lit("tags: ["), "lang", F.lit(", 'b c', "), "source", F.lit("]")), F.lit("cards:\n  - 101\n  - 7"),
+        F.concat(F.lit("where:\n  source: "), quoted, F.lit("\n  deep: {a: [1, 2.5], b: true}")), F.lit("note: >\n  folded\n  text\nraw: |\n  two\n  lines\ndata: 2024-05-06"), F.when(F.col("doc_id") % 10 == 9, "broken: [1, 2"),
+    ]
+    content = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), F.col("text")))
+    rows = files.with_front(texts(spark, sf_dir).select("doc_id", content.alias("content")))
+    get = lambda path, kind="string": F.try_variant_get("front", path, kind)
+    return rows.select(
+        "doc_id", F.md5("text").alias("text"), get("$.id", "long").alias("id"), F.array_join(get("$.tags", "array<string>"), "|").alias("tags"), get("$.cards[1]", "long").alias("card"), get("$.where.source").alias("source"),
+        get("$.where.deep.a[1]", "double").alias("deep"), get("$.where.deep.b", "boolean").alias("flag"), get("$.note").alias("note"), get("$.raw").alias("raw"), get("$.data").alias("data"),
+    )

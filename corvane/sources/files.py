@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
+
+try:
+    import yaml
+except ImportError:  # then front matter has flat keys and plain values alone
+    yaml = None
 
 
 @dataclass(frozen=True)
@@ -60,7 +69,7 @@ def crawl(spark: SparkSession, roots: list[Root]) -> DataFrame:
     return out.withColumn("_n", first).where("_n = 1").drop("_n", "_root")
 
 
-FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"
+FRONT = r"(?s)\A---[ \t]*\r?\n(?:(.*?)\r?\n)??---[ \t]*(?:\r?\n|\z)"
 
 
 def front_matter(content: Column) -> Column:
@@ -77,13 +86,67 @@ def body(content: Column) -> Column:
     return F.regexp_replace(content, FRONT, "")
 
 
+def _as_json(block: str) -> str | None:
+    """A block of YAML as JSON, null if it is broken; dates stay as they are written, other scalars have their types.
+
+    A block that is no map has no keys. Aliases are not followed, as a few lines of them can stand for any size.
+    """
+    loader = getattr(yaml, "CBaseLoader", yaml.BaseLoader)
+    try:
+        if any(isinstance(t, yaml.AliasToken) for t in yaml.scan(block, Loader=loader)):
+            return None
+        node = yaml.compose(block, Loader=loader)
+        return json.dumps(_plain(node) if isinstance(node, yaml.MappingNode) else {}, ensure_ascii=False)
+    except (yaml.YAMLError, RecursionError, ValueError):
+        return None
+
+
+#: Plain scalars that are not texts: fixed values.
+_TYPED = {"true": True, "false": False, "null": None, "~": None, "": None}
+
+
+def _plain(node) -> object:
+    if isinstance(node, yaml.MappingNode):
+        return {str(_plain(k)) if not isinstance(k, yaml.ScalarNode) else k.value: _plain(v) for k, v in node.value}
+    if isinstance(node, yaml.SequenceNode):
+        return [_plain(v) for v in node.value]
+    if node.style is None:
+        if node.value.lower() in _TYPED:
+            return _TYPED[node.value.lower()]
+        if re.fullmatch(r"[-+]?(0|[1-9][0-9]{0,17})", node.value):
+            return int(node.value)
+        if re.fullmatch(r"[-+]?[0-9]+\.[0-9]+([eE][-+]?[0-9]+)?", node.value):
+            return float(node.value)
+    return node.value
+
+
+@pandas_udf(StringType())
+def _yaml_json(block: pd.Series) -> pd.Series:
+    return block.map(lambda b: _as_json(b) if b else "{}")
+
+
+def with_front(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``front``, the YAML before a text as VARIANT, and ``text``, what follows it.
+
+    Lists, maps in maps, quoted, literal and folded texts keep their structure. Where there is no block, front is an
+    empty object; a broken one stays part of the text, which is then the raw content. Null content has an empty object and no text.
+    Only the block goes to Python, not the text.
+    """
+    if yaml is None:
+        return files.withColumns({"front": F.to_variant_object(front_matter(F.col(content))), "text": body(F.col(content))})
+    block = F.coalesce(F.regexp_extract(content, FRONT, 1), F.lit(""))
+    rows = files.withColumn("_json", _yaml_json(block))
+    text = F.when(F.col("_json").isNull(), F.col(content)).otherwise(body(F.col(content)))
+    return rows.withColumns({"front": F.coalesce(F.try_parse_json("_json"), F.parse_json(F.lit("{}"))), "text": text}).drop("_json")
+
+
 def metadata(files: DataFrame) -> DataFrame:
     """``files`` with repo, feature, doc_type, status, title and data, as their path, front matter and text say."""
-    rows = files.withColumns({"front": front_matter(F.col("content")), "text": body(F.col("content"))})
+    rows = with_front(files)
     parts, source = F.split("relative", "/"), F.col("source")
     rows = rows.withColumns({"_parts": parts, "_name": F.element_at(parts, -1)})
     part, name, n = F.col("_parts"), F.lower("_name"), F.size("_parts")
-    front = lambda k: F.try_element_at(F.col("front"), F.lit(k))
+    front = lambda k: F.try_variant_get("front", f"$.{k}", "string")
     deep = source.isin("planning", "docs") & F.col("recursive") & (n > 1)
     feature = F.when(deep, F.when(F.get(part, F.lit(0)) != "_arquivo", F.get(part, F.lit(0))).when(n > 2, F.get(part, F.lit(1))))
     fixed = {"diario": "diario", "memoria": "memoria", "mapa": "mapa", "decisao": "decisao", "git": "commit", "code": "code", "notas": "nota"}

@@ -1,6 +1,7 @@
 """Operators on small rows whose results are known."""
 
 import datetime
+import json
 import math
 import random
 import re
@@ -15,8 +16,8 @@ from corvane.functions import predicates
 from corvane.functions import text as tx
 from corvane.operators import containment, evaluation, graph, lexical, postings, ranking, reports, vector
 from corvane.plans import queries
-from corvane.sources import chunks, files, manifest, segments, snapshots
-from corvane.streaming import incremental
+from corvane.sources import chunks, files, logs, manifest, segments, snapshots
+from corvane.streaming import incremental, sync
 
 
 def values(df, *columns):
@@ -411,7 +412,7 @@ def test_following_reads(spark, kind):
 
 
 def test_a_session_of_a_million_events(spark):
-    events = spark.range(1_000_000).select(F.lit(1).alias("s"), (F.col("id") // 2).alias("t"), F.col("id").alias("i"), (F.col("id") % 10 == 0).alias("search"), (F.col("id") % 1000 == 999).alias("read_"))
+    events = spark.range(1_000_000).select(F.lit(1).alias("s"), F.shiftright("id", 1).alias("t"), F.col("id").alias("i"), (F.col("id") % 10 == 0).alias("search"), (F.col("id") % 1000 == 999).alias("read_"))
     began = time.time()
     got = evaluation.following(events, "s", "t", "i", F.col("search"), F.col("read_"), F.lit(100).cast("long")).agg(F.count("*"), F.count("read"), F.sum("read.id")).first()
     searches = range(0, 1_000_000, 10)
@@ -433,3 +434,115 @@ def test_fragments_in_texts(spark, monkeypatch):
         got = [tuple(x) for x in containment.contained(a, b).collect()]
         assert len(got) == len(want) and set(got) == want
     assert containment.contained(a.limit(0), b).count() == 0 and containment.contained(a, b.limit(0)).count() == 0
+
+
+def pulled(r, n):
+    """A pull of random items and comments; times decide the order within it."""
+    out = []
+    for i in range(n):
+        kind = r.choice(["card", "pr", "comment", "comment", "comment", "review"])
+        said = kind in ("comment", "review")
+        out.append((r.choice(["a", "b"]), r.randint(1, 4), kind, (r.choice([None, *range(12)]) if said else None), f"t{r.randint(0, 3)}{i:03d}" if said else f"t{i % 3}", "x", None if said else f"title {i}", f"body {i}", None if said else "OPEN", "f.py" if said else None))
+    return out
+
+
+def kept_items(items, pulls):
+    """``items`` by (repo, kind, number) after a pull, row by row, and which of them changed."""
+    changed = set()
+    for x in sorted((p for p in pulls if p[2] in ("card", "pr")), key=lambda p: p[4]):
+        key = (x[0], x[2], x[1])
+        had = items.get(key)
+        if had is None or had["fields"][0] != x[4]:
+            changed.add(key)
+        items[key] = {"fields": (x[4], *x[5:9]), "comments": had["comments"] if had else {}}
+    for x in sorted((p for p in pulls if p[2] in ("comment", "review") and p[3] is not None), key=lambda p: (p[4], p[7])):
+        kind = "pr" if x[2] == "review" or (x[0], "card", x[1]) not in items else "card"
+        item = items.get((x[0], kind, x[1]))
+        if item and x[3] not in item["comments"]:
+            item["comments"][x[3]] = (x[3], x[4], x[5], x[7], x[9] if x[2] == "review" else None)
+            changed.add((x[0], kind, x[1]))
+    return changed
+
+
+def shown(x):
+    return (x["repo"], x["kind"], x["number"]), ((x["updated"], x["author"], x["title"], x["body"], x["state"]), [tuple(c) for c in x["comments"]])
+
+
+def test_items_keep_their_comments(spark, tmp_path):
+    r, items, state = random.Random(9), {}, spark.createDataFrame([], sync.ITEM)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sync.ROCKS)
+    stands = {}
+    for n in range(3):
+        # one row an item and pull, so that both forms see the same last one
+        pull = list({(x[0], x[2], x[1], x[3], x[4] if x[3] is not None else None): x for x in pulled(r, 40)}.values())
+        rows = spark.createDataFrame(pull, sync.RECORD)
+        changed = kept_items(items, pull)
+        want = {k: (v["fields"], sorted(v["comments"].values(), key=lambda c: (c[1], c[0]))) for k, v in items.items()}
+        sync.synced(state, rows).write.parquet(str(tmp_path / f"batch{n}"))
+        state = spark.read.parquet(str(tmp_path / f"batch{n}"))
+        found = state.collect()
+        assert dict(map(shown, found)) == want and len(found) == len(want)
+        assert {(x.repo, x.kind, x.number) for x in found if x.changed} == changed
+        state = state.drop("changed")
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = sync.synced_stream(spark.readStream.schema(sync.RECORD).parquet(str(tmp_path / "in")))
+        incremental.run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}")), str(tmp_path / "state"))
+        sent = [shown(x) for x in spark.read.parquet(str(tmp_path / f"out/batch={n}")).collect()]
+        assert {k for k, _ in sent} == changed
+        stands |= dict(sent)
+        assert {k: v[1] for k, v in stands.items()} == {k: v[1] for k, v in want.items()}
+    assert sync.synced(state, spark.createDataFrame([], sync.RECORD)).where("changed").count() == 0
+
+
+def log_record(i, parents="p", date=None, body="said #123\nand #7", files="a.py\nb.py\n"):
+    return f"\x1e{i:040d}\x1f{i:07d}\x1f{date or f'2024-01-{i % 28 + 1:02d}'}\x1fme\x1f{parents}\x1ftitle {i} é #4567\x1f{body}\x1f{files}"
+
+
+def test_exported_logs(spark, tmp_path):
+    logs.register(spark)
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "one.log").write_text("junk before" + "".join(log_record(i, "p q" if i % 10 == 0 else "p") for i in range(100)) + "\x1ebroken\x1frecord")
+    (tmp_path / "logs" / "two.log").write_text("".join(log_record(i, body="x" * 5000) for i in range(9)))
+    (tmp_path / "logs" / "empty.log").write_text("")
+    read = lambda **o: spark.read.format("commitlog").options(**o).load(str(tmp_path / "logs"))
+    whole = sorted(map(tuple, read().select("repo", "sha", "data", "subject", "body", "files", "cards").collect()))
+    assert len(whole) == 90 + 9
+    assert whole[0] == ("one", f"{1:040d}", "2024-01-02", "title 1 é #4567", "said #123\nand #7", ["a.py", "b.py"], [4567, 123])
+    for split in (997, 2999, 10**6):  # records are cut anywhere
+        rows = read(split=str(split))
+        assert sorted(map(tuple, rows.select("repo", "sha", "data", "subject", "body", "files", "cards").collect())) == whole
+    assert read(merges="true").count() == 109
+    assert read(since="2024-01-20").count() == sum(x[2] >= "2024-01-20" for x in whole)
+    assert {x.repo: x.n for x in read(maxcount="7").groupBy("repo").agg(F.count("*").alias("n")).collect()} == {"one": 7, "two": 7}
+    assert read(maxcount="30", since="2024-01-20").where("data >= '2024-01-25'").count() == sum(x.data >= "2024-01-25" for x in read(maxcount="30", since="2024-01-20").collect())
+    late = read().where("data >= '2024-01-20' AND repo = 'two' AND size(cards) > 0")
+    ranges = [x for at in range(0, 300, 11) for x in logs.records(str(tmp_path), logs.Range(str(tmp_path / "logs" / "one.log"), at, at + 11))]
+    assert len(ranges) == len({*ranges}) == 2 and all(logs.parsed("one", x) for x in ranges)
+    assert late.count() == sum(x[2] >= "2024-01-20" and x[0] == "two" for x in whole)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    left = re.search(r"Filter \((.*)\)", plan)[1]
+    assert "size(cards" in left and "data" not in left and "repo" not in left
+
+
+def test_a_log_that_grows(spark, tmp_path):
+    logs.register(spark)
+    log = tmp_path / "grow.log"
+    log.write_text("".join(log_record(i) for i in range(5)))
+    for n in range(3):
+        stream = spark.readStream.format("commitlog").load(str(log))
+        incremental.run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}")), str(tmp_path / "state"))
+        with log.open("a") as f:
+            f.write("".join(log_record(i) for i in range(5 * n + 5, 5 * n + 10)))
+    assert sorted(int(x.sha) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(15))
+
+
+def test_yaml_front_matter(spark):
+    texts = [
+        "---\na: 1\nb: [x, 'y z', 2.5]\nc:\n  - one\n  - {k: v, n: null}\nd: >-\n  folded\n  line\ne: \"q: \\\"w\\\"\"\nf: 2024-01-02\ng: yes\nh: true\n---\nbody\n---\nmore",
+        "---\nbroken: [1, 2\n---\nbody", "no block", "---\n---\nempty block", "---\njust words\n---\nbody", "---\na: &x [1]\nb: *x\n---\naliases", None, "", "---\r\na: b\r\n---\r\nwindows", "--- \na: b\n---  \nspaces",
+    ]
+    rows = files.with_front(spark.createDataFrame(list(enumerate(texts)), "i int, content string")).select("i", "text", F.to_json("front").alias("front")).orderBy("i").collect()
+    front = lambda i: json.loads(rows[i].front)
+    assert front(0) == {"a": 1, "b": ["x", "y z", 2.5], "c": ["one", {"k": "v", "n": None}], "d": "folded line", "e": 'q: "w"', "f": "2024-01-02", "g": "yes", "h": True}
+    assert [x.text for x in rows] == ["body\n---\nmore", texts[1], "no block", "empty block", "body", texts[5], None, "", "windows", "spaces"]
+    assert all(front(i) == {} for i in (1, 2, 3, 4, 5, 6, 7)) and front(8) == front(9) == {"a": "b"}
