@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cited_files, cited_numbers, explicit_number
+from ..session import staged
 
 
 def merged_entities(claims: DataFrame) -> DataFrame:
@@ -49,33 +50,34 @@ def resolve_numbers(citations: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def document_edges(docs: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
-    """Every edge that documents give: docs (path, key, source, repo, feature, text, branch) to features, refs and files."""
+    """Every edge that documents give: docs (path, key, source, repo, feature, text, branch) to features, refs and files.
+
+    Texts are looked at once: what they cite is written, and all rules read that.
+    """
     col = F.col
-    feature = docs.where("feature IS NOT NULL AND source NOT IN ('code', 'github', 'diario')").select(
-        F.lit(1).alias("seq"), col("key").alias("src"), F.concat(F.lit("feature:"), "feature").alias("dst"), F.lit("pertence").alias("rel"), F.lit("planning").alias("origin")
-    )
-    said = docs.where("source IN ('github', 'diario', 'planning')").select(col("key").alias("doc"), "repo", "source", explicit_number(col("text"), col("branch")).alias("number")).where("number IS NOT NULL")
-    said = resolve_numbers(said, refs).join(docs.select(col("key").alias("doc"), "source"), "doc").select(
-        F.lit(2).alias("seq"), col("doc").alias("src"), col("target").alias("dst"), F.lit("implementa").alias("rel"), col("source").alias("origin")
-    )
-    known = docs.where("feature IS NOT NULL").select(col("feature").alias("slug")).distinct()
-    branch = docs.select(col("key").alias("src"), F.regexp_extract(F.coalesce("branch", F.lit("")), r"/\d{3,5}-(.+)$", 1).alias("slug")).join(known, "slug").select(
-        F.lit(3).alias("seq"), "src", F.concat(F.lit("feature:"), "slug").alias("dst"), F.lit("pertence").alias("rel"), F.lit("rotulo").alias("origin")
-    )
+    branch = F.coalesce("branch", F.lit(""))
+    cites = staged(docs.select(
+        "key", "source", "repo", "feature", explicit_number(col("text"), col("branch")).alias("said"), F.regexp_extract(branch, r"/\d{3,5}-(.+)$", 1).alias("slug"),
+        cited_numbers(col("text")).alias("numbers"), cited_files(col("text")).alias("files"),
+    ))
+    edge = lambda rows, seq, src, dst, rel, origin: rows.select(F.lit(seq).alias("seq"), src.alias("src"), dst.alias("dst"), rel.alias("rel"), origin.alias("origin"))
+    to_feature = lambda c: F.concat(F.lit("feature:"), c)
+    # a document's source comes along with what it cites, so resolving needs no join back
+    doc = F.struct("key", "source").alias("doc")
+    feature = edge(cites.where("feature IS NOT NULL AND source NOT IN ('code', 'github', 'diario')"), 1, col("key"), to_feature("feature"), F.lit("pertence"), F.lit("planning"))
+    said = resolve_numbers(cites.where("source IN ('github', 'diario', 'planning') AND said IS NOT NULL").select(doc, "repo", col("said").alias("number")), refs)
+    said = edge(said, 2, col("doc.key"), col("target"), F.lit("implementa"), col("doc.source"))
+    known = cites.where("feature IS NOT NULL").select(col("feature").alias("slug")).distinct()
+    branched = edge(cites.where("slug <> ''").join(known, "slug"), 3, col("key"), to_feature("slug"), F.lit("pertence"), F.lit("rotulo"))
     last = refs.where("key LIKE 'card:%'").groupBy("number").agg(F.max("key").alias("card"))
-    numbered = known.withColumn("number", F.nullif(F.regexp_extract("slug", r"^(\d{3,5})-", 1), F.lit("")).cast("int")).join(last, "number").select(
-        F.lit(4).alias("seq"), F.concat(F.lit("feature:"), "slug").alias("src"), col("card").alias("dst"), F.lit("implementa").alias("rel"), F.lit("slug").alias("origin")
-    )
-    numbers = docs.select(col("key").alias("doc"), "repo", "source", F.explode(cited_numbers(col("text"))).alias("number"))
-    numbers = resolve_numbers(numbers, refs).join(docs.select(col("key").alias("doc"), "source"), "doc").select(
-        F.lit(5).alias("seq"), col("doc").alias("src"), col("target").alias("dst"),
-        F.when(col("source") == "diario", "registra").otherwise("referencia").alias("rel"), F.lit("rotulo").alias("origin"),
-    )
-    named = resolve_files(docs.select(col("key").alias("doc"), F.explode(cited_files(col("text"))).alias("cited")), files).select(
-        F.lit(6).alias("seq"), col("doc").alias("src"), F.concat(F.lit("arquivo:"), "target").alias("dst"), F.lit("toca").alias("rel"), F.lit("rotulo").alias("origin")
-    )
+    numbered = known.withColumn("number", F.nullif(F.regexp_extract("slug", r"^(\d{3,5})-", 1), F.lit("")).cast("int")).join(last, "number")
+    numbered = edge(numbered, 4, to_feature("slug"), col("card"), F.lit("implementa"), F.lit("slug"))
+    numbers = resolve_numbers(cites.select(doc, "repo", F.explode("numbers").alias("number")), refs)
+    numbers = edge(numbers, 5, col("doc.key"), col("target"), F.when(col("doc.source") == "diario", "registra").otherwise("referencia"), F.lit("rotulo"))
+    named = resolve_files(cites.select(col("key").alias("doc"), F.explode("files").alias("cited")), files)
+    named = edge(named, 6, col("doc"), F.concat(F.lit("arquivo:"), "target"), F.lit("toca"), F.lit("rotulo"))
     out = feature
-    for more in (said, branch, numbered, numbers, named):
+    for more in (said, branched, numbered, numbers, named):
         out = out.unionByName(more)
     return distinct_edges(out)
 

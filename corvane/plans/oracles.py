@@ -164,8 +164,6 @@ SQL: dict[str, str] = {
     "q27_round_robin": """WITH n AS (SELECT DISTINCT 'part:' || l_partkey AS target, 'order:' || l_orderkey AS neighbour, 'in' AS direction, 2 AS k FROM lineitem
         UNION SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'out', 1 FROM lineitem), t AS (SELECT *, row_number() OVER (PARTITION BY target, k ORDER BY neighbour) AS turn FROM n)
         SELECT target, neighbour, direction, row_number() OVER (PARTITION BY target ORDER BY turn, k) AS place FROM t WHERE target IN (SELECT 'part:' || p_partkey FROM part) QUALIFY place <= 6""",
-    "q28_unique_citations": "SELECT * FROM (VALUES ('a', 'src/lib/x.ts', 'p/src/lib/x.ts'), ('a', 'y.py', 'p/y.py'), ('b', 'lib/x.ts', 'p/src/lib/x.ts'), ('c', 'other/deep/x.ts', 'p/other/deep/x.ts'), ('c', 'lib/x.ts', 'p/src/lib/x.ts')) v(doc, cited, target)",
-    "q29_explicit_refs": "SELECT * FROM (VALUES ('a', 101, 'card:r1#101'), ('b', 102, 'pr:r2#102'), ('c', 103, 'card:r3#103')) v(doc, number, target)",
     "q30_entity_precedence": "SELECT * FROM (VALUES (1::BIGINT, 'Customer#000000007'), (2, 'Customer#000000005'), (3, 'Customer#000000009'), (5, 'Customer#000000001')) v(request, key) WHERE key IN (SELECT c_name FROM customer)",
     "q30_lookup": "SELECT 'card:r#' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'arquivo' ELSE 'card' END AS kind, c_name AS title FROM customer WHERE c_custkey = 123",
     "q31_usage_report": f"WITH {CALLS} " + USAGE.format(share="round(count(*) FILTER (NOT semantic)::DOUBLE / nullif(count(semantic), 0), 6)"),
@@ -185,22 +183,17 @@ SQL: dict[str, str] = {
         count(*) FILTER (NOT neg AND rank <= 5) AS hit5, round(avg(coalesce(1.0::DOUBLE / rank, 0)) FILTER (NOT neg), 6) AS mrr, count(*) FILTER (neg AND rank IS NULL) AS empty_negatives FROM j""",
     "q38_compare": f"""WITH {RANKED}, g AS (SELECT case_id, ({GAIN})::DOUBLE AS base, (CASE WHEN rank <= 2 THEN {GAIN} ELSE 0 END)::DOUBLE AS head FROM expected)
         SELECT case_id, round(base, 6) AS base, round(head, 6) AS head, round(head - base, 6) AS delta, round(head - base, 6) < -1e-9 AS worse FROM g""",
-    "q39_invalid_runs": "SELECT * FROM (VALUES (1, 'erro'), (2, 'sem-diagnostico'), (3, 'so-lexico'), (4, 'apodreceu'), (5, NULL), (6, 'so-lexico')) v(case_id, invalid)",
     "q40_differences": "SELECT doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 7 <> 0",
     "q41_source_stats": "SELECT source, count(DISTINCT doc_id) AS docs, count(quality) AS labelled, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "q41_totals": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM embeddings) AS embeddings",
     "q42_leaks": "SELECT page_id, url FROM pages WHERE contains(url, '/en/') OR contains(url, '/de/') ORDER BY page_id LIMIT 5",
     "q43_session_notes": r"""WITH t AS (SELECT *, role = 'user' AND trim(text) <> '' AND NOT regexp_matches(text, '^\s*(<|/|Caveat:)') AS heard FROM conversations WHERE turn % 11 <> 10)
         SELECT conv_id AS session, count(*) FILTER (heard) AS asked, count(*) FILTER (role = 'assistant') AS answered, first(left(text, 220) ORDER BY turn) FILTER (heard) AS first FROM t GROUP BY conv_id HAVING asked >= 1 AND answered >= 2""",
-    "q44_front_matter": "SELECT * FROM (VALUES ('docs/12-x/spec.md', 'docs', 'spec', 'open', 'Title one', '2024-05-06'), ('_arquivo/old/prd.md', 'old', 'prd', 'arquivado', 'prd', '2024-01-02'), ('plain/tasks/t1.md', 'plain', 'task', 'feito', 't1', '2024-01-02')) v(relative, feature, doc_type, status, title, data)",
     "q45_crawl": "SELECT 'docs' AS source, 3::BIGINT AS files",
-    "q46_section": "SELECT * FROM (VALUES (1::BIGINT, E'## Decisão final\\ny\\n### z\\nw'), (2, E'# Decisao\\nall')) v(doc_id, section)",
     "q49_json_props": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k, count(DISTINCT (props->>'$.k')::BIGINT) AS kinds FROM events GROUP BY event_type",
     "q50_stream_increments": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "q51_stream_late": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
-    "q55_superseded_decisions": "SELECT * FROM (VALUES (1, 3), (2, NULL), (3, 4), (4, NULL)) v(id, superseded_by)",
     "q56_backfill": "SELECT doc_id AS vec_id, 384::BIGINT AS dims FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) ORDER BY doc_id LIMIT 50",
-    "q57_paths_under_roots": r"SELECT * FROM (VALUES ('C:\Docs\a.md'), ('/srv/docs/x/b.md')) v(path)",
     "q54_upsert": "SELECT source, count(*) AS n, sum(n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS chars FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 9 = 0 GROUP BY source",
 }
 
@@ -268,3 +261,66 @@ SQL |= {
         CASE WHEN {_FRONT} THEN doc_id END AS id, CASE WHEN {_FRONT} THEN lang || '|b c|' || source END AS tags, CASE WHEN {_FRONT} THEN 7::BIGINT END AS card, CASE WHEN {_FRONT} THEN source || ': "x" #1' END AS source,
         CASE WHEN {_FRONT} THEN 2.5::DOUBLE END AS deep, CASE WHEN {_FRONT} THEN true END AS flag, CASE WHEN {_FRONT} THEN 'folded text' || chr(10) END AS note, CASE WHEN {_FRONT} THEN 'two' || chr(10) || 'lines' || chr(10) END AS raw, CASE WHEN {_FRONT} THEN '2024-05-06' END AS data FROM documents""",
 }
+
+FILES = """files AS (SELECT p_partkey, 'repo/' || replace(lower(p_brand), '#', '-') || '/' || p_size || '/f' || (p_partkey % 1500) || '.ts' AS path FROM part),
+    cut AS (SELECT path, string_split(path, '/') AS parts FROM files),
+    suffixes AS (SELECT suffix, any_value(path) AS path FROM (SELECT path, unnest([CASE WHEN len(parts) >= k THEN array_to_string(parts[len(parts) - k + 1:], '/') END FOR k IN [2, 3, 4, 5]]) AS suffix FROM cut) WHERE suffix IS NOT NULL GROUP BY suffix HAVING count(*) = 1),
+    names AS (SELECT parts[-1] AS name, any_value(path) AS path FROM cut GROUP BY parts[-1] HAVING count(*) = 1)"""
+CITING = """citing AS (SELECT d.doc_id, lang AS repo, ['planning', 'diario', 'github', 'code', 'docs'][d.doc_id % 5 + 1] AS source,
+    CASE WHEN d.doc_id % 3 = 0 THEN (d.doc_id % 900 + 100) || '-new' WHEN d.doc_id % 7 = 0 THEN 'plain-' || (d.doc_id % 50) END AS feature,
+    CASE WHEN d.doc_id % 4 = 0 THEN 'feat/' || (d.doc_id * 7 % 900 + 100) || '-plain-' || (d.doc_id % 50) END AS branch,
+    text || chr(10) || CASE d.doc_id % 6 WHEN 0 THEN '**Card:** #' || (d.doc_id * 7 % 900 + 100) WHEN 1 THEN 'It Fixes #' || (d.doc_id * 7 % 900 + 100) WHEN 2 THEN 'see #' || (d.doc_id * 7 % 900 + 100) || ' and #4567' ELSE 'none' END || chr(10) || 'in `' ||
+    coalesce(CASE d.doc_id % 5 WHEN 0 THEN './' || array_to_string(string_split(path, '/')[-2:], '/') WHEN 1 THEN string_split(path, '/')[-1] || ':3-9' WHEN 2 THEN array_to_string(string_split(path, '/')[-3:], '/') WHEN 3 THEN '/' || array_to_string(string_split(path, '/')[-4:], '/') ELSE 'src/none.py' END, 'lost.ts') || '` and `not code`' AS text
+    FROM documents d LEFT JOIN files ON p_partkey = d.doc_id + 1)"""
+REFS = """refs AS (SELECT repo, number, min(kind) || repo || '#' || number AS key FROM (SELECT ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, (o_orderkey % 900 + 100)::INT AS number, CASE WHEN o_orderkey % 3 > 0 THEN 'card:' ELSE 'pr:' END AS kind FROM orders WHERE o_orderkey % 37 = 0) GROUP BY repo, number),
+    alone AS (SELECT number, any_value(key) AS key FROM refs GROUP BY number HAVING count(*) = 1)"""
+_CITED = r"""cited AS (SELECT DISTINCT doc_id, regexp_replace(c, '^\.?/', '') AS cited FROM (SELECT doc_id, regexp_replace(trim(unnest(regexp_extract_all(text, '`([^`\n]{3,120})`', 1))), ':\d+(-\d+)?$', '') AS c FROM citing)
+    WHERE regexp_matches(c, '(?i)\.(ts|tsx|js|jsx|mjs|cjs|py|sql|prisma|zmodel|sh|ps1|yaml|yml|toml)$') AND NOT regexp_matches(c, '\s')),
+    named AS (SELECT doc_id AS doc, cited, coalesce(s.path, n.path) AS target FROM cited LEFT JOIN suffixes s ON s.suffix = cited LEFT JOIN names n ON n.name = string_split(cited, '/')[-1] WHERE coalesce(s.path, n.path) IS NOT NULL)"""
+_SAID = r"""said AS (SELECT doc_id AS doc, source, repo, coalesce(nullif(regexp_extract(text, '\*\*Card:\*\*\s*#(\d{1,5})', 1), ''), nullif(regexp_extract(text, '(?i)\b(?:closes|fixes|resolves)\s+#(\d{1,5})\b', 1), ''), nullif(regexp_extract(coalesce(branch, ''), '/(\d{3,5})-', 1), ''))::INT AS number FROM citing),
+    numbered AS (SELECT doc, source, said.number, coalesce(r.key, a.key) AS target FROM said LEFT JOIN refs r ON r.repo = said.repo AND r.number = said.number LEFT JOIN alone a ON a.number = said.number WHERE coalesce(r.key, a.key) IS NOT NULL)"""
+_KEY = "CASE source WHEN 'diario' THEN 'sessao:' WHEN 'github' THEN 'pr:' ELSE 'doc:' END || "
+_HEADS = """h AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '^[A-EÀ-É]') THEN '# ' || l WHEN regexp_matches(l, '^[F-S]') THEN '### ' || l ELSE l END) AS ls FROM documents)"""
+SQL |= {
+    "q28_unique_citations": f"WITH {FILES}, {CITING}, {_CITED} SELECT doc, cited, target FROM named",
+    "q29_explicit_refs": f"WITH {FILES}, {CITING}, {REFS}, {_SAID} SELECT doc, number, target FROM numbered",
+    "q39_invalid_runs": """SELECT event_id AS case_id, CASE WHEN event_type = 'error' THEN 'erro' WHEN event_id % 7 = 0 THEN 'sem-diagnostico' WHEN (props->>'$.k')::INT % 3 <> 1 THEN 'so-lexico' WHEN value < 2 THEN 'apodreceu' END AS invalid FROM events""",
+    "q44_front_matter": """SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'repo' ELSE 'r' END AS repo, CASE doc_id % 8 WHEN 0 THEN 'docs' WHEN 1 THEN 'old' || doc_id WHEN 2 THEN 'plain' END AS feature,
+        CASE doc_id % 8 WHEN 0 THEN 'spec' WHEN 1 THEN 'prd' WHEN 2 THEN 'task' WHEN 4 THEN 'card' WHEN 5 THEN 'code' WHEN 6 THEN 'memoria' ELSE 'doc' END AS doc_type,
+        CASE WHEN doc_id % 8 = 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'open' END WHEN doc_id % 8 IN (1, 3) THEN 'arquivado' WHEN doc_id % 8 IN (0, 2) THEN 'done' END AS status,
+        CASE WHEN doc_id % 8 = 5 THEN 'x/y/' || doc_id || '.py' WHEN doc_id % 8 = 6 AND doc_id % 3 = 0 THEN 'N: ' || doc_id WHEN doc_id % 2 = 0 THEN 'Title ' || doc_id
+            ELSE CASE doc_id % 8 WHEN 1 THEN 'prd' ELSE doc_id::VARCHAR END END AS title,
+        CASE WHEN doc_id % 3 = 0 THEN '2024-05-06' WHEN doc_id % 8 = 2 THEN '2024-03-04' ELSE '2024-01-02' END AS data FROM documents""",
+    "q46_section": f"""WITH {_HEADS}, m AS (SELECT doc_id, ls, [CASE WHEN starts_with(l, '# ') THEN 1 WHEN starts_with(l, '### ') THEN 3 ELSE 0 END FOR l IN ls] AS lv, [contains(strip_accents(lower(l)), 'e') FOR l IN ls] AS hit FROM h),
+        s AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: lv[i] > 0 AND hit[i])[1] AS a FROM m), e AS (SELECT *, list_filter(range(a + 1, len(ls) + 1), lambda i: lv[i] > 0 AND lv[i] <= lv[a])[1] AS b FROM s WHERE a IS NOT NULL),
+        t AS (SELECT doc_id, left(array_to_string(ls[a:coalesce(b - 1, len(ls))], chr(10)), 60000) AS t FROM e) SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS chars FROM t""",
+    "q48_code_passages": """WITH RECURSIVE d AS (SELECT doc_id, source || '.py' AS title, string_split(translate(replace(text, chr(10), chr(10) || chr(10)), ' ,', chr(10) || chr(10)), chr(10)) AS ls FROM documents),
+        f AS (SELECT doc_id, 1 AS i, 1 AS start, len(ls[1]) + 1 AS size, 1 AS held, false AS ended FROM d
+            UNION ALL SELECT f.doc_id, i + 1, CASE WHEN ends THEN i + 1 ELSE start END, CASE WHEN ends THEN 0 ELSE size END + len(d.ls[i + 1]) + 1, CASE WHEN ends THEN 0 ELSE held END + 1, ends FROM
+                (SELECT f.*, (held >= 70 AND trim(ls[i]) = '') OR size >= 3500 OR held >= 130 AS ends FROM f JOIN d USING (doc_id)) f JOIN d USING (doc_id) WHERE i < len(ls)),
+        e AS (SELECT f.*, ls, title, (held >= 70 AND trim(ls[i]) = '') OR size >= 3500 OR held >= 130 OR i = len(ls) AS ends FROM f JOIN d USING (doc_id)),
+        b AS (SELECT doc_id, title, start, i, trim(array_to_string(ls[start:i], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS block FROM e WHERE ends)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, title || ':' || start || '-' || i AS breadcrumb, md5(block) AS digest, ceil(len(block) / 4)::BIGINT AS token_est FROM b WHERE block <> ''""",
+    "q52_commit_months": f"""WITH {_COMMITS}, l AS (SELECT *, data || ' s ' || array_to_string(fs[1:10], ', ') || CASE WHEN len(fs) > 10 THEN ' (+' || (len(fs) - 10) || ')' ELSE '' END AS line FROM c)
+        SELECT repo, left(data, 7) AS month, count(*) AS commits, count(DISTINCT CASE WHEN k % 3 = 0 THEN k % 100 END) AS cards, (sum(length(line)) + count(*) - 1)::BIGINT AS chars FROM l GROUP BY ALL""",
+    "q53_graph_build": rf"""WITH {FILES}, {CITING}, {REFS}, {_CITED}, {_SAID}, known AS (SELECT DISTINCT feature AS slug FROM citing WHERE feature IS NOT NULL),
+        nums AS (SELECT DISTINCT doc_id, source, repo, unnest(regexp_extract_all(text, '#(\d{{3,5}})\b', 1))::INT AS number FROM citing),
+        e AS (SELECT 1 AS seq, {_KEY} doc_id AS src, 'feature:' || feature AS dst, 'pertence' AS rel, 'planning' AS origin FROM citing WHERE feature IS NOT NULL AND source NOT IN ('code', 'github', 'diario')
+            UNION ALL SELECT 2, {_KEY} doc, target, 'implementa', source FROM numbered WHERE source IN ('github', 'diario', 'planning')
+            UNION ALL SELECT 3, {_KEY} doc_id, 'feature:' || slug, 'pertence', 'rotulo' FROM citing JOIN known ON slug = regexp_extract(coalesce(branch, ''), '/\d{{3,5}}-(.+)$', 1)
+            UNION ALL SELECT 4, 'feature:' || slug, max(key), 'implementa', 'slug' FROM known JOIN refs ON number::VARCHAR = regexp_extract(slug, '^(\d{{3,5}})-', 1) WHERE starts_with(key, 'card:') GROUP BY slug
+            UNION ALL SELECT 5, {_KEY} doc_id, coalesce(r.key, a.key), CASE source WHEN 'diario' THEN 'registra' ELSE 'referencia' END, 'rotulo' FROM nums n LEFT JOIN refs r ON r.repo = n.repo AND r.number = n.number LEFT JOIN alone a ON a.number = n.number WHERE coalesce(r.key, a.key) IS NOT NULL
+            UNION ALL SELECT 6, {_KEY} doc_id, 'arquivo:' || target, 'toca', 'rotulo' FROM named JOIN citing ON doc_id = doc)
+        SELECT src, dst, rel, first(origin ORDER BY seq) AS origin FROM e WHERE src <> dst GROUP BY src, dst, rel""",
+    "q55_superseded_decisions": "SELECT o.o_orderkey AS id, max(s.o_orderkey) AS superseded_by FROM orders o LEFT JOIN orders s ON s.o_orderkey % 3 = 0 AND s.o_orderkey // 2 = o.o_orderkey GROUP BY o.o_orderkey",
+    "q57_paths_under_roots": """WITH r AS (SELECT DISTINCT rtrim(lower(array_to_string(string_split(url, '/')[1:CASE WHEN page_id % 20 = 3 THEN 3 ELSE 4 END], '/')), '/') AS root FROM pages WHERE page_id % 10 = 3)
+        SELECT url AS path FROM pages WHERE EXISTS (FROM r WHERE lower(url) = root OR starts_with(lower(url), root || '/'))""",
+    "q85_decision_edges": f"""WITH {FILES}, {CITING}, {REFS}, d AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, CASE o_orderkey % 4 WHEN 0 THEN '#' || (o_orderkey % 900 + 100) WHEN 1 THEN 'plain-' || (o_orderkey % 60) WHEN 2 THEN 'f' || (o_orderkey % 1500) || '.ts' END AS scope FROM orders WHERE o_orderkey % 5 <> 0),
+        t AS (SELECT id, coalesce(r.key, a.key) AS dst FROM d LEFT JOIN refs r ON '#' || r.number = scope AND r.repo = d.repo LEFT JOIN alone a ON '#' || a.number = scope WHERE starts_with(scope, '#')
+            UNION ALL SELECT id, 'feature:' || scope FROM d WHERE scope IN (SELECT feature FROM citing) UNION ALL SELECT id, 'arquivo:' || path FROM d JOIN names ON name = scope)
+        SELECT 'decisao:' || id AS src, dst, 'decide' AS rel, 'lembrar' AS origin FROM t WHERE dst IS NOT NULL""",
+    "q86_commit_edges": f"""WITH {FILES}, {REFS}, c AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, o_orderkey % 900 + 100 AS number, 'f' || (o_orderkey % 1500) || '.ts' AS file FROM orders),
+        t AS (SELECT id, file, coalesce(r.key, a.key) AS dst FROM c LEFT JOIN refs r ON r.number = c.number AND r.repo = c.repo LEFT JOIN alone a ON a.number = c.number WHERE coalesce(r.key, a.key) IS NOT NULL)
+        SELECT 'commit:' || id AS src, dst, CASE WHEN starts_with(dst, 'card:') THEN 'implementa' ELSE 'pertence' END AS rel, 'git' AS origin FROM t
+        UNION ALL SELECT 'commit:' || id, 'arquivo:' || path, 'toca', 'git' FROM t JOIN names ON name = file""",
+}

@@ -304,21 +304,49 @@ def q27_round_robin(spark, sf_dir):
     return rows.select("target", "neighbour", "direction", F.col("place").cast("long").alias("place"))
 
 
+def code_files(spark, sf_dir):
+    """Parts as code files: a folder for each brand and size; base names and short suffixes often name several."""
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("f"), (F.col("p_partkey") % 1500).cast("string"), F.lit(".ts"))
+    return part.select("p_partkey", F.concat_ws("/", F.lit("repo"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.col("p_size").cast("string"), name).alias("path"))
+
+
+def citing(spark, sf_dir):
+    """Documents that cite a code file and numbers after their text: by the whole path, a suffix, a base name, or one that isn't there."""
+    docs, files_ = texts(spark, sf_dir), code_files(spark, sf_dir)
+    parts = F.split("path", "/")
+    tail = lambda n: F.array_join(F.slice(parts, -n, n), "/")
+    i, number = F.col("doc_id"), (F.col("doc_id") * 7 % 900 + 100).cast("string")
+    cited = F.when(i % 5 == 0, F.concat(F.lit("./"), tail(2))).when(i % 5 == 1, F.concat(tail(1), F.lit(":3-9"))).when(i % 5 == 2, tail(3)).when(i % 5 == 3, F.concat(F.lit("/"), tail(4))).otherwise("src/none.py")
+    said = F.when(i % 6 == 0, F.concat(F.lit("**Card:** #"), number)).when(i % 6 == 1, F.concat(F.lit("It Fixes #"), number)).when(i % 6 == 2, F.concat(F.lit("see #"), number, F.lit(" and #4567"))).otherwise("none")
+    rows = docs.join(files_.withColumn("doc_id", F.col("p_partkey") - 1), "doc_id", "left")
+    text = F.concat_ws("\n", "text", said, F.concat(F.lit("in `"), F.coalesce(cited, F.lit("lost.ts")), F.lit("` and `not code`")))
+    plain = F.concat(F.lit("plain-"), (i % 50).cast("string"))
+    return rows.select(
+        "doc_id", F.col("lang").alias("repo"), text.alias("text"), F.element_at(F.array(*map(F.lit, ("planning", "diario", "github", "code", "docs"))), (i % 5 + 1).cast("int")).alias("source"),
+        F.when(i % 3 == 0, F.concat((i % 900 + 100).cast("string"), F.lit("-new"))).when(i % 7 == 0, plain).alias("feature"),
+        F.when(i % 4 == 0, F.concat(F.lit("feat/"), number, F.lit("-"), plain)).alias("branch"),
+    )
+
+
+def numbered_refs(spark, sf_dir):
+    """Some orders as cards and pull requests: (repo, number, key), one for each repository and number."""
+    i = F.col("o_orderkey")
+    repo = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").where(i % 37 == 0).select(repo.alias("repo"), (i % 900 + 100).cast("int").alias("number"), F.when(i % 3 > 0, "card:").otherwise("pr:").alias("kind"))
+    return rows.groupBy("repo", "number").agg(F.min("kind").alias("kind")).select("repo", "number", F.concat("kind", "repo", F.lit("#"), F.col("number").cast("string")).alias("key"))
+
+
 @query
 def q28_unique_citations(spark, sf_dir):
-    docs = spark.createDataFrame([("a", "see `src/lib/x.ts:3-9` and `y.py`"), ("b", "`./lib/x.ts` `index.ts` `no such.ts` `readme.md`"), ("c", "`other/deep/x.ts`, `/lib/x.ts`")], "doc string, text string")
-    code = spark.createDataFrame([("p/src/lib/x.ts",), ("p/other/deep/x.ts",), ("p/y.py",), ("p/a/index.ts",), ("p/b/index.ts",)], "path string")
-    return graph.resolve_files(docs.select("doc", F.explode(tx.cited_files(F.col("text"))).alias("cited")), code)
+    docs = citing(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(tx.cited_files(F.col("text"))).alias("cited"))
+    return graph.resolve_files(docs, code_files(spark, sf_dir))
 
 
 @query
 def q29_explicit_refs(spark, sf_dir):
-    docs = spark.createDataFrame(
-        [("a", "r1", "**Card:** #101", None), ("b", "r2", "text\nCloses #102", None), ("c", "r2", "none", "feat/103-new-thing"), ("d", "r1", "fixes #104", None), ("e", "r1", "plain", None)],
-        "doc string, repo string, text string, branch string",
-    )
-    refs = spark.createDataFrame([("r1", 101, "card:r1#101"), ("r2", 101, "card:r2#101"), ("r2", 102, "pr:r2#102"), ("r3", 103, "card:r3#103"), ("r2", 104, "card:r2#104"), ("r3", 104, "card:r3#104")], "repo string, number int, key string")
-    return graph.resolve_numbers(docs.select("doc", "repo", tx.explicit_number(F.col("text"), F.col("branch")).alias("number")), refs)
+    docs = citing(spark, sf_dir).select(F.col("doc_id").alias("doc"), "repo", tx.explicit_number(F.col("text"), F.col("branch")).alias("number"))
+    return graph.resolve_numbers(docs, numbered_refs(spark, sf_dir))
 
 
 @query
@@ -445,8 +473,9 @@ def q38_compare(spark, sf_dir):
 
 @query
 def q39_invalid_runs(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "boom", True, True, True), (2, None, False, None, True), (3, None, True, False, True), (4, None, True, True, False), (5, None, True, True, True), (6, None, True, None, True)], "case_id int, error string, diagnosed boolean, semantic boolean, resolvable boolean")
-    return rows.select("case_id", evaluation.validity(F.col("error"), F.col("diagnosed"), F.col("semantic"), F.col("resolvable")).alias("invalid"))
+    k, i = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    reason = evaluation.validity(F.when(F.col("event_type") == "error", "boom"), i % 7 > 0, F.when(k % 3 > 0, k % 3 == 1), F.col("value") >= 2)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("case_id"), reason.alias("invalid"))
 
 
 @query
@@ -488,9 +517,16 @@ def q43_session_notes(spark, sf_dir):
 
 @query
 def q44_front_matter(spark, sf_dir):
-    rows = spark.createDataFrame([("docs/12-x/spec.md", "---\ndata: 2024-05-06\nname: 'N'\n---\n# Title one\nStatus: **open**\n"), ("_arquivo/old/prd.md", "no front\n"), ("plain/tasks/t1.md", "---\nbroken\n---\nbody\nstatus： feito")], "relative string, content string")
-    rows = rows.withColumns({"path": F.col("relative"), "source": F.lit("planning"), "repo": F.lit("r"), "recursive": F.lit(True), "modified": F.lit("2024-01-02 03:04:05").cast("timestamp"), "size": F.length("content")})
-    return files.metadata(rows).select("relative", "feature", "doc_type", "status", "title", "data")
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    relative = (
+        F.when(i % 8 == 0, F.concat(F.lit("docs/"), n, F.lit("-x/spec.md"))).when(i % 8 == 1, F.concat(F.lit("_arquivo/old"), n, F.lit("/prd.md"))).when(i % 8 == 2, F.concat(F.lit("plain/tasks/2024-03-04-t"), n, F.lit(".md")))
+        .when(i % 8 == 3, F.concat(F.lit("_arquivo/"), n, F.lit(".md"))).when(i % 8 == 4, F.concat(F.lit("repo"), F.lit("/cards/"), n, F.lit(".md"))).when(i % 8 == 5, F.concat(F.lit("x/y/"), n, F.lit(".py"))).otherwise(F.concat(n, F.lit(".md")))
+    )
+    source = F.when(i % 8 == 4, "github").when(i % 8 == 5, "code").when(i % 8 == 6, "memoria").otherwise("planning")
+    front = F.concat(F.lit("---\ndata: 2024-05-06\nestado: open\nname: 'N: "), n, F.lit("'\n---\n"))
+    content = F.concat(F.when(i % 3 == 0, front).otherwise(""), F.when(i % 2 == 0, F.concat(F.lit("#  Title "), n, F.lit(" \n"))).otherwise(""), F.lit("Status： **done** \n"), "text")
+    rows = texts(spark, sf_dir).select("doc_id", relative.alias("relative"), source.alias("source"), F.lit("r").alias("repo"), F.lit(True).alias("recursive"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("modified"), content.alias("content"))
+    return files.metadata(rows).select("doc_id", "repo", "feature", "doc_type", "status", "title", "data")
 
 
 @query
@@ -505,8 +541,9 @@ def q45_crawl(spark, sf_dir):
 
 @query
 def q46_section(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "# A\nx\n## Decisão final\ny\n### z\nw\n## Next\nq"), (2, "# Decisao\nall\n# B\nno"), (3, "nothing")], "doc_id long, text string")
-    return chunks.section(rows, "decisao")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.when(line.rlike("^[A-EÀ-É]"), F.concat(F.lit("# "), line)).when(line.rlike("^[F-S]"), F.concat(F.lit("### "), line)).otherwise(line))
+    rows = texts(spark, sf_dir).select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return chunks.section(rows, "É").select("doc_id", F.md5("section").alias("digest"), F.length("section").cast("long").alias("chars"))
 
 
 @query
@@ -517,9 +554,9 @@ def q47_markdown_passages(spark, sf_dir):
 
 @query
 def q48_code_passages(spark, sf_dir):
-    body = "\n".join(f"line {i}" if i % 75 else "" for i in range(1, 400))
-    rows = spark.createDataFrame([(1, "a.py", body), (2, "b.py", "\n\n"), (3, "c.py", "x" * 4000 + "\ny")], "doc_id long, title string, text string")
-    return chunks.passages(rows, code=F.lit(True)).select("doc_id", F.col("ord").cast("long").alias("ord"), "breadcrumb", "token_est")
+    lines = F.regexp_replace(F.regexp_replace("text", r"\n", "\n\n"), r"[ ,]", "\n")
+    docs = texts(spark, sf_dir).select("doc_id", F.concat(F.col("source"), F.lit(".py")).alias("title"), lines.alias("text"))
+    return chunks.passages(docs, code=F.lit(True)).select("doc_id", F.col("ord").cast("long").alias("ord"), "breadcrumb", F.md5("text").alias("digest"), "token_est")
 
 
 @query
@@ -548,19 +585,18 @@ def q51_stream_late(spark, sf_dir):
 
 @query
 def q52_commit_months(spark, sf_dir):
-    rows = spark.createDataFrame([("a1", "r", "2024-01-03", "one #101", [101], ["x.py"]), ("b2", "r", "2024-01-01", "two", [], [f"f{i}" for i in range(27)]), ("c3", "s", "2024-02-01", "three", [101, 102], [])], files.COMMIT)
-    return files.commit_months(rows).select("repo", "month", "commits", F.col("cards").cast("long").alias("cards"), F.length("text").cast("long").alias("chars"))
+    rows = files.commit_months(order_commits(spark, sf_dir), 10)
+    return rows.select("repo", "month", "commits", F.col("cards").cast("long").alias("cards"), F.length("text").cast("long").alias("chars"))
+
+
+def graph_docs(spark, sf_dir):
+    kind = F.when(F.col("source") == "diario", "sessao:").when(F.col("source") == "github", "pr:").otherwise("doc:")
+    return citing(spark, sf_dir).withColumn("key", F.concat(kind, F.col("doc_id").cast("string")))
 
 
 @query
 def q53_graph_build(spark, sf_dir):
-    docs = spark.createDataFrame(
-        [("doc:p1", "planning", "r1", "101-new", "**Card:** #101 and `lib/x.ts`", None), ("sessao:d1", "diario", "r1", None, "worked on #101 #999", None), ("pr:r1#7", "github", "r1", None, "see #101", "feat/101-plain"), ("doc:p2", "planning", "r1", "plain", "none", None)],
-        "key string, source string, repo string, feature string, text string, branch string",
-    )
-    refs = spark.createDataFrame([("r1", 101, "card:r1#101")], "repo string, number int, key string")
-    code = spark.createDataFrame([("a/lib/x.ts",)], "path string")
-    return graph.document_edges(docs, code, refs)
+    return graph.document_edges(graph_docs(spark, sf_dir), code_files(spark, sf_dir), numbered_refs(spark, sf_dir))
 
 
 @query
@@ -574,7 +610,8 @@ def q54_upsert(spark, sf_dir):
 
 @query
 def q55_superseded_decisions(spark, sf_dir):
-    rows = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3)], "id int, supersedes int")
+    i = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(i.alias("id"), F.when(i % 3 == 0, F.floor(i / 2).cast("long")).alias("supersedes"))
     return reports.with_successors(rows).select("id", "superseded_by")
 
 
@@ -587,8 +624,10 @@ def q56_backfill(spark, sf_dir):
 
 @query
 def q57_paths_under_roots(spark, sf_dir):
-    paths = spark.createDataFrame([("C:\\Docs\\a.md",), ("/srv/docs/x/b.md",), ("/srv/docs2/c.md",), ("/tmp/d.md",)], "path string")
-    return files.under_roots(paths, spark.createDataFrame([("c:/docs/",), ("/SRV/docs",)], "root string"))
+    pages = table(spark, sf_dir, "pages")
+    cut = lambda n: F.substring_index("url", "/", n)
+    roots = pages.where("page_id % 10 = 3").select(F.when(F.col("page_id") % 20 == 3, F.upper(cut(3))).otherwise(F.concat(F.replace(cut(4), F.lit("/"), F.lit("\\")), F.lit("\\"))).alias("root"))
+    return files.under_roots(pages.select(F.col("url").alias("path")), roots)
 
 
 @query
@@ -877,3 +916,22 @@ def q84_yaml_front_matter(spark, sf_dir):
         "doc_id", F.md5("text").alias("text"), get("$.id", "long").alias("id"), F.array_join(get("$.tags", "array<string>"), "|").alias("tags"), get("$.cards[1]", "long").alias("card"), get("$.where.source").alias("source"),
         get("$.where.deep.a[1]", "double").alias("deep"), get("$.where.deep.b", "boolean").alias("flag"), get("$.note").alias("note"), get("$.raw").alias("raw"), get("$.data").alias("data"),
     )
+
+
+@query
+def q85_decision_edges(spark, sf_dir):
+    i = F.col("o_orderkey")
+    scope = F.when(i % 4 == 0, F.concat(F.lit("#"), (i % 900 + 100).cast("string"))).when(i % 4 == 1, F.concat(F.lit("plain-"), (i % 60).cast("string"))).when(i % 4 == 2, F.concat(F.lit("f"), (i % 1500).cast("string"), F.lit(".ts")))
+    rows = table(spark, sf_dir, "orders").select(i.alias("id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("repo"), scope.alias("scope"), F.when(i % 5 == 0, i + 1).alias("superseded"))
+    features = citing(spark, sf_dir).where("feature IS NOT NULL").select("feature")
+    return graph.decision_edges(rows, numbered_refs(spark, sf_dir), features, code_files(spark, sf_dir))
+
+
+@query
+def q86_commit_edges(spark, sf_dir):
+    i = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("commit:"), i.cast("string")).alias("key"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("repo"),
+        F.array((i % 900 + 100).cast("int"), F.lit(99)).alias("cards"), F.array(F.concat(F.lit("f"), (i % 1500).cast("string"), F.lit(".ts")), F.lit("none.py")).alias("files"),
+    )
+    return graph.commit_edges(rows, numbered_refs(spark, sf_dir), code_files(spark, sf_dir))

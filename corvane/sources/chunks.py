@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -92,15 +92,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", code: Column | None = None
 
 
 def section(docs: DataFrame, heading: str, id_col: str = "doc_id", most: int = 60_000) -> DataFrame:
-    """id and the section under the first heading that holds ``heading``, accents and case aside, to the next of its level or above."""
-    lines = docs.select(id_col, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))
-    lines = lines.withColumn("level", F.when(level > 0, level))
-    own = Window.partitionBy(id_col)
-    found = F.col("level").isNotNull() & F.contains(fold(F.col("line")), fold(F.lit(heading)))
-    lines = lines.withColumn("start", F.min(F.when(found, F.col("at"))).over(own)).where("start IS NOT NULL")
-    lines = lines.withColumn("top", F.max(F.when(F.col("at") == F.col("start"), F.col("level"))).over(own))
-    end = F.min(F.when((F.col("at") > F.col("start")) & (F.col("level") <= F.col("top")), F.col("at"))).over(own)
-    lines = lines.withColumn("end", end).where("at >= start AND (end IS NULL OR at < end)")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy(id_col).agg(F.substring(text, 1, most).alias("section"))
+    """id and the section under the first heading that holds ``heading``, accents and case aside, to the next of its level or above.
+
+    Each text is folded by itself where it is read: nothing is shuffled. Documents without such a heading, or without text, have no row.
+    """
+    lines = F.split("text", "\n")
+    marked = F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1)).alias("level"), line.alias("line")))
+    rows = docs.select(id_col, lines.alias("_lines"), F.filter(marked, lambda m: m["level"] > 0).alias("_heads"))
+    want = fold(F.lit(heading))
+    rows = rows.withColumn("_start", F.get(F.filter("_heads", lambda m: F.contains(fold(m["line"]), want)), F.lit(0))).where("_start IS NOT NULL")
+    after = F.filter("_heads", lambda m: (m["at"] > F.col("_start.at")) & (m["level"] <= F.col("_start.level")))
+    rows = rows.withColumn("_end", F.coalesce(F.get(after, F.lit(0))["at"], F.size("_lines")))
+    text = F.array_join(F.slice("_lines", F.col("_start.at") + 1, F.col("_end") - F.col("_start.at")), "\n")
+    return rows.select(id_col, F.substring(text, 1, most).alias("section"))
