@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import coherent
 from ..functions.text import last_two, style
+from ..session import staged
+from .containment import contained
 
 
 def _since_epoch(events: DataFrame, ts: str) -> Column:
@@ -118,3 +120,44 @@ def read_cases(spark: SparkSession, path: str, schema: str, style: str | None =
     """The cases of a set, of one style if one is named."""
     rows = spark.read.schema(schema).json(path)
     return rows if style is None else rows.where(F.col("style") == style)
+
+
+def harvest_counts(found: DataFrame, harvested: DataFrame) -> DataFrame:
+    """One row with what became of all searches: raw, without a read, missing, incoherent, repeated, kept.
+
+    ``found`` is what ``following`` gave, ``harvested`` what ``harvest`` made of those with a read.
+    """
+    raw = found.agg(F.count("*").alias("raw"), F.count_if(F.col("read").isNull()).alias("unread"))
+    fates = harvested.agg(*(F.count_if(F.col("fate") == f).alias(f) for f in ("missing", "incoherent", "repeated", "kept")))
+    return raw.crossJoin(fates)  # of one row each
+
+
+def resolved(cases: DataFrame, docs: DataFrame) -> DataFrame:
+    """(case_id, path, doc): the documents that each case (case_id, expected, filters) stands for: a path that holds a fragment
+    of ``expected``, whichever slash and case, and a document that the case's own filters let through. ``docs`` has path and doc.
+    """
+    plain = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    asked = cases.select("case_id", F.explode("expected").alias("fragment")).select("case_id", plain(F.col("fragment")).alias("fragment"))
+    found = contained(asked.select(F.col("case_id").alias("fragment_id"), "fragment"), docs.select(F.col("path").alias("id"), plain(F.col("path")).alias("text")))
+    rows = found.select(F.col("fragment_id").alias("case_id"), F.col("id").alias("path")).distinct().join(docs, "path").join(cases.select("case_id", "filters"), "case_id")
+    return rows.where(coherent("doc", "filters")).select("case_id", "path", "doc")
+
+
+def target_faults(cases: DataFrame, docs: DataFrame, repo: str, least: int = 60) -> DataFrame:
+    """(fault, case_id): what a set of cases (case_id, kind, volatile, expected, filters) lacks, without a case where it is the set.
+
+    Too few cases; a positive one that no document satisfies; no target that is code, none in ``repo``; fewer than two
+    negatives, or none that is bound to stay, or none that may go stale. No fault gives no rows.
+    """
+    positive = cases.where("kind <> 'negativo'")
+    found = staged(resolved(positive, docs))
+    alone = positive.join(found.select("case_id").distinct(), "case_id", "left_anti").select(F.lit("no target satisfies the case").alias("fault"), "case_id")
+    kinds = found.agg((F.count_if(F.col("doc.source") == "code") == 0).alias("code"), (F.count_if(F.col("doc.repo") == repo) == 0).alias("repo"))
+    no = F.col("kind") == "negativo"
+    sets = cases.agg(F.count("*").alias("n"), F.count_if(no).alias("no"), F.count_if(no & ~F.col("volatile")).alias("firm"), F.count_if(no & F.col("volatile")).alias("loose")).crossJoin(kinds)
+    tests = {
+        f"fewer than {least} cases": F.col("n") < least, "no code target": F.col("code"), f"no target in {repo}": F.col("repo"), "fewer than two negatives": F.col("no") < 2,
+        "no structural negative": (F.col("no") >= 2) & (F.col("firm") == 0), "no volatile negative": (F.col("no") >= 2) & (F.col("loose") == 0),
+    }
+    told = F.explode(F.array_compact(F.array(*(F.when(c, name) for name, c in tests.items())))).alias("fault")
+    return sets.select(told).withColumn("case_id", F.lit(None).cast(cases.schema["case_id"].dataType)).unionByName(alone)

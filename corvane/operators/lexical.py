@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,27 +22,39 @@ def queries_of(spark, texts: dict[int, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, term string")
 
 
-def asked_terms(queries: DataFrame) -> tuple[set[bytes] | None, bool]:
-    """The terms of the tokens of ``queries`` and whether one of them is a phrase; none and true for more than ``ASKED`` tokens."""
-    tokens = [r["term"] or "" for r in queries.select("term").distinct().limit(ASKED + 1).collect()]
-    if len(tokens) > ASKED:
-        return None, True
-    split = [postings.split(t.encode()) for t in tokens]
-    return {t for ts in split for t in ts}, any(len(ts) > 1 for ts in split)
+def asked_tokens(queries: DataFrame) -> list[bytes] | None:
+    """The different tokens of ``queries``, none if there are more than ``ASKED``."""
+    tokens = [(r["term"] or "").encode() for r in queries.select("term").distinct().limit(ASKED + 1).collect()]
+    return tokens if len(tokens) <= ASKED else None
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a search reads, written once: the tf of asked tokens, or with ``whole`` the postings of all terms."""
 
+    rows: DataFrame
+    whole: bool
 
-def index(chunks: DataFrame, fields: dict[str, float], id_col: str = "doc_id", queries: DataFrame | None = None) -> DataFrame:
-    """The postings of ``chunks``, written once for all searches: all of them, or with ``queries`` of their terms only, as
-    long as these have at most ``ASKED`` tokens. A row's length is over all fields.
+
+def index(chunks: DataFrame, fields: dict[str, float], id_col: str = "doc_id", queries: DataFrame | None = None) -> Index:
+    """The terms of ``chunks``, written once for all searches: all of them, or with ``queries`` what their tokens have, as
+    long as these are at most ``ASKED``. A row's length is over all fields.
     """
-    asked = None if queries is None else asked_terms(queries)[0]
-    return staged(postings.postings(chunks, list(fields), id_col, asked))
+    tokens = None if queries is None else asked_tokens(queries)
+    if tokens is None:
+        return Index(staged(postings.postings(chunks, list(fields), id_col)), True)
+    return Index(staged(postings.weighted(chunks, fields, tokens, id_col)), False)
 
 
-def scored(hits: DataFrame, queries: DataFrame, fields: dict[str, float], n: Column, mean: Column) -> DataFrame:
-    """(query_id, id, score, matched) from occurrences ``hits``, a document count and a mean length."""
+def weighed(hits: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """(id, term, tf, length) of occurrences: one row for each token of each document, fields by their weights, written."""
     weight = F.element_at(F.create_map(*(F.lit(x) for f, w in fields.items() for x in (f, float(w)))), F.col("field"))
-    hits = staged(hits.groupBy("id", F.col("token").alias("term")).agg(F.sum(F.col("tf") * weight).alias("tf"), F.max("length").cast("double").alias("length")))
+    return staged(hits.groupBy("id", F.col("token").alias("term")).agg(F.sum(F.col("tf") * weight).alias("tf"), F.max("length").alias("length")))
+
+
+def scored(hits: DataFrame, queries: DataFrame, documents: int, length: int) -> DataFrame:
+    """(query_id, id, score, matched) from hits (id, term, tf, length), how many documents there are and how long all together."""
+    n, mean = F.lit(float(documents)), F.lit(length / documents if documents else 0.0)
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
@@ -48,19 +62,20 @@ def scored(hits: DataFrame, queries: DataFrame, fields: dict[str, float], n: Col
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col: str = "doc_id", indexed: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, fields: dict[str, float], id_col: str = "doc_id", indexed: Index | None = None) -> DataFrame:
     """(query_id, id, score, matched): BM25 of every chunk that has a token of the query; matched counts its tokens.
 
     A token with underscores is the phrase of its parts (``snake_case``: snake, then case) and counts as one term. A
     token without letters and digits matches nothing. Statistics are over the whole table, before any filter. ``indexed`` is what
     ``index`` made of the chunks; without it, one is made for these queries. No side is hinted for broadcast.
     """
-    phrases = asked_terms(queries)[1]
-    rows = index(chunks, fields, id_col, queries) if indexed is None else indexed
+    own = index(chunks, fields, id_col, queries) if indexed is None else indexed
     # two numbers, whatever the corpus
-    n, total = rows.where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    hits = postings.occurrences(rows.where("term IS NOT NULL"), queries, phrases)
-    return scored(hits, queries, fields, F.lit(float(n)), F.lit(total / n if n else 0.0))
+    n, total = own.rows.where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    hits = own.rows.where("term IS NOT NULL")
+    if own.whole:
+        hits = weighed(postings.occurrences(hits, queries), fields)
+    return scored(hits, queries, n, total)
 
 
 def top(scored: DataFrame, k: int = POOL, order: tuple[Column, ...] | None = None) -> DataFrame:

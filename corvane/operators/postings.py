@@ -29,12 +29,11 @@ def split(raw: bytes) -> list[bytes]:
     return [t.encode() for t in _TERMS.findall(unicodedata.normalize("NFC", plain))]
 
 
-def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", asked: set[bytes] | None = None) -> DataFrame:
+def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id") -> DataFrame:
     """id, length, field, term, positions: one row for each term of each field of each document, positions from 0.
 
     Each document has one more row with a null term, so that documents without terms and lengths are known; length is
-    over all fields. Null fields are empty. With ``asked``, only those terms have rows, and what goes on follows the hits
-    and not the corpus. Rows of one id are documents of their own here; whoever searches gives each an id.
+    over all fields. Null fields are empty. Rows of one id are documents of their own here; whoever searches gives each an id.
     """
 
     def told(ids: pa.Array, lengths: list[int], held: list[tuple[int, str, dict[bytes, list[int]]]]) -> pa.RecordBatch:
@@ -59,13 +58,8 @@ def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", asked:
                         terms = split(raw or b"")
                         lengths[i] += len(terms)
                         found = defaultdict(list)
-                        if asked is None:
-                            for place, term in enumerate(terms):
-                                found[term].append(place)
-                        elif not asked.isdisjoint(terms):
-                            for place, term in enumerate(terms):
-                                if term in asked:
-                                    found[term].append(place)
+                        for place, term in enumerate(terms):
+                            found[term].append(place)
                         if found:
                             held.append((i, name, found))
                 yield told(part.column(0), lengths, held)
@@ -74,6 +68,113 @@ def postings(docs: DataFrame, fields: list[str], id_col: str = "doc_id", asked:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, length long, field string, term string, positions array<int>")
 
 
+def weighted(docs: DataFrame, weights: dict[str, float], tokens: list[bytes], id_col: str = "doc_id") -> DataFrame:
+    """id, length, term, tf: how often each of ``tokens`` occurs in each document, weighed by field; a document without any
+    has no row but the one with a null term that each has. Phrases are told where the text is read, so what goes on are hits.
+    """
+    single, phrases = set(), defaultdict(list)
+    for token in tokens:
+        first, *tail = split(token) or [b""]
+        if tail:
+            phrases[first].append((token, tail))
+        elif first:
+            single.add(token)
+    wanted = single | phrases.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, owner, names, sums = [0] * batch.num_rows, [], [], []
+            held = [defaultdict(float) for _ in lengths]
+            for weight, column in zip(weights.values(), batch.columns[1:], strict=True):
+                for i, value in enumerate(column):
+                    terms = split(value.as_py() or b"")
+                    lengths[i] += len(terms)
+                    if wanted.isdisjoint(terms):
+                        continue
+                    found = held[i]
+                    for at, term in enumerate(terms):
+                        if term in wanted:
+                            if term in single:
+                                found[term] += weight
+                            for token, tail in phrases.get(term, ()):
+                                if terms[at + 1 : at + 1 + len(tail)] == tail:
+                                    found[token] += weight
+            for i, found in enumerate(held):
+                owner += [i] * (len(found) + 1)
+                names += [None, *found]
+                sums += [None, *found.values()]
+            at = pa.array(np.array(owner, dtype=np.int64))
+            columns = [batch.column(0).take(at), pa.array(np.array(lengths, dtype=np.int64)).take(at), pa.array(names, pa.binary()).cast(pa.string()), pa.array(sums, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "length", "term", "tf"])
+
+    rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("binary") for f in weights))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, length long, term string, tf double")
+
+
+def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int = 2048) -> DataFrame:
+    """term, field, ids, lengths, starts, counts, positions: the postings of up to ``size`` documents at once, as an index keeps them.
+
+    A row has a term of a field (its place in ``fields``) and the documents with it, in arrays of one order; the positions of a document
+    begin at its start. A row with a null term has all ids and lengths of the block. So a frequent term is long arrays and
+    not many rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                lengths = np.zeros(part.num_rows, dtype=np.int32)
+                names, places, owners, counts, flat = [None], [-1], [list(range(part.num_rows))], [[]], [[]]
+                for nth, column in enumerate(part.columns[1:]):
+                    held = defaultdict(lambda: ([], [], []))
+                    for i, value in enumerate(column):
+                        terms, found = split(value.as_py() or b""), defaultdict(list)
+                        lengths[i] += len(terms)
+                        for place, term in enumerate(terms):
+                            found[term].append(place)
+                        for term, own in found.items():
+                            who, many, where = held[term]
+                            who.append(i)
+                            many.append(len(own))
+                            where += own
+                    names += held
+                    places += [nth] * len(held)
+                    for column_, i in ((owners, 0), (counts, 1), (flat, 2)):
+                        column_ += [x[i] for x in held.values()]
+                yield _block_rows(part.column(0), lengths, names, places, owners, counts, flat)
+
+    rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("binary") for f in fields))
+    return rows.mapInArrow(run, BLOCK.format(id=rows.schema["id"].dataType.simpleString()))
+
+
+BLOCK = "term string, field int, ids array<{id}>, lengths array<int>, starts array<int>, counts array<int>, positions array<int>"
+
+
+def _lists(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32), np.fromiter(chain.from_iterable(rows), dtype=np.int32)
+
+
+def _block_rows(ids: pa.Array, lengths: np.ndarray, names: list, places: list[int], owners: list, counts: list, flat: list) -> pa.RecordBatch:
+    bounds, who = _lists(owners)
+    some, many = _lists(counts)
+    where = _lists(flat)
+    ahead = np.cumsum(many) - many
+    starts = ahead - np.repeat(np.append(ahead, 0)[np.minimum(some[:-1], len(many))], np.diff(some))
+    listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
+    columns = [
+        pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), listed(bounds, ids.take(pa.array(who))), listed(bounds, pa.array(lengths[who])),
+        listed(some, pa.array(starts.astype(np.int32))), listed(some, pa.array(many)), listed(where[0], pa.array(where[1])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "field", "ids", "lengths", "starts", "counts", "positions"])
+
+
+def unblocked(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, term, field, id, length, positions: a row for each document of each row of blocks with a term."""
+    zipped = F.arrays_zip("ids", "lengths", "starts", "counts")
+    one = F.transform(zipped, lambda x: F.struct(x["ids"].alias("id"), x["lengths"].cast("long").alias("length"), F.slice("positions", x["starts"] + 1, x["counts"]).alias("positions")))
+    return rows.select(*keep, "term", "field", F.inline(one))
+
+
 def parts(token: Column) -> Column:
     """The terms that a token of a query stands for: ``snake_case`` is the phrase of two. A token may have none."""
     return F.regexp_extract_all(token, F.lit(TERM), F.lit(0))
@@ -82,9 +183,9 @@ def parts(token: Column) -> Column:
 def occurrences(rows: DataFrame, tokens: DataFrame, phrases: bool = True) -> DataFrame:
     """(token, id, field, tf, length): how often each token occurs in each field, by postings ``rows`` with terms.
 
-    A token of several terms is a phrase: its terms have to follow each other in one field. Each position of a term, less
-    the term's place in the phrase, votes for a start; a start with all votes is an occurrence, overlapping ones included.
-    Votes of different documents are different keys, so a frequent phrase spreads over tasks. Without ``phrases``, the caller knows
+    A token of several terms is a phrase: its terms have to follow each other in one field. The positions of each term,
+    less the term's place in the phrase, are starts; those that all terms of a document's field share are occurrences,
+    overlapping ones included. Documents are keys, so a frequent phrase spreads over tasks. Without ``phrases``, the caller knows
     that no token has several terms. A token without terms occurs nowhere.
     """
     asked = tokens.select(F.col("term").alias("token"), parts(F.col("term")).alias("parts")).distinct()
@@ -93,6 +194,9 @@ def occurrences(rows: DataFrame, tokens: DataFrame, phrases: bool = True) -> Dat
     if not phrases:
         return hits
     several = asked.where(F.size("parts") > 1).select("token", F.size("parts").alias("n"), F.posexplode("parts").alias("nth", "term"))
-    votes = rows.join(several, "term").select("token", "n", "id", "field", "length", "nth", F.explode("positions").alias("at"))
-    starts = votes.groupBy("token", "n", "id", "field", "length", (F.col("at") - F.col("nth")).alias("start")).agg(F.count("*").alias("votes")).where("votes = n")
-    return hits.unionByName(starts.groupBy("token", "id", "field", "length").agg(F.count("*").cast("double").alias("tf")).select(hits.columns))
+    starts = rows.join(several, "term").select("token", "n", "id", "field", "length", F.transform("positions", lambda p: p - F.col("nth")).alias("starts"))
+    # a group has a list for each term of the phrase at most
+    found = starts.groupBy("token", "n", "id", "field").agg(F.collect_list("starts").alias("lists"), F.max("length").alias("length")).where(F.size("lists") == F.col("n"))
+    common = F.aggregate(F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), lambda all_, one: F.array_intersect(all_, one))
+    found = found.withColumn("tf", F.size(common).cast("double")).where("tf > 0")
+    return hits.unionByName(found.select(hits.columns))

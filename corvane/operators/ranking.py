@@ -108,3 +108,18 @@ def hybrid(
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*([] if per_doc is None else ["doc_rank"]), *order))
     kept = kept.withColumn("place", place).where(F.col("place") <= limit).withColumn("semantic", F.lit(semantic is not None))
     return kept.select("query_id", "place", "id", "score", "collapsed", "rank_0", "rank_1", "semantic")
+
+
+def diagnostics(lexical: DataFrame, semantic: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """query_id, lexical, vector, semantic, collapsed: how many hits each branch of a search had, whether there was a vector
+    to search with, and how many hits fell together with one of the same content. ``docs`` has id and text.
+    """
+    count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    none = lexical.select("query_id", "id").limit(0)
+    near = none if semantic is None else semantic
+    hits = lexical.select("query_id", "id").unionByName(near.select("query_id", "id")).distinct()
+    keys = docs.join(hits.select("id").distinct(), "id", "left_semi").select("id", collapse_key(F.col("text")).alias("key"))
+    fell = hits.join(keys, "id").groupBy("query_id").agg((F.count("*") - F.count_distinct("key")).alias("collapsed"))
+    rows = count(lexical, "lexical").join(count(near, "vector"), "query_id", "full").join(fell, "query_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lexical", "vector", "collapsed")})
+    return rows.select("query_id", "lexical", "vector", (F.col("vector") > 0).alias("semantic"), "collapsed")

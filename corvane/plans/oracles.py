@@ -324,3 +324,30 @@ SQL |= {
         SELECT 'commit:' || id AS src, dst, CASE WHEN starts_with(dst, 'card:') THEN 'implementa' ELSE 'pertence' END AS rel, 'git' AS origin FROM t
         UNION ALL SELECT 'commit:' || id, 'arquivo:' || path, 'toca', 'git' FROM t JOIN names ON name = file""",
 }
+
+_DECIDED = """x AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS data, o_orderstatus AS kind, CASE o_orderkey % 4 WHEN 0 THEN '#' || (o_orderkey % 900 + 100) WHEN 1 THEN 'plain-' || (o_orderkey % 60) WHEN 2 THEN 'f' || (o_orderkey % 1500) || '.ts' END AS scope,
+    'Order ' || o_orderkey || ' Ação é final.' AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS why, CASE WHEN o_orderkey % 5 = 0 THEN 'none' END AS alternatives, CASE WHEN o_orderkey % 6 = 0 THEN 'a · ' || o_orderkey END AS refs, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 2 END AS supersedes FROM orders)"""
+SQL |= {
+    "q87_recorded_decisions": f"""WITH {FILES}, {CITING}, {REFS}, {_DECIDED}, s AS (SELECT supersedes AS id, max(id) AS superseded_by FROM x WHERE supersedes IS NOT NULL GROUP BY supersedes),
+        r AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo FROM orders),
+        t AS (SELECT x.id, coalesce(f.key, a.key) AS dst FROM x JOIN r USING (id) LEFT JOIN refs f ON '#' || f.number = scope AND f.repo = r.repo LEFT JOIN alone a ON '#' || a.number = scope WHERE starts_with(scope, '#')
+            UNION ALL SELECT id, 'feature:' || scope FROM x WHERE scope IN (SELECT feature FROM citing) UNION ALL SELECT id, 'arquivo:' || path FROM x JOIN names ON name = scope),
+        e AS (SELECT id, count(*) AS edges FROM t LEFT JOIN s USING (id) WHERE dst IS NOT NULL AND superseded_by IS NULL GROUP BY id), filled AS (SELECT id FROM x WHERE id % 2 = 1 ORDER BY id LIMIT 200)
+        SELECT x.id, 'decisoes/' || data || '-order-' || x.id || '-acao-e-final-and-more-' || x.id || '.md' AS doc_path, title, superseded_by, CASE WHEN x.id % 2 = 0 OR x.id IN (FROM filled) THEN 384::BIGINT END AS dims, coalesce(edges, 0) AS edges,
+        md5('---' || chr(10) || 'data: ' || data || chr(10) || 'tipo: ' || kind || chr(10) || coalesce('escopo: ' || scope || chr(10), '') || coalesce('substitui: ' || supersedes || chr(10), '') || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || title || ' And more.' || chr(10)
+            || coalesce(chr(10) || '**Por quê:** ' || why || chr(10), '') || coalesce(chr(10) || '**Descartado:** ' || alternatives || chr(10), '') || coalesce(chr(10) || '**Refs:** ' || refs || chr(10), '')) AS text
+        FROM x LEFT JOIN s USING (id) LEFT JOIN e USING (id)""",
+    "q88_search_diagnostics": f"""WITH {bm25(BENCH)}, lex AS ({top('scored', 60)}), v AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {DOT} AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 2 = 0 AND b.vec_id IN (SELECT item_id FROM benchmark)), vec AS ({top('v', 60)}),
+        hits AS (SELECT query_id, id FROM lex UNION SELECT query_id, id FROM vec), f AS (SELECT query_id, count(*) - count(DISTINCT {KEY}) AS collapsed FROM hits JOIN documents ON doc_id = id GROUP BY query_id),
+        l AS (SELECT query_id, count(*) AS lexical FROM lex GROUP BY 1), w AS (SELECT query_id, count(*) AS vector FROM vec GROUP BY 1)
+        SELECT query_id, coalesce(lexical, 0) AS lexical, coalesce(vector, 0) AS vector, coalesce(vector, 0) > 0 AS semantic, coalesce(collapsed, 0) AS collapsed FROM l FULL JOIN w USING (query_id) LEFT JOIN f USING (query_id)""",
+    "q89_vectors_filtered_like_texts": f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src3')) QUALIFY rank <= 20""",
+    "q90_harvest_counts": f"""WITH h AS ({SQL['q34_harvest']}), {PAIRS} SELECT (SELECT count(*) FROM pairs) AS raw, (SELECT count(*) FROM pairs WHERE read_id IS NULL) AS unread, count(*) FILTER (fate = 'missing') AS missing,
+        count(*) FILTER (fate = 'incoherent') AS incoherent, count(*) FILTER (fate = 'repeated') AS repeated, count(*) FILTER (fate = 'kept') AS kept FROM h""",
+    "q91_cases_and_their_targets": """WITH c AS (SELECT item_id, item_id % 20 = 3 AS no, item_id % 40 = 3 AS volatile FROM benchmark),
+        f AS (SELECT item_id, d.* FROM c JOIN documents d ON NOT no AND contains('x/doc/' || doc_id, 'doc/' || item_id) AND (item_id % 3 <> 0 OR lang = 'en')),
+        n AS (SELECT count(*) AS n, count(*) FILTER (no) AS k, count(*) FILTER (no AND NOT volatile) AS firm, count(*) FILTER (no AND volatile) AS loose FROM c)
+        SELECT unnest(list_filter([CASE WHEN n < 100 THEN 'fewer than 100 cases' END, CASE WHEN (SELECT count(*) FROM f WHERE source = 'src1') = 0 THEN 'no code target' END, CASE WHEN (SELECT count(*) FROM f WHERE lang = 'de') = 0 THEN 'no target in de' END,
+            CASE WHEN k < 2 THEN 'fewer than two negatives' END, CASE WHEN k >= 2 AND firm = 0 THEN 'no structural negative' END, CASE WHEN k >= 2 AND loose = 0 THEN 'no volatile negative' END], lambda x: x IS NOT NULL)) AS fault, NULL::BIGINT AS case_id FROM n
+        UNION ALL SELECT 'no target satisfies the case', item_id FROM c WHERE NOT no AND item_id NOT IN (SELECT item_id FROM f)""",
+}

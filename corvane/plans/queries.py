@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates
 from ..functions import text as tx
-from ..operators import containment, evaluation, graph, lexical, ranking, reports, vector
+from ..operators import containment, decisions, evaluation, graph, lexical, ranking, reports, vector
 from ..session import shared_folder, spread
 from ..sources import chunks, files, logs, segments
 from ..streaming import incremental, sync
@@ -935,3 +935,63 @@ def q86_commit_edges(spark, sf_dir):
         F.array((i % 900 + 100).cast("int"), F.lit(99)).alias("cards"), F.array(F.concat(F.lit("f"), (i % 1500).cast("string"), F.lit(".ts")), F.lit("none.py")).alias("files"),
     )
     return graph.commit_edges(rows, numbered_refs(spark, sf_dir), code_files(spark, sf_dir))
+
+
+def order_decisions(spark, sf_dir):
+    """Orders as decisions: of several kinds and scopes, every third in place of an earlier one."""
+    i = F.col("o_orderkey")
+    scope = F.when(i % 4 == 0, F.concat(F.lit("#"), (i % 900 + 100).cast("string"))).when(i % 4 == 1, F.concat(F.lit("plain-"), (i % 60).cast("string"))).when(i % 4 == 2, F.concat(F.lit("f"), (i % 1500).cast("string"), F.lit(".ts")))
+    return table(spark, sf_dir, "orders").select(
+        i.alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("kind"), scope.alias("scope"),
+        F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("repo"), F.concat(F.lit("Order "), i.cast("string"), F.lit(" Ação é final. And more.")).alias("fact"),
+        F.when(i % 2 == 0, F.col("o_orderpriority")).alias("why"), F.when(i % 5 == 0, "none").alias("alternatives"),
+        F.when(i % 6 == 0, F.array(F.lit("a"), i.cast("string"))).otherwise(F.array().cast("array<string>")).alias("refs"), F.when(i % 3 == 0, F.floor(i / 2).cast("long")).alias("supersedes"),
+    )
+
+
+@query
+def q87_recorded_decisions(spark, sf_dir):
+    root, rows = shared_folder(spark), order_decisions(spark, sf_dir)
+    targets = (numbered_refs(spark, sf_dir), citing(spark, sf_dir).where("feature IS NOT NULL").select("feature"), code_files(spark, sf_dir))
+    decisions.record(root, rows.where("id % 2 = 0"), *targets)
+    decisions.record(root, rows.where("id % 2 = 1"), *targets, encoder=None)
+    decisions.backfill(spark, root, 200)
+    now = decisions.read(spark, root)
+    edges = now["edges"].groupBy(F.substring_index("src", ":", -1).cast("long").alias("id")).agg(F.count("*").alias("edges"))
+    vectors = now["vectors"].select("id", F.size("embedding").cast("long").alias("dims"))
+    told_ = now["decisions"].join(now["documents"].select("path", F.md5("text").alias("text")), F.col("doc_path") == F.col("path"))
+    return told_.join(edges, "id", "left").join(vectors, "id", "left").select("id", "doc_path", "title", "text", "superseded_by", "dims", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query
+def q88_search_diagnostics(spark, sf_dir):
+    lex, near = lexical.top(lexical.bm25(texts(spark, sf_dir), bench(spark, sf_dir), TEXT)), None
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 2 = 0").join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").cast("int").alias("query_id"), F.col("embedding").alias("query"))
+    near = vector.top_k(vectors, asked, lexical.POOL)
+    return ranking.diagnostics(lex, near, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumn("query_id", F.col("query_id").cast("long"))
+
+
+@query
+def q89_vectors_filtered_like_texts(spark, sf_dir):
+    docs = dated(spark, sf_dir).where(predicates.matches({"repo": "en", "doc_type": "spec"})).select(F.col("doc_id").alias("vec_id"))
+    rows = vector.top_k(table(spark, sf_dir, "embeddings").join(docs, "vec_id", "left_semi"), query_vector(spark, sf_dir), 20)
+    return rows.select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def q90_harvest_counts(spark, sf_dir):
+    return evaluation.harvest_counts(pairs(spark, sf_dir), harvested(spark, sf_dir))
+
+
+@query
+def q91_cases_and_their_targets(spark, sf_dir):
+    """Texts of the benchmark as cases whose expected fragment is a word of a document's address."""
+    i = F.col("item_id")
+    rows = table(spark, sf_dir, "benchmark").select(
+        i.alias("case_id"), F.when(i % 20 == 3, "negativo").otherwise("positivo").alias("kind"), (i % 40 == 3).alias("volatile"), F.array(F.concat(F.lit("Doc\\"), i.cast("string")), F.concat(F.lit("none/"), i.cast("string"))).alias("expected"),
+        F.struct(F.lit(None).cast("string").alias("source"), F.when(i % 3 == 0, "en").otherwise("").alias("repo"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("doc_type")).alias("filters"),
+    )
+    docs = texts(spark, sf_dir).select(F.concat(F.lit("x/doc/"), F.col("doc_id").cast("string")).alias("path"), F.struct(F.when(F.col("source") == "src1", "code").otherwise("docs").alias("source"), F.col("lang").alias("repo"), F.lit(None).cast("string").alias("feature"), F.lit("doc").alias("doc_type")).alias("doc"))
+    faults = evaluation.target_faults(rows, docs, "de", 100)
+    return faults.select("fault", F.col("case_id").cast("long").alias("case_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical
-from ..operators.postings import occurrences, parts, postings
+from ..operators.postings import BLOCK, blocks, occurrences, parts, unblocked
 from ..session import staged
 from ..streaming.incremental import differences
 from . import manifest
@@ -17,18 +17,21 @@ from . import manifest
 BUCKETS = 64
 #: Terms that a search names to the reader of the files, which skips what can't hold them; with more, their buckets alone are named.
 NAMED = 100
+#: The bucket of ids and lengths; documents of a block that is put together anew.
+ENDS, BLOCK_DOCS = -1, 2048
 _NEW = {"version": -1, "tables": {}, "facts": {"segments": 0, "documents": 0, "length": 0}}
 
 
 def bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int"))
 
 
-def _postings(spark: SparkSession, root: str, state: dict) -> DataFrame:
-    """All postings of a version, of documents that have gone since too; part and bucket are folders."""
-    schema = f"id {state['facts']['id']}, length long, field string, term string, positions array<int>, segment int, part string, bucket int"
+def _blocks(spark: SparkSession, root: str, state: dict) -> DataFrame:
+    """All blocks of a version, of documents that have gone since too; part and bucket are folders, segment is in the part's name."""
+    schema = f"{BLOCK.format(id=state['facts']['id'])}, part string, bucket int"
     folders = state["tables"].get("postings", [])
-    return spark.read.schema(schema).option("basePath", f"{root}/postings").parquet(*folders) if folders else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", f"{root}/postings").parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return rows.withColumn("segment", F.substring_index("part", "-", 1).cast("int"))
 
 
 def _dead(spark: SparkSession, state: dict) -> DataFrame:
@@ -44,19 +47,21 @@ def _live(rows: DataFrame, dead: DataFrame) -> DataFrame:
 
 def lengths(spark: SparkSession, root: str, state: dict) -> DataFrame:
     """id, length and segment of every document that the version has."""
-    return _live(manifest.table(spark, state, "lengths", f"id {state['facts']['id']}, length long, segment int"), _dead(spark, state))
+    rows = _blocks(spark, root, state).where(F.col("bucket") == ENDS)
+    rows = rows.select("segment", F.inline(F.arrays_zip("ids", "lengths"))).select(F.col("ids").alias("id"), F.col("lengths").cast("long").alias("length"), "segment")
+    return _live(rows, _dead(spark, state))
 
 
-def _write(rows: DataFrame, root: str, state: dict) -> tuple[str, str]:
-    """Folders of postings, sorted by term in each bucket, and of lengths, for staged ``rows``.
+def _write(rows: DataFrame, root: str, segment: int, buckets: int) -> str:
+    """A folder of blocks, sorted by term in each bucket; lengths have a bucket of their own.
 
     Rows are dealt by bucket as a rebalance: adaptive execution splits the bucket of a frequent term over writers and puts
     small ones together, so files have an even size whatever the terms are.
     """
-    at = f"{root}/postings/part={uuid.uuid4().hex}"
-    terms = rows.where("term IS NOT NULL").withColumn("bucket", bucket(F.col("term"), state["facts"]["buckets"]))
-    terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(at)
-    return at, manifest.write(rows.where("term IS NULL").select("id", "length", "segment"), root, "lengths")
+    at = f"{root}/postings/part={segment:09d}-{uuid.uuid4().hex}"
+    rows = rows.withColumn("bucket", F.coalesce(bucket(F.col("term"), buckets), F.lit(ENDS)))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at)
+    return at
 
 
 def create(docs: DataFrame, root: str, fields: list[str], id_col: str = "doc_id", buckets: int = BUCKETS) -> dict:
@@ -70,7 +75,7 @@ def update(
     base: dict | None = None, also: dict[str, list[str]] | None = None,
 ) -> dict:
     """Puts new and changed documents in and takes ``removed`` ids out: one new segment, and a tombstone for each document
-    of an older segment that is replaced or removed. Nothing else is read but lengths, nothing is rewritten.
+    of an older segment that is replaced or removed. Nothing else is read but ids and lengths, nothing is rewritten.
 
     Counts are carried on: what has gone is subtracted, what has come is added. A removed id that the index doesn't have is
     passed over; one that is changed and removed is removed. ``also`` names folders of other tables that become current with it.
@@ -82,14 +87,13 @@ def update(
     if removed is not None:
         removed = removed.select(F.col(id_col).alias("id")).distinct()
         changed = changed.join(removed.withColumnRenamed("id", id_col), id_col, "left_anti")
-    rows = staged(postings(changed, facts["fields"], id_col).withColumn("segment", F.lit(segment)))
-    at, long = _write(rows, root, state)
-    tables = {"postings": [*state["tables"].get("postings", []), at], "lengths": [*state["tables"].get("lengths", []), long]}
-    came = rows.where("term IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    at = _write(blocks(changed, facts["fields"], id_col), root, segment, facts["buckets"])
+    tables = {"postings": [*state["tables"].get("postings", []), at]}
+    new = lengths(spark, root, state | {"tables": {"postings": [at]}})
+    came = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
     gone = (0, 0)
     if segment:
-        ids = rows.where("term IS NULL").select("id")
-        ids = ids if removed is None else ids.unionByName(removed)
+        ids = new.select("id") if removed is None else new.select("id").unionByName(removed)
         old = staged(lengths(spark, root, state).join(ids, "id", "left_semi"))
         gone = old.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         tables["dead"] = [*state["tables"].get("dead", []), manifest.write(old.select("id", F.lit(segment).alias("below")), root, "dead")]
@@ -119,26 +123,37 @@ def refresh(files: DataFrame, root: str, fields: list[str], key: str = "path") -
 
 
 def compact(spark: SparkSession, root: str) -> dict:
-    """Rewrites what is live of all segments as one, without tombstones; the folders of older versions stay for their readers."""
-    state = manifest.read(spark, root)
-    facts, segment = state["facts"], F.lit(0)
-    dead = _dead(spark, state)
-    rows = _live(_postings(spark, root, state), dead).drop("part", "bucket").withColumn("segment", segment)
-    ends = lengths(spark, root, state).select("id", "length", *(F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("term", "string"), ("positions", "array<int>"))), segment.alias("segment"))
-    at, long = _write(staged(rows.unionByName(ends)), root, state)
-    return manifest.commit(spark, root, state, {"postings": [at], "lengths": [long], "dead": []}, facts | {"segments": 1})
-
+    """Rewrites what is live of all segments as one, without tombstones; the folders of older versions stay for their readers.
 
-def asked_postings(spark: SparkSession, root: str, state: dict, queries: DataFrame) -> tuple[DataFrame, bool]:
-    """The live postings of the terms of ``queries``, from their buckets alone, and whether a token may be a phrase."""
-    asked, phrases = lexical.asked_terms(queries)
+    Blocks are put together anew from documents that fall into one of so many shares that one has some ``BLOCK_DOCS``.
+    """
+    state = manifest.read(spark, root)
+    facts = state["facts"]
+    share = F.pmod(F.xxhash64("id"), F.lit(facts["documents"] // BLOCK_DOCS + 1)).alias("share")
+    rows = _live(unblocked(_blocks(spark, root, state).where(F.col("bucket") != ENDS), "segment"), _dead(spark, state))
+    one = F.struct("id", F.col("length").cast("int").alias("length"), "positions")
+    rows = rows.groupBy("term", "field", share).agg(F.collect_list(one).alias("each"))
+    counts = F.transform("each", lambda x: F.size(x["positions"]))
+    ahead = F.aggregate(counts, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + n)))
+    rows = rows.withColumns({"counts": counts, "starts": F.transform(F.arrays_zip(ahead.alias("a"), counts.alias("n")), lambda x: x["a"] - x["n"])})
+    rows = rows.select("term", "field", F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), "starts", "counts", F.flatten("each.positions").alias("positions"))
+    ends = lengths(spark, root, state).groupBy(share).agg(F.collect_list(F.struct("id", F.col("length").cast("int").alias("length"))).alias("each"))
+    none = F.array().cast("array<int>")
+    ends = ends.select(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), none.alias("starts"), none.alias("counts"), none.alias("positions"))
+    at = _write(rows.unionByName(ends), root, 0, facts["buckets"])
+    return manifest.commit(spark, root, state, {"postings": [at], "dead": []}, facts | {"segments": 1})
+
+
+def asked_postings(spark: SparkSession, root: str, state: dict, queries: DataFrame) -> DataFrame:
+    """The live postings of the terms of ``queries``, from their buckets alone; field by its name."""
     words = queries.select(F.explode(parts(F.col("term"))).alias("term")).distinct()
-    # at most as many numbers as there are buckets
+    # at most as many numbers as there are buckets, and terms that files can be skipped by
     wanted = [r["b"] for r in words.select(bucket(F.col("term"), state["facts"]["buckets"]).alias("b")).distinct().collect()]
-    rows = _postings(spark, root, state).where(F.col("bucket").isin(wanted))
-    if asked is not None and len(asked) <= NAMED:
-        rows = rows.where(F.col("term").isin([t.decode() for t in asked]))
-    return _live(rows.join(words, "term", "left_semi"), _dead(spark, state)), phrases
+    named = [r["term"] for r in words.limit(NAMED + 1).collect()]
+    rows = _blocks(spark, root, state).where(F.col("bucket").isin(wanted))
+    rows = rows.where(F.col("term").isin(named)) if len(named) <= NAMED else rows.join(words, "term", "left_semi")
+    rows = _live(unblocked(rows, "segment"), _dead(spark, state))
+    return rows.withColumn("field", F.element_at(F.array(*map(F.lit, state["facts"]["fields"])), F.col("field") + 1))
 
 
 def search(spark: SparkSession, root: str, queries: DataFrame, weights: dict[str, float], version: int | None = None) -> DataFrame:
@@ -148,6 +163,5 @@ def search(spark: SparkSession, root: str, queries: DataFrame, weights: dict[str
     work follows the postings of the asked terms. Older versions can be searched as long as their folders are kept.
     """
     state = manifest.read(spark, root, version)
-    n, total = state["facts"]["documents"], state["facts"]["length"]
-    rows, phrases = asked_postings(spark, root, state, queries)
-    return lexical.scored(occurrences(rows, queries, phrases), queries, weights, F.lit(float(n)), F.lit(total / n if n else 0.0))
+    hits = lexical.weighed(occurrences(asked_postings(spark, root, state, queries), queries), weights)
+    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"])

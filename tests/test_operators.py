@@ -306,7 +306,7 @@ def test_many_tokens_meet_the_whole_postings(spark, monkeypatch):
     asked = lexical.queries_of(spark, {i: [f"w{i}", f"w{i % 3}_x", "and"] for i in range(10)})
     want = sorted(map(tuple, lexical.bm25(docs, asked, {"text": 1.0}).collect()))
     monkeypatch.setattr(lexical, "ASKED", 3)
-    assert lexical.asked_terms(asked) == (None, True)
+    assert lexical.asked_tokens(asked) is None and lexical.index(docs, {"text": 1.0}, queries=asked).whole
     assert sorted(map(tuple, lexical.bm25(docs, asked, {"text": 1.0}).collect())) == want and len(want) == 600
 
 
@@ -343,7 +343,7 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
         now = {i: t for i, t in (now | changed).items() if i not in gone}
         state = segments.update(spark, root, frame(changed), spark.createDataFrame([(i,) for i in gone], "doc_id long"))
         assert state["facts"]["documents"] == len(now) and state["facts"]["segments"] == step + 2
-        assert state["facts"]["length"] == lexical.index(frame(now), weights).where("term IS NULL").agg({"length": "sum"}).first()[0]
+        assert state["facts"]["length"] == lexical.index(frame(now), weights).rows.where("term IS NULL").agg({"length": "sum"}).first()[0]
         assert hits(segments.search(spark, root, asked, weights)) == whole()
     assert hits(segments.search(spark, root, asked, weights, version=0)) == old
     segments.compact(spark, root)
@@ -351,7 +351,7 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert segments.lengths(spark, root, manifest.read(spark, root)).count() == len(now)
     with pytest.raises(manifest.Stale):
         manifest.commit(spark, root, state, {})
-    rows = segments.asked_postings(spark, root, manifest.read(spark, root), lexical.queries_of(spark, {0: ["red"]}))[0]
+    rows = segments.asked_postings(spark, root, manifest.read(spark, root), lexical.queries_of(spark, {0: ["red"]}))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
 
