@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-#: Grams of a fragment that a text has to hold before the two are compared; grams that are looked for where texts are read.
-PROBES, ASKED = 4, 1 << 20
+#: Grams of a fragment that a text has to hold before the two are compared; grams that are looked for where texts are read;
+#: letters of fragments that are compared there.
+PROBES, ASKED, LETTERS = 4, 1 << 20, 1 << 24
 
 
 def grams(text: str, size: int) -> np.ndarray:
@@ -48,15 +49,47 @@ def _gram_rows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | None, cou
     return rows.mapInArrow(run, "gram long, n long" if counted else f"id {kind}, gram long")
 
 
+def _within(texts: DataFrame, sizes: list[int], rare: DataFrame) -> DataFrame:
+    """(fragment, id) of texts that hold a fragment, told where they are read: ``rare`` (fragment, gram, probes) is bounded.
+
+    Grams of a text lead to the fragments that they are probes of; fragments whose probes are all there are looked for.
+    """
+    rows = rare.select("fragment", "gram").collect()
+    names = sorted({r["fragment"] for r in rows})
+    number = {name: i for i, name in enumerate(names)}
+    own, of = np.array([r["gram"] for r in rows], dtype=np.int64), np.array([number[r["fragment"]] for r in rows], dtype=np.int64)
+    order = np.argsort(own, kind="stable")
+    own, of, needed = own[order], of[order], np.bincount(of, minlength=len(names))
+    wanted, begins = np.unique(own, return_index=True)
+    ends = np.append(begins[1:], len(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                here = np.unique(np.concatenate([grams(text, n) for n in sizes]))
+                at = np.searchsorted(here, wanted)
+                hits = np.flatnonzero(here[np.minimum(at, len(here) - 1)] == wanted) if len(here) else at[:0]
+                if not len(hits):
+                    continue
+                proposed, n = np.unique(np.concatenate([of[begins[h] : ends[h]] for h in hits]), return_counts=True)
+                held = [names[j] for j in proposed[n == needed[proposed]] if names[j] in text]
+                owners += [i] * len(held)
+                found += held
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(owners, pa.int64()))], names=["fragment", "id"])
+
+    return texts.mapInArrow(run, f"fragment string, id {texts.schema['id'].dataType.simpleString()}")
+
+
 def contained(fragments: DataFrame, texts: DataFrame) -> DataFrame:
     """(fragment_id, id): every pair of ``fragments`` (fragment_id, fragment) and ``texts`` (id, text) whose text holds the
     fragment, letter for letter.
 
     Every run of three letters of a fragment stands in a text that holds it. Of each fragment, the ``PROBES`` runs that
     fewest texts have are looked for; texts that hold all of them are compared. Shorter fragments are their own run of one or two
-    letters. What is chosen changes the work, not the result. Only asked runs leave the tasks that read texts; with more than
-    ``ASKED`` different ones, all runs meet in a join. Null and empty fragments stand nowhere, a null text holds none. Fragments
-    of one id count one by one, pairs are distinct.
+    letters. What is chosen changes the work, not the result. Fragments of up to ``ASKED`` runs and ``LETTERS`` letters go to
+    the tasks that read texts, and only pairs leave these; more of them meet the texts' runs in joins. Null and empty
+    fragments stand nowhere, a null text holds none. Fragments of one id count one by one, pairs are distinct.
     """
     fragments = fragments.select("fragment_id", "fragment").where("fragment IS NOT NULL").distinct()
     texts = texts.select("id", "text").where("text IS NOT NULL")
@@ -75,9 +108,13 @@ def contained(fragments: DataFrame, texts: DataFrame) -> DataFrame:
     rare = own.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("fragment").orderBy("df", "gram"))).where(F.col("nth") <= PROBES)
     rare = staged(rare.withColumn("probes", F.max("nth").over(Window.partitionBy("fragment"))).select("fragment", "gram", "probes"))
-    found = _gram_rows(texts, sizes, _bounded(rare), False)
-    proposed = found.join(rare, "gram").groupBy("fragment", "id", "probes").agg(F.count("*").alias("n")).where("n = probes").select("fragment", "id")
-    pairs = texts.join(staged(proposed), "id").where(F.contains("text", F.col("fragment"))).select("fragment", "id")
+    size = rare.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("fragment")), F.lit(0)).alias("letters")).first()
+    if size["n"] <= ASKED and size["letters"] <= LETTERS * PROBES:
+        pairs = _within(texts, sizes, rare)
+    else:
+        found = _gram_rows(texts, sizes, _bounded(rare), False)
+        proposed = found.join(rare, "gram").groupBy("fragment", "id", "probes").agg(F.count("*").alias("n")).where("n = probes").select("fragment", "id")
+        pairs = texts.join(staged(proposed), "id").where(F.contains("text", F.col("fragment"))).select("fragment", "id")
     return some.join(pairs, "fragment").select("fragment_id", "id").distinct()
 
 

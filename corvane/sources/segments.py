@@ -164,4 +164,5 @@ def search(spark: SparkSession, root: str, queries: DataFrame, weights: dict[str
     """
     state = manifest.read(spark, root, version)
     hits = lexical.weighed(occurrences(asked_postings(spark, root, state, queries), queries), weights)
-    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"])
+    few = lexical.asked_tokens(queries) is not None
+    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"], few)
