@@ -226,20 +226,20 @@ SQL |= {
 }
 
 SQL |= {
-    "q74_phrase_search": f"WITH {bm25(PHRASES)} SELECT query_id, id, score, matched, rank FROM ({top('scored', 60)})",
-    "q75_weighted_fields": f"""WITH {bm25(BENCH + " UNION ALL SELECT -1, unnest(['src1', 'en', 'that'])", fields={'text': 1, 'breadcrumb': 3, 'title': 5}, docs=f"""SELECT doc_id AS id, text, concat_ws(' > ', source, lang) AS breadcrumb, {TITLE} AS title FROM (
+    "q101_phrase_search": f"WITH {bm25(PHRASES)} SELECT query_id, id, score, matched, rank FROM ({top('scored', 60)})",
+    "q102_weighted_fields": f"""WITH {bm25(BENCH + " UNION ALL SELECT -1, unnest(['src1', 'en', 'that'])", fields={'text': 1, 'breadcrumb': 3, 'title': 5}, docs=f"""SELECT doc_id AS id, text, concat_ws(' > ', source, lang) AS breadcrumb, {TITLE} AS title FROM (
         SELECT *, CASE WHEN regexp_matches(text, '(?s)[.!?]\\s') THEN regexp_extract(text, '(?s)^(.*?[.!?])\\s', 1) ELSE text END AS f FROM documents)""")}
         SELECT query_id, id, score, matched, rank FROM ({top('scored', 10)})""",
-    "q76_segment_search": f"""WITH {bm25(f"SELECT DISTINCT * FROM ({BENCH} UNION ALL {PHRASES})", docs="""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'That erbe, ' || reverse(text) || ' aton' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5
+    "q103_segment_search": f"""WITH {bm25(f"SELECT DISTINCT * FROM ({BENCH} UNION ALL {PHRASES})", docs="""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'That erbe, ' || reverse(text) || ' aton' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5
         UNION ALL SELECT -doc_id, text || ' erbe und' FROM documents WHERE doc_id % 10 = 4""")} SELECT query_id, id, score, matched, rank FROM ({top('scored', 10)})""",
-    "q77_index_refresh": f"""WITH {bm25(_batch(WORDS), docs="SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || ' thndly' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0")}
+    "q104_index_refresh": f"""WITH {bm25(_batch(WORDS), docs="SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || ' thndly' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0")}
         SELECT query_id, id, score, matched, rank FROM ({top('scored', 60)})""",
-    "q78_hot_session": """SELECT event_id, CASE WHEN nxt.ts <= ts + INTERVAL 5 MINUTES THEN nxt.id END AS read_id FROM (
+    "q105_hot_session": """SELECT event_id, CASE WHEN nxt.ts <= ts + INTERVAL 5 MINUTES THEN nxt.id END AS read_id FROM (
         SELECT *, first(CASE WHEN event_type = 'view' THEN {'ts': ts, 'id': event_id} END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM events) WHERE event_type = 'click'""",
-    "q79_fragments_in_documents": r"""WITH s AS (SELECT item_id, string_split_regex(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark),
+    "q106_fragments_in_documents": r"""WITH s AS (SELECT item_id, string_split_regex(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark),
         f AS (SELECT item_id || '/' || (generate_subscripts(parts, 1) - 1) AS fragment_id, unnest(parts) AS fragment FROM s)
         SELECT fragment_id, doc_id AS id FROM f JOIN documents ON contains(text, fragment) WHERE fragment <> ''""",
-    "q80_fragments_in_urls": f"""WITH f AS (SELECT DISTINCT unnest({TERMS}) AS fragment FROM benchmark)
+    "q107_fragments_in_urls": f"""WITH f AS (SELECT DISTINCT unnest({TERMS}) AS fragment FROM benchmark)
         SELECT fragment AS fragment_id, count(*) AS pages, min(page_id) AS first FROM f JOIN pages ON contains(url, fragment) GROUP BY fragment""",
 }
 
@@ -251,11 +251,11 @@ _SYNC = """WITH t AS (SELECT *, turn % 3 = 0 AS review, conv_id % 2 = 0 AS card
     FROM t LEFT JOIN l USING (conv_id) WHERE turn = 0"""
 _FRONT = "doc_id % 7 <> 0 AND doc_id % 10 <> 9"
 SQL |= {
-    "q81_stream_sync": _SYNC,
-    "q82_batch_sync": _SYNC,
-    "q83_exported_log": """SELECT sha1(o_orderkey::VARCHAR) AS sha, left(sha1(o_orderkey::VARCHAR), 7) AS short, strftime(o_orderdate, '%Y-%m-%d') AS data, 'order ' || o_orderkey || ' #' || (o_orderkey % 900 + 100) AS subject,
+    "q108_stream_sync": _SYNC,
+    "q109_batch_sync": _SYNC,
+    "q110_exported_log": """SELECT sha1(o_orderkey::VARCHAR) AS sha, left(sha1(o_orderkey::VARCHAR), 7) AS short, strftime(o_orderdate, '%Y-%m-%d') AS data, 'order ' || o_orderkey || ' #' || (o_orderkey % 900 + 100) AS subject,
         o_orderkey % 4 + 1 AS files, o_orderkey % 900 + 100 AS card FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 10 <> 0 AND o_orderdate >= DATE '1998-01-01'""",
-    "q84_yaml_front_matter": f"""SELECT doc_id, md5(CASE WHEN doc_id % 10 = 9 AND doc_id % 7 <> 0 THEN '---' || chr(10) || 'id: ' || doc_id || chr(10) || 'tags: [' || lang || ', ''b c'', ' || source || ']' || chr(10) || 'cards:' || chr(10) || '  - 101' || chr(10) || '  - 7' || chr(10)
+    "q111_yaml_front_matter": f"""SELECT doc_id, md5(CASE WHEN doc_id % 10 = 9 AND doc_id % 7 <> 0 THEN '---' || chr(10) || 'id: ' || doc_id || chr(10) || 'tags: [' || lang || ', ''b c'', ' || source || ']' || chr(10) || 'cards:' || chr(10) || '  - 101' || chr(10) || '  - 7' || chr(10)
         || 'where:' || chr(10) || '  source: "' || source || ': \\"x\\" #1"' || chr(10) || '  deep: {{a: [1, 2.5], b: true}}' || chr(10) || 'note: >' || chr(10) || '  folded' || chr(10) || '  text' || chr(10) || 'raw: |' || chr(10) || '  two' || chr(10) || '  lines' || chr(10) || 'data: 2024-05-06'
         || chr(10) || 'broken: [1, 2' || chr(10) || '---' || chr(10) || text ELSE text END) AS text,
         CASE WHEN {_FRONT} THEN doc_id END AS id, CASE WHEN {_FRONT} THEN lang || '|b c|' || source END AS tags, CASE WHEN {_FRONT} THEN 7::BIGINT END AS card, CASE WHEN {_FRONT} THEN source || ': "x" #1' END AS source,
@@ -315,11 +315,11 @@ SQL |= {
     "q55_superseded_decisions": "SELECT o.o_orderkey AS id, max(s.o_orderkey) AS superseded_by FROM orders o LEFT JOIN orders s ON s.o_orderkey % 3 = 0 AND s.o_orderkey // 2 = o.o_orderkey GROUP BY o.o_orderkey",
     "q57_paths_under_roots": """WITH r AS (SELECT DISTINCT rtrim(lower(array_to_string(string_split(url, '/')[1:CASE WHEN page_id % 20 = 3 THEN 3 ELSE 4 END], '/')), '/') AS root FROM pages WHERE page_id % 10 = 3)
         SELECT url AS path FROM pages WHERE EXISTS (FROM r WHERE lower(url) = root OR starts_with(lower(url), root || '/'))""",
-    "q85_decision_edges": f"""WITH {FILES}, {CITING}, {REFS}, d AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, CASE o_orderkey % 4 WHEN 0 THEN '#' || (o_orderkey % 900 + 100) WHEN 1 THEN 'plain-' || (o_orderkey % 60) WHEN 2 THEN 'f' || (o_orderkey % 1500) || '.ts' END AS scope FROM orders WHERE o_orderkey % 5 <> 0),
+    "q112_decision_edges": f"""WITH {FILES}, {CITING}, {REFS}, d AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, CASE o_orderkey % 4 WHEN 0 THEN '#' || (o_orderkey % 900 + 100) WHEN 1 THEN 'plain-' || (o_orderkey % 60) WHEN 2 THEN 'f' || (o_orderkey % 1500) || '.ts' END AS scope FROM orders WHERE o_orderkey % 5 <> 0),
         t AS (SELECT id, coalesce(r.key, a.key) AS dst FROM d LEFT JOIN refs r ON '#' || r.number = scope AND r.repo = d.repo LEFT JOIN alone a ON '#' || a.number = scope WHERE starts_with(scope, '#')
             UNION ALL SELECT id, 'feature:' || scope FROM d WHERE scope IN (SELECT feature FROM citing) UNION ALL SELECT id, 'arquivo:' || path FROM d JOIN names ON name = scope)
         SELECT 'decisao:' || id AS src, dst, 'decide' AS rel, 'lembrar' AS origin FROM t WHERE dst IS NOT NULL""",
-    "q86_commit_edges": f"""WITH {FILES}, {REFS}, c AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, o_orderkey % 900 + 100 AS number, 'f' || (o_orderkey % 1500) || '.ts' AS file FROM orders),
+    "q113_commit_edges": f"""WITH {FILES}, {REFS}, c AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo, o_orderkey % 900 + 100 AS number, 'f' || (o_orderkey % 1500) || '.ts' AS file FROM orders),
         t AS (SELECT id, file, coalesce(r.key, a.key) AS dst FROM c LEFT JOIN refs r ON r.number = c.number AND r.repo = c.repo LEFT JOIN alone a ON a.number = c.number WHERE coalesce(r.key, a.key) IS NOT NULL)
         SELECT 'commit:' || id AS src, dst, CASE WHEN starts_with(dst, 'card:') THEN 'implementa' ELSE 'pertence' END AS rel, 'git' AS origin FROM t
         UNION ALL SELECT 'commit:' || id, 'arquivo:' || path, 'toca', 'git' FROM t JOIN names ON name = file""",
@@ -328,7 +328,7 @@ SQL |= {
 _DECIDED = """x AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS data, o_orderstatus AS kind, CASE o_orderkey % 4 WHEN 0 THEN '#' || (o_orderkey % 900 + 100) WHEN 1 THEN 'plain-' || (o_orderkey % 60) WHEN 2 THEN 'f' || (o_orderkey % 1500) || '.ts' END AS scope,
     'Order ' || o_orderkey || ' Ação é final.' AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS why, CASE WHEN o_orderkey % 5 = 0 THEN 'none' END AS alternatives, CASE WHEN o_orderkey % 6 = 0 THEN 'a · ' || o_orderkey END AS refs, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 2 END AS supersedes FROM orders)"""
 SQL |= {
-    "q87_recorded_decisions": f"""WITH {FILES}, {CITING}, {REFS}, {_DECIDED}, s AS (SELECT supersedes AS id, max(id) AS superseded_by FROM x WHERE supersedes IS NOT NULL GROUP BY supersedes),
+    "q114_recorded_decisions": f"""WITH {FILES}, {CITING}, {REFS}, {_DECIDED}, s AS (SELECT supersedes AS id, max(id) AS superseded_by FROM x WHERE supersedes IS NOT NULL GROUP BY supersedes),
         r AS (SELECT o_orderkey AS id, ['en', 'de', 'fr', 'es'][o_orderkey % 4 + 1] AS repo FROM orders),
         t AS (SELECT x.id, coalesce(f.key, a.key) AS dst FROM x JOIN r USING (id) LEFT JOIN refs f ON '#' || f.number = scope AND f.repo = r.repo LEFT JOIN alone a ON '#' || a.number = scope WHERE starts_with(scope, '#')
             UNION ALL SELECT id, 'feature:' || scope FROM x WHERE scope IN (SELECT feature FROM citing) UNION ALL SELECT id, 'arquivo:' || path FROM x JOIN names ON name = scope),
@@ -337,17 +337,57 @@ SQL |= {
         md5('---' || chr(10) || 'data: ' || data || chr(10) || 'tipo: ' || kind || chr(10) || coalesce('escopo: ' || scope || chr(10), '') || coalesce('substitui: ' || supersedes || chr(10), '') || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || title || ' And more.' || chr(10)
             || coalesce(chr(10) || '**Por quê:** ' || why || chr(10), '') || coalesce(chr(10) || '**Descartado:** ' || alternatives || chr(10), '') || coalesce(chr(10) || '**Refs:** ' || refs || chr(10), '')) AS text
         FROM x LEFT JOIN s USING (id) LEFT JOIN e USING (id)""",
-    "q88_search_diagnostics": f"""WITH {bm25(BENCH)}, lex AS ({top('scored', 60)}), v AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {DOT} AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 2 = 0 AND b.vec_id IN (SELECT item_id FROM benchmark)), vec AS ({top('v', 60)}),
+    "q115_search_diagnostics": f"""WITH {bm25(BENCH)}, lex AS ({top('scored', 60)}), v AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {DOT} AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 2 = 0 AND b.vec_id IN (SELECT item_id FROM benchmark)), vec AS ({top('v', 60)}),
         hits AS (SELECT query_id, id FROM lex UNION SELECT query_id, id FROM vec), f AS (SELECT query_id, count(*) - count(DISTINCT {KEY}) AS collapsed FROM hits JOIN documents ON doc_id = id GROUP BY query_id),
         l AS (SELECT query_id, count(*) AS lexical FROM lex GROUP BY 1), w AS (SELECT query_id, count(*) AS vector FROM vec GROUP BY 1)
         SELECT query_id, coalesce(lexical, 0) AS lexical, coalesce(vector, 0) AS vector, coalesce(vector, 0) > 0 AS semantic, coalesce(collapsed, 0) AS collapsed FROM l FULL JOIN w USING (query_id) LEFT JOIN f USING (query_id)""",
-    "q89_vectors_filtered_like_texts": f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src3')) QUALIFY rank <= 20""",
-    "q90_harvest_counts": f"""WITH h AS ({SQL['q34_harvest']}), {PAIRS} SELECT (SELECT count(*) FROM pairs) AS raw, (SELECT count(*) FROM pairs WHERE read_id IS NULL) AS unread, count(*) FILTER (fate = 'missing') AS missing,
+    "q116_vectors_filtered_like_texts": f"""SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS id, {DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <> 'src3')) QUALIFY rank <= 20""",
+    "q117_harvest_counts": f"""WITH h AS ({SQL['q34_harvest']}), {PAIRS} SELECT (SELECT count(*) FROM pairs) AS raw, (SELECT count(*) FROM pairs WHERE read_id IS NULL) AS unread, count(*) FILTER (fate = 'missing') AS missing,
         count(*) FILTER (fate = 'incoherent') AS incoherent, count(*) FILTER (fate = 'repeated') AS repeated, count(*) FILTER (fate = 'kept') AS kept FROM h""",
-    "q91_cases_and_their_targets": """WITH c AS (SELECT item_id, item_id % 20 = 3 AS no, item_id % 40 = 3 AS volatile FROM benchmark),
+    "q118_cases_and_their_targets": """WITH c AS (SELECT item_id, item_id % 20 = 3 AS no, item_id % 40 = 3 AS volatile FROM benchmark),
         f AS (SELECT item_id, d.* FROM c JOIN documents d ON NOT no AND contains('x/doc/' || doc_id, 'doc/' || item_id) AND (item_id % 3 <> 0 OR lang = 'en')),
         n AS (SELECT count(*) AS n, count(*) FILTER (no) AS k, count(*) FILTER (no AND NOT volatile) AS firm, count(*) FILTER (no AND volatile) AS loose FROM c)
         SELECT unnest(list_filter([CASE WHEN n < 100 THEN 'fewer than 100 cases' END, CASE WHEN (SELECT count(*) FROM f WHERE source = 'src1') = 0 THEN 'no code target' END, CASE WHEN (SELECT count(*) FROM f WHERE lang = 'de') = 0 THEN 'no target in de' END,
             CASE WHEN k < 2 THEN 'fewer than two negatives' END, CASE WHEN k >= 2 AND firm = 0 THEN 'no structural negative' END, CASE WHEN k >= 2 AND loose = 0 THEN 'no volatile negative' END], lambda x: x IS NOT NULL)) AS fault, NULL::BIGINT AS case_id FROM n
         UNION ALL SELECT 'no target satisfies the case', item_id FROM c WHERE NOT no AND item_id NOT IN (SELECT item_id FROM f)""",
 }
+
+_TURN = "'conversation:' || lpad(conv_id::VARCHAR, 19, '0') || ':' || lpad(turn::VARCHAR, 19, '0')"
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SQL |= {
+    "q09_snippets": f"""WITH w AS (SELECT doc_id, string_split_regex(trim(text), '\\s+') AS ws FROM documents), h AS (SELECT doc_id, ws, [len(list_intersect(regexp_extract_all(strip_accents(lower(x)), '[\\p{{L}}\\p{{N}}]+'), {_list(WORDS[0])})) > 0 FOR x IN ws] AS hs FROM w),
+        s AS (SELECT doc_id, ws, hs, unnest(list_filter(range(1, len(ws) + 1), lambda i: hs[i])) AS a FROM h),
+        b AS (SELECT doc_id, ws, hs, a FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(list_filter(hs[a:a + 39], lambda x: x)) DESC, a) = 1)
+        SELECT doc_id, CASE WHEN a > 1 THEN '… ' ELSE '' END || array_to_string([CASE WHEN hs[i] THEN '«' || ws[i] || '»' ELSE ws[i] END FOR i IN range(a, least(a + 40, len(ws) + 1))], ' ') || CASE WHEN a + 39 < len(ws) THEN ' …' ELSE '' END AS snippet FROM b""",
+    "q13_hashing_encoder": f"SELECT doc_id, 384::BIGINT AS dims, CASE WHEN len({TERMS}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents",
+    "q22_greedy_collapse": f"""WITH RECURSIVE {bm25(BENCH, 'a', docs=f"SELECT {_TURN} AS id, text FROM conversations")}, {bm25(BENCH, 'b', docs="SELECT 'document:' || lpad(doc_id::VARCHAR, 19, '0') AS id, text FROM documents")},
+        v AS (SELECT b.vec_id AS query_id, a.vec_id AS vec, {DOT} AS score FROM embeddings a JOIN embeddings b ON b.vec_id IN (SELECT item_id FROM benchmark)),
+        vec AS (SELECT query_id, 'document:' || lpad(vec::VARCHAR, 19, '0') AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec) AS rank FROM v QUALIFY rank <= 60),
+        lists AS (SELECT query_id, id, rank FROM ({top('a', 60)}) UNION ALL SELECT query_id, id, rank FROM ({top('b', 60)}) UNION ALL SELECT query_id, id, rank FROM vec),
+        f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf FROM lists GROUP BY query_id, id),
+        t AS (SELECT {_TURN} AS id, 'conversation:' || conv_id AS doc, role AS label, text FROM conversations UNION ALL SELECT 'document:' || lpad(doc_id::VARCHAR, 19, '0'), 'document:' || doc_id, source, text FROM documents),
+        p AS (SELECT query_id, id, doc, label, {KEY} AS key, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS position FROM f JOIN t USING (id)),
+        g AS (SELECT query_id, position, id, doc, key, true AS kept, 1 AS nth, [key] AS seen, [doc] AS docs FROM p WHERE position = 1
+            UNION ALL SELECT p.query_id, p.position, p.id, p.doc, p.key, NOT list_contains(seen, p.key) AND len(list_filter(docs, lambda d: d = p.doc)) < 2, len(list_filter(docs, lambda d: d = p.doc)) + 1,
+                CASE WHEN NOT list_contains(seen, p.key) AND len(list_filter(docs, lambda d: d = p.doc)) < 2 THEN list_append(seen, p.key) ELSE seen END, CASE WHEN NOT list_contains(seen, p.key) AND len(list_filter(docs, lambda d: d = p.doc)) < 2 THEN list_append(docs, p.doc) ELSE docs END
+            FROM g JOIN p ON p.query_id = g.query_id AND p.position = g.position + 1),
+        l AS (SELECT k.query_id, k.id, p.label, min(p.position) AS since, count(*) AS n FROM g k JOIN p ON p.query_id = k.query_id AND p.key = k.key AND p.position > k.position WHERE k.kept GROUP BY ALL),
+        m AS (SELECT query_id, id, sum(n) AS collapsed, string_agg(label, ',' ORDER BY since) AS also_in FROM l GROUP BY query_id, id)
+        SELECT g.query_id, g.id, g.doc, coalesce(also_in, '') AS also_in, coalesce(collapsed, 0)::BIGINT AS collapsed, row_number() OVER (PARTITION BY g.query_id ORDER BY least(nth, 2), position) AS place
+        FROM g LEFT JOIN m ON m.query_id = g.query_id AND m.id = g.id WHERE kept QUALIFY place <= 30""",
+    "q47_markdown_passages": f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)) AS ls FROM documents),
+        x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d), y AS (SELECT *, length(regexp_extract(line, '^(#{{1,3}})\\s+.', 1)) AS level, trim(regexp_extract(line, '^#{{1,3}}\\s+(.+)', 1), {_STRIP}) AS name FROM x),
+        z AS (SELECT *, max(CASE WHEN level > 0 THEN i ELSE 0 END) OVER w AS head, max(CASE WHEN level = 1 THEN i ELSE 0 END) OVER w AS p1, max(CASE WHEN level = 2 THEN i ELSE 0 END) OVER w AS p2, max(CASE WHEN level = 3 THEN i ELSE 0 END) OVER w AS p3 FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (SELECT doc_id, head, any_value(p1) AS p1, any_value(p2) AS p2, any_value(p3) AS p3, trim(string_agg(line, chr(10) ORDER BY i), {_STRIP}) AS whole FROM z GROUP BY doc_id, head),
+        c AS (SELECT s.doc_id, head, whole, list_filter([a.name, CASE WHEN p2 > p1 THEN b.name END, CASE WHEN p3 > p1 AND p3 > p2 THEN e.name END], lambda n: n IS NOT NULL AND n <> '' AND n <> 't') AS crumbs FROM s
+            LEFT JOIN y a ON a.doc_id = s.doc_id AND a.i = p1 LEFT JOIN y b ON b.doc_id = s.doc_id AND b.i = p2 LEFT JOIN y e ON e.doc_id = s.doc_id AND e.i = p3 WHERE whole <> ''),
+        ps AS (SELECT doc_id, head, string_split_regex(whole, '\\n{{2,}}') AS paras FROM c WHERE length(whole) > 4800),
+        r AS (SELECT doc_id, head, 1 AS i, 1 AS piece, length(paras[1]) AS room FROM ps
+            UNION ALL SELECT r.doc_id, r.head, i + 1, CASE WHEN room + length(paras[i + 1]) + 2 <= 3200 THEN piece ELSE piece + 1 END, CASE WHEN room + length(paras[i + 1]) + 2 <= 3200 THEN room + length(paras[i + 1]) + 2 ELSE length(paras[i + 1]) END FROM r JOIN ps USING (doc_id, head) WHERE i < len(paras)),
+        pieces AS (SELECT doc_id, head, piece, string_agg(paras[i], chr(10) || chr(10) ORDER BY i) AS text FROM r JOIN ps USING (doc_id, head) GROUP BY doc_id, head, piece UNION ALL SELECT doc_id, head, 1, whole FROM c WHERE length(whole) <= 4800),
+        q AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.head, piece) AS k, p.text, array_to_string(list_prepend('t', crumbs), ' > ') || CASE WHEN piece > 1 THEN ' (cont. ' || piece || ')' ELSE '' END AS crumb FROM pieces p JOIN c ON c.doc_id = p.doc_id AND c.head = p.head),
+        n AS (SELECT doc_id, k, 0 AS ord, length(text) AS size FROM q WHERE k = 1
+            UNION ALL SELECT n.doc_id, q.k, CASE WHEN size + length(q.text) + 2 <= 2200 THEN ord ELSE ord + 1 END, CASE WHEN size + length(q.text) + 2 <= 2200 THEN size + length(q.text) + 2 ELSE length(q.text) END FROM n JOIN q ON q.doc_id = n.doc_id AND q.k = n.k + 1),
+        o AS (SELECT n.doc_id, ord, first(crumb ORDER BY q.k) AS breadcrumb, string_agg(text, chr(10) || chr(10) ORDER BY q.k) AS t FROM n JOIN q ON q.doc_id = n.doc_id AND q.k = n.k GROUP BY n.doc_id, ord)
+        SELECT doc_id, ord::BIGINT AS ord, breadcrumb, md5(t) AS digest, ceil(length(t) / 4)::BIGINT AS token_est FROM o""",
+}

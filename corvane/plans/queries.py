@@ -149,7 +149,7 @@ def q12_recent_activity(spark, sf_dir):
 @query
 def q13_hashing_encoder(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", vector.hashing_encoder(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.size("v").alias("dims"), F.round(vector.dot(F.col("v"), F.col("v")), 5).alias("norm"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("dims"), F.round(vector.dot(F.col("v"), F.col("v")), 5).alias("norm"))
 
 
 @query
@@ -242,7 +242,8 @@ def pools(spark, sf_dir):
 
 @query
 def q22_greedy_collapse(spark, sf_dir):
-    return ranking.greedy_collapse(pools(spark, sf_dir), 30)
+    rows = ranking.greedy_collapse(pools(spark, sf_dir), 30)
+    return rows.select(F.col("query_id").cast("long").alias("query_id"), "id", "doc", F.array_join("also_in", ",").alias("also_in"), F.col("collapsed").cast("long").alias("collapsed"), F.col("place").cast("long").alias("place"))
 
 
 @query
@@ -549,7 +550,7 @@ def q46_section(spark, sf_dir):
 @query
 def q47_markdown_passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("t").alias("title"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    return chunks.passages(docs).select("doc_id", "ord", "breadcrumb", "token_est")
+    return chunks.passages(docs).select("doc_id", F.col("ord").cast("long").alias("ord"), "breadcrumb", F.md5("text").alias("digest"), "token_est")
 
 
 @query
@@ -774,12 +775,12 @@ def ranked(rows, k=10):
 
 
 @query
-def q74_phrase_search(spark, sf_dir):
+def q101_phrase_search(spark, sf_dir):
     return ranked(lexical.bm25(texts(spark, sf_dir), phrases(spark, sf_dir), TEXT), 60)
 
 
 @query
-def q75_weighted_fields(spark, sf_dir):
+def q102_weighted_fields(spark, sf_dir):
     docs = texts(spark, sf_dir).select("doc_id", "text", F.concat_ws(" > ", "source", "lang").alias("breadcrumb"), tx.headline(F.col("text")).alias("title"))
     return ranked(lexical.bm25(docs, bench(spark, sf_dir).unionByName(lexical.queries_of(spark, {-1: ["src1", "en", "that"]})), {"text": 1.0, "breadcrumb": 3.0, "title": 5.0}))
 
@@ -792,7 +793,7 @@ def revised(spark, sf_dir):
 
 
 @query
-def q76_segment_search(spark, sf_dir):
+def q103_segment_search(spark, sf_dir):
     root, docs = shared_folder(spark), texts(spark, sf_dir)
     segments.create(docs, root, ["text"])
     segments.update(spark, root, revised(spark, sf_dir), docs.where("doc_id % 11 = 5").select("doc_id"))
@@ -800,7 +801,7 @@ def q76_segment_search(spark, sf_dir):
 
 
 @query
-def q77_index_refresh(spark, sf_dir):
+def q104_index_refresh(spark, sf_dir):
     root, docs = shared_folder(spark), texts(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("doc_id").alias("modified"), F.col("n_chars").alias("size"), "text")
     segments.refresh(docs.where("path % 7 <> 0"), root, ["text"])
     segments.refresh(docs.where("path % 9 <> 0").withColumns({"size": F.when(F.col("path") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")), "text": F.when(F.col("path") % 5 == 0, F.concat("text", F.lit(" thndly"))).otherwise(F.col("text"))}), root, ["text"])
@@ -809,21 +810,21 @@ def q77_index_refresh(spark, sf_dir):
 
 
 @query
-def q78_hot_session(spark, sf_dir):
+def q105_hot_session(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("session", F.lit(0))
     rows = evaluation.following(events, "session", "ts", "event_id", F.col("event_type") == "click", F.col("event_type") == "view", F.expr("INTERVAL 5 MINUTES"))
     return rows.select("event_id", F.col("read.id").alias("read_id"))
 
 
 @query
-def q79_fragments_in_documents(spark, sf_dir):
+def q106_fragments_in_documents(spark, sf_dir):
     cut = F.posexplode(F.split("text", r"(?<=[.!?])\s"))
     fragments = table(spark, sf_dir, "benchmark").select("item_id", cut.alias("nth", "fragment")).select(F.concat_ws("/", "item_id", "nth").alias("fragment_id"), "fragment")
     return containment.contained(fragments, texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
 
 
 @query
-def q80_fragments_in_urls(spark, sf_dir):
+def q107_fragments_in_urls(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("fragment")).distinct()
     rows = containment.contained(words.select(F.col("fragment").alias("fragment_id"), "fragment"), pages.select(F.col("page_id").alias("id"), F.col("url").alias("text")))
@@ -856,7 +857,7 @@ def told(items):
 
 
 @query
-def q81_stream_sync(spark, sf_dir):
+def q108_stream_sync(spark, sf_dir):
     top = shared_folder(spark)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", sync.ROCKS)
@@ -873,7 +874,7 @@ def q81_stream_sync(spark, sf_dir):
 
 
 @query
-def q82_batch_sync(spark, sf_dir):
+def q109_batch_sync(spark, sf_dir):
     items = spark.createDataFrame([], sync.ITEM)
     for n in (1, 2, 3):
         path = shared_folder(spark)
@@ -896,14 +897,14 @@ def exported(spark, sf_dir):
 
 
 @query
-def q83_exported_log(spark, sf_dir):
+def q110_exported_log(spark, sf_dir):
     logs.register(spark)
     rows = spark.read.format("commitlog").option("split", 1 << 16).load(exported(spark, sf_dir)).where("data >= '1998-01-01' AND size(cards) > 0")
     return rows.select("sha", "short", "data", "subject", F.size("files").cast("long").alias("files"), F.col("cards")[0].cast("long").alias("card"))
 
 
 @query
-def q84_yaml_front_matter(spark, sf_dir):
+def q111_yaml_front_matter(spark, sf_dir):
     quoted = F.concat(F.lit('"'), F.col("source"), F.lit(': \\"x\\" #1"'))
     lines = [
         F.concat(F.lit("id: "), F.col("doc_id").cast("string")), F.concat(F.lit("tags: ["), "lang", F.lit(", 'b c', "), "source", F.lit("]")), F.lit("cards:\n  - 101\n  - 7"),
@@ -919,7 +920,7 @@ def q84_yaml_front_matter(spark, sf_dir):
 
 
 @query
-def q85_decision_edges(spark, sf_dir):
+def q112_decision_edges(spark, sf_dir):
     i = F.col("o_orderkey")
     scope = F.when(i % 4 == 0, F.concat(F.lit("#"), (i % 900 + 100).cast("string"))).when(i % 4 == 1, F.concat(F.lit("plain-"), (i % 60).cast("string"))).when(i % 4 == 2, F.concat(F.lit("f"), (i % 1500).cast("string"), F.lit(".ts")))
     rows = table(spark, sf_dir, "orders").select(i.alias("id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("repo"), scope.alias("scope"), F.when(i % 5 == 0, i + 1).alias("superseded"))
@@ -928,7 +929,7 @@ def q85_decision_edges(spark, sf_dir):
 
 
 @query
-def q86_commit_edges(spark, sf_dir):
+def q113_commit_edges(spark, sf_dir):
     i = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("commit:"), i.cast("string")).alias("key"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (i % 4 + 1).cast("int")).alias("repo"),
@@ -950,7 +951,7 @@ def order_decisions(spark, sf_dir):
 
 
 @query
-def q87_recorded_decisions(spark, sf_dir):
+def q114_recorded_decisions(spark, sf_dir):
     root, rows = shared_folder(spark), order_decisions(spark, sf_dir)
     targets = (numbered_refs(spark, sf_dir), citing(spark, sf_dir).where("feature IS NOT NULL").select("feature"), code_files(spark, sf_dir))
     decisions.record(root, rows.where("id % 2 = 0"), *targets)
@@ -964,7 +965,7 @@ def q87_recorded_decisions(spark, sf_dir):
 
 
 @query
-def q88_search_diagnostics(spark, sf_dir):
+def q115_search_diagnostics(spark, sf_dir):
     lex, near = lexical.top(lexical.bm25(texts(spark, sf_dir), bench(spark, sf_dir), TEXT)), None
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 2 = 0").join(table(spark, sf_dir, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").cast("int").alias("query_id"), F.col("embedding").alias("query"))
@@ -973,19 +974,19 @@ def q88_search_diagnostics(spark, sf_dir):
 
 
 @query
-def q89_vectors_filtered_like_texts(spark, sf_dir):
+def q116_vectors_filtered_like_texts(spark, sf_dir):
     docs = dated(spark, sf_dir).where(predicates.matches({"repo": "en", "doc_type": "spec"})).select(F.col("doc_id").alias("vec_id"))
     rows = vector.top_k(table(spark, sf_dir, "embeddings").join(docs, "vec_id", "left_semi"), query_vector(spark, sf_dir), 20)
     return rows.select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
-def q90_harvest_counts(spark, sf_dir):
+def q117_harvest_counts(spark, sf_dir):
     return evaluation.harvest_counts(pairs(spark, sf_dir), harvested(spark, sf_dir))
 
 
 @query
-def q91_cases_and_their_targets(spark, sf_dir):
+def q118_cases_and_their_targets(spark, sf_dir):
     """Texts of the benchmark as cases whose expected fragment is a word of a document's address."""
     i = F.col("item_id")
     rows = table(spark, sf_dir, "benchmark").select(

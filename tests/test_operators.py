@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import predicates
 from corvane.functions import text as tx
-from corvane.operators import containment, evaluation, graph, lexical, postings, ranking, reports, vector
+from corvane.operators import containment, decisions, evaluation, graph, lexical, postings, ranking, reports, vector
 from corvane.plans import queries
 from corvane.sources import chunks, files, logs, manifest, segments, snapshots
 from corvane.streaming import incremental, sync
@@ -546,3 +546,85 @@ def test_yaml_front_matter(spark):
     assert front(0) == {"a": 1, "b": ["x", "y z", 2.5], "c": ["one", {"k": "v", "n": None}], "d": "folded line", "e": 'q: "w"', "f": "2024-01-02", "g": "yes", "h": True}
     assert [x.text for x in rows] == ["body\n---\nmore", texts[1], "no block", "empty block", "body", texts[5], None, "", "windows", "spaces"]
     assert all(front(i) == {} for i in (1, 2, 3, 4, 5, 6, 7)) and front(8) == front(9) == {"a": "b"}
+
+
+def test_citations_and_refs(spark):
+    docs = spark.createDataFrame([("a", "see `src/lib/x.ts:3-9` and `y.py`"), ("b", "`./lib/x.ts` `index.ts` `no such.ts` `readme.md`"), ("c", "`other/deep/x.ts`, `/lib/x.ts`")], "doc string, text string")
+    code = spark.createDataFrame([("p/src/lib/x.ts",), ("p/other/deep/x.ts",), ("p/y.py",), ("p/a/index.ts",), ("p/b/index.ts",)], "path string")
+    got = values(graph.resolve_files(docs.select("doc", F.explode(tx.cited_files(F.col("text"))).alias("cited")), code), "doc", "cited", "target")
+    assert got == [("a", "src/lib/x.ts", "p/src/lib/x.ts"), ("a", "y.py", "p/y.py"), ("b", "lib/x.ts", "p/src/lib/x.ts"), ("c", "lib/x.ts", "p/src/lib/x.ts"), ("c", "other/deep/x.ts", "p/other/deep/x.ts")]
+    said = [("a", "r1", "**Card:** #101", None), ("b", "r2", "text\nCloses #102", None), ("c", "r2", "none", "feat/103-new-thing"), ("d", "r1", "fixes #104", None), ("e", "r1", "plain", None)]
+    refs = [("r1", 101, "card:r1#101"), ("r2", 101, "card:r2#101"), ("r2", 102, "pr:r2#102"), ("r3", 103, "card:r3#103"), ("r2", 104, "card:r2#104"), ("r3", 104, "card:r3#104")]
+    refs = spark.createDataFrame(refs, "repo string, number int, key string")
+    numbers = spark.createDataFrame(said, "doc string, repo string, text string, branch string").select("doc", "repo", tx.explicit_number(F.col("text"), F.col("branch")).alias("number"))
+    assert values(graph.resolve_numbers(numbers, refs), "doc", "number", "target") == [("a", 101, "card:r1#101"), ("b", 102, "pr:r2#102"), ("c", 103, "card:r3#103")]
+
+
+def test_edges_of_documents(spark):
+    docs = spark.createDataFrame(
+        [("doc:p1", "planning", "r1", "101-new", "**Card:** #101 and `lib/x.ts`", None), ("sessao:d1", "diario", "r1", None, "worked on #101 #999", None), ("pr:r1#7", "github", "r1", None, "see #101", "feat/101-plain"), ("doc:p2", "planning", "r1", "plain", "none", None)],
+        "key string, source string, repo string, feature string, text string, branch string",
+    )
+    refs, code = spark.createDataFrame([("r1", 101, "card:r1#101")], "repo string, number int, key string"), spark.createDataFrame([("a/lib/x.ts",)], "path string")
+    assert values(graph.document_edges(docs, code, refs), "src", "dst", "rel", "origin") == [
+        ("doc:p1", "arquivo:a/lib/x.ts", "toca", "rotulo"), ("doc:p1", "card:r1#101", "implementa", "planning"), ("doc:p1", "card:r1#101", "referencia", "rotulo"), ("doc:p1", "feature:101-new", "pertence", "planning"),
+        ("doc:p2", "feature:plain", "pertence", "planning"), ("feature:101-new", "card:r1#101", "implementa", "slug"), ("pr:r1#7", "card:r1#101", "implementa", "github"), ("pr:r1#7", "card:r1#101", "referencia", "rotulo"),
+        ("pr:r1#7", "feature:plain", "pertence", "rotulo"), ("sessao:d1", "card:r1#101", "registra", "rotulo"),
+    ]
+
+
+def test_sections_code_and_roots(spark):
+    rows = spark.createDataFrame([(1, "# A\nx\n## Decisão final\ny\n### z\nw\n## Next\nq"), (2, "# Decisao\nall\n# B\nno"), (3, "nothing"), (4, None), (5, "#decisao\n####### decisao\n###### a decisão")], "doc_id long, text string")
+    assert values(chunks.section(rows, "decisao"), "doc_id", "section") == [(1, "## Decisão final\ny\n### z\nw"), (2, "# Decisao\nall"), (5, "###### a decisão")]
+    body = "\n".join(f"line {i}" if i % 75 else "" for i in range(1, 400))
+    code = spark.createDataFrame([(1, "a.py", body), (2, "b.py", "\n\n"), (3, "c.py", "x" * 4000 + "\ny")], "doc_id long, title string, text string")
+    got = values(chunks.passages(code, code=F.lit(True)), "doc_id", "ord", "breadcrumb")
+    assert got == [(1, 0, "a.py:1-75"), (1, 1, "a.py:76-150"), (1, 2, "a.py:151-225"), (1, 3, "a.py:226-300"), (1, 4, "a.py:301-375"), (1, 5, "a.py:376-399"), (3, 0, "c.py:1-1"), (3, 1, "c.py:2-2")]
+    paths = spark.createDataFrame([("C:\\Docs\\a.md",), ("/srv/docs/x/b.md",), ("/srv/docs2/c.md",), ("/tmp/d.md",)], "path string")
+    assert values(files.under_roots(paths, spark.createDataFrame([("c:/docs/",), ("/SRV/docs",)], "root string")), "path") == [("/srv/docs/x/b.md",), ("C:\\Docs\\a.md",)]
+
+
+def test_validity_and_successors(spark):
+    runs = spark.createDataFrame([(1, "boom", True, True, True), (2, None, False, None, True), (3, None, True, False, True), (4, None, True, True, False), (5, None, True, True, True), (6, None, True, None, True)], "i int, error string, diagnosed boolean, semantic boolean, resolvable boolean")
+    reason = evaluation.validity(F.col("error"), F.col("diagnosed"), F.col("semantic"), F.col("resolvable"))
+    assert values(runs.select("i", reason.alias("r")), "i", "r") == [(1, "erro"), (2, "sem-diagnostico"), (3, "so-lexico"), (4, "apodreceu"), (5, None), (6, "so-lexico")]
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3)], "id int, supersedes int")
+    assert values(reports.with_successors(rows), "id", "superseded_by") == [(1, 3), (2, None), (3, 4), (4, None)]
+
+
+def test_decisions_are_recorded_whole(spark, tmp_path):
+    root = str(tmp_path / "record")
+    schema = "id long, ts timestamp, kind string, scope string, repo string, fact string, why string, alternatives string, refs array<string>, supersedes long"
+    when = datetime.datetime(2024, 5, 6, 7, 8)
+    first = [(1, when, "regra", "#101", "r1", "Use um só escritor. Sempre.", "travas", None, ["#101", "x.ts"], None), (2, when, "fato", None, None, "¿?", "", "", [], None)]
+    refs, features, code = spark.createDataFrame([("r1", 101, "card:r1#101")], "repo string, number int, key string"), spark.createDataFrame([("plain",)], "feature string"), spark.createDataFrame([("a/x.ts",)], "path string")
+    decisions.record(root, spark.createDataFrame(first, schema), refs, features, code)
+    stale = manifest.read(spark, root)
+    decisions.record(root, spark.createDataFrame([(3, when, "regra", "plain", "r1", "Outra", None, None, None, 1)], schema), refs, features, code, encoder=None)
+    with pytest.raises(ValueError):
+        decisions.record(root, spark.createDataFrame(first[:1], schema), refs, features, code)
+    with pytest.raises(manifest.Stale):
+        manifest.commit(spark, root, stale, {})
+    now = decisions.read(spark, root)
+    assert values(now["decisions"], "id", "superseded_by", "doc_path") == [(1, 3, "decisoes/2024-05-06-use-um-so-escritor-sempre-1.md"), (2, None, "decisoes/2024-05-06-decisao-2.md"), (3, None, "decisoes/2024-05-06-outra-3.md")]
+    texts = {r.path: r.text for r in now["documents"].collect()}
+    assert texts["decisoes/2024-05-06-use-um-so-escritor-sempre-1.md"] == "---\ndata: 2024-05-06\ntipo: regra\nescopo: #101\n---\n\n# Use um só escritor.\n\nUse um só escritor. Sempre.\n\n**Por quê:** travas\n\n**Refs:** #101 · x.ts\n"
+    assert texts["decisoes/2024-05-06-outra-3.md"] == "---\ndata: 2024-05-06\ntipo: regra\nescopo: plain\nsubstitui: 1\n---\n\n# Outra\n\nOutra\n"
+    assert values(now["edges"], "src", "dst") == [("decisao:3", "feature:plain")]  # the first is replaced
+    assert values(now["vectors"].where("embedding IS NULL"), "id") == [(3,)]
+    decisions.backfill(spark, root)
+    assert decisions.read(spark, root)["vectors"].where("embedding IS NULL").count() == 0
+    before = decisions.read(spark, root, 0)
+    assert before["decisions"].count() == before["vectors"].count() == before["documents"].count() == 2 and values(before["edges"], "src") == [("decisao:1",)]
+
+
+def test_targets_of_cases(spark):
+    filters = "struct<source:string,repo:string,feature:string,doc_type:string>"
+    docs = spark.createDataFrame([("A/b/One.md", ("docs", "r", None, "doc")), ("a/c/two.ts", ("code", "s", None, "code"))], f"path string, doc {filters}")
+    none = (None, None, None, None)
+    rows = [(1, "positivo", None, ["b\\one"], none), (2, "positivo", None, ["two.ts"], ("code", "", None, None)), (3, "positivo", None, ["two.ts"], ("docs", None, None, None)), (4, "positivo", None, [], none), (5, "negativo", True, [], none), (6, "negativo", False, [], none)]
+    cases = spark.createDataFrame(rows, f"case_id long, kind string, volatile boolean, expected array<string>, filters {filters}")
+    assert values(evaluation.resolved(cases, docs), "case_id", "path") == [(1, "A/b/One.md"), (2, "a/c/two.ts")]
+    assert values(evaluation.target_faults(cases, docs, "s", 6), "fault", "case_id") == [("no target satisfies the case", 3), ("no target satisfies the case", 4)]
+    assert {f for f, _ in values(evaluation.target_faults(cases.where("case_id IN (1, 5)"), docs, "s", 6), "fault", "case_id")} == {"fewer than 6 cases", "no code target", "no target in s", "fewer than two negatives"}
+    assert ("no volatile negative", None) in values(evaluation.target_faults(cases.where("case_id = 6").unionByName(cases.where("case_id = 6")), docs, "s", 1), "fault", "case_id")
