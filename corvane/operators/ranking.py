@@ -63,32 +63,28 @@ def collapsed(hits: DataFrame, group: list[str], order: list[Column], label: str
 def greedy_collapse(hits: DataFrame, limit: int, per_doc: int = 2) -> DataFrame:
     """The row-by-row form, exact in every corner: ``hits`` has query_id, id, doc, label, text and position.
 
-    A query's hits are the pools of its branches, some 180 rows at most, so a query is one bounded group.
+    A query's hits are the pools of its branches, some 180 rows at most, so a query is one bounded group, folded in order of
+    position. A hit whose content is there falls together with it; one whose document has ``per_doc`` hits goes and leaves its content
+    free; the others stay. Null texts are one content.
     """
-    keyed = hits.select("query_id", "id", "doc", "label", "position", collapse_key(F.col("text")).alias("key"))
-
-    def run(rows):
-        seen, per, firsts, more = {}, {}, [], []
-        for r in rows.sort_values("position").itertuples():
-            if r.key in seen:
-                kept = seen[r.key]
-                kept["collapsed"] += 1
-                if r.label and r.label not in kept["also_in"]:
-                    kept["also_in"].append(r.label)
-                continue
-            n = per.get(r.doc, 0)
-            if n >= per_doc:
-                continue
-            seen[r.key] = {"query_id": r.query_id, "id": r.id, "doc": r.doc, "also_in": [], "collapsed": 0}
-            per[r.doc] = n + 1
-            (more if n else firsts).append(seen[r.key])
-        out = rows.iloc[:0][["query_id", "id", "doc"]]
-        best = (firsts + more)[:limit]
-        import pandas as pd
-
-        return pd.DataFrame([x | {"place": i + 1} for i, x in enumerate(best)], columns=[*out.columns, "also_in", "collapsed", "place"])
-
-    return keyed.groupBy("query_id").applyInPandas(run, f"query_id int, id {hits.schema['id'].dataType.simpleString()}, doc string, also_in array<string>, collapsed int, place int")
+    key = F.coalesce(collapse_key(F.col("text")), F.lit("\0")).alias("key")
+    rows = hits.select("query_id", "id", "doc", "label", "position", key)
+    rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "doc", "label", "key"))).alias("hits"))
+    kind = f"array<struct<id:{hits.schema['id'].dataType.simpleString()},doc:{hits.schema['doc'].dataType.simpleString()},key:string,nth:int,also_in:array<string>,collapsed:int>>"
+
+    def step(kept: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda k: k["key"]), x["key"])
+        of_doc = F.size(F.filter(kept, lambda k: k["doc"].eqNullSafe(x["doc"])))
+        also = lambda k: F.when((x["label"] != "") & ~F.array_contains(k["also_in"], x["label"]), F.array_append(k["also_in"], x["label"])).otherwise(k["also_in"])
+        joined = lambda k: F.struct(k["id"].alias("id"), k["doc"].alias("doc"), k["key"].alias("key"), k["nth"].alias("nth"), also(k).alias("also_in"), (k["collapsed"] + 1).alias("collapsed"))
+        new = F.struct(x["id"].alias("id"), x["doc"].alias("doc"), x["key"].alias("key"), (of_doc + 1).alias("nth"), F.array().cast("array<string>").alias("also_in"), F.lit(0).alias("collapsed"))
+        more = F.when(of_doc < per_doc, F.array_append(kept, new)).otherwise(kept)
+        return F.when(at > 0, F.transform(kept, lambda k, i: F.when(i == at - 1, joined(k)).otherwise(k))).otherwise(more).cast(kind)
+
+    rows = rows.withColumn("kept", F.aggregate("hits", F.array().cast(kind), step))
+    best = F.concat(F.filter("kept", lambda k: k["nth"] == 1), F.filter("kept", lambda k: k["nth"] > 1))
+    rows = rows.select("query_id", F.posexplode(F.slice(best, 1, limit)).alias("at", "k"))
+    return rows.select("query_id", "k.id", "k.doc", "k.also_in", "k.collapsed", (F.col("at") + 1).alias("place"))
 
 
 def hybrid(

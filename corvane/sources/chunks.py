@@ -1,13 +1,9 @@
-"""Documents cut into passages, and sections by heading."""
+"""Documents cut into passages, and sections by heading; all of it column expressions over the lines of a text."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import fold
 
@@ -15,79 +11,91 @@ from ..functions.text import fold
 JOINED, WHOLE, PIECE = 2200, 4800, 3200
 #: Lines of code after which a blank one ends a passage; lines and characters that end it in any case.
 SOFT_LINES, HARD_LINES, CODE_CHARS = 70, 130, 3500
-PASSAGE = "array<struct<breadcrumb:string,text:string>>"
-_HEADING = re.compile(r"(#{1,3})\s+(.+)")
+#: White space that texts are stripped of.
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_HEADING = r"^(#{1,3})\s+(.+)"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE))
+
+
+def packed(items: Column, size: Column | int, joint: int = 2) -> Column:
+    """Where groups of neighbours of an array of texts begin (from 0): each takes texts up to ``size`` characters, ``joint`` between
+    two; a longer text is a group of its own, as is one after an empty group.
+    """
+    state = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("room"), F.lit(0).alias("i"))
 
+    def step(s: Column, text: Column) -> Column:
+        grown = s["room"] + F.length(text) + joint
+        fits = (F.size(s["begins"]) > 0) & (s["room"] > 0) & (grown <= size)
+        begins = F.when(fits, s["begins"]).otherwise(F.array_append(s["begins"], s["i"]))
+        return F.struct(begins.alias("begins"), F.when(fits, grown).otherwise(F.length(text)).alias("room"), (s["i"] + 1).alias("i"))
 
-def pieces(text: str, size: int) -> list[str]:
-    """Paragraphs put together up to ``size`` characters; a longer one stays whole."""
-    out: list[list[str]] = []
-    room = 0
-    for paragraph in re.split(r"\n{2,}", text):
-        if out and "".join(out[-1]) and room + len(paragraph) + 2 <= size:
-            out[-1].append(paragraph)
-            room += len(paragraph) + 2
-        else:
-            out.append([paragraph])
-            room = len(paragraph)
-    return [x for x in map("\n\n".join, out) if x.strip()]
+    return F.aggregate(items, state, step, lambda s: s["begins"])
 
 
-def markdown_passages(text: str, title: str) -> list[dict[str, str]]:
+def grouped(items: Column, begins: Column, joint: str) -> Column:
+    """The texts of each group, joined."""
+    ends = F.slice(F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(items))), 1, F.size(begins))  # none of none
+    return F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.array_join(F.slice(items, x["a"] + 1, x["b"] - x["a"]), joint))
+
+
+def _markdown(docs: DataFrame, id_col: str) -> DataFrame:
     """Sections under headings of three levels, long ones cut, short neighbours joined under the first one's breadcrumb."""
-    sections: list[tuple[list[str], list[str]]] = [([], [])]
-    path: dict[int, str] = {}
-    for line in text.split("\n"):
-        if m := _HEADING.match(line):
-            level = len(m[1])
-            path = {k: v for k, v in path.items() if k < level} | {level: m[2].strip()}
-            sections.append(([path[k] for k in sorted(path)], [line]))
-        else:
-            sections[-1][1].append(line)
-    out: list[dict[str, str]] = []
-    for crumbs, lines in sections:
-        whole = "\n".join(lines).strip()
-        if not whole:
-            continue
-        crumb = " > ".join([title, *(c for c in crumbs if c and c != title)])
-        parts = [whole] if len(whole) <= WHOLE else pieces(whole, PIECE)
-        for i, part in enumerate(parts):
-            name = crumb if i == 0 else f"{crumb} (cont. {i + 1})"
-            if out and len(out[-1]["text"]) + len(part) + 2 <= JOINED:
-                out[-1]["text"] += "\n\n" + part
-            else:
-                out.append({"breadcrumb": name, "text": part})
-    return out
-
-
-def code_passages(text: str, path: str) -> list[dict[str, str]]:
+    rows = docs.select(id_col, F.coalesce("title", F.lit("")).alias("_title"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    head = lambda line, i: F.struct(i.alias("at"), F.length(F.regexp_extract(line, _HEADING, 1)).alias("level"), stripped(F.regexp_extract(line, _HEADING, 2)).alias("name"))
+    rows = rows.withColumn("_heads", F.filter(F.transform("_lines", head), lambda h: h["level"] > 0))
+    none = F.lit(None).cast("string")
+    path = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+
+    def deeper(paths: Column, h: Column) -> Column:
+        last = F.element_at(paths, -1)
+        return F.array_append(paths, F.when(h["level"] == 1, path(h["name"], none, none)).when(h["level"] == 2, path(last["a"], h["name"], none)).otherwise(path(last["a"], last["b"], h["name"])))
+
+    rows = rows.withColumn("_paths", F.aggregate("_heads", F.array(path(none, none, none)), deeper))
+    begins = F.concat(F.array(F.lit(0)), F.transform("_heads", lambda h: h["at"]))
+    ends = F.concat(F.transform("_heads", lambda h: h["at"]), F.array(F.size("_lines")))
+    section = lambda x: F.struct(x["p"].alias("p"), stripped(F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]), "\n")).alias("text"))
+    rows = rows.withColumn("_sections", F.filter(F.transform(F.arrays_zip(F.col("_paths").alias("p"), begins.alias("a"), ends.alias("b")), section), lambda s: s["text"] != ""))
+    paragraphs = lambda s: F.when(F.length(s["text"]) <= WHOLE, F.array(s["text"])).otherwise(F.split(s["text"], r"\n{2,}"))
+    rows = rows.withColumn("_sections", F.transform("_sections", lambda s: F.struct(s["p"].alias("p"), paragraphs(s).alias("paras"))))
+    rows = rows.withColumn("_sections", F.transform("_sections", lambda s: F.struct(s["p"].alias("p"), s["paras"].alias("paras"), packed(s["paras"], PIECE).alias("begins"))))
+    crumbs = lambda p: F.filter(F.array(p["a"], p["b"], p["c"]), lambda c: c.isNotNull() & (c != "") & (c != F.col("_title")))
+    crumb = lambda s: F.array_join(F.concat(F.array(F.col("_title")), crumbs(s["p"])), " > ")
+    more = lambda i: F.when(i > 0, F.concat(F.lit(" (cont. "), (i + 1).cast("string"), F.lit(")"))).otherwise("")
+    cut = lambda s: F.transform(F.filter(grouped(s["paras"], s["begins"], "\n\n"), lambda t: stripped(t) != ""), lambda t, i: F.struct(F.concat(crumb(s), more(i)).alias("breadcrumb"), t.alias("text")))
+    rows = rows.withColumn("_pieces", F.flatten(F.transform("_sections", cut)))
+    rows = rows.withColumn("_texts", F.transform("_pieces", lambda p: p["text"])).withColumn("_begins", packed(F.col("_texts"), JOINED))
+    names = F.transform("_begins", lambda i: F.get("_pieces", i)["breadcrumb"])
+    return rows.select(id_col, F.arrays_zip(names.alias("breadcrumb"), grouped(F.col("_texts"), F.col("_begins"), "\n\n").alias("text")).alias("_passages"))
+
+
+def _code(docs: DataFrame, id_col: str) -> DataFrame:
     """Runs of lines that end at a blank line after 70, or at 130 lines or 3,500 characters; blank runs are left out."""
-    out, start, held, size = [], 0, [], 0
-    lines = text.split("\n")
-    for i, line in enumerate(lines, 1):
-        held.append(line)
-        size += len(line) + 1
-        ends = (len(held) >= SOFT_LINES and not line.strip()) or size >= CODE_CHARS or len(held) >= HARD_LINES
-        if ends or i == len(lines):
-            if block := "\n".join(held).strip():
-                out.append({"breadcrumb": f"{path}:{start + 1}-{i}", "text": block})
-            start, held, size = i, [], 0
-    return out
-
+    rows = docs.select(id_col, F.coalesce("title", F.lit("")).alias("_title"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    state = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("held"), F.lit(0).alias("size"), F.lit(0).alias("i"))
 
-def _cutter(cut):
-    @pandas_udf(PASSAGE)
-    def run(text: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series([cut(t or "", n or "") for t, n in zip(text, name, strict=True)])
+    def step(s: Column, line: Column) -> Column:
+        held, size, i = s["held"] + 1, s["size"] + F.length(line) + 1, s["i"] + 1
+        over = ((held >= SOFT_LINES) & (stripped(line) == "")) | (size >= CODE_CHARS) | (held >= HARD_LINES)
+        return F.struct(F.when(over, F.array_append(s["ends"], i)).otherwise(s["ends"]).alias("ends"), F.when(over, 0).otherwise(held).alias("held"), F.when(over, 0).otherwise(size).alias("size"), i.alias("i"))
 
-    return run
+    rows = rows.withColumn("_ends", F.array_distinct(F.concat(F.aggregate("_lines", state, step, lambda s: s["ends"]), F.array(F.size("_lines")))))
+    bounds = F.arrays_zip(F.slice(F.concat(F.array(F.lit(0)), F.col("_ends")), 1, F.size("_ends")).alias("a"), F.col("_ends").alias("b"))
+    block = lambda x: F.struct(F.concat("_title", F.lit(":"), (x["a"] + 1).cast("string"), F.lit("-"), x["b"].cast("string")).alias("breadcrumb"), stripped(F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]), "\n")).alias("text"))
+    return rows.select(id_col, F.filter(F.transform(bounds, block), lambda p: p["text"] != "").alias("_passages"))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", code: Column | None = None) -> DataFrame:
-    """id, ord, breadcrumb, text, token_est of documents (id, title, text); ``code`` says which are cut as code."""
-    code = F.lit(False) if code is None else code
-    split = lambda rows, cut: rows.select(id_col, F.posexplode(_cutter(cut)(F.col("text"), F.col("title"))).alias("ord", "p"))
-    rows = split(docs.where(~code), markdown_passages).unionByName(split(docs.where(code), code_passages))
+    """id, ord, breadcrumb, text, token_est of documents (id, title, text); ``code`` says which are cut as code.
+
+    A text is folded line by line where it is read; lengths are added up and texts put together once, nothing is shuffled. Null
+    and blank texts have no passages, a null title is empty.
+    """
+    rows = _markdown(docs if code is None else docs.where(~F.coalesce(code, F.lit(False))), id_col)
+    rows = rows if code is None else rows.unionByName(_code(docs.where(code), id_col))
+    rows = rows.select(id_col, F.posexplode("_passages").alias("ord", "p"))
     return rows.select(id_col, "ord", "p.breadcrumb", "p.text", F.ceil(F.length("p.text") / 4).alias("token_est"))
 
 

@@ -176,19 +176,79 @@ def test_first_match_stops_at_ambiguity(spark):
     assert values(graph.first_match(steps), "request", "key") == [(2, "d")]
 
 
-def test_markdown_passages():
+def cut(spark, texts, title="T", code=False):
+    rows = spark.createDataFrame([(i, title, t) for i, t in enumerate(texts)], "doc_id long, title string, text string")
+    out = {i: [] for i in range(len(texts))}
+    for r in chunks.passages(rows, code=F.lit(True) if code else None).orderBy("doc_id", "ord").collect():
+        out[r.doc_id].append((r.breadcrumb, r.text))
+    return [out[i] for i in range(len(texts))]
+
+
+def brute_pieces(text, size):
+    out, room = [], 0
+    for paragraph in re.split(r"\n{2,}", text):
+        if out and "".join(out[-1]) and room + len(paragraph) + 2 <= size:
+            out[-1].append(paragraph)
+            room += len(paragraph) + 2
+        else:
+            out.append([paragraph])
+            room = len(paragraph)
+    return [x for x in map("\n\n".join, out) if x.strip()]
+
+
+def brute_markdown(text, title):
+    """Line by line and piece by piece, as a reader would."""
+    sections, path = [([], [])], {}
+    for line in text.split("\n"):
+        if m := re.match(r"(#{1,3})\s+(.+)", line):
+            path = {k: v for k, v in path.items() if k < len(m[1])} | {len(m[1]): m[2].strip()}
+            sections.append(([path[k] for k in sorted(path)], [line]))
+        else:
+            sections[-1][1].append(line)
+    out = []
+    for crumbs, lines in sections:
+        whole = "\n".join(lines).strip()
+        crumb = " > ".join([title, *(c for c in crumbs if c and c != title)])
+        for i, part in enumerate(([whole] if len(whole) <= 4800 else brute_pieces(whole, 3200)) if whole else []):
+            if out and len(out[-1][1]) + len(part) + 2 <= 2200:
+                out[-1] = (out[-1][0], out[-1][1] + "\n\n" + part)
+            else:
+                out.append((crumb if i == 0 else f"{crumb} (cont. {i + 1})", part))
+    return out
+
+
+def brute_code(text, path):
+    out, start, held, size = [], 0, [], 0
+    lines = text.split("\n")
+    for i, line in enumerate(lines, 1):
+        held.append(line)
+        size += len(line) + 1
+        if (len(held) >= 70 and not line.strip()) or size >= 3500 or len(held) >= 130 or i == len(lines):
+            if block := "\n".join(held).strip():
+                out.append((f"{path}:{start + 1}-{i}", block))
+            start, held, size = i, [], 0
+    return out
+
+
+def test_markdown_passages(spark):
     long = "\n\n".join(["p" * 1500] * 4)
     text = f"intro\n# One\nbody\n### Deep\n{long}\n## Two\n```\n# in code\n```"
-    out = chunks.markdown_passages(text, "T")
-    assert out[0]["breadcrumb"] == "T" and out[1]["breadcrumb"].startswith("T > One > Deep") and "(cont. 2)" in out[2]["breadcrumb"]
-    assert all(len(p["text"]) <= 4800 for p in out)
-    assert chunks.pieces("a" * 5000, 3200) == ["a" * 5000] and chunks.markdown_passages("\n\n", "T") == []
+    out = cut(spark, [text, "\n\n", "a" * 5000, None])
+    assert out[0][0][0] == "T" and out[0][1][0].startswith("T > One > Deep") and "(cont. 2)" in out[0][2][0]
+    assert all(len(t) <= 4800 for _, t in out[0]) and out[1] == out[3] == [] and out[2] == [("T", "a" * 5000)]
+    r = random.Random(11)
+    line = lambda: r.choice(["", "", "# H", "## Two words ", "### T", "#### no", "#no", "#  T", "x" * r.choice((10, 400, 1200, 2500)), "é " * 300, "  \t", "\x0b", "##\tTab"])
+    texts = ["\n".join(line() for _ in range(r.randint(0, 40))) for _ in range(150)]
+    assert cut(spark, texts) == [brute_markdown(t, "T") for t in texts]
 
 
-def test_code_passages():
+def test_code_passages(spark):
     body = "\n".join(["x"] * 69 + [""] + ["y"] * 130 + ["z"])
-    assert [p["breadcrumb"] for p in chunks.code_passages(body, "f")] == ["f:1-70", "f:71-200", "f:201-201"]
-    assert chunks.code_passages("\n\n", "f") == [] and [p["breadcrumb"] for p in chunks.code_passages("x" * 3500 + "\ny", "f")] == ["f:1-1", "f:2-2"]
+    out = cut(spark, [body, "\n\n", "x" * 3500 + "\ny", None], "f", code=True)
+    assert [[b for b, _ in x] for x in out] == [["f:1-70", "f:71-200", "f:201-201"], [], ["f:1-1", "f:2-2"], []]
+    r = random.Random(12)
+    texts = ["\n".join(r.choice(["", " ", "x", "y" * 60, "z" * 3000]) if r.random() < 0.1 else "a = 1" for _ in range(r.randint(0, 500))) for _ in range(60)]
+    assert cut(spark, texts, "f", code=True) == [brute_code(t, "f") for t in texts]
 
 
 def test_config_variables():
