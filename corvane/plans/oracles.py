@@ -391,3 +391,11 @@ SQL |= {
         o AS (SELECT n.doc_id, ord, first(crumb ORDER BY q.k) AS breadcrumb, string_agg(text, chr(10) || chr(10) ORDER BY q.k) AS t FROM n JOIN q ON q.doc_id = n.doc_id AND q.k = n.k GROUP BY n.doc_id, ord)
         SELECT doc_id, ord::BIGINT AS ord, breadcrumb, md5(t) AS digest, ceil(length(t) / 4)::BIGINT AS token_est FROM o""",
 }
+
+SQL |= {
+    "q119_lookups": """WITH e AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'feature:' || c_custkey || '-new' ELSE 'card:r#' || c_custkey END AS key, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS file, c_name AS title FROM customer),
+        a AS (SELECT s_suppkey AS request, CASE s_suppkey % 3 WHEN 0 THEN 'card ' || (s_suppkey * 7) WHEN 1 THEN ' R#' || (s_suppkey % 90) ELSE 'mer#0000000' || (s_suppkey % 100) END AS text FROM supplier),
+        n AS (SELECT request, text, nullif(regexp_extract(text, '[0-9]{3,5}'), '') AS number FROM a), x AS (SELECT request, key, file FROM n JOIN e ON key LIKE '%#' || number OR key LIKE 'feature:' || number || '-%'),
+        y AS (SELECT * FROM x UNION SELECT request, key, file FROM n JOIN e ON contains(lower(key), lower(trim(text))) OR contains(lower(title), lower(trim(text))) WHERE request NOT IN (SELECT request FROM x))
+        SELECT request, key, row_number() OVER (PARTITION BY request ORDER BY file DESC, key) AS place FROM y QUALIFY place <= 10""",
+}

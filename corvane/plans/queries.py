@@ -996,3 +996,13 @@ def q118_cases_and_their_targets(spark, sf_dir):
     docs = texts(spark, sf_dir).select(F.concat(F.lit("x/doc/"), F.col("doc_id").cast("string")).alias("path"), F.struct(F.when(F.col("source") == "src1", "code").otherwise("docs").alias("source"), F.col("lang").alias("repo"), F.lit(None).cast("string").alias("feature"), F.lit("doc").alias("doc_type")).alias("doc"))
     faults = evaluation.target_faults(rows, docs, "de", 100)
     return faults.select("fault", F.col("case_id").cast("long").alias("case_id"))
+
+
+@query
+def q119_lookups(spark, sf_dir):
+    """Every supplier asks for a number or a part of a name."""
+    customer, i = table(spark, sf_dir, "customer"), F.col("s_suppkey")
+    rows = customer.select(F.concat(F.when(F.col("c_custkey") % 5 == 0, "feature:").otherwise("card:r#"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 5 == 0, "-new").otherwise("")).alias("key"), F.when(F.col("c_custkey") % 2 == 0, "arquivo").otherwise("card").alias("kind"), F.col("c_name").alias("title"))
+    asked = F.when(i % 3 == 0, F.concat(F.lit("card "), (i * 7).cast("string"))).when(i % 3 == 1, F.concat(F.lit(" R#"), (i % 90).cast("string"))).otherwise(F.concat(F.lit("mer#0000000"), (i % 100).cast("string")))
+    found = graph.lookups(rows, table(spark, sf_dir, "supplier").select(i.alias("request"), asked.alias("text")))
+    return found.select("request", "key", F.col("place").cast("long").alias("place"))
