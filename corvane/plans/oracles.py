@@ -399,3 +399,14 @@ SQL |= {
         y AS (SELECT * FROM x UNION SELECT request, key, file FROM n JOIN e ON contains(lower(key), lower(trim(text))) OR contains(lower(title), lower(trim(text))) WHERE request NOT IN (SELECT request FROM x))
         SELECT request, key, row_number() OVER (PARTITION BY request ORDER BY file DESC, key) AS place FROM y QUALIFY place <= 10""",
 }
+
+SQL |= {
+    "q120_active_features": f"WITH {ORDERS} SELECT feature, repo, string_agg(DISTINCT doc_type, ',' ORDER BY doc_type) AS kinds, count(*) AS n_docs, max(data) AS last_date FROM o GROUP BY ALL HAVING count(*) FILTER (status = 'arquivado') = 0",
+    "q121_entity_counts": "SELECT kind, count(*) AS n FROM (SELECT c_mktsegment AS kind FROM customer UNION ALL SELECT p_brand FROM part) GROUP BY kind",
+    "q122_item_notes": """WITH c AS (SELECT conv_id, string_agg('### ' || role || ' — ' || lpad((1000 - turn)::VARCHAR, 9, '0') || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn DESC) AS talk FROM conversations WHERE turn > 0 GROUP BY conv_id)
+        SELECT t.conv_id AS number, md5('# ' || role || chr(10) || chr(10) || 'estado: OPEN' || chr(10) || chr(10) || CASE WHEN t.conv_id % 3 > 0 THEN text ELSE '' END || chr(10) || chr(10) || coalesce(talk, '')) AS digest FROM conversations t LEFT JOIN c USING (conv_id) WHERE turn = 0""",
+    "q123_empty_answers": """WITH a AS (SELECT source, doc_id % 6 AS i, (['Nenhum resultado para ', 'Query vazia', 'Nenhuma ', 'Nada no grafo ', ' Nenhuma ', ''])[doc_id % 6 + 1] || text AS answer FROM documents)
+        SELECT source, count(*) FILTER (regexp_matches(answer, '^(Nenhum resultado|Query vazia|Nenhuma)')) AS empty, sum(ceil(length(answer) / 4))::BIGINT AS tokens FROM a GROUP BY source""",
+    "q124_rewritten_blocks": """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text || chr(10) || '<!-- auto:begin -->' || chr(10) || 'new ' || lang || chr(10) || '<!-- auto:end -->' || chr(10) || 'tail'
+        ELSE text || CASE doc_id % 3 WHEN 1 THEN chr(10) || '<!-- auto:begin --> open' ELSE '' END || chr(10) || '<!-- auto:begin -->' || chr(10) || 'new ' || lang || chr(10) || '<!-- auto:end -->' END) AS digest FROM documents""",
+}

@@ -1006,3 +1006,38 @@ def q119_lookups(spark, sf_dir):
     asked = F.when(i % 3 == 0, F.concat(F.lit("card "), (i * 7).cast("string"))).when(i % 3 == 1, F.concat(F.lit(" R#"), (i % 90).cast("string"))).otherwise(F.concat(F.lit("mer#0000000"), (i % 100).cast("string")))
     found = graph.lookups(rows, table(spark, sf_dir, "supplier").select(i.alias("request"), asked.alias("text")))
     return found.select("request", "key", F.col("place").cast("long").alias("place"))
+
+
+@query
+def q120_active_features(spark, sf_dir):
+    return reports.catalogue(order_docs(spark, sf_dir), active_only=True).select("feature", "repo", "kinds", "n_docs", "last_date")
+
+
+@query
+def q121_entity_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("kind")).unionByName(table(spark, sf_dir, "part").select(F.col("p_brand").alias("kind")))
+    return graph.entity_counts(rows)
+
+
+@query
+def q122_item_notes(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    said = F.collect_list(F.when(F.col("turn") > 0, F.struct(F.lpad((1000 - F.col("turn")).cast("string"), 9, "0").alias("date"), F.col("role").alias("author"), F.col("text").alias("body"))))
+    items = turns.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("title"), F.max(F.when((F.col("turn") == 0) & (F.col("conv_id") % 3 > 0), F.col("text"))).alias("body"), said.alias("comments"))
+    notes = files.item_markdown(items.select(F.col("conv_id").alias("number"), "title", F.lit("OPEN").alias("state"), "body", "comments"))
+    return notes.select("number", F.md5("text").alias("digest"))
+
+
+@query
+def q123_empty_answers(spark, sf_dir):
+    i = F.col("doc_id") % 6
+    answer = F.concat(F.when(i == 0, "Nenhum resultado para ").when(i == 1, "Query vazia").when(i == 2, "Nenhuma ").when(i == 3, "Nada no grafo ").when(i == 4, " Nenhuma ").otherwise(""), "text")
+    rows = table(spark, sf_dir, "documents").withColumn("empty", tx.is_empty_answer(answer))
+    return rows.groupBy("source").agg(F.count_if("empty").alias("empty"), F.sum(tx.token_estimate(answer)).alias("tokens"))
+
+
+@query
+def q124_rewritten_blocks(spark, sf_dir):
+    i = F.col("doc_id") % 3
+    text = F.concat("text", F.when(i == 0, F.concat(F.lit("\n<!-- auto:begin -->\nold "), "source", F.lit("\n<!-- auto:end -->\ntail"))).when(i == 1, "\n<!-- auto:begin --> open").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(files.rewritten(text, F.concat(F.lit("new "), "lang"))).alias("digest"))
