@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -123,25 +124,17 @@ def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                lengths = np.zeros(part.num_rows, dtype=np.int32)
-                names, places, owners, counts, flat = [None], [-1], [list(range(part.num_rows))], [[]], [[]]
+                lengths, names, places, held = np.zeros(part.num_rows, dtype=np.int32), [None], [-1], [_ends(part.num_rows)]
                 for nth, column in enumerate(part.columns[1:]):
-                    held = defaultdict(lambda: ([], [], []))
-                    for i, value in enumerate(column):
-                        terms, found = split(value.as_py() or b""), defaultdict(list)
-                        lengths[i] += len(terms)
-                        for place, term in enumerate(terms):
-                            found[term].append(place)
-                        for term, own in found.items():
-                            who, many, where = held[term]
-                            who.append(i)
-                            many.append(len(own))
-                            where += own
-                    names += held
-                    places += [nth] * len(held)
-                    for column_, i in ((owners, 0), (counts, 1), (flat, 2)):
-                        column_ += [x[i] for x in held.values()]
-                yield _block_rows(part.column(0), lengths, names, places, owners, counts, flat)
+                    texts = [split(value.as_py() or b"") for value in column]
+                    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+                    lengths += sizes.astype(np.int32)
+                    if sizes.any():
+                        own, arrays = _by_term(texts, sizes)
+                        names += own
+                        places += [nth] * len(own)
+                        held.append(arrays)
+                yield _block_rows(part.column(0), lengths, names, places, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("binary") for f in fields))
     return rows.mapInArrow(run, BLOCK.format(id=rows.schema["id"].dataType.simpleString()))
@@ -150,28 +143,43 @@ def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int
 BLOCK = "term string, field int, ids array<{id}>, lengths array<int>, starts array<int>, counts array<int>, positions array<int>"
 
 
-def _lists(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32), np.fromiter(chain.from_iterable(rows), dtype=np.int32)
+def _ends(n: int) -> tuple[np.ndarray, ...]:
+    """Arrays of the row that has all documents of a block, without postings."""
+    none = np.empty(0, dtype=np.int64)
+    return np.array([n]), np.arange(n), np.array([0]), none, none, np.array([0]), none
 
 
-def _block_rows(ids: pa.Array, lengths: np.ndarray, names: list, places: list[int], owners: list, counts: list, flat: list) -> pa.RecordBatch:
-    bounds, who = _lists(owners)
-    some, many = _lists(counts)
-    where = _lists(flat)
-    ahead = np.cumsum(many) - many
-    starts = ahead - np.repeat(np.append(ahead, 0)[np.minimum(some[:-1], len(many))], np.diff(some))
-    listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets), values)
+def _by_term(texts: list[list[bytes]], sizes: np.ndarray) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
+    """The different terms of some texts, and for these: how many documents each has and which, as many starts and counts, how many
+    positions each has and which. Terms are numbered and sorted together, not one by one.
+    """
+    codes, terms = pd.factorize(np.array(list(chain.from_iterable(texts)), dtype=object))
+    owner, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, owner, place = codes[order], owner[order], place[order]
+    begins = np.flatnonzero(np.diff(codes, prepend=-1) | np.diff(owner, prepend=-1))
+    first = np.flatnonzero(np.diff(codes[begins], prepend=-1))
+    documents = np.diff(first, append=len(begins))
+    starts = begins - np.repeat(begins[first], documents)
+    return list(terms), (documents, owner[begins], documents, starts, np.diff(begins, append=len(codes)), np.bincount(codes), place)
+
+
+def _block_rows(ids: pa.Array, lengths: np.ndarray, names: list, places: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
+    documents, who, some, starts, counts, many, positions = arrays
+    offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    listed = lambda sizes, values: pa.ListArray.from_arrays(offsets(sizes), values)
     columns = [
-        pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), listed(bounds, ids.take(pa.array(who))), listed(bounds, pa.array(lengths[who])),
-        listed(some, pa.array(starts.astype(np.int32))), listed(some, pa.array(many)), listed(where[0], pa.array(where[1])),
+        pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), listed(documents, ids.take(pa.array(who))), listed(documents, pa.array(lengths[who])),
+        listed(some, pa.array(starts.astype(np.int32))), listed(some, pa.array(counts.astype(np.int32))), listed(many, pa.array(positions.astype(np.int32))),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["term", "field", "ids", "lengths", "starts", "counts", "positions"])
 
 
-def unblocked(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, term, field, id, length, positions: a row for each document of each row of blocks with a term."""
+def unblocked(rows: DataFrame, *keep: str, positions: bool = True) -> DataFrame:
+    """``keep``, term, field, id, length, tf, positions: a row for each document of each row of blocks with a term."""
     zipped = F.arrays_zip("ids", "lengths", "starts", "counts")
-    one = F.transform(zipped, lambda x: F.struct(x["ids"].alias("id"), x["lengths"].cast("long").alias("length"), F.slice("positions", x["starts"] + 1, x["counts"]).alias("positions")))
+    where = lambda x: [F.slice("positions", x["starts"] + 1, x["counts"]).alias("positions")] if positions else []
+    one = F.transform(zipped, lambda x: F.struct(x["ids"].alias("id"), x["lengths"].cast("long").alias("length"), x["counts"].cast("double").alias("tf"), *where(x)))
     return rows.select(*keep, "term", "field", F.inline(one))
 
 

@@ -78,7 +78,11 @@ def _top_k(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str, id_c
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
 
     def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``k`` of each row, by score and then by id."""
+        """The first ``k`` of each row, by score and then by id; only what reaches the k-th score is sorted."""
+        if scores.shape[1] > k:
+            reach = scores >= np.partition(scores, -k, axis=1)[:, -k : scores.shape[1] - k + 1]
+            front = np.argsort(~reach, axis=1, kind="stable")[:, : int(reach.sum(axis=1).max())]
+            scores, ids = np.take_along_axis(scores, front, 1), np.take_along_axis(ids, front, 1)
         order = np.lexsort((ids, -scores), axis=1)[:, :k]
         return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 

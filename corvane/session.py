@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,3 +32,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(max(cores, df.rdd.getNumPartitions()))
+
+
+def clear_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing holds any more; it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexical
 from ..operators.postings import BLOCK, blocks, occurrences, parts, unblocked
-from ..session import staged
+from ..session import clear_shuffles, staged
 from ..streaming.incremental import differences
 from . import manifest
 
@@ -97,6 +97,7 @@ def update(
         old = staged(lengths(spark, root, state).join(ids, "id", "left_semi"))
         gone = old.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         tables["dead"] = [*state["tables"].get("dead", []), manifest.write(old.select("id", F.lit(segment).alias("below")), root, "dead")]
+    clear_shuffles(spark)
     counts = {"segments": segment + 1, "documents": facts["documents"] + came["n"] - gone[0], "length": facts["length"] + came["length"] - gone[1]}
     return manifest.commit(spark, root, state, tables | (also or {}), facts | counts)
 
@@ -141,18 +142,18 @@ def compact(spark: SparkSession, root: str) -> dict:
     none = F.array().cast("array<int>")
     ends = ends.select(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), none.alias("starts"), none.alias("counts"), none.alias("positions"))
     at = _write(rows.unionByName(ends), root, 0, facts["buckets"])
+    clear_shuffles(spark)
     return manifest.commit(spark, root, state, {"postings": [at], "dead": []}, facts | {"segments": 1})
 
 
-def asked_postings(spark: SparkSession, root: str, state: dict, queries: DataFrame) -> DataFrame:
-    """The live postings of the terms of ``queries``, from their buckets alone; field by its name."""
-    words = queries.select(F.explode(parts(F.col("term"))).alias("term")).distinct()
+def asked_postings(spark: SparkSession, root: str, state: dict, words: DataFrame, positions: bool = True) -> DataFrame:
+    """The live postings of the terms ``words`` (term), from their buckets alone; field by its name."""
     # at most as many numbers as there are buckets, and terms that files can be skipped by
     wanted = [r["b"] for r in words.select(bucket(F.col("term"), state["facts"]["buckets"]).alias("b")).distinct().collect()]
     named = [r["term"] for r in words.limit(NAMED + 1).collect()]
     rows = _blocks(spark, root, state).where(F.col("bucket").isin(wanted))
     rows = rows.where(F.col("term").isin(named)) if len(named) <= NAMED else rows.join(words, "term", "left_semi")
-    rows = _live(unblocked(rows, "segment"), _dead(spark, state))
+    rows = _live(unblocked(rows, "segment", positions=positions), _dead(spark, state))
     return rows.withColumn("field", F.element_at(F.array(*map(F.lit, state["facts"]["fields"])), F.col("field") + 1))
 
 
@@ -160,9 +161,21 @@ def search(spark: SparkSession, root: str, queries: DataFrame, weights: dict[str
     """(query_id, id, score, matched): BM25 as ``lexical.bm25`` gives it over the documents of a version.
 
     Only the buckets of asked terms are read, and the document count and mean length come from the manifest, so the
-    work follows the postings of the asked terms. Older versions can be searched as long as their folders are kept.
+    work follows the postings of the asked terms; positions are unpacked for the terms of phrases alone. Older versions can be searched
+    as long as their folders are kept.
     """
     state = manifest.read(spark, root, version)
-    hits = lexical.weighed(occurrences(asked_postings(spark, root, state, queries), queries), weights)
-    few = lexical.asked_tokens(queries) is not None
-    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"], few)
+    asked = lexical.asked_tokens(queries)
+    tokens = staged(queries.select("term", F.size(parts(F.col("term"))).alias("n")).distinct())
+    single, phrases = tokens.where("n = 1").select("term"), tokens.where("n > 1")
+    words = single.select(F.col("term").alias("token"), F.get(parts(F.col("term")), F.lit(0)).alias("term"))
+    hits = asked_postings(spark, root, state, words.select("term").distinct(), False).join(words, "term").select("token", "id", "field", "tf", "length")
+    if not phrases.isEmpty():
+        within = asked_postings(spark, root, state, phrases.select(F.explode(parts(F.col("term"))).alias("term")).distinct())
+        hits = hits.unionByName(occurrences(within, phrases).select(hits.columns))
+    if len(state["facts"]["fields"]) == 1:  # then a document has a token once
+        weight = float(weights[state["facts"]["fields"][0]])
+        hits = staged(hits.select("id", F.col("token").alias("term"), (F.col("tf") * weight).alias("tf"), "length"))
+    else:
+        hits = lexical.weighed(hits, weights)
+    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"], asked is not None)

@@ -411,7 +411,7 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert segments.lengths(spark, root, manifest.read(spark, root)).count() == len(now)
     with pytest.raises(manifest.Stale):
         manifest.commit(spark, root, state, {})
-    rows = segments.asked_postings(spark, root, manifest.read(spark, root), lexical.queries_of(spark, {0: ["red"]}))
+    rows = segments.asked_postings(spark, root, manifest.read(spark, root), spark.createDataFrame([("red",)], "term string"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
 
