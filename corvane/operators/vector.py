@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,8 +14,8 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.text import terms
 
 
-#: Queries of a batch that tasks hold at once, and vectors that meet them in one go.
-HELD, STRIP = 10_000, 512
+#: Queries of a batch that tasks hold at once, vectors that meet them in one go, and vectors of a block where there are more queries.
+HELD, STRIP, MET = 10_000, 512, 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,55 +57,88 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 60, vector_col: str =
     """(query_id, id, score, rank): for each query its ``k`` nearest vectors by dot product, ties to the smaller id.
 
     ``queries`` (query_id, query) is a stated set against all rows. It is counted first: up to ``HELD`` queries go to
-    every task, more go in parts of about that size. A task multiplies strips of vectors with all queries and keeps
-    ``k`` rows of each, so that no more than these are shuffled. Scores have six decimals. Null vectors, those of another
-    length than the query and those with a null or non-finite component are near nothing.
+    every task; more of them meet the vectors in blocks of some ``HELD`` queries and ``MET`` vectors, dealt by hashes, and nothing
+    of them passes through the driver. A task multiplies strips of vectors with its queries and keeps ``k`` rows of each, so
+    that no more than these are shuffled. Scores have six decimals. Null vectors, those of another length than the query and
+    those with a null or non-finite component are near nothing.
     """
-    n = queries.count()
-    if n > HELD:
-        parts = -(-n // HELD)
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        each = (_top_k(vectors, queries.where(slot == i), k, vector_col, id_col) for i in range(parts))
-        return reduce(DataFrame.unionByName, each)
-    return _top_k(vectors, queries, k, vector_col, id_col)
-
-
-def _top_k(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str, id_col: str) -> DataFrame:
-    asked = queries.where("query IS NOT NULL").collect()  # HELD at most, as counted
-    sizes = {len(r["query"]) for r in asked}
-    matrices = {d: ([r["query_id"] for r in asked if len(r["query"]) == d], np.array([r["query"] for r in asked if len(r["query"]) == d], dtype=np.float64)) for d in sizes}
+    asked = queries.where("query IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    n = queries.count()
+    scored = _in_blocks(rows, asked, n, k) if n > HELD else _at_once(rows, asked, k)
+    scored = scored.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+_SCORED = "query_id long, id long, score double"
 
-    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class _Nearest:
+    """The ``k`` nearest vectors of each query among those shown so far; queries of a length have a matrix."""
+
+    def __init__(self, queries: list[tuple[int, list[float]]], k: int):
+        self.k = k
+        sizes = {len(v) for _, v in queries}
+        self.matrices = {d: ([q for q, v in queries if len(v) == d], np.array([v for _, v in queries if len(v) == d], dtype=np.float64)) for d in sizes}
+        self.kept = {d: (np.full((len(m), 0), -np.inf), np.empty((len(m), 0), dtype=np.int64)) for d, (_, m) in self.matrices.items()}
+
+    def best(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first ``k`` of each row, by score and then by id; only what reaches the k-th score is sorted."""
-        if scores.shape[1] > k:
-            reach = scores >= np.partition(scores, -k, axis=1)[:, -k : scores.shape[1] - k + 1]
+        if scores.shape[1] > self.k:
+            reach = scores >= np.partition(scores, -self.k, axis=1)[:, -self.k : scores.shape[1] - self.k + 1]
             front = np.argsort(~reach, axis=1, kind="stable")[:, : int(reach.sum(axis=1).max())]
             scores, ids = np.take_along_axis(scores, front, 1), np.take_along_axis(ids, front, 1)
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
         return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {d: (np.full((len(m), 0), -np.inf), np.empty((len(m), 0), dtype=np.int64)) for d, (_, m) in matrices.items()}
-        for batch in batches:
-            lengths = batch.column(1).value_lengths().to_numpy()
-            for d, (_, queried) in matrices.items():
-                some = np.flatnonzero(lengths == d)
-                for at in range(0, len(some), STRIP):
-                    part = batch.take(pa.array(some[at : at + STRIP]))
-                    ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-                    sound = np.isfinite(v).all(axis=1)
-                    scores = np.floor(queried @ v[sound].T * 1e6 + 0.5) / 1e6
-                    held, names = kept[d]
-                    kept[d] = best(np.hstack([held, scores]), np.hstack([names, np.broadcast_to(ids[sound], scores.shape)]))
-        for d, (names, _) in matrices.items():
-            scores, ids = kept[d]
+    def show(self, batch: pa.RecordBatch) -> None:
+        """Compares a batch of (id, v), strip by strip."""
+        lengths = batch.column(1).value_lengths().to_numpy()
+        for d, (_, queried) in self.matrices.items():
+            some = np.flatnonzero(lengths == d)
+            for at in range(0, len(some), STRIP):
+                part = batch.take(pa.array(some[at : at + STRIP]))
+                ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                sound = np.isfinite(v).all(axis=1)
+                scores = np.floor(queried @ v[sound].T * 1e6 + 0.5) / 1e6
+                held, names = self.kept[d]
+                self.kept[d] = self.best(np.hstack([held, scores]), np.hstack([names, np.broadcast_to(ids[sound], scores.shape)]))
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        for d, (names, _) in self.matrices.items():
+            scores, ids = self.kept[d]
             columns = [pa.array(np.repeat(names, scores.shape[1]), pa.int64()), pa.array(ids.ravel()), pa.array(scores.ravel())]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
-    scored = rows.mapInArrow(run, "query_id long, id long, score double").withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def _at_once(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    queries = [(r["query_id"], r["query"]) for r in asked.collect()]  # HELD at most, as counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _Nearest(queries, k)
+        for batch in batches:
+            near.show(batch)
+        yield from near.told()
+
+    return rows.mapInArrow(run, _SCORED)
+
+
+def _in_blocks(rows: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
+    slots, shares = -(-n // HELD), rows.count() // MET + 1
+    deal = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    asked = asked.select("query_id", "query", deal("query_id", slots).alias("slot"), every(shares).alias("share"))
+    rows = rows.select("id", "v", every(slots).alias("slot"), deal("id", shares).alias("share"))
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        near = _Nearest(list(zip(queries["query_id"].to_pylist(), queries["query"].to_pylist(), strict=True)), k)
+        for batch in vectors.select(["id", "v"]).to_batches():
+            near.show(batch)
+        out = list(near.told())
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    return asked.groupBy("slot", "share").cogroup(rows.groupBy("slot", "share")).applyInArrow(run, _SCORED)
 
 
 def related(items: DataFrame, fact: DataFrame, least: float, newest: int, best: int) -> DataFrame:

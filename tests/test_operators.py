@@ -296,8 +296,11 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(source,src1)" in plan and "text" not in plan.split("ReadSchema")[1]
 
 
-def test_nearest_vectors_against_brute_force(spark):
-    """Ties, repeated rows, nulls, other lengths and odd components."""
+@pytest.mark.parametrize("held", [vector.HELD, 2])
+def test_nearest_vectors_against_brute_force(spark, monkeypatch, held):
+    """Ties, repeated rows, nulls, other lengths and odd components; queries at once, and in blocks."""
+    monkeypatch.setattr(vector, "HELD", held)
+    monkeypatch.setattr(vector, "MET", 70)
     rng = random.Random(3)
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(300)]
     rows += [rows[7], (900, None), (901, []), (902, [1.0]), (903, [float("nan"), 1.0, 1.0, 1.0]), (904, [None, 1.0, 1.0, 1.0])]
