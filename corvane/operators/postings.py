@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,8 @@ def weighted(docs: DataFrame, weights: dict[str, float], tokens: list[bytes], id
 
 
 def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int = 2048) -> DataFrame:
-    """term, field, ids, lengths, starts, counts, positions: the postings of up to ``size`` documents at once, as an index keeps them.
+    """block, term, field, ids, lengths, starts, counts, positions: the postings of up to ``size`` documents at once, as an
+    index keeps them. Rows of one block are of the same documents.
 
     A row has a term of a field (its place in ``fields``) and the documents with it, in arrays of one order; the positions of a document
     begin at its start. A row with a null term has all ids and lengths of the block. So a frequent term is long arrays and
@@ -121,9 +123,10 @@ def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+                part, block = batch.slice(at, size), block + 1
                 lengths, names, places, held = np.zeros(part.num_rows, dtype=np.int32), [None], [-1], [_ends(part.num_rows)]
                 for nth, column in enumerate(part.columns[1:]):
                     texts = [split(value.as_py() or b"") for value in column]
@@ -134,13 +137,13 @@ def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int
                         names += own
                         places += [nth] * len(own)
                         held.append(arrays)
-                yield _block_rows(part.column(0), lengths, names, places, [np.concatenate(x) for x in zip(*held, strict=True)])
+                yield _block_rows(block, part.column(0), lengths, names, places, [np.concatenate(x) for x in zip(*held, strict=True)])
 
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("binary") for f in fields))
     return rows.mapInArrow(run, BLOCK.format(id=rows.schema["id"].dataType.simpleString()))
 
 
-BLOCK = "term string, field int, ids array<{id}>, lengths array<int>, starts array<int>, counts array<int>, positions array<int>"
+BLOCK = "block long, term string, field int, ids array<{id}>, lengths array<int>, starts array<int>, counts array<int>, positions array<int>"
 
 
 def _ends(n: int) -> tuple[np.ndarray, ...]:
@@ -164,15 +167,15 @@ def _by_term(texts: list[list[bytes]], sizes: np.ndarray) -> tuple[list[bytes],
     return list(terms), (documents, owner[begins], documents, starts, np.diff(begins, append=len(codes)), np.bincount(codes), place)
 
 
-def _block_rows(ids: pa.Array, lengths: np.ndarray, names: list, places: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
+def _block_rows(block: int, ids: pa.Array, lengths: np.ndarray, names: list, places: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
     documents, who, some, starts, counts, many, positions = arrays
     offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
     listed = lambda sizes, values: pa.ListArray.from_arrays(offsets(sizes), values)
     columns = [
-        pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), listed(documents, ids.take(pa.array(who))), listed(documents, pa.array(lengths[who])),
+        pa.array(np.full(len(names), block)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), listed(documents, ids.take(pa.array(who))), listed(documents, pa.array(lengths[who])),
         listed(some, pa.array(starts.astype(np.int32))), listed(some, pa.array(counts.astype(np.int32))), listed(many, pa.array(positions.astype(np.int32))),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "field", "ids", "lengths", "starts", "counts", "positions"])
+    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "field", "ids", "lengths", "starts", "counts", "positions"])
 
 
 def unblocked(rows: DataFrame, *keep: str, positions: bool = True) -> DataFrame:
@@ -183,6 +186,43 @@ def unblocked(rows: DataFrame, *keep: str, positions: bool = True) -> DataFrame:
     return rows.select(*keep, "term", "field", F.inline(one))
 
 
+def phrases_in_blocks(rows: DataFrame, phrases: list[bytes]) -> DataFrame:
+    """(token, segment, field, id, length, tf): how often each phrase occurs in each field, by blocks ``rows`` (with part and segment).
+
+    Blocks of the phrases' terms meet by their number, packed as they are, so a group has the postings of one block's documents
+    for the asked terms. A document and a position make one number; those of each term, less its place in the phrase, are intersected.
+    """
+    asked = [(token.decode(), [t.decode() for t in split(token)]) for token in phrases]
+    rows = rows.where("term IS NOT NULL").select("part", "block", "segment", "field", "term", "ids", "lengths", "starts", "counts", "positions")
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        names, where, out = group["term"].to_pylist(), {}, []
+        lists = {c: group[c].combine_chunks() for c in ("ids", "lengths", "counts", "positions")}
+        sizes = lists["ids"].value_lengths().to_numpy()
+        number, ids = pd.factorize(lists["ids"].flatten().to_numpy(zero_copy_only=False))
+        lengths = np.empty(len(ids), dtype=np.int64)
+        lengths[number] = lists["lengths"].flatten().to_numpy()
+        keys = (np.repeat(number, lists["counts"].flatten().to_numpy()).astype(np.int64) << 32) + lists["positions"].flatten().to_numpy()
+        many = np.cumsum([0, *lists["positions"].value_lengths().to_numpy()])
+        for i, name in enumerate(names):
+            if sizes[i]:
+                where[name] = np.sort(keys[many[i] : many[i + 1]])
+        for token, terms in asked:
+            if all(t in where for t in terms):
+                found = where[terms[0]]
+                for nth, term in enumerate(terms[1:], 1):
+                    found = np.intersect1d(found, where[term] - nth, assume_unique=True)
+                owner, tf = np.unique(found >> 32, return_counts=True)
+                out.append((np.full(len(owner), token, dtype=object), owner, tf))
+        token, owner, tf = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=object), *[np.empty(0, dtype=np.int64)] * 2)
+        one = lambda c, kind_: pa.array([group[c][0].as_py()] * len(owner), kind_)
+        columns = [pa.array(token, pa.string()), one("segment", pa.int32()), one("field", pa.int32()), pa.array(ids[owner], lists["ids"].type.value_type), pa.array(lengths[owner]), pa.array(tf.astype(np.float64))]
+        return pa.Table.from_arrays(columns, names=["token", "segment", "field", "id", "length", "tf"])
+
+    return rows.groupBy("part", "block", "field").applyInArrow(run, f"token string, segment int, field int, id {kind}, length long, tf double")
+
+
 def parts(token: Column) -> Column:
     """The terms that a token of a query stands for: ``snake_case`` is the phrase of two. A token may have none."""
     return F.regexp_extract_all(token, F.lit(TERM), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical
-from ..operators.postings import BLOCK, blocks, occurrences, parts, unblocked
+from ..operators.postings import BLOCK, blocks, occurrences, parts, phrases_in_blocks, split, unblocked
 from ..session import clear_shuffles, staged
 from ..streaming.incremental import differences
 from . import manifest
@@ -137,45 +137,49 @@ def compact(spark: SparkSession, root: str) -> dict:
     counts = F.transform("each", lambda x: F.size(x["positions"]))
     ahead = F.aggregate(counts, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + n)))
     rows = rows.withColumns({"counts": counts, "starts": F.transform(F.arrays_zip(ahead.alias("a"), counts.alias("n")), lambda x: x["a"] - x["n"])})
-    rows = rows.select("term", "field", F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), "starts", "counts", F.flatten("each.positions").alias("positions"))
+    rows = rows.select(F.col("share").alias("block"), "term", "field", F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), "starts", "counts", F.flatten("each.positions").alias("positions"))
     ends = lengths(spark, root, state).groupBy(share).agg(F.collect_list(F.struct("id", F.col("length").cast("int").alias("length"))).alias("each"))
     none = F.array().cast("array<int>")
-    ends = ends.select(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), none.alias("starts"), none.alias("counts"), none.alias("positions"))
+    ends = ends.select(F.col("share").alias("block"), F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), none.alias("starts"), none.alias("counts"), none.alias("positions"))
     at = _write(rows.unionByName(ends), root, 0, facts["buckets"])
     clear_shuffles(spark)
     return manifest.commit(spark, root, state, {"postings": [at], "dead": []}, facts | {"segments": 1})
 
 
-def asked_postings(spark: SparkSession, root: str, state: dict, words: DataFrame, positions: bool = True) -> DataFrame:
-    """The live postings of the terms ``words`` (term), from their buckets alone; field by its name."""
+def asked_blocks(spark: SparkSession, root: str, state: dict, words: DataFrame) -> DataFrame:
+    """The blocks of the terms ``words`` (term), from their buckets alone."""
     # at most as many numbers as there are buckets, and terms that files can be skipped by
     wanted = [r["b"] for r in words.select(bucket(F.col("term"), state["facts"]["buckets"]).alias("b")).distinct().collect()]
     named = [r["term"] for r in words.limit(NAMED + 1).collect()]
     rows = _blocks(spark, root, state).where(F.col("bucket").isin(wanted))
-    rows = rows.where(F.col("term").isin(named)) if len(named) <= NAMED else rows.join(words, "term", "left_semi")
-    rows = _live(unblocked(rows, "segment", positions=positions), _dead(spark, state))
-    return rows.withColumn("field", F.element_at(F.array(*map(F.lit, state["facts"]["fields"])), F.col("field") + 1))
+    return rows.where(F.col("term").isin(named)) if len(named) <= NAMED else rows.join(words, "term", "left_semi")
 
 
 def search(spark: SparkSession, root: str, queries: DataFrame, weights: dict[str, float], version: int | None = None) -> DataFrame:
     """(query_id, id, score, matched): BM25 as ``lexical.bm25`` gives it over the documents of a version.
 
     Only the buckets of asked terms are read, and the document count and mean length come from the manifest, so the
-    work follows the postings of the asked terms; positions are unpacked for the terms of phrases alone. Older versions can be searched
-    as long as their folders are kept.
+    work follows the postings of the asked terms. Single terms are counts; up to ``lexical.ASKED`` different tokens, the phrases
+    among them are told in blocks, more are told by joins. Older versions can be searched as long as their folders are kept.
     """
     state = manifest.read(spark, root, version)
-    asked = lexical.asked_tokens(queries)
+    asked, fields = lexical.asked_tokens(queries), state["facts"]["fields"]
     tokens = staged(queries.select("term", F.size(parts(F.col("term"))).alias("n")).distinct())
-    single, phrases = tokens.where("n = 1").select("term"), tokens.where("n > 1")
-    words = single.select(F.col("term").alias("token"), F.get(parts(F.col("term")), F.lit(0)).alias("term"))
-    hits = asked_postings(spark, root, state, words.select("term").distinct(), False).join(words, "term").select("token", "id", "field", "tf", "length")
-    if not phrases.isEmpty():
-        within = asked_postings(spark, root, state, phrases.select(F.explode(parts(F.col("term"))).alias("term")).distinct())
-        hits = hits.unionByName(occurrences(within, phrases).select(hits.columns))
-    if len(state["facts"]["fields"]) == 1:  # then a document has a token once
-        weight = float(weights[state["facts"]["fields"][0]])
-        hits = staged(hits.select("id", F.col("token").alias("term"), (F.col("tf") * weight).alias("tf"), "length"))
+    words = tokens.where("n = 1").select(F.col("term").alias("token"), F.get(parts(F.col("term")), F.lit(0)).alias("term"))
+    within = tokens.where("n > 1").select(F.explode(parts(F.col("term"))).alias("term")).distinct()
+    blocks_of = lambda some: asked_blocks(spark, root, state, some)
+    columns = ("token", "segment", "field", "id", "length", "tf")
+    hits = unblocked(blocks_of(words.select("term").distinct()), "segment", positions=False).join(words, "term").select(*columns)
+    phrases = None if asked is None else [t for t in asked if len(split(t)) > 1]
+    if phrases:
+        hits = hits.unionByName(phrases_in_blocks(blocks_of(within), phrases))
+    elif phrases is None:
+        rows = unblocked(blocks_of(within), "segment").withColumn("id", F.struct("id", "segment"))
+        more = occurrences(rows, tokens.where("n > 1"))
+        hits = hits.unionByName(more.select("token", "id.segment", "field", "id.id", "length", "tf"))
+    hits = _live(hits, _dead(spark, state)).withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1))
+    if len(fields) == 1:  # then a document has a token once
+        hits = staged(hits.select("id", F.col("token").alias("term"), (F.col("tf") * float(weights[fields[0]])).alias("tf"), "length"))
     else:
         hits = lexical.weighed(hits, weights)
     return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"], asked is not None)

@@ -389,7 +389,7 @@ def hits(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_segments_equal_a_rebuild(spark, tmp_path):
+def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch):
     r = random.Random(2)
     say = lambda: " ".join(r.choices(["red", "blue", "snake_case", "ação", "x9", "rare"], k=r.randint(0, 12)))
     asked = lexical.queries_of(spark, {0: ["red", "snake_case"], 1: ["acao"], 2: ["blue_red", "none"], 3: ["rare"]})
@@ -409,12 +409,15 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
         assert state["facts"]["length"] == lexical.index(frame(now), weights).rows.where("term IS NULL").agg({"length": "sum"}).first()[0]
         assert hits(segments.search(spark, root, asked, weights)) == whole()
     assert hits(segments.search(spark, root, asked, weights, version=0)) == old
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "ASKED", 2)
+        assert hits(segments.search(spark, root, asked, weights)) == whole()
     segments.compact(spark, root)
     assert hits(segments.search(spark, root, asked, weights)) == whole()
     assert segments.lengths(spark, root, manifest.read(spark, root)).count() == len(now)
     with pytest.raises(manifest.Stale):
         manifest.commit(spark, root, state, {})
-    rows = segments.asked_postings(spark, root, manifest.read(spark, root), spark.createDataFrame([("red",)], "term string"))
+    rows = segments.asked_blocks(spark, root, manifest.read(spark, root), spark.createDataFrame([("red",)], "term string"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
 
