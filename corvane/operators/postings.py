@@ -114,12 +114,12 @@ def weighted(docs: DataFrame, weights: dict[str, float], tokens: list[bytes], id
 
 
 def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int = 2048) -> DataFrame:
-    """block, term, field, ids, lengths, starts, counts, positions: the postings of up to ``size`` documents at once, as an
-    index keeps them. Rows of one block are of the same documents.
+    """block, term, field, ids, data: the postings of up to ``size`` documents at once, as an index keeps them. Rows of one
+    block are of the same documents.
 
-    A row has a term of a field (its place in ``fields``) and the documents with it, in arrays of one order; the positions of a document
-    begin at its start. A row with a null term has all ids and lengths of the block. So a frequent term is long arrays and
-    not many rows.
+    A row has a term of a field (its place in ``fields``) and the ids of the documents with it; data has as many lengths, as
+    many counts, and then all positions, document by document. A row with a null term has all ids and lengths of the
+    block. So a frequent term is long arrays and not many rows, and a rare one two short ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +143,17 @@ def blocks(docs: DataFrame, fields: list[str], id_col: str = "doc_id", size: int
     return rows.mapInArrow(run, BLOCK.format(id=rows.schema["id"].dataType.simpleString()))
 
 
-BLOCK = "block long, term string, field int, ids array<{id}>, lengths array<int>, starts array<int>, counts array<int>, positions array<int>"
+BLOCK = "block long, term string, field int, ids array<{id}>, data array<int>"
 
 
 def _ends(n: int) -> tuple[np.ndarray, ...]:
     """Arrays of the row that has all documents of a block, without postings."""
     none = np.empty(0, dtype=np.int64)
-    return np.array([n]), np.arange(n), np.array([0]), none, none, np.array([0]), none
+    return np.array([n]), np.arange(n), np.array([0]), none, np.array([0]), none
 
 
 def _by_term(texts: list[list[bytes]], sizes: np.ndarray) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
-    """The different terms of some texts, and for these: how many documents each has and which, as many starts and counts, how many
+    """The different terms of some texts, and for these: how many documents each has and which, how many counts and which, how many
     positions each has and which. Terms are numbered and sorted together, not one by one.
     """
     codes, terms = pd.factorize(np.array(list(chain.from_iterable(texts)), dtype=object))
@@ -163,26 +163,36 @@ def _by_term(texts: list[list[bytes]], sizes: np.ndarray) -> tuple[list[bytes],
     begins = np.flatnonzero(np.diff(codes, prepend=-1) | np.diff(owner, prepend=-1))
     first = np.flatnonzero(np.diff(codes[begins], prepend=-1))
     documents = np.diff(first, append=len(begins))
-    starts = begins - np.repeat(begins[first], documents)
-    return list(terms), (documents, owner[begins], documents, starts, np.diff(begins, append=len(codes)), np.bincount(codes), place)
+    return list(terms), (documents, owner[begins], documents, np.diff(begins, append=len(codes)), np.bincount(codes), place)
 
 
 def _block_rows(block: int, ids: pa.Array, lengths: np.ndarray, names: list, places: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
-    documents, who, some, starts, counts, many, positions = arrays
-    offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    listed = lambda sizes, values: pa.ListArray.from_arrays(offsets(sizes), values)
+    documents, who, some, counts, many, positions = arrays
+    rows = np.arange(len(names))
+    # lengths, counts and positions of a row one after the other
+    order = np.argsort(np.concatenate([np.repeat(3 * rows, documents), np.repeat(3 * rows + 1, some), np.repeat(3 * rows + 2, many)]), kind="stable")
+    data = np.concatenate([lengths[who], counts, positions]).astype(np.int32)[order]
+    listed = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
     columns = [
-        pa.array(np.full(len(names), block)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()), listed(documents, ids.take(pa.array(who))), listed(documents, pa.array(lengths[who])),
-        listed(some, pa.array(starts.astype(np.int32))), listed(some, pa.array(counts.astype(np.int32))), listed(many, pa.array(positions.astype(np.int32))),
+        pa.array(np.full(len(names), block)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(places, pa.int32()),
+        listed(documents, ids.take(pa.array(who))), listed(documents + some + many, pa.array(data)),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "field", "ids", "lengths", "starts", "counts", "positions"])
+    return pa.RecordBatch.from_arrays(columns, names=["block", "term", "field", "ids", "data"])
 
 
 def unblocked(rows: DataFrame, *keep: str, positions: bool = True) -> DataFrame:
     """``keep``, term, field, id, length, tf, positions: a row for each document of each row of blocks with a term."""
-    zipped = F.arrays_zip("ids", "lengths", "starts", "counts")
-    where = lambda x: [F.slice("positions", x["starts"] + 1, x["counts"]).alias("positions")] if positions else []
-    one = F.transform(zipped, lambda x: F.struct(x["ids"].alias("id"), x["lengths"].cast("long").alias("length"), x["counts"].cast("double").alias("tf"), *where(x)))
+    n = F.size("ids")
+    lengths, counts = F.slice("data", F.lit(1), n), F.slice("data", n + 1, n)
+    zipped = F.arrays_zip(F.col("ids"), lengths.alias("lengths"), counts.alias("counts"))
+    if not positions:
+        one = F.transform(zipped, lambda x: F.struct(x["ids"].alias("id"), x["lengths"].cast("long").alias("length"), x["counts"].cast("double").alias("tf")))
+        return rows.select(*keep, "term", "field", F.inline(one))
+    ends = F.aggregate(counts, F.array().cast("array<int>"), lambda out, c: F.array_append(out, F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + c))
+    rows = rows.withColumn("_ends", ends)
+    zipped = F.arrays_zip(F.col("ids"), lengths.alias("lengths"), counts.alias("counts"), F.col("_ends").alias("ends"))
+    where = lambda x: F.slice("data", 2 * n + x["ends"] - x["counts"] + 1, x["counts"])
+    one = F.transform(zipped, lambda x: F.struct(x["ids"].alias("id"), x["lengths"].cast("long").alias("length"), x["counts"].cast("double").alias("tf"), where(x).alias("positions")))
     return rows.select(*keep, "term", "field", F.inline(one))
 
 
@@ -193,18 +203,21 @@ def phrases_in_blocks(rows: DataFrame, phrases: list[bytes]) -> DataFrame:
     for the asked terms. A document and a position make one number; those of each term, less its place in the phrase, are intersected.
     """
     asked = [(token.decode(), [t.decode() for t in split(token)]) for token in phrases]
-    rows = rows.where("term IS NOT NULL").select("part", "block", "segment", "field", "term", "ids", "lengths", "starts", "counts", "positions")
+    rows = rows.where("term IS NOT NULL").select("part", "block", "segment", "field", "term", "ids", "data")
     kind = rows.schema["ids"].dataType.elementType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
         names, where, out = group["term"].to_pylist(), {}, []
-        lists = {c: group[c].combine_chunks() for c in ("ids", "lengths", "counts", "positions")}
-        sizes = lists["ids"].value_lengths().to_numpy()
-        number, ids = pd.factorize(lists["ids"].flatten().to_numpy(zero_copy_only=False))
+        lists, packed = group["ids"].combine_chunks(), group["data"].combine_chunks()
+        sizes, widths, data = lists.value_lengths().to_numpy(), packed.value_lengths().to_numpy(), packed.flatten().to_numpy()
+        number, ids = pd.factorize(lists.flatten().to_numpy(zero_copy_only=False))
+        # what of a row is lengths, counts, positions
+        within = np.arange(len(data)) - np.repeat(np.cumsum(widths) - widths, widths)
+        third = np.minimum(within // np.maximum(np.repeat(sizes, widths), 1), 2)
         lengths = np.empty(len(ids), dtype=np.int64)
-        lengths[number] = lists["lengths"].flatten().to_numpy()
-        keys = (np.repeat(number, lists["counts"].flatten().to_numpy()).astype(np.int64) << 32) + lists["positions"].flatten().to_numpy()
-        many = np.cumsum([0, *lists["positions"].value_lengths().to_numpy()])
+        lengths[number] = data[third == 0]
+        keys = (np.repeat(number, data[third == 1]).astype(np.int64) << 32) + data[third == 2]
+        many = np.cumsum([0, *(widths - 2 * sizes)])
         for i, name in enumerate(names):
             if sizes[i]:
                 where[name] = np.sort(keys[many[i] : many[i + 1]])
@@ -217,7 +230,7 @@ def phrases_in_blocks(rows: DataFrame, phrases: list[bytes]) -> DataFrame:
                 out.append((np.full(len(owner), token, dtype=object), owner, tf))
         token, owner, tf = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=object), *[np.empty(0, dtype=np.int64)] * 2)
         one = lambda c, kind_: pa.array([group[c][0].as_py()] * len(owner), kind_)
-        columns = [pa.array(token, pa.string()), one("segment", pa.int32()), one("field", pa.int32()), pa.array(ids[owner], lists["ids"].type.value_type), pa.array(lengths[owner]), pa.array(tf.astype(np.float64))]
+        columns = [pa.array(token, pa.string()), one("segment", pa.int32()), one("field", pa.int32()), pa.array(ids[owner], lists.type.value_type), pa.array(lengths[owner]), pa.array(tf.astype(np.float64))]
         return pa.Table.from_arrays(columns, names=["token", "segment", "field", "id", "length", "tf"])
 
     return rows.groupBy("part", "block", "field").applyInArrow(run, f"token string, segment int, field int, id {kind}, length long, tf double")

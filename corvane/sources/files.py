@@ -110,7 +110,7 @@ def _plain(node) -> object:
         return {str(_plain(k)) if not isinstance(k, yaml.ScalarNode) else k.value: _plain(v) for k, v in node.value}
     if isinstance(node, yaml.SequenceNode):
         return [_plain(v) for v in node.value]
-    if node.style is None:
+    if not node.style:  # plain
         if node.value.lower() in _TYPED:
             return _TYPED[node.value.lower()]
         if re.fullmatch(r"[-+]?(0|[1-9][0-9]{0,17})", node.value):

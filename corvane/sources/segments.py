@@ -48,7 +48,7 @@ def _live(rows: DataFrame, dead: DataFrame) -> DataFrame:
 def lengths(spark: SparkSession, root: str, state: dict) -> DataFrame:
     """id, length and segment of every document that the version has."""
     rows = _blocks(spark, root, state).where(F.col("bucket") == ENDS)
-    rows = rows.select("segment", F.inline(F.arrays_zip("ids", "lengths"))).select(F.col("ids").alias("id"), F.col("lengths").cast("long").alias("length"), "segment")
+    rows = rows.select("segment", F.inline(F.arrays_zip("ids", "data"))).select(F.col("ids").alias("id"), F.col("data").cast("long").alias("length"), "segment")
     return _live(rows, _dead(spark, state))
 
 
@@ -135,12 +135,9 @@ def compact(spark: SparkSession, root: str) -> dict:
     one = F.struct("id", F.col("length").cast("int").alias("length"), "positions")
     rows = rows.groupBy("term", "field", share).agg(F.collect_list(one).alias("each"))
     counts = F.transform("each", lambda x: F.size(x["positions"]))
-    ahead = F.aggregate(counts, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + n)))
-    rows = rows.withColumns({"counts": counts, "starts": F.transform(F.arrays_zip(ahead.alias("a"), counts.alias("n")), lambda x: x["a"] - x["n"])})
-    rows = rows.select(F.col("share").alias("block"), "term", "field", F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), "starts", "counts", F.flatten("each.positions").alias("positions"))
+    rows = rows.select(F.col("share").alias("block"), "term", "field", F.col("each.id").alias("ids"), F.concat(F.col("each.length"), counts, F.flatten("each.positions")).alias("data"))
     ends = lengths(spark, root, state).groupBy(share).agg(F.collect_list(F.struct("id", F.col("length").cast("int").alias("length"))).alias("each"))
-    none = F.array().cast("array<int>")
-    ends = ends.select(F.col("share").alias("block"), F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("lengths"), none.alias("starts"), none.alias("counts"), none.alias("positions"))
+    ends = ends.select(F.col("share").alias("block"), F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("data"))
     at = _write(rows.unionByName(ends), root, 0, facts["buckets"])
     clear_shuffles(spark)
     return manifest.commit(spark, root, state, {"postings": [at], "dead": []}, facts | {"segments": 1})
