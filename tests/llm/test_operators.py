@@ -6,11 +6,13 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -576,6 +578,25 @@ def test_lm_places_against_brute_force(spark, monkeypatch):
         assert cost[code] == pytest.approx(math.log10(p if code % 2 == 0 else 1 - p))
 
 
+def test_keys_of_a_group_meet_in_little_memory():
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 1 << 16, 60_000).astype(np.uint64) << np.uint64(24) | rng.integers(0, 1 << 9, 60_000).astype(np.uint64)) for _ in range(20)]
+    counts = [rng.integers(1, 5, len(x)).astype(np.uint32) for x in parts]
+    whole = pa.table({"block": range(20), "part": [0] * 20, "keys": [x.tobytes() for x in parts], "counts": [x.tobytes() for x in counts]})
+    tracemalloc.start()
+    told = lm_mixing.meet(whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * sum(map(len, parts))  # one piece of JUDGED keys among them; above 100 bytes a key when judged at once
+    keys = np.concatenate(parts)
+    order = np.argsort(keys)
+    code, tally = lm_mixing.judged(keys[order], np.concatenate(counts)[order])
+    assert np.array_equal(np.frombuffer(b"".join(told["codes"].to_pylist()), dtype=np.uint8)[order], code)
+    assert told["tally"].to_pylist() == [tally.tolist(), *[None] * 19] and told["codes"].to_pylist()[3] == np.frombuffer(b"".join(told["codes"].to_pylist()), dtype=np.uint8)[sum(map(len, parts[:3])) :][: len(parts[3])].tobytes()
+    some = lm_mixing.meet(whole.slice(5, 6).slice(1, 4))  # where Arrow's offsets don't begin at 0
+    assert [len(c) for c in some["codes"].to_pylist()] == [len(x) for x in parts[6:10]]
+
+
 def test_numbers_are_trimmed(monkeypatch):
     monkeypatch.setattr(lm_mixing, "FREQUENT", 3)
     numbers = lm_mixing.Numbers([b"a", b"b"])
