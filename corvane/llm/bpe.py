@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: Pieces that a worker remembers at most, and documents that it sends on at once.
 REMEMBERED, AT_ONCE = 300_000, 128
+#: Children of a node of the segment tree.
+FAN = 16
 _NONE = 1 << 62
 
 
@@ -28,44 +30,42 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """The ids of one piece: the leftmost pair of lowest rank is merged until no pair has a rank.
 
     A leaf of the segment tree belongs to the byte position at which a live token starts, and holds the rank of
-    the pair of that token and the next one, with the position below it; the root is then the leftmost minimum.
-    A merge changes the leaves of the token, of its left neighbour and of the one swallowed, each in log(n) steps.
+    the pair of that token and the next one, with the position below it; the least is then the leftmost minimum.
+    Nodes have ``FAN`` children, as the least of so many is one call. A merge changes the leaves of the token, of
+    its left neighbour and of the one swallowed, each in log(n) steps; a short piece's leaves hang from the root.
     """
-    n = len(piece)
-    size = 1 << max(1, (n - 1).bit_length())
-    shift = size.bit_length()
+    n, get = len(piece), ranks.get
+    shift = n.bit_length()
     mask = (1 << shift) - 1
-    tree = [_NONE] * (2 * size)
-    for at in range(n - 1):
-        rank = ranks.get(piece[at : at + 2])
-        if rank is not None:
-            tree[size + at] = rank << shift | at
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-
-    def put(at: int, rank: int | None) -> None:
-        i = size + at
-        tree[i] = _NONE if rank is None else rank << shift | at
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
+    leaves = [_NONE if (rank := get(piece[at : at + 2])) is None else rank << shift | at for at in range(n - 1)]
+    leaves.append(_NONE)
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        low = levels[-1]
+        levels.append([min(low[i : i + FAN]) for i in range(0, len(low), FAN)])
+    root, deep = levels[-1], len(levels) > 1
 
     end, before = list(range(1, n + 1)), list(range(-1, n))
-    while tree[1] < _NONE:
-        at = tree[1] & mask
+    while (least := min(root)) < _NONE:
+        at = least & mask
         gone = end[at]
         after = end[at] = end[gone]
         before[after] = at
-        put(gone, None)
-        put(at, ranks.get(piece[at : end[after]]) if after < n else None)
+        leaves[gone] = leaves[at] = _NONE
+        if after < n and (rank := get(piece[at : end[after]])) is not None:
+            leaves[at] = rank << shift | at
+        left = before[at] if at else 0
         if at:
-            left = before[at]
-            put(left, ranks.get(piece[left:after]))
+            rank = get(piece[left:after])
+            leaves[left] = _NONE if rank is None else rank << shift | left
+        if deep:
+            for i in (gone, at, left):
+                for low, up in zip(levels, levels[1:], strict=False):
+                    i //= FAN
+                    least = min(low[i * FAN : i * FAN + FAN])
+                    if up[i] == least:
+                        break
+                    up[i] = least
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at : end[at]]])
@@ -74,23 +74,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Pieces(dict):
-    """The ids of pieces seen before; forgets them all when it is full, so its memory is bounded."""
+    """The ids of pieces seen before. When half of what it may remember is new, what is older and was not asked for since is
+    forgotten, so its memory is bounded and frequent pieces stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = merge(raw, self.ranks) if whole is None else (whole,)
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            ids = merge(raw, self.ranks) if whole is None else (whole,)
         if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    """What a worker remembers of a vocabulary, from one task to the next."""
+    return Pieces(load_ranks(path))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids: the token ids of every whole text, without special tokens.
 
@@ -99,7 +110,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, split = Pieces(load_ranks(path)), regex.compile(pattern).findall
+        seen, split = pieces(path), regex.compile(pattern).findall
         for batch in batches:
             for start in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(start, AT_ONCE)

@@ -597,6 +597,20 @@ def test_keys_of_a_group_meet_in_little_memory():
     assert [len(c) for c in some["codes"].to_pylist()] == [len(x) for x in parts[6:10]]
 
 
+def test_frequent_pieces_stay_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    merged = Counter()
+    whole = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda raw, ranks: merged.update([raw]) or whole(raw, ranks))
+    seen = bpe.Pieces(bpe.load_ranks(RANKS))
+    for i in range(60):
+        assert seen["qzxw"] == whole(b"qzxw", seen.ranks)  # asked for again and again, between others that are not
+        assert seen[f"vkq{i}jx"] == whole(f"vkq{i}jx".encode(), seen.ranks)
+        assert len(seen) + len(seen.older) <= 8
+    assert merged[b"qzxw"] == 1 and len(merged) == 61
+    assert bpe.pieces(RANKS) is bpe.pieces(RANKS)
+
+
 def test_numbers_are_trimmed(monkeypatch):
     monkeypatch.setattr(lm_mixing, "FREQUENT", 3)
     numbers = lm_mixing.Numbers([b"a", b"b"])
