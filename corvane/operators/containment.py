@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,13 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 #: Grams of a fragment that a text has to hold before the two are compared; grams that are looked for where texts are read;
-#: letters of fragments that are compared there.
-PROBES, ASKED, LETTERS = 4, 1 << 20, 1 << 24
+#: letters of fragments that are compared there; texts that a task looks at in one go, and grams that it counts together.
+PROBES, ASKED, LETTERS, AT_ONCE, COUNTED = 4, 1 << 20, 1 << 24, 256, 1 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``AT_ONCE`` rows at a time, so that what a task holds of them doesn't grow with a batch."""
+    return (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE))
 
 
 def grams(text: str, size: int) -> np.ndarray:
@@ -26,27 +32,47 @@ def grams(text: str, size: int) -> np.ndarray:
 
 
 def _gram_rows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | None, counted: bool) -> DataFrame:
-    """(id, gram): the distinct grams of each text, only ``wanted`` ones if given; with ``counted``, (gram, n) summed by batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                own = np.unique(np.concatenate([grams(text, n) for n in sizes] or [np.empty(0, dtype=np.int64)]))
-                if wanted is not None and len(own):
-                    at = np.searchsorted(wanted, own)
-                    own = own[(at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == own)] if len(wanted) else own[:0]
-                found.append(own)
-                ids.append(np.full(len(own), i, dtype=np.int64))
-            every = np.concatenate(found or [np.empty(0, dtype=np.int64)])
-            if counted:
-                values, n = np.unique(every, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["gram", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids or [every]))), pa.array(every)], names=["id", "gram"])
+    """(id, gram): the distinct grams of each text, only ``wanted`` ones if given; with ``counted``, (gram, n) summed in parts."""
+
+    def own_grams(text: str) -> np.ndarray:
+        own = np.unique(np.concatenate([grams(text, n) for n in sizes] or [np.empty(0, dtype=np.int64)]))
+        if wanted is not None and len(own):
+            at = np.searchsorted(wanted, own)
+            own = own[(at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == own)] if len(wanted) else own[:0]
+        return own
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            found = [own_grams(text) for text in part.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(found))], names=["id", "gram"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, n, new, size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), [], 0
+        for part in chain(_parts(batches), [None]):
+            for text in [] if part is None else part.column(1).to_pylist():
+                new.append(own_grams(text))
+                size += len(new[-1])
+                if size >= COUNTED:
+                    values, n, new, size = *_added(values, n, new), [], 0
+            if part is None or len(values) >= COUNTED:
+                values, n = _added(values, n, new)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["gram", "n"])
+                values, n, new, size = values[:0], n[:0], [], 0
 
     kind = rows.schema[rows.columns[0]].dataType.simpleString()
-    return rows.mapInArrow(run, "gram long, n long" if counted else f"id {kind}, gram long")
+    return rows.mapInArrow(summed, "gram long, n long") if counted else rows.mapInArrow(listed, f"id {kind}, gram long")
+
+
+def _added(values: np.ndarray, n: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams in order and their counts, with one more for each of ``new``."""
+    every = np.concatenate([values, *new])
+    counts = np.ones(len(every), dtype=np.int64)
+    counts[: len(n)] = n
+    order = np.argsort(every)
+    every, counts = every[order], counts[order]
+    first = np.flatnonzero(np.diff(every, prepend=every[:1] - 1))
+    return every[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _within(texts: DataFrame, sizes: list[int], rare: DataFrame) -> DataFrame:
@@ -64,7 +90,7 @@ def _within(texts: DataFrame, sizes: list[int], rare: DataFrame) -> DataFrame:
     ends = np.append(begins[1:], len(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             owners, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 here = np.unique(np.concatenate([grams(text, n) for n in sizes]))

@@ -6,11 +6,14 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import predicates
 from corvane.functions import text as tx
@@ -694,3 +697,38 @@ def test_targets_of_cases(spark):
     assert values(evaluation.target_faults(cases, docs, "s", 6), "fault", "case_id") == [("no target satisfies the case", 3), ("no target satisfies the case", 4)]
     assert {f for f, _ in values(evaluation.target_faults(cases.where("case_id IN (1, 5)"), docs, "s", 6), "fault", "case_id")} == {"fewer than 6 cases", "no code target", "no target in s", "fewer than two negatives"}
     assert ("no volatile negative", None) in values(evaluation.target_faults(cases.where("case_id = 6").unionByName(cases.where("case_id = 6")), docs, "s", 1), "fault", "case_id")
+
+
+def test_what_a_task_holds_of_a_batch_is_bounded(spark, monkeypatch):
+    class Texts:
+        columns, schema = ["id", "text"], {"id": T.StructField("id", T.LongType())}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(containment, "COUNTED", 1 << 14)
+    rng = random.Random(4)
+    pool = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(800)]
+    lines = [" ".join(rng.choices(pool, k=120)) for _ in range(6000)]
+
+    def peak(run, n, kind):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(lines[:n]).cast(kind)], names=["id", "text"])
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most
+
+    wanted = [w.encode() for w in pool]
+    for run, kind in ((postings.weighted(Texts(), {"text": 1.0}, wanted), pa.binary()), (containment._gram_rows(Texts(), [3], None, True), pa.string()), (containment._gram_rows(Texts(), [3], None, False), pa.string())):
+        (few, less), (many, more) = peak(run, 600, kind), peak(run, 6000, kind)
+        assert more < 1.6 * less and many >= few
+
+
+def test_grams_are_counted_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abcabc", "bcab", "", "abcd"] * 40)], "id int, text string").repartition(2)
+    counts = lambda: values(containment._gram_rows(docs, [3], None, True).groupBy("gram").agg(F.sum("n").alias("n")), "gram", "n")
+    whole = counts()
+    assert sorted(n for _, n in whole) == [40, 80, 80, 80]
+    monkeypatch.setattr(containment, "COUNTED", 3)
+    monkeypatch.setattr(containment, "AT_ONCE", 2)
+    assert counts() == whole
