@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cited_files, cited_numbers, explicit_number
-from ..session import staged
+from ..session import spread, staged
 from .containment import contained
 
 
@@ -144,23 +144,31 @@ def lookups(entities: DataFrame, requests: DataFrame, limit: int = 10) -> DataFr
     """(request, key, place): what ``lookup`` finds for each of ``requests`` (request, text), ``limit`` at most, in its order.
 
     Numbers are keys of a join. Requests whose number names nothing, or that have none, go to keys and titles by trigrams, so no
-    request looks at every entity. A blank request finds nothing. Entities of one key are one.
+    request looks at every entity. What a number or a text finds is ranked and cut once, before it meets those that ask for it. A
+    blank request finds nothing. Entities of one key are one.
     """
     asked = staged(requests.select("request", F.lower(F.trim("text")).alias("text"), F.nullif(F.regexp_extract("text", r"[0-9]{3,5}", 0), F.lit("")).alias("number")))
-    rows = staged(entities.select("key", "kind", "title"))
+    rows = staged(spread(entities.select("key", "kind", "title")))
+
+    def best(found: DataFrame, of: str) -> DataFrame:
+        order = Window.partitionBy(of).orderBy((F.col("kind") == "arquivo").desc(), "key")
+        return found.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
     named = F.array(F.regexp_extract("key", r"#([^#]*)$", 1), F.regexp_extract("key", r"^feature:([0-9]{3,5})-", 1))
-    numbered = rows.select("key", "kind", F.explode(F.array_distinct(named)).alias("number")).where("number <> ''")
-    by_number = staged(asked.join(numbered, "number").select("request", "key", "kind"))
-    left = asked.join(by_number.select("request").distinct(), "request", "left_anti").select(F.col("text").alias("fragment"), "request")
-    words = left.select(F.col("fragment").alias("fragment_id"), "fragment").distinct()
+    numbered = rows.select("key", "kind", F.explode(F.array_distinct(named)).alias("sought")).where("sought <> ''")
+    numbers = asked.select(F.col("number").alias("sought")).distinct()
+    by_number = best(numbered.join(numbers, "sought", "left_semi"), "sought").drop("place").withColumnRenamed("sought", "number")
+    by_number = staged(asked.join(by_number, "number").select("request", "key", "kind"))
+    left = asked.join(by_number.select("request").distinct(), "request", "left_anti").select("request", F.col("text").alias("sought"))
+    words = left.select(F.col("sought").alias("fragment_id"), F.col("sought").alias("fragment")).distinct()
     found = None
     for c in ("key", "title"):
         part = contained(words, rows.select(F.col("key").alias("id"), F.lower(c).alias("text")))
         found = part if found is None else found.unionByName(part)
-    by_part = left.join(found.distinct(), left["fragment"] == F.col("fragment_id")).select("request", F.col("id").alias("key")).join(rows.select("key", "kind"), "key").select("request", "key", "kind")
-    hits = by_number.unionByName(by_part).distinct()
-    place = F.row_number().over(Window.partitionBy("request").orderBy((F.col("kind") == "arquivo").desc(), "key"))
-    return hits.withColumn("place", place).where(F.col("place") <= limit).select("request", "key", "place")
+    found = found.distinct().select(F.col("fragment_id").alias("sought"), F.col("id").alias("key"))
+    by_part = best(found.join(rows.select("key", "kind"), "key").select("sought", "key", "kind"), "sought")
+    hits = by_number.unionByName(left.join(by_part, "sought").select("request", "key", "kind"))
+    return best(hits, "request").select("request", "key", "place")
 
 
 def described_neighbours(edges: DataFrame, targets: DataFrame, docs: DataFrame, limit: int, most: int = 4) -> DataFrame:

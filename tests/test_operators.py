@@ -699,6 +699,23 @@ def test_targets_of_cases(spark):
     assert ("no volatile negative", None) in values(evaluation.target_faults(cases.where("case_id = 6").unionByName(cases.where("case_id = 6")), docs, "s", 1), "fault", "case_id")
 
 
+def test_lookups_of_one_text_are_ranked_once(spark, monkeypatch):
+    """What many requests share is cut to the limit before it meets them: rows follow requests and entities, not their product."""
+    entities = spark.createDataFrame([(f"card:r#{i}", "arquivo" if i % 2 == 0 else "card", f"Name {i}") for i in range(300)], "key string, kind string, title string")
+    requests = spark.createDataFrame([(i, " R#1") for i in range(200)] + [(900, "name 29"), (901, "card 123"), (902, None), (903, "123 or r#2"), (903, "r#29")], "request int, text string")
+    held = []
+    whole = graph.Window.partitionBy
+    monkeypatch.setattr(graph.Window, "partitionBy", staticmethod(lambda *c: held.append(c) or whole(*c)))
+    found = graph.lookups(entities, requests)
+    rows = {r: [(x.key, x.place) for x in found.collect() if x.request == r] for r in (0, 199, 900, 901, 902, 903)}
+    kind = lambda k: int(k.split("#")[1]) % 2
+    of = lambda part: sorted((f"card:r#{i}" for i in range(300) if part in f"card:r#{i}"), key=lambda k: (kind(k), k))[:10]
+    assert rows[0] == rows[199] == [(k, i + 1) for i, k in enumerate(of("r#1"))]
+    assert [k for k, _ in rows[900]] == sorted([f"card:r#{i}" for i in (29, *range(290, 300))], key=lambda k: (kind(k), k))[:10]
+    assert rows[901] == [("card:r#123", 1)] and rows[902] == [] and rows[903] == [("card:r#123", 1)]
+    assert ("sought",) in held and ("request",) in held
+
+
 def test_what_a_task_holds_of_a_batch_is_bounded(spark, monkeypatch):
     class Texts:
         columns, schema = ["id", "text"], {"id": T.StructField("id", T.LongType())}
