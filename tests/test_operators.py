@@ -749,3 +749,13 @@ def test_grams_are_counted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(containment, "COUNTED", 3)
     monkeypatch.setattr(containment, "AT_ONCE", 2)
     assert counts() == whole
+
+
+def test_one_search_has_the_ranks_of_both_depths(spark, monkeypatch):
+    sf_dir, searched = "/root/testdata/sf0.001", []
+    whole = lexical.bm25
+    monkeypatch.setattr(lexical, "bm25", lambda *args: searched.append(1) or whole(*args))
+    base, head = (values(rows, "case_id", "rank") for rows in queries.two_depths(spark, sf_dir))
+    assert len(searched) == 1
+    assert base == values(queries.expected_ranks(spark, sf_dir, 10), "case_id", "rank")
+    assert head == values(queries.expected_ranks(spark, sf_dir, 2), "case_id", "rank")
