@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical
-from ..operators.postings import BLOCK, blocks, occurrences, parts, phrases_in_blocks, split, unblocked
+from ..operators.postings import BLOCK, ENDS, blocks, bucket, occurrences, parts, phrases_in_blocks, put_together, split, unblocked, unpacked
 from ..session import clear_shuffles, staged
 from ..streaming.incremental import differences
 from . import manifest
@@ -17,15 +17,11 @@ from . import manifest
 BUCKETS = 64
 #: Terms that a search names to the reader of the files, which skips what can't hold them; with more, their buckets alone are named.
 NAMED = 100
-#: The bucket of ids and lengths; documents of a block that is put together anew.
-ENDS, BLOCK_DOCS = -1, 2048
+#: Documents, on average, of a block that is put together anew.
+BLOCK_DOCS = 2048
 _NEW = {"version": -1, "tables": {}, "facts": {"segments": 0, "documents": 0, "length": 0}}
 
 
-def bucket(term: Column, buckets: int) -> Column:
-    return F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int"))
-
-
 def _blocks(spark: SparkSession, root: str, state: dict) -> DataFrame:
     """All blocks of a version, of documents that have gone since too; part and bucket are folders, segment is in the part's name."""
     schema = f"{BLOCK.format(id=state['facts']['id'])}, part string, bucket int"
@@ -46,21 +42,21 @@ def _live(rows: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 def lengths(spark: SparkSession, root: str, state: dict) -> DataFrame:
-    """id, length and segment of every document that the version has."""
+    """id, length, segment and block of every document that the version has."""
     rows = _blocks(spark, root, state).where(F.col("bucket") == ENDS)
-    rows = rows.select("segment", F.inline(F.arrays_zip("ids", "data"))).select(F.col("ids").alias("id"), F.col("data").cast("long").alias("length"), "segment")
+    rows = rows.select("segment", "block", F.inline(F.arrays_zip("ids", "data"))).select(F.col("ids").alias("id"), F.col("data").cast("long").alias("length"), "segment", "block")
     return _live(rows, _dead(spark, state))
 
 
-def _write(rows: DataFrame, root: str, segment: int, buckets: int) -> str:
+def _write(packed: DataFrame, root: str, segment: int, kind: str) -> str:
     """A folder of blocks, sorted by term in each bucket; lengths have a bucket of their own.
 
-    Rows are dealt by bucket as a rebalance: adaptive execution splits the bucket of a frequent term over writers and puts
-    small ones together, so files have an even size whatever the terms are.
+    What is packed by bucket is dealt as a rebalance: adaptive execution splits the bucket of a frequent term over writers and puts
+    small ones together, so files have an even size whatever the terms are. Rows are unpacked where they are written.
     """
     at = f"{root}/postings/part={segment:09d}-{uuid.uuid4().hex}"
-    rows = rows.withColumn("bucket", F.coalesce(bucket(F.col("term"), buckets), F.lit(ENDS)))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(at)
+    rows = unpacked(packed.hint("rebalance", "bucket"), kind)
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(at)
     return at
 
 
@@ -87,7 +83,7 @@ def update(
     if removed is not None:
         removed = removed.select(F.col(id_col).alias("id")).distinct()
         changed = changed.join(removed.withColumnRenamed("id", id_col), id_col, "left_anti")
-    at = _write(blocks(changed, facts["fields"], id_col), root, segment, facts["buckets"])
+    at = _write(blocks(changed, facts["fields"], facts["buckets"], id_col), root, segment, facts["id"])
     tables = {"postings": [*state["tables"].get("postings", []), at]}
     new = lengths(spark, root, state | {"tables": {"postings": [at]}})
     came = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
@@ -126,19 +122,15 @@ def refresh(files: DataFrame, root: str, fields: list[str], key: str = "path") -
 def compact(spark: SparkSession, root: str) -> dict:
     """Rewrites what is live of all segments as one, without tombstones; the folders of older versions stay for their readers.
 
-    Blocks are put together anew from documents that fall into one of so many shares that one has some ``BLOCK_DOCS``.
+    Blocks are put together anew where they fall into one of so many shares that one has some ``BLOCK_DOCS`` documents. They move
+    packed, first by share and then by bucket.
     """
     state = manifest.read(spark, root)
     facts = state["facts"]
-    share = F.pmod(F.xxhash64("id"), F.lit(facts["documents"] // BLOCK_DOCS + 1)).alias("share")
-    rows = _live(unblocked(_blocks(spark, root, state).where(F.col("bucket") != ENDS), "segment"), _dead(spark, state))
-    one = F.struct("id", F.col("length").cast("int").alias("length"), "positions")
-    rows = rows.groupBy("term", "field", share).agg(F.collect_list(one).alias("each"))
-    counts = F.transform("each", lambda x: F.size(x["positions"]))
-    rows = rows.select(F.col("share").alias("block"), "term", "field", F.col("each.id").alias("ids"), F.concat(F.col("each.length"), counts, F.flatten("each.positions")).alias("data"))
-    ends = lengths(spark, root, state).groupBy(share).agg(F.collect_list(F.struct("id", F.col("length").cast("int").alias("length"))).alias("each"))
-    ends = ends.select(F.col("share").alias("block"), F.lit(None).cast("string").alias("term"), F.lit(-1).alias("field"), F.col("each.id").alias("ids"), F.col("each.length").alias("data"))
-    at = _write(rows.unionByName(ends), root, 0, facts["buckets"])
+    share = F.pmod(F.xxhash64("segment", "block"), F.lit(facts["documents"] // BLOCK_DOCS + 1)).alias("share")
+    rows = _blocks(spark, root, state).where(F.col("bucket") != ENDS).select(share, "segment", "term", "field", "ids", "data")
+    live = lengths(spark, root, state).select(share, "segment", "id", "length")
+    at = _write(put_together(rows, live, facts["buckets"]), root, 0, facts["id"])
     clear_shuffles(spark)
     return manifest.commit(spark, root, state, {"postings": [at], "dead": []}, facts | {"segments": 1})
 

@@ -425,6 +425,25 @@ def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
 
 
+def test_postings_move_packed(spark, tmp_path):
+    root, schema = str(tmp_path / "index"), "doc_id string, text string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    first = [(f"d{i}", f"straße w{i} red red") for i in range(60)]
+    packed = postings.blocks(frame(first).coalesce(1), ["text"], 8)
+    # a row for each bucket and one for the lengths, however many terms there are
+    assert packed.columns == ["bucket", "packed"] and packed.count() <= 9
+    segments.create(frame(first), root, ["text"], buckets=8)
+    for step in range(3):
+        segments.update(spark, root, frame([(f"d{step}", "red blue"), (f"e{step}", "straße")]), frame([(f"d{10 + step}", "")]))
+    segments.compact(spark, root)
+    state = manifest.read(spark, root)
+    rows = segments._blocks(spark, root, state).where("term IN ('red', 'straße')").select("term", F.size("ids").alias("n")).collect()
+    # blocks of small segments are one, without what has gone
+    assert sorted((r.term, r.n) for r in rows) == [("red", 57), ("straße", 57)]
+    found = segments.search(spark, root, lexical.queries_of(spark, {0: ["straße"], 1: ["blue_red", "red_blue"]}), {"text": 1.0}).collect()
+    assert len([r for r in found if r.query_id == 0]) == 57 and {r.id for r in found if r.query_id == 1} == {"d0", "d1", "d2"}
+
+
 def test_refresh_follows_crawls(spark, tmp_path):
     schema, root = "path string, modified long, size long, text string", str(tmp_path / "index")
     asked = lexical.queries_of(spark, {0: ["one"]})
