@@ -1,7 +1,10 @@
-"""Documents cut into passages, and sections by heading; all of it column expressions over the lines of a text."""
+"""Documents cut into passages, and sections by heading: column expressions over the lines of a text, code in Python."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions.text import fold
 JOINED, WHOLE, PIECE = 2200, 4800, 3200
 #: Lines of code after which a blank one ends a passage; lines and characters that end it in any case.
 SOFT_LINES, HARD_LINES, CODE_CHARS = 70, 130, 3500
+#: Texts whose passages a task holds at once.
+AT_ONCE = 256
 #: White space that texts are stripped of.
 SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _HEADING = r"^(#{1,3})\s+(.+)"
@@ -72,19 +77,43 @@ def _markdown(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _code(docs: DataFrame, id_col: str) -> DataFrame:
-    """Runs of lines that end at a blank line after 70, or at 130 lines or 3,500 characters; blank runs are left out."""
-    rows = docs.select(id_col, F.coalesce("title", F.lit("")).alias("_title"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
-    state = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("held"), F.lit(0).alias("size"), F.lit(0).alias("i"))
+    """Runs of lines that end at a blank line after 70, or at 130 lines or 3,500 characters; blank runs are left out.
 
-    def step(s: Column, line: Column) -> Column:
-        held, size, i = s["held"] + 1, s["size"] + F.length(line) + 1, s["i"] + 1
-        over = ((held >= SOFT_LINES) & (stripped(line) == "")) | (size >= CODE_CHARS) | (held >= HARD_LINES)
-        return F.struct(F.when(over, F.array_append(s["ends"], i)).otherwise(s["ends"]).alias("ends"), F.when(over, 0).otherwise(held).alias("held"), F.when(over, 0).otherwise(size).alias("size"), i.alias("i"))
+    Where runs end is told from the lengths of a text's lines in Python; a line is looked at by itself only where its run is long enough
+    for a blank one to end it.
+    """
 
-    rows = rows.withColumn("_ends", F.array_distinct(F.concat(F.aggregate("_lines", state, step, lambda s: s["ends"]), F.array(F.size("_lines")))))
-    bounds = F.arrays_zip(F.slice(F.concat(F.array(F.lit(0)), F.col("_ends")), 1, F.size("_ends")).alias("a"), F.col("_ends").alias("b"))
-    block = lambda x: F.struct(F.concat("_title", F.lit(":"), (x["a"] + 1).cast("string"), F.lit("-"), x["b"].cast("string")).alias("breadcrumb"), stripped(F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]), "\n")).alias("text"))
-    return rows.select(id_col, F.filter(F.transform(bounds, block), lambda p: p["text"] != "").alias("_passages"))
+    def ends(text: str) -> list[int]:
+        lines, out, held, size = text.split("\n"), [], 0, 0
+        for i, n in enumerate(map(len, lines), 1):
+            held += 1
+            size += n + 1
+            if size >= CODE_CHARS or held >= HARD_LINES or (held >= SOFT_LINES and not lines[i - 1].strip(SPACE)):
+                out.append(i)
+                held = size = 0
+        return out if out and out[-1] == len(lines) else [*out, len(lines)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                owner, ords, crumbs, texts = [], [], [], []
+                for row, (title, raw) in enumerate(zip(part.column(1).to_pylist(), part.column(2), strict=True)):
+                    text = (raw.as_py() or b"").decode(errors="surrogateescape")
+                    lines, begin, ord_ = text.split("\n"), 0, 0
+                    for end in ends(text):
+                        if passage := "\n".join(lines[begin:end]).strip(SPACE):
+                            owner.append(row)
+                            ords.append(ord_)
+                            crumbs.append(f"{title or ''}:{begin + 1}-{end}")
+                            texts.append(passage.encode(errors="surrogateescape"))
+                            ord_ += 1
+                        begin = end
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(ords, pa.int32()), pa.array(crumbs, pa.string()), pa.array(texts, pa.binary())], names=names)
+
+    rows = docs.select(id_col, "title", F.col("text").cast("binary"))
+    names = [id_col, "ord", "breadcrumb", "text"]
+    return rows.mapInArrow(cut, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ord int, breadcrumb string, text binary").withColumn("text", F.col("text").cast("string"))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", code: Column | None = None) -> DataFrame:
@@ -94,9 +123,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", code: Column | None = None
     and blank texts have no passages, a null title is empty.
     """
     rows = _markdown(docs if code is None else docs.where(~F.coalesce(code, F.lit(False))), id_col)
+    rows = rows.select(id_col, F.posexplode("_passages").alias("ord", "p")).select(id_col, "ord", "p.breadcrumb", "p.text")
     rows = rows if code is None else rows.unionByName(_code(docs.where(code), id_col))
-    rows = rows.select(id_col, F.posexplode("_passages").alias("ord", "p"))
-    return rows.select(id_col, "ord", "p.breadcrumb", "p.text", F.ceil(F.length("p.text") / 4).alias("token_est"))
+    return rows.withColumn("token_est", F.ceil(F.length("text") / 4))
 
 
 def section(docs: DataFrame, heading: str, id_col: str = "doc_id", most: int = 60_000) -> DataFrame:

@@ -661,6 +661,27 @@ def test_edges_of_documents(spark):
     ]
 
 
+def test_code_is_cut_in_one_look(spark):
+    r = random.Random(8)
+    texts = [None, "", " \n\u3000", "é" * 3499 + "\nb"] + ["\n".join(r.choices(["", " ", "\u2003\t", "x = 1", "ação " * 9, "y" * 300], [9, 2, 2, 60, 8, r.random()], k=r.randint(1, 900))) for _ in range(40)]
+
+    def brute(text):
+        lines, out, begin, size = (text or "").split("\n"), [], 0, 0
+        for i, line in enumerate(lines, 1):
+            size += len(line) + 1
+            if (i - begin >= 70 and not line.strip()) or size >= 3500 or i - begin >= 130 or i == len(lines):
+                if "\n".join(lines[begin:i]).strip():
+                    out.append((f"T:{begin + 1}-{i}", "\n".join(lines[begin:i]).strip()))
+                begin, size = i, 0
+        return out
+
+    assert cut(spark, texts, code=True) == [brute(t) for t in texts]
+    rows = chunks.passages(spark.createDataFrame([(1, "T", "x")], "doc_id long, title string, text string"), code=F.lit(True))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # no line is an element that an expression is evaluated for
+    assert "aggregate(" not in plan and rows.schema.simpleString() == "struct<doc_id:bigint,ord:int,breadcrumb:string,text:string,token_est:bigint>"
+
+
 def test_sections_code_and_roots(spark):
     rows = spark.createDataFrame([(1, "# A\nx\n## Decisão final\ny\n### z\nw\n## Next\nq"), (2, "# Decisao\nall\n# B\nno"), (3, "nothing"), (4, None), (5, "#decisao\n####### decisao\n###### a decisão")], "doc_id long, text string")
     assert values(chunks.section(rows, "decisao"), "doc_id", "section") == [(1, "## Decisão final\ny\n### z\nw"), (2, "# Decisao\nall"), (5, "###### a decisão")]
