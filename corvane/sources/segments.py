@@ -171,4 +171,4 @@ def search(spark: SparkSession, root: str, queries: DataFrame, weights: dict[str
         hits = staged(hits.select("id", F.col("token").alias("term"), (F.col("tf") * float(weights[fields[0]])).alias("tf"), "length"))
     else:
         hits = lexical.weighed(hits, weights)
-    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"], asked is not None)
+    return lexical.scored(hits, queries, state["facts"]["documents"], state["facts"]["length"], asked is not None, by_term=True)

@@ -440,7 +440,11 @@ def test_postings_move_packed(spark, tmp_path):
     rows = segments._blocks(spark, root, state).where("term IN ('red', 'straße')").select("term", F.size("ids").alias("n")).collect()
     # blocks of small segments are one, without what has gone
     assert sorted((r.term, r.n) for r in rows) == [("red", 57), ("straße", 57)]
-    found = segments.search(spark, root, lexical.queries_of(spark, {0: ["straße"], 1: ["blue_red", "red_blue"]}), {"text": 1.0}).collect()
+    scored = segments.search(spark, root, lexical.queries_of(spark, {0: ["straße"], 1: ["blue_red", "red_blue"]}), {"text": 1.0})
+    # hits are dealt by document, not each query's sums
+    dealt = re.findall(r"hashpartitioning\(([^)]*)", scored._jdf.queryExecution().executedPlan().toString())
+    assert any(d.startswith("id#") for d in dealt) and not any(d.startswith("query_id#") for d in dealt)
+    found = scored.collect()
     assert len([r for r in found if r.query_id == 0]) == 57 and {r.id for r in found if r.query_id == 1} == {"d0", "d1", "d2"}
 
 
