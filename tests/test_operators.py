@@ -10,6 +10,7 @@ import tracemalloc
 import unicodedata
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -440,7 +441,8 @@ def test_postings_move_packed(spark, tmp_path):
     rows = segments._blocks(spark, root, state).where("term IN ('red', 'straße')").select("term", F.size("ids").alias("n")).collect()
     # blocks of small segments are one, without what has gone
     assert sorted((r.term, r.n) for r in rows) == [("red", 57), ("straße", 57)]
-    scored = segments.search(spark, root, lexical.queries_of(spark, {0: ["straße"], 1: ["blue_red", "red_blue"]}), {"text": 1.0})
+    lexical.queries_of(spark, {0: ["straße"], 1: ["blue_red", "red_blue"]}).write.parquet(str(tmp_path / "asked"))
+    scored = segments.search(spark, root, spark.read.parquet(str(tmp_path / "asked")), {"text": 1.0})
     # hits are dealt by document, not each query's sums
     dealt = re.findall(r"hashpartitioning\(([^)]*)", scored._jdf.queryExecution().executedPlan().toString())
     assert any(d.startswith("id#") for d in dealt) and not any(d.startswith("query_id#") for d in dealt)
@@ -616,6 +618,22 @@ def test_exported_logs(spark, tmp_path):
     assert "size(cards" in left and "data" not in left and "repo" not in left
 
 
+def test_encoder_counts_words_of_many_texts(spark):
+    r = random.Random(12)
+    texts = [None, "", "...", "Ação ação x"] + [" ".join(r.choices(["um", "dois", "três", "x9", "y", "😀z"], k=r.randint(0, 30))) for _ in range(vector.ENCODED + 50)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    rows = frame.select("id", "text", tx.terms(F.col("text")).alias("words"), vector.hashing_encoder(F.col("text")).alias("v"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    for row in rows.collect():
+        want = np.zeros(384)
+        for w in row.words:
+            want[vector.fnv1a(w) % 384] += 1
+        norm = np.linalg.norm(want)
+        assert row.v == (want / norm if norm else want).astype(np.float32).tolist()
+    # texts are counted together, in Arrow
+    assert re.search(r"ArrowEvalPython.*\], 25[0-9]", plan) and vector.hashing_encoder(F.col("text")) is not None
+
+
 def test_a_log_that_grows(spark, tmp_path):
     logs.register(spark)
     log = tmp_path / "grow.log"
