@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull
@@ -16,6 +18,10 @@ RECORD, FIELD = b"\x1e", b"\x1f"
 SCHEMA = "repo string, sha string, short string, data string, author string, parents array<string>, subject string, body string, files array<string>, cards array<int>"
 #: Bytes of a file that one task reads, and that it reads at once.
 SPLIT, BLOCK = 64 << 20, 1 << 20
+#: Tasks beyond which one reads several splits, up to ``SPLIT`` bytes; records that it gives to Spark at once.
+TASKS, GIVEN = 256, 1024
+_TEXTS = pa.list_(pa.string())
+_ROWS = pa.schema([(c, pa.string()) for c in ("repo", "sha", "short", "data", "author")] + [("parents", _TEXTS), ("subject", pa.string()), ("body", pa.string()), ("files", _TEXTS), ("cards", pa.list_(pa.int32()))])
 
 
 def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -35,6 +41,14 @@ def repo_of(path: str) -> str:
     return path.rsplit("/", 1)[-1].split(".", 1)[0]
 
 
+def ranges(sizes: dict[str, int], split: int, begins: dict[str, int] | None = None) -> list[Range]:
+    """The ranges of files that tasks read: ``split`` bytes, or more of them where these make more than ``TASKS``."""
+    begins = begins or {}
+    whole = sum(max(size - begins.get(path, 0), 0) for path, size in sizes.items())
+    step = split * max(1, min(-(-whole // (split * TASKS)), SPLIT // split))
+    return [Range(path, at, min(at + step, size)) for path, size in sorted(sizes.items()) for at in range(begins.get(path, 0), size, step)]
+
+
 @dataclass
 class Range(InputPartition):
     """The records that begin in a range of bytes of a file."""
@@ -88,6 +102,11 @@ class _Choice:
         self.repos: set[str] | None = None
         self.after: str | None = None
 
+    def batches(self, parts: Iterator[Range]) -> Iterator[pa.RecordBatch]:
+        rows = self.rows(parts)
+        while some := list(islice(rows, GIVEN)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _ROWS, strict=True)], schema=_ROWS)
+
     def rows(self, parts: Iterator[Range]) -> Iterator[tuple]:
         for part in parts:
             given = 0
@@ -116,16 +135,13 @@ class _Reader(_Choice, DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path, size in sorted(_sizes(self.path).items()):
-            if self.repos is None or repo_of(path) in self.repos:
-                # with a largest count a log is read from its beginning and no further than that
-                step = size if self.most is not None else self.split
-                out += [Range(path, at, min(at + step, size)) for at in range(0, size, max(step, 1))]
+        sizes = {path: size for path, size in _sizes(self.path).items() if self.repos is None or repo_of(path) in self.repos}
+        # with a largest count a log is read from its beginning and no further than that
+        out = ranges(sizes, self.split) if self.most is None else [Range(path, 0, size) for path, size in sorted(sizes.items()) if size]
         return out or [Range("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return self.rows([partition]) if partition.path else iter(())
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return self.batches([partition]) if partition.path else iter(())
 
 
 class _StreamReader(_Choice, DataSourceStreamReader):
@@ -138,17 +154,18 @@ class _StreamReader(_Choice, DataSourceStreamReader):
         return _sizes(self.path)
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(path, at, min(at + self.split, size)) for path, size in sorted(end.items()) for at in range(start.get(path, 0), size, self.split)]
+        return ranges(end, self.split, start)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return self.rows([partition])
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return self.batches([partition])
 
 
 class CommitLog(DataSource):
     """``spark.read.format("commitlog").load(path)``: commits (``SCHEMA``) of the logs in a folder, one file a repository.
 
     Options: ``since`` leaves out earlier dates, ``maxcount`` reads that many commits of each log from its beginning, after
-    the other options, ``merges`` keeps commits of several parents, ``split`` is how many bytes a task reads. Broken records
+    the other options, ``merges`` keeps commits of several parents, ``split`` is how many bytes a task reads, or more where
+    that makes more than ``TASKS``. Broken records
     are passed over. With ``maxcount`` no date is pushed, as it is counted before any filter. Files are opened by every task, so a folder that driver and executors share, or a store that
     Arrow opens by its address, has to hold them.
     """

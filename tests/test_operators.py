@@ -618,6 +618,18 @@ def test_exported_logs(spark, tmp_path):
     assert "size(cards" in left and "data" not in left and "repo" not in left
 
 
+def test_a_large_log_has_a_bounded_number_of_tasks(spark, tmp_path):
+    logs.register(spark)
+    (tmp_path / "one.log").write_text("".join(log_record(i) for i in range(2000)))
+    rows = spark.read.format("commitlog").option("split", 100).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= logs.TASKS
+    assert sorted(int(r.sha) for r in rows.collect()) == list(range(2000))
+    # ranges of whole splits, no larger than a task reads by itself
+    parts = logs.ranges({"a": 10**12, "b": 5}, 1 << 16, {"a": 7})
+    assert parts[0].begin == 7 and parts[-1].end == 5 and max(p.end - p.begin for p in parts) == logs.SPLIT
+    assert [(p.begin, p.end) for p in logs.ranges({"a": 250}, 100)] == [(0, 100), (100, 200), (200, 250)]
+
+
 def test_encoder_counts_words_of_many_texts(spark):
     r = random.Random(12)
     texts = [None, "", "...", "Ação ação x"] + [" ".join(r.choices(["um", "dois", "três", "x9", "y", "😀z"], k=r.randint(0, 30))) for _ in range(vector.ENCODED + 50)]
